@@ -15,6 +15,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunks import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_decontaminate, op7_chunks)}
 
 ORACLES: dict[str, str] = {}

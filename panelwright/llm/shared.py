@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps each byte of lower-cased UTF-8 that is no letter, digit or part of a longer character to a space.
@@ -38,9 +38,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_bytes(column: str = "text"):
+def text_bytes(column: str | Column = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(column.cast("string").cast("binary"), F.lit(b""))
 
 
 def words(text: bytes) -> list[bytes]:
