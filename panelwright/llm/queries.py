@@ -27,6 +27,14 @@ def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_decontaminate, op7_chunks)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "above_quantile")
+
+
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_decontaminate, op7_chunks, op8_quality)}
 
 ORACLES: dict[str, str] = {}
