@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import LEVELS, WEIGHTS, mix, with_domain
+
+    mixed = mix(with_domain(table(spark, sf_dir, "documents")), LEVELS, WEIGHTS)
+    return mixed.select("doc_id", "epoch", *LEVELS, F.col("__tokens").alias("tokens"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -35,6 +42,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "above_quantile")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_decontaminate, op7_chunks, op8_quality)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality)}
 
 ORACLES: dict[str, str] = {}
