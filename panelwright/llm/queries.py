@@ -42,6 +42,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "above_quantile")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality)}
-
-ORACLES: dict[str, str] = {}
+def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .balltree import top_k, vectors
+
+    found = vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(found, found.where("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op10_balltree)}
+
+ORACLES: dict[str, str] = {
+    "op10_balltree": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where vec_id is not null and embedding is not null
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+            from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5
+    """,
+}
