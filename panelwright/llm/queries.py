@@ -42,6 +42,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "above_quantile")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .balltree import top_k, vectors
 
@@ -49,9 +56,18 @@ def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(found, found.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op10_balltree)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op9_warc, op10_balltree)}
 
 ORACLES: dict[str, str] = {
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        s as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+        w as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as leader from s)
+        select page_id, payload_bytes, payload_digest,
+               case when leader <> page_id then 'revisit' else 'response' end as record_type,
+               case when leader <> page_id then leader end as refers_to
+        from w
+    """,
     "op10_balltree": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
