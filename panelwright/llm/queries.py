@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls, rule_table
+
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import LEVELS, WEIGHTS, mix, with_domain
 
@@ -56,7 +68,7 @@ def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(found, found.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op9_warc, op10_balltree)}
+QUERIES = {f.__name__: f for f in (op2_urls, op3_licenses, op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op9_warc, op10_balltree)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """
