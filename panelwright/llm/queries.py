@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls, rule_table
 
@@ -68,7 +74,7 @@ def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(found, found.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_urls, op3_licenses, op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op9_warc, op10_balltree)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_urls, op3_licenses, op4_mixing, op5_simhash, op6_decontaminate, op7_chunks, op8_quality, op9_warc, op10_balltree)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """
