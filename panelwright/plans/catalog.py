@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import relational, temporal
+
+MODULES = [temporal, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
