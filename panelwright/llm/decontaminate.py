@@ -47,12 +47,24 @@ def _overlap(shingles: set[bytes], passage: set[bytes], joined: bytes) -> float:
     return sum(s in passage or b" " + s + b" " in joined for s in shingles) / len(shingles) if shingles else 1.0
 
 
+@dataclass
+class Block:
+    """Items of about one length: their postings by term, and each term's largest impact among them."""
+
+    stride: int
+    postings: dict[int, tuple[list[int], list[float]]]
+    most: dict[int, float]
+
+
 @dataclass
 class Index:
     """Impacts are BM25 term scores divided by the item's score for itself, so that 1 is the whole item.
 
-    Items are in order of length; block b holds items b * width to b * width + width - 1. Terms in more than
-    a quarter of the items are common: a passage gets all of a block's common maxima at most once.
+    Items are in order of length; block b holds items b * width to b * width + width - 1. A passage for a block
+    has two strides of words, one beginning at each stride; a stride has the words of the block's longest item
+    at least, so any of its items that stands in a text lies within a passage. Blocks of one stride are a
+    group: their maxima are a matrix of blocks by terms. Terms in more than a quarter of the items are common:
+    a passage's bound counts all of a block's common maxima once, whichever of them it has.
     """
 
     ids: list[int]
@@ -60,16 +72,17 @@ class Index:
     answer: list[set[bytes]]
     lengths: list[int]
     term: dict[bytes, int]
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    width: int
-    block_max: np.ndarray = field(repr=False)  # blocks x (terms + 1)
+    blocks: list[Block] = field(repr=False)
+    groups: list[tuple[int, list[int], np.ndarray, np.ndarray]] = field(repr=False)  # stride, blocks, maxima, common maxima
     common: np.ndarray = field(repr=False)
 
-    @property
-    def stride(self) -> int:
-        """Passages have two strides of words, one beginning at each stride: any item of the index that stands
-        in a text lies within one of them."""
-        return max(16, max(self.lengths))
+
+def _stride(longest: int) -> int:
+    """The next of 16, 24, 36, 54 ... words."""
+    n = 16
+    while n < longest:
+        n = n * 3 // 2
+    return n
 
 
 def build_index(rows: list[tuple[int, bytes, bytes]], idf: dict[bytes, float], mean: float, common: set[bytes], width: int, shingle: int) -> Index | None:
@@ -82,35 +95,38 @@ def build_index(rows: list[tuple[int, bytes, bytes]], idf: dict[bytes, float], m
         return None
     kept.sort(key=lambda x: (x[0], x[1]))
     term: dict[bytes, int] = {}
-    lists: list[list[tuple[int, float]]] = []
+    blocks = [Block(_stride(max(x[0] for x in kept[at : at + width])), {}, {}) for at in range(0, len(kept), width)]
     for k, (n, _, q, a) in enumerate(kept):
         score = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for t, f in Counter(q + a).items()}
-        whole = sum(score.values())
+        whole, block = sum(score.values()), blocks[k // width]
         for t, s in score.items():
             i = term.setdefault(t, len(term))
-            if i == len(lists):
-                lists.append([])
-            lists[i].append((k, s / whole))
-    blocks = -(-len(kept) // width)
-    block_max = np.zeros((blocks, len(term) + 1), np.float32)
-    postings = []
-    for i, entries in enumerate(lists):
-        docs, impact = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-        np.maximum.at(block_max[:, i], docs // width, impact.astype(np.float32) * np.float32(1.000001))
-        postings.append((docs, impact))
+            items, impacts = block.postings.setdefault(i, ([], []))
+            items.append(k)
+            impacts.append(s / whole)
+            block.most[i] = max(block.most.get(i, 0.0), s / whole)
     is_common = np.array([t in common for t in term] + [False])
+    groups = []
+    for stride in sorted({b.stride for b in blocks}):
+        own = [i for i, b in enumerate(blocks) if b.stride == stride]
+        maxima = np.zeros((len(own), len(term) + 1), np.float32)
+        for row, i in enumerate(own):
+            maxima[row, list(blocks[i].most)] = [m * 1.000001 for m in blocks[i].most.values()]
+        groups.append((stride, own, maxima, maxima[:, is_common].sum(axis=1)))
     parts = [_parts(x[2], x[3], shingle) for x in kept]
-    return Index([x[1] for x in kept], [p[0] for p in parts], [p[1] for p in parts], [x[0] for x in kept], term, postings, width, block_max, is_common)
+    return Index([x[1] for x in kept], [p[0] for p in parts], [p[1] for p in parts], [x[0] for x in kept], term, blocks, groups, is_common)
 
 
-def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """(item, score) of every item whose score for the distinct terms is at least the threshold.
+def block_max_wand(block: Block, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+    """(item, score) of every item of a block whose score for the distinct terms is at least the threshold.
 
-    A pivot is the first term, in order of the lists' current items, up to which the terms' maxima reach the
-    threshold; if the maxima of the pivot's block do not, all lists go on behind that block.
+    The lists stand in order of their current items. The pivot is the first list up to which the terms' maxima
+    in the block reach the threshold: no earlier item can, so lists before it go on to the pivot's item, which
+    is scored once they all stand there.
     """
-    most = index.block_max[:, terms].max(axis=0)
-    cursor = [[int(index.postings[t][0][0]), 0, t, float(m)] for t, m in zip(terms.tolist(), most.tolist())]  # item, place, term, maximum
+    cursor = [[block.postings[t][0][0], 0, t, block.most[t]] for t in terms if t in block.most]  # item, place, term, maximum
+    if sum(c[3] for c in cursor) < threshold:
+        return []
     found = []
     while cursor:
         cursor.sort()
@@ -123,26 +139,19 @@ def block_max_wand(index: Index, terms: np.ndarray, threshold: float) -> list[tu
         if pivot < 0:
             break
         item = cursor[pivot][0]
-        while pivot + 1 < len(cursor) and cursor[pivot + 1][0] == item:
-            pivot += 1
-        block = item // index.width
-        if float(index.block_max[block, [c[2] for c in cursor[: pivot + 1]]].sum()) < threshold:
-            # no item of this block that only these lists hold can reach it; the next list's item may
-            onward = (block + 1) * index.width
-            if pivot + 1 < len(cursor):
-                onward = min(onward, cursor[pivot + 1][0])
-            target, moved = max(onward, item + 1), cursor[: pivot + 1]
-        elif cursor[0][0] == item:
-            score = sum(float(index.postings[c[2]][1][c[1]]) for c in cursor[: pivot + 1])
+        if cursor[0][0] == item:
+            here = [c for c in cursor if c[0] == item]
+            score = sum(block.postings[c[2]][1][c[1]] for c in here)
             if score >= threshold:
                 found.append((item, score))
-            target, moved = item + 1, cursor[: pivot + 1]
+            target, moved = item + 1, here
         else:
             target, moved = item, [c for c in cursor[:pivot] if c[0] < item]
         for c in moved:
-            docs = index.postings[c[2]][0]
-            c[1] += int(np.searchsorted(docs[c[1] :], target))
-            c[0] = int(docs[c[1]]) if c[1] < len(docs) else -1
+            items = block.postings[c[2]][0]
+            while c[1] < len(items) and items[c[1]] < target:
+                c[1] += 1
+            c[0] = items[c[1]] if c[1] < len(items) else -1
         cursor = [c for c in cursor if c[0] >= 0]
     return found
 
@@ -151,35 +160,33 @@ def search(index: Index, text: bytes, threshold: float, overlap: float, shingle:
     """(item, score, question overlap, answer overlap) of every item that a whole text contains; each once,
     from the passage with the highest question, then answer overlap."""
     tokens = words(text)
-    n, oov, stride = len(tokens), len(index.term), index.stride
-    if not n:
-        return []
+    n, oov = len(tokens), len(index.term)
     get = index.term.get
     ids = np.array([get(t, oov) for t in tokens], np.int32)
-    starts = np.arange(0, n, stride)
-    hit = np.zeros(len(starts), bool)
     rare = np.flatnonzero((ids != oov) & ~index.common[ids])
-    for maxima in index.block_max:
-        shared = float(maxima[:-1][index.common[:-1]].sum())
-        part = np.bincount(rare // stride, maxima[ids[rare]], len(starts))
-        part[:-1] += part[1:]
-        hit |= part + shared >= threshold
-    best: dict[int, tuple] = {}
-    for p in np.flatnonzero(hit).tolist():
-        begin, end = p * stride, min(n, (p + 2) * stride)
-        terms = np.unique(ids[begin:end])
-        found = block_max_wand(index, terms[terms != oov], threshold)
-        if found:
-            own, joined = set(_shingles(tokens[begin:end], shingle)), b" ".join((b"", *tokens[begin:end], b""))
-            for item, score in found:
-                got = (*(_overlap(part[item], own, joined if index.lengths[item] < shingle else b"") for part in (index.question, index.answer)), score)
-                if min(got[:2]) >= overlap and got > best.get(item, (-1.0,)):
-                    best[item] = got
+    if not len(rare):  # an index whose terms are all common has no common terms, see contaminated()
+        return []
+    rare_ids, best = ids[rare], {}
+    for stride, blocks, maxima, shared in index.groups:
+        place = rare // stride
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        bound = np.zeros((len(blocks), n // stride + 1), np.float32)
+        bound[:, place[first]] = np.add.reduceat(maxima[:, rare_ids], first, axis=1)
+        bound[:, :-1] += bound[:, 1:].copy()
+        for row, p in np.argwhere(bound + shared[:, None] >= threshold).tolist():
+            begin, end = p * stride, min(n, (p + 2) * stride)
+            found = block_max_wand(index.blocks[blocks[row]], list(set(ids[begin:end].tolist())), threshold)
+            if found:
+                own, joined = set(_shingles(tokens[begin:end], shingle)), b" ".join((b"", *tokens[begin:end], b""))
+                for item, score in found:
+                    got = (*(_overlap(part[item], own, joined if index.lengths[item] < shingle else b"") for part in (index.question, index.answer)), score)
+                    if min(got[:2]) >= overlap and got > best.get(item, (-1.0,)):
+                        best[item] = got
     return [(index.ids[k], s, q, a) for k, (q, a, s) in best.items()]
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, width: int = 16, block_items: int = 20_000, text: str = "text"
+    docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, width: int = 4, block_items: int = 20_000, text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each test item in a document.
 
@@ -202,6 +209,8 @@ def contaminated(
             total, held = total + len(got), held + 1
     idf = {t: math.log(1 + (held - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
     common = {t for t, f in frequency.items() if f > held / 4} if held >= 16 else set()
+    if any(q or a for _, q, a in rows if not set(words(q) + words(a)) - common):
+        common = set()  # an item of common terms only needs their places
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).where("doc_id is not null")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
