@@ -39,7 +39,7 @@ def logistic(x: Column) -> Column:
 
 def erf(x: Column) -> Column:
     """Abramowitz and Stegun 7.1.26, to 1.5e-7."""
-    t = 1 / (1 + 0.3275911 * F.abs(x))
+    t = 1 / (1 + F.abs(x) * 0.3275911)
     poly = reduce(lambda acc, c: acc * t + c, [-1.453152027, 1.421413741, -0.284496736, 0.254829592], F.lit(1.061405429))
     y = 1 - poly * t * F.exp(-x * x)
     return F.when(x < 0, -y).otherwise(y)
@@ -88,18 +88,22 @@ def implied_total(total: Column, spread: Column, home: Column) -> Column:
     return total / 2 - F.when(home == 1, spread / 2).otherwise(-spread / 2)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it; else each use repeats x's whole expression."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def multiply32(a: Column, c: int) -> Column:
     """a * c modulo 2**32 for a below 2**32, in two halves, so that no product passes 63 bits."""
     low, high = c & 0xFFFF, c >> 16
-    return (a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
+    return let(a, lambda v: (v * low + F.shiftleft((v * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK)))
 
 
 def mix32(x: Column) -> Column:
     """The finaliser of MurmurHash3, its fixed shifts and factors."""
-    x = x.bitwiseAND(F.lit(MASK))
-    x = multiply32(x.bitwiseXOR(F.shiftrightunsigned(x, 16)), 0x85EBCA6B)
-    x = multiply32(x.bitwiseXOR(F.shiftrightunsigned(x, 13)), 0xC2B2AE35)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+    folded = lambda a, n: let(a, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
+    x = multiply32(folded(x.bitwiseAND(F.lit(MASK)), 16), 0x85EBCA6B)
+    return folded(multiply32(folded(x, 13), 0xC2B2AE35), 16)
 
 
 def keyed_draw(seed: Column, trial: Column, period: Column, entity: Column, purpose: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, temporal
+from . import modeling, relational, temporal, writes
 
-MODULES = [temporal, relational]
+MODULES = [temporal, relational, modeling, writes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
