@@ -19,6 +19,8 @@ BLOCK = 1 << 20
 GAP = re.compile(rb"[ \t-\r]")
 #: Rows of one block key that a task compares at once; larger keys are dealt out as pairs of slices.
 SLICE = 4096
+#: Up to so many large block keys (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_LARGE = 1 << 18
 
 
 def _tokens(text: bytes):
@@ -177,7 +179,9 @@ def near_links(nodes: DataFrame, radius: int, parts: int, match: int, words: int
     keyed = nodes.where("node is not null").select("node", *prints, F.explode(F.array(*block_keys(words, parts, match))).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > SLICE)
     large = written(large.select("key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices")), "large-blocks")
-    if not large.isEmpty():
+    many = large.count()
+    if many:
+        large = F.broadcast(large) if many <= MOST_LARGE else large
         slice_of = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
         keyed = keyed.join(large, "key", "left").withColumn("own", F.coalesce(slice_of, F.lit(0)))
         keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))))
