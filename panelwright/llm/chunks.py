@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_bytes, written
+from .shared import text_bytes
 
 #: Gear table: 256 odd-looking 32-bit values from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -124,13 +124,19 @@ def repeated_spans(
     extra columns are ignored. Digests have 64 bits: a run needs several chunks in a row, so a chance
     collision can lengthen a run by a chunk but not make one.
     """
-    chunks = written(chunk_table(docs, rate, least, most, text), "chunks")
-    ids = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    shared = ids.where("first_doc < last_doc").select("digest", "first_doc")
-    found = chunks.join(shared, "digest").where("first_doc < doc_id").select("doc_id", "first", "end", "first_doc")
+    if most >= 1 << 20:
+        raise ValueError("a chunk has fewer than 2**20 words")
+    chunks = chunk_table(docs, rate, least, most, text)
+    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
+    # a chunk's place and words go through the shuffle as one long; chunks are cut twice rather than kept on disk
+    place = F.shiftleft(F.col("first").cast("long"), 20).bitwiseOR((F.col("end") - F.col("first")).cast("long"))
+    placed = chunks.select("digest", "doc_id", place.alias("place"))
+    found = placed.join(first, "digest").where("first_doc < doc_id")
+    at = F.shiftright("place", 20)
+    found = found.select("doc_id", at.cast("int").alias("first"), (at + F.col("place").bitwiseAND((1 << 20) - 1)).cast("int").alias("end"), "first_doc")
     place = Window.partitionBy("doc_id").orderBy("first", "end")
     run = F.sum(F.when(F.col("first") <= F.col("before"), 0).otherwise(1)).over(place)
-    runs = found.distinct().withColumn("before", F.lag("end").over(place)).withColumn("run", run)
+    runs = found.withColumn("before", F.lag("end").over(place)).withColumn("run", run)
     spans = runs.groupBy("doc_id", "run").agg(
         F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
     )
