@@ -160,7 +160,8 @@ def cut_repeats(docs: DataFrame, **how) -> DataFrame:
     without such spans are passed on as they are.
     """
     spans = repeated_spans(docs, **how).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    spans = spans.withColumnRenamed("doc_id", "__doc").hint("shuffle_hash")  # grow with the documents: never broadcast, no sort of texts
+    joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 
     def run(batches):
         for batch in batches:

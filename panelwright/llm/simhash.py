@@ -237,7 +237,8 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     found = simhash_components(docs, **how)
     kept = found.where("doc_id = component_id").groupBy("doc_id").count()
     kept = written(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    ids = kept.select("doc_id").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
+    out = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
     return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 
 
