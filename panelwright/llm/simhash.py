@@ -1,4 +1,5 @@
-"""Near-duplicates by SimHash: pigeonhole blocks, a join on blocks, then the Hamming distance."""
+"""Near-duplicates by SimHash: pigeonhole blocks, a join on blocks, then the Hamming distance; and by the
+similarity of shingle sets: MinHash bands, a join on bands, then the sets themselves."""
 
 from __future__ import annotations
 
@@ -232,16 +233,113 @@ def simhash_components(
     return own.join(nodes, prints, "left").select("doc_id", *prints, "component_id")
 
 
+#: Constants of the MinHash functions.
+ODD = np.random.default_rng(SEED).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted hashes of a text's different shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A long for each band of MinHashes of a set: sets agree in a band with probability similarity ** rows.
+    Empty sets agree in all."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(own), 2048):
+            least = np.minimum(least, np.multiply.outer(ODD[: bands * rows], own[at : at + 2048]).min(axis=1))
+        mixed = (_mixed(least, 1).reshape(bands, rows) * ODD[-rows:]).sum(axis=1, dtype=np.uint64)
+        return _mixed(mixed + np.arange(bands, dtype=np.uint64) * ODD[0], 2).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def text_node() -> Column:
+    """A long for each different text of __text, its bytes."""
+    return F.xxhash64("__text")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of pairs(u, v) whose texts(node, __text) have that similarity or more."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "own"])
+
+    def alike(batches):
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            near = [jaccard(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("shuffle_hash")
+    own = texts.join(named, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, own binary")
+    own = written(own, "shingle-sets")
+    met = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
+    met = met.join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
+    return written(met.mapInArrow(alike, "u long, v long"), "alike")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5, text: str = "text") -> DataFrame:
+    """(doc_id, node, component): node is the text's, component the same for texts that are linked.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles, by 64-bit hashes, is at least
+    `similarity`. Candidates share a band of MinHashes: a pair of similarity s is none with probability
+    (1 - s ** rows) ** bands, whatever the texts' lengths. Each is settled by its two sets: first every text
+    of a band with the band's smallest node, then all pairs of a band that the links found so far leave in
+    different components. So a large group of copies costs as many comparisons as it has texts, and no
+    candidate is skipped. Texts without a word are alike; null ids take no part.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            keys = [band_keys(s, bands, rows) for s in sets]
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("__text")).where("doc_id is not null")
+    source = source.select("doc_id", text_node().alias("node"), "__text")
+    own = written(source.mapInArrow(run, "doc_id long, node long, n long, keys array<long>"), "signatures")
+    keyed = own.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = written(keyed.join(leaders.hint("shuffle_hash"), "key"), "bands")
+    fit = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-6"
+    sizes = own.select("node", "n").distinct()
+    stars = shared.where("node <> leader").select("node", "leader", "n").distinct().alias("a")
+    stars = stars.join(sizes.alias("b"), F.expr("a.leader = b.node")).where(fit)
+    stars = written(stars.select(F.col("a.node").alias("u"), F.col("a.leader").alias("v")), "stars")
+    texts = source.select("node", "__text")
+    links = _verified(stars, texts, shingle, similarity)
+    label = connected_components(links)
+    apart = shared.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    apart = written(apart.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "apart")
+    pairs = apart.alias("a").join(apart.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {fit}"))
+    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    tried = stars.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u"))
+    pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    label = connected_components(links.unionByName(_verified(pairs, texts, shingle, similarity)))
+    return own.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+
+
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component; of rows with one doc_id, one stays."""
-    found = simhash_components(docs, **how)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = written(kept, "kept")
-    ids = kept.select("doc_id").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
+    """The documents whose doc_id is the smallest of their near_copies; of rows with one doc_id, one stays."""
+    found = written(near_copies(docs, **how), "near-copies")
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ids = written(kept, "kept").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
     out = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    repeated = found.join(ids, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
 
 
-#: Near copies on shingles of five words with a Jaccard similarity of 0.8 or more differ in 15 % of the bits at
-#: most on average; 192 bits and a radius of 33 (17 %) tell them from those below 0.75.
-FIVE_WORDS = {"shingle": 5, "words": 3, "radius": 33, "parts": 8, "match": 2}
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more. Of pairs at exactly 0.8 seven
+#: in a million share no band.
+FIVE_WORDS = {"shingle": 5, "similarity": 0.8, "bands": 30, "rows": 5}

@@ -108,3 +108,35 @@ def test_chains_settle(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")
     assert {r.component for r in connected_components(edges).collect()} == {0}
+
+
+def test_copies_are_those_of_similarity_at_least_four_fifths(docs_of):
+    def text(k, n, changed):
+        return " ".join(f"x{i}" if i >= n - changed else f"k{k}w{i}" for i in range(n))
+
+    texts, linked = [], []
+    for k in range(60):  # 4 of 5 shingles; 36 of 44 and 34 of 46 if the last 4 and 6 of 44 words differ
+        for one, other, alike in ((text(k, 9, 0), text(k, 8, 0), True), (text(f"{k}a", 44, 0), text(f"{k}a", 44, 4), True), (text(f"{k}b", 44, 0), text(f"{k}b", 44, 6), False)):
+            texts += [one, other]
+            linked.append(alike)
+    kept = {r.doc_id for r in keep_one_of_each(docs_of(*enumerate(texts)), **FIVE_WORDS).collect()}
+    assert kept == {2 * i for i in range(len(linked))} | {2 * i + 1 for i, alike in enumerate(linked) if not alike}
+
+
+def test_components_equal_all_pairs_of_sets(docs_of):
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(12):
+        words = [f"k{k}w{i}" for i in range(60)]
+        for _ in range(8):  # drifts away, so that chains form
+            words = [f"v{int(rng.integers(1 << 30))}" if rng.random() < 0.012 else w for w in words]
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = {r.doc_id for r in keep_one_of_each(docs_of(*enumerate(texts)), **FIVE_WORDS).collect()}
+    assert kept == set(root) and 12 < len(kept) < len(texts)
