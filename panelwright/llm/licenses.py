@@ -26,8 +26,8 @@ class Rule:
     pattern: str
 
 
-#: Families of licenses: label, a pattern of the name, a word that the name always has. Written by hand; each
-#: gives the rules of _family_rules.
+#: Families of licenses: label, a pattern of the name, a word that the name always has; a name whose forms share
+#: no word has a line for each. Written by hand; each gives the rules of _family_rules.
 FAMILIES = (
     ("apache", r"apache(?: software)? license", "apache"),
     ("mit", r"mit(?: x11)? license", "mit"),
@@ -61,8 +61,10 @@ FAMILIES = (
     ("openssl", r"openssl license", "openssl"),
     ("ofl", r"(?:sil )?open font license", "font"),
     ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "public"),
-    ("cc0", r"(?:cc0|creative commons zero|cc zero)", "cc0"),
+    ("wtfpl", r"wtfpl", "wtfpl"),
+    ("wtfpl", r"do what the fuck you want to public license", "public"),
+    ("cc0", r"cc0", "cc0"),
+    ("cc0", r"(?:creative commons zero|cc zero)", "zero"),
     ("cc-by", r"creative commons attribution(?: \d)?", "attribution"),
     ("cc-by-sa", r"creative commons attribution share ?alike", "attribution"),
     ("cc-by-nc", r"creative commons attribution non ?commercial", "attribution"),
@@ -85,11 +87,13 @@ FAMILIES = (
     ("ecl", r"educational community license", "educational"),
     ("w3c", r"w3c software(?: notice and)? license", "w3c"),
     ("vim", r"vim license", "vim"),
-    ("openrail", r"open ?rail(?: m| s)?(?: license)?", "openrail"),
+    ("openrail", r"openrail(?: m| s)?(?: license)?", "openrail"),
+    ("openrail", r"open rail(?: m| s)?(?: license)?", "rail"),
     ("llama", r"llama(?: \d)? community license", "llama"),
     ("gemma", r"gemma terms of use", "gemma"),
     ("json", r"json license", "json"),
-    ("beerware", r"beer ?ware license", "beerware"),
+    ("beerware", r"beerware license", "beerware"),
+    ("beerware", r"beer ware license", "ware"),
     ("intel", r"intel open source license", "intel"),
     ("sun", r"sun public license", "sun"),
     ("sleepycat", r"sleepycat license", "sleepycat"),
@@ -135,11 +139,17 @@ TEXTS = (
     ("copyright", "copyright", 30, r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
     ("copyright", "copyright", 30, r"copyright by"),
     ("cc-by", "attribution", 40, r"attribution(?: [1-4] [05])? international"),
-    ("non-commercial", "commercial", 45, r"(?:for )?(?:non ?commercial|personal) use only"),
-    ("trademark", "trademark", 30, r"(?:registered )?trademarks? of"),
-    ("gpl", "gpl", 40, r"(?:under the )?gpl(?: ?v?[123])?(?: (?:or later|only))?"),
-    ("lgpl", "lgpl", 42, r"(?:under the )?lgpl(?: ?v?[23])?(?: [01])?"),
-    ("agpl", "agpl", 42, r"(?:under the )?agpl(?: ?v?3)?"),
+    ("non-commercial", "commercial", 45, r"(?:for )?non commercial use only"),
+    ("non-commercial", "noncommercial", 45, r"(?:for )?noncommercial use only"),
+    ("non-commercial", "personal", 45, r"(?:for )?personal use only"),
+    ("trademark", "trademark", 30, r"(?:registered )?trademark of"),
+    ("trademark", "trademarks", 30, r"(?:registered )?trademarks of"),
+    ("gpl", "gpl", 40, r"(?:under the )?gpl(?: v?[123])?(?: (?:or later|only))?"),
+    *(("gpl", f"gpl{v}", 40, rf"(?:under the )?gpl{v}(?: (?:or later|only))?") for v in ("1", "2", "3", "v1", "v2", "v3")),
+    ("lgpl", "lgpl", 42, r"(?:under the )?lgpl(?: v?[23])?(?: [01])?"),
+    *(("lgpl", f"lgpl{v}", 42, rf"(?:under the )?lgpl{v}(?: [01])?") for v in ("2", "3", "v2", "v3")),
+    ("agpl", "agpl", 42, r"(?:under the )?agpl(?: v?3)?"),
+    *(("agpl", f"agpl{v}", 42, rf"(?:under the )?agpl{v}") for v in ("3", "v3")),
 )
 
 

@@ -1,5 +1,7 @@
 """License scans against plain searches, and suppression by priority and containment."""
 
+import itertools
+import math
 import re
 
 from panelwright.llm.licenses import BASE, Rule, Scanner, license_scan, rules, scan
@@ -58,3 +60,49 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(r.score == 0 and r.n_words == 0 for r in rows if r.doc_id in (1, 6, 8))
     assert license_scan(no_docs).collect() == []
+
+
+def forms(pattern, most=3000):
+    """Strings for the alternatives of a pattern: all combinations, or each alternative once if they are many."""
+    parser = re._parser
+
+    def of(items):
+        parts = [one(op, arg) for op, arg in items]
+        if math.prod(map(len, parts)) <= most:
+            return ["".join(x) for x in itertools.product(*parts)]
+        return ["".join(p[i % len(p)] for p in parts) for i in range(max(map(len, parts)))]
+
+    def one(op, arg):
+        name = str(op)
+        if name == "LITERAL":
+            return [chr(arg)]
+        if name == "BRANCH":
+            return [x for branch in arg[1] for x in of(branch)]
+        if name == "SUBPATTERN":
+            return of(arg[3])
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, many, inner = arg
+            return [x * n for n in sorted({least, min(many, max(1, least))}) for x in (of(inner) if n else [""])]
+        if name == "IN":
+            return [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1) if str(o) == "RANGE" else [ord("7")])][:10]
+        raise AssertionError(name)
+
+    return of(parser.parse(pattern))
+
+
+def test_every_form_of_a_pattern_has_the_keyword():
+    for rule in rules():
+        for form in forms(rule.pattern):
+            assert re.fullmatch(rule.pattern, form) and rule.keyword in re.sub("[^a-z0-9]", " ", form).split(), (rule, form)
+
+
+def test_forms_written_as_one_word_or_two_are_found():
+    scanner = Scanner()
+    for text, label in (
+        ("released under the GPLv3", "gpl"), ("gpl2 or later", "gpl"), ("GPL v1 only", "gpl"), ("LGPLv2.1", "lgpl"), ("lgpl 3", "lgpl"), ("AGPLv3", "agpl"), ("agpl3", "agpl"),
+        ("WTFPL", "wtfpl"), ("do what the fuck you want to public license", "wtfpl"), ("CC0", "cc0"), ("Creative Commons Zero", "cc0"), ("CC Zero", "cc0"),
+        ("open rail m license", "openrail"), ("OpenRAIL-M", "openrail"), ("beer-ware license", "beerware"), ("Beerware License", "beerware"),
+        ("for personal use only", "non-commercial"), ("noncommercial use only", "non-commercial"), ("non-commercial use only", "non-commercial"),
+        ("registered trademarks of X", "trademark"), ("a trademark of X", "trademark"),
+    ):
+        assert label in scan(text.encode(), scanner)["labels"].split(","), text
