@@ -3,6 +3,8 @@ links between hosts. DataFrame operations only."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,15 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return counted.unionByName(family).unionByName(back).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, rounds: int = 12, least_change: float = 1e-3) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, rounds: int | None = None, least_change: float = 1e-9) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of seeds(host, trust, distrust) over edges.
 
     Trust follows edges in shares of a source's weight, distrust goes back along them in shares of a target's.
-    Each round leaves 1 - damping at the seeds; rounds end when the total change is under least_change, or
-    after `rounds`, when what is missing is under damping ** rounds. Each round's state, a row for each host
-    reached, is written to the shared folder.
+    Each round leaves 1 - damping at the seeds; rounds end when the total change is under least_change, and
+    the total error is then under least_change * damping / (1 - damping). The change of a round is at most
+    damping times that of the one before; if it has not settled when it must have, that is an error. Given
+    `rounds`, so many are the most, and what is missing then is under 2 * damping ** rounds. Each round's
+    state, a row for each host reached, is written to the shared folder.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("target").agg(F.sum("weight").alias("all_in"))
@@ -85,7 +89,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, rounds: int
     if steps.isEmpty() or seeds.isEmpty():
         return seeds
     stay = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    for _ in range(rounds):
+    all_seeds = seeds.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
+    settled = max(1, math.ceil(math.log(max(1.0, 2 * all_seeds / least_change)) / -math.log(damping)) + 2) if rounds is None else rounds
+    for _ in range(settled):
         moved = steps.join(now, "host").select(F.col("to").alias("host"), (F.col("forward") * F.col("trust") * damping).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
         new = written(moved.unionByName(stay).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "trust")
         both = new.unionByName(now.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
@@ -93,15 +99,18 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, rounds: int
         now = new
         if (change or 0.0) < least_change:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust did not settle in {settled} rounds")
     return now
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, seed_share: float = 0.5, block_at: float = 1.0, **how) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, seed_share: float = 0.5, block_at: float = 1.0, damping: float = 0.7, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of each row of pages(page_id, url, html).
 
     The longest fitting rule decides. Else the host does: hosts of whose pages at least seed_share are allowed
     (blocked) by rules are the seeds of trust (distrust), which spreads over the host graph; trust and distrust
-    are in units of the mean over all hosts. A host is blocked if its distrust is at least block_at and above
+    are in units of the mean over all hosts, to within block_at / 10,000. A host is blocked if its distrust is at least block_at and above
     its trust. Null urls and such without a host have empty host and path and are allowed; null html has no
     links; repeated rows and null page_ids are judged each; extra columns are ignored; an empty table gives no
     rows.
@@ -113,7 +122,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, seed_share: float = 0.5, blo
     seeds = hosts.select("host", (F.col("allowed") >= seed_share).cast("double").alias("trust"), (F.col("blocked") >= seed_share).cast("double").alias("distrust"))
     n, trusted, blocked = seeds.agg(F.count("*"), F.sum("trust"), F.sum("distrust")).first()
     even = seeds.where("trust > 0 or distrust > 0").select("host", (F.col("trust") / max(1.0, trusted or 0.0)).alias("trust"), (F.col("distrust") / max(1.0, blocked or 0.0)).alias("distrust"))
-    state = spread(host_edges(pages, hosts.select("host")), even, **how)
+    error = 1e-4 * block_at / max(1, n)  # of a host's share of the mass, before it is scaled
+    state = spread(host_edges(pages, hosts.select("host")), even, damping, **{"least_change": error * (1 - damping) / damping, **how})
     scaled = state.select("host", (F.col("trust") * n).alias("trust"), (F.col("distrust") * n).alias("distrust"))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when((distrust >= block_at) & (distrust > trust), "block").otherwise("allow")

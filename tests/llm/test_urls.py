@@ -67,3 +67,12 @@ def test_odd_rows(spark):
     got = filter_urls(spark.createDataFrame(rows, schema), rule_table(spark)).collect()
     assert len(got) == len(rows) and all(r.verdict == "allow" for r in got if r.host == "")
     assert filter_urls(spark.createDataFrame([], schema), rule_table(spark)).collect() == []
+
+
+def test_distrust_reaches_far_hosts_at_its_exact_size(spark):
+    n, far = 2000, 15
+    rows = [(0, "http://bad.net/es/", "")] + [(i, f"http://h{i}.org/", f"<a href=http://{f'h{i - 1}.org/' if i > 1 else 'bad.net/es/'}>x</a>" if i <= far else "") for i in range(1, n)]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rule_table(spark)).collect()}
+    for hop in range(1, far + 1):
+        assert abs(got[hop].distrust - 0.3 * 0.7**hop * n) < 1e-4 and got[hop].verdict == "block"
+    assert got[far + 1].verdict == "allow"
