@@ -12,167 +12,271 @@ from pyspark.sql import functions as F
 from .shared import written
 
 LEAF = 128
-#: Components of this size or more have no exact score in float64; vectors that have one take no part.
-LARGEST = float(1 << 22)
+#: Below it the sums of products of whole numbers are exact in a double, in any order.
+EXACT = 2.0**52
+LARGEST = float(np.finfo(np.float64).max)
+LONG = (1 << 63) - 1
 
 
 def vectors(table: DataFrame, scale: int = 256, column: str = "embedding") -> DataFrame:
-    """(vec_id, v array<int>): floor(scale * x) of each component; shorter vectors are filled up with zeros.
+    """(vec_id, v array<double>): floor(scale * x) of each component, a whole number of any size; shorter vectors
+    are filled up with zeros. A product beyond the doubles counts as the largest double.
 
-    Rows with a null vec_id or vector, or with a component that is null, not finite or LARGEST or more in
-    size after scaling, are left out.
+    Rows with a null vec_id or vector, or with a component that is null or not finite, are left out; no other
+    row is.
     """
-    scaled = F.transform(F.col(column), lambda x: F.lit(float(scale)) * x.cast("double"))
-    fit = F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(LARGEST), F.lit(False)) & ~F.isnan(x))
-    found = table.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).where("vec_id is not null and v is not null").where(fit)
-    found = found.select("vec_id", F.transform("v", lambda x: F.floor(x).cast("int")).alias("v"))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+    wide = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col(column), lambda x: x.cast("double")).alias("v"))
+    wide = wide.where("vec_id is not null and v is not null").where(F.forall("v", finite))
+    product = lambda x: F.least(F.lit(LARGEST), F.greatest(F.lit(-LARGEST), F.lit(float(scale)) * x))
+    below = lambda y: F.rint(y) - (F.rint(y) > y).cast("double")  # noqa: E731  floor without a cast to long
+    found = wide.select("vec_id", F.transform(F.transform("v", product), below).alias("v"))
     dims = found.agg(F.max(F.size("v"))).first()[0] or 0
-    short = F.concat("v", F.array_repeat(F.lit(0), F.lit(dims) - F.size("v")))
+    short = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))
     return found.select("vec_id", F.when(F.size("v") < dims, short).otherwise(F.col("v")).alias("v"))
 
 
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    flat = np.asarray(column.flatten())
-    return flat.reshape(rows, -1) if rows else np.zeros((0, 0), np.int32)
+def _rows(flat: np.ndarray, n: int) -> np.ndarray:
+    return flat.reshape(n, len(flat) // max(1, n))
+
+
+def exact_score(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product of two vectors of whole numbers, as a whole number of any size."""
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((x**2).sum(axis=1))
 
 
 class BallTree:
-    """Nodes are ranges of rows; a node's rows lie within its radius of its centre."""
+    """Nodes are ranges of rows; a node's rows lie within its radius of its centre. All of it is arrays, so that a
+    tree is built where its shard is packed and only read where it is searched."""
+
+    PARTS = ("ids", "x", "shape", "centre", "radius", "far")
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, self.start, self.end, self.left, self.right = np.arange(len(ids)), [], [], [], []
-        self._split(order, x, 0, len(ids))
-        self.ids, self.x = ids[order], x[order].astype(np.float64)
-        self.centre = np.array([self.x[a:b].mean(axis=0) for a, b in zip(self.start, self.end)])
-        self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(axis=1).max()) for a, b, c in zip(self.start, self.end, self.centre)])
-
-    def _split(self, order: np.ndarray, x: np.ndarray, a: int, b: int) -> int:
-        node = len(self.start)
-        for column, value in ((self.start, a), (self.end, b), (self.left, -1), (self.right, -1)):
-            column.append(value)
+        order, shape = np.arange(len(ids)), []
+        self._split(order, x, 0, len(ids), shape)
+        self.ids, self.x = ids[order].astype(np.int64), x[order].astype(np.float64)
+        self.shape = np.array(shape, np.int32)  # start, end, left, right of each node
+        spans = [self.x[a:b] for a, b in self.shape[:, :2].tolist()]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.centre = np.array([s.mean(axis=0) for s in spans])
+            self.radius = np.array([_lengths(s - c).max() for s, c in zip(spans, self.centre)])
+            self.far = np.array([_lengths(s).max() for s in spans])
+
+    @staticmethod
+    def _split(order: np.ndarray, x: np.ndarray, a: int, b: int, shape: list) -> int:
+        node = len(shape)
+        shape.append([a, b, -1, -1])
         if b - a > LEAF:
             own = x[order[a:b]]
-            spread = own.max(axis=0).astype(np.int64) - own.min(axis=0)
+            with np.errstate(over="ignore"):
+                spread = own.max(axis=0) - own.min(axis=0)
             if spread.size and spread.max() > 0:
                 order[a:b] = order[a:b][np.argsort(own[:, int(spread.argmax())], kind="stable")]
             middle = (a + b) // 2
-            self.left[node] = self._split(order, x, a, middle)
-            self.right[node] = self._split(order, x, middle, b)
+            shape[node][2] = BallTree._split(order, x, a, middle, shape)
+            shape[node][3] = BallTree._split(order, x, middle, b, shape)
         return node
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[float, int]]]:
+    def packed(self) -> list[bytes]:
+        return [getattr(self, part).tobytes() for part in self.PARTS]
+
+    @classmethod
+    def unpacked(cls, ids: bytes, x: bytes, shape: bytes, centre: bytes, radius: bytes, far: bytes) -> BallTree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.shape = np.frombuffer(ids, np.int64), np.frombuffer(shape, np.int32).reshape(-1, 4)
+        tree.radius, tree.far = np.frombuffer(radius), np.frombuffer(far)
+        tree.x, tree.centre = _rows(np.frombuffer(x), len(tree.ids)), _rows(np.frombuffer(centre), len(tree.radius))
+        return tree
+
+    def bounds(self, q: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For each query and node a number that no row's score passes: q . centre + |q| * radius and what rounding
+        can have taken from it; infinite where doubles end."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = q @ self.centre.T + np.outer(length, self.radius)
+            bound += (q.shape[1] + 8) * 2.0**-50 * np.outer(length, self.far + 2 * self.radius) + 1e-6
+        return np.nan_to_num(bound, nan=np.inf, posinf=np.inf, neginf=np.inf)
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: list) -> list[list[tuple[int, int]]]:
         """For each query up to k (-score, id), best first, among rows of other ids that score its floor or more.
 
-        Nodes are opened in order of their bound q . centre + |q| * radius until it is below the k-th score.
-        floor is raised to the k-th score of a query that has k.
+        Nodes are opened in order of their bound until it is below the k-th score. A leaf is scored in doubles;
+        where its products pass EXACT, the rows that may reach the k-th score are scored anew in whole numbers
+        of any size, so no score is rounded. floor is raised to the k-th score of a query that has k.
         """
-        q = queries.astype(np.float64)
-        length = np.sqrt((q**2).sum(axis=1))
-        bound = q @ self.centre.T + np.outer(length, self.radius)
-        bound += 1e-9 * (np.abs(bound) + 1) + 1e-6
+        length = _lengths(q)
+        bound, nodes = self.bounds(q, length), self.shape.tolist()
         out = []
         for i in range(len(q)):
-            own_bound, best, least = bound[i], [], float(floor[i])
+            own_bound, best, least = bound[i].tolist(), [], floor[i]
             heap = [(-own_bound[0], 0)]
             while heap:
                 top, node = heapq.heappop(heap)
                 if -top < least:
                     break
-                left = self.left[node]
+                a, b, left, right = nodes[node]
                 if left >= 0:
-                    for child in (left, self.right[node]):
+                    for child in (left, right):
                         if own_bound[child] >= least:
                             heapq.heappush(heap, (-own_bound[child], child))
                     continue
-                a, b = self.start[node], self.end[node]
-                score = self.x[a:b] @ q[i]
-                near = np.flatnonzero(score >= least)
-                if len(near):
-                    best += [(-s, d) for s, d in zip(score[near].tolist(), self.ids[a:b][near].tolist()) if d != own[i]]
-                    if len(best) >= k:
-                        best = heapq.nsmallest(k, best)
-                        least = max(least, -best[-1][0])
+                for s, d in self._leaf(q[i], length[i], node, a, b, least):
+                    if d != own[i]:
+                        best.append((-s, d))
+                if len(best) >= k:
+                    best = heapq.nsmallest(k, best)
+                    least = max(least, -best[-1][0])
             out.append(heapq.nsmallest(k, best))
             floor[i] = least
         return out
 
+    def _leaf(self, q: np.ndarray, length: float, node: int, a: int, b: int, least) -> list[tuple[int, int]]:
+        """(score, id) of a leaf's rows that score at least `least`."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            score, size = self.x[a:b] @ q, length * self.far[node]
+            rough = float(max(-LARGEST, min(LARGEST, least)))
+            sure = size < EXACT
+            near = np.flatnonzero(~(score < (rough if sure else rough - (len(q) + 8) * 2.0**-50 * (size + abs(rough)))))
+        if sure:
+            return list(zip(score[near].astype(np.int64).tolist(), self.ids[a:b][near].tolist()))
+        exact = [(exact_score(self.x[a + r], q), int(self.ids[a + r])) for r in near.tolist()]
+        return [(s, d) for s, d in exact if s >= least]
+
+
+TREE = ", ".join(f"{part} binary" for part in BallTree.PARTS)
+
+
+def _batches(batches, rows: int):
+    """(ids, vectors) of so many rows each, however Arrow cuts them."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows - n)
+            at, n = at + some.num_rows, n + some.num_rows
+            held.append((np.asarray(some.column(0)), _rows(np.asarray(some.column(1).flatten()), some.num_rows)))
+            if n == rows:
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                held, n = [], 0
+    if n:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def _binary(*values: bytes, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=names)
 
-def _packed(found: DataFrame, rows: int, sample: object, k: int) -> DataFrame:
-    """Rows (part, ids, x, floor) of up to so many vectors; floor: the k-th score of each in the sample, if given."""
+
+def _shards(found: DataFrame, rows: int) -> DataFrame:
+    """A ball tree for every `rows` vectors, built once, in the task that has them."""
 
     def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                some = batch.slice(at, rows)
-                held.append((np.asarray(some.column(0)), _matrix(some.column(1), some.num_rows)))
-                n += some.num_rows
-                if n >= rows:
-                    yield pack(held)
-                    held, n = [], 0
-        if n:
-            yield pack(held)
-
-    def pack(held):
-        ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.int32)
-        floor = np.full(len(ids), -np.inf)
-        if sample is not None:
-            known, tree = sample.value
-            if known:
+        for ids, x in _batches(batches, rows):
+            yield _binary(*BallTree(ids, x).packed(), names=list(BallTree.PARTS))
+
+    return found.mapInArrow(run, TREE)
+
+
+def _blocks(found: DataFrame, rows: int, sample, k: int) -> DataFrame:
+    """(ids, x, floor) of up to `rows` queries; floor: the k-th score of each in the sample, as text."""
+
+    def run(batches):
+        tree = sample.value
+        for ids, x in _batches(batches, rows):
+            floor = [float("-inf")] * len(ids)
+            if tree is not None:
                 tree.search(x, ids, k, floor)
-        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype(np.int64), x, floor)], names=["ids", "x", "floor"])
+            yield _binary(ids.astype(np.int64).tobytes(), x.tobytes(), " ".join(map(str, floor)).encode(), names=["ids", "x", "floor"])
+
+    return found.mapInArrow(run, "ids binary, x binary, floor binary")
 
-    return found.mapInArrow(run, "ids binary, x binary, floor binary").withColumn("part", F.monotonically_increasing_id())
 
+def _floors(text: bytes) -> list:
+    return [float(s) if "inf" in s else int(s) for s in text.decode().split()]
 
-def _numbered(packed: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """packed with parts numbered from 0, and how many there are."""
-    packed = written(packed, name)
-    numbers = packed.select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias(name))
-    return packed.join(numbers, "part").drop("part"), packed.count()
+
+def _beyond(score: int) -> str:
+    """Orders scores of one long, which only those beyond 63 bits share, as text."""
+    if -LONG - 1 <= score <= LONG:
+        return "~" if score < 0 else ""
+    digits = str(abs(score))
+    return f"{len(digits):04d}{digits}" if score > 0 else f"{9999 - len(digits):04d}" + "".join(str(9 - int(c)) for c in digits)
+
+
+def _grouped(packed: DataFrame, name: str, most: int) -> tuple[DataFrame, int]:
+    """packed, written, with its rows numbered and dealt in groups of up to `most`, fewer where there would be fewer
+    groups than cores; and how many groups there are."""
+    packed = written(packed.withColumn("part", F.monotonically_increasing_id()), name)
+    numbers = packed.select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("n"))  # a number for some thousand vectors
+    rows = packed.count()
+    size = max(1, min(most, rows // packed.sparkSession.sparkContext.defaultParallelism))
+    return packed.join(numbers, "part").withColumn(name, F.floor(F.col("n") / size).cast("int")).drop("part", "n"), -(-rows // size)
 
 
 def top_k(
-    candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, sample_rows: int = 4096
+    candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, sample_rows: int = 4096, group: int = 16
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product for each query, ties to
     the smaller vec_id; fewer if there are fewer. A candidate with the query's own vec_id is left out.
 
     candidates and queries are tables of vectors(). Candidates are packed in shards of at most shard_rows
-    vectors wherever they lie, queries in blocks of at most block_rows, and every block meets every shard
-    once, so a task holds a shard and a block however large either table is. A query starts from its k-th
-    score in a broadcast sample of at most sample_rows candidates and takes the current k-th score along from
-    shard to shard of its task. Repeated queries of one vec_id count once, repeated candidates each. Empty
-    tables give no rows.
+    vectors wherever they lie, each with its tree; queries in blocks of at most block_rows. `group` shards and
+    `group` blocks meet in one task, which keeps the trees and passes each block through them, so that a shard
+    is sent once for every `group` blocks and a task holds that many trees however large either table is. A
+    query starts from its k-th score in a broadcast sample of at most sample_rows candidates, which all tasks
+    share, and takes the current k-th score along from tree to tree of its task.
+
+    Scores are exact whatever the components' size. One that passes 63 bits takes its place by its exact value
+    and is given as the nearest long. Queries that repeat a row count once; with one vec_id and different vectors
+    each is searched, and the id has the best k of them all. Repeated candidates count each. Empty tables give
+    no rows.
     """
     spark = candidates.sparkSession
     first = candidates.limit(sample_rows).toPandas()  # sample_rows rows at most
-    tree = BallTree(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy()).astype(np.int32)) if len(first) else None
-    sample = spark.sparkContext.broadcast((tree is not None, tree))
-    shards, n = _numbered(_packed(candidates, shard_rows, None, k), "shard")
-    blocks, _ = _numbered(_packed(queries.dropDuplicates(["vec_id"]), block_rows, sample, k), "block")
-    schema = "query_id long, vec_id long, score long"
-    if not n:
+    tree = BallTree(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy())) if len(first) else None
+    if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    met = blocks.select("block", F.col("ids").alias("query_ids"), F.col("x").alias("query_x"), "floor", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
-    pairs = met.join(shards.select("shard", "ids", "x"), "shard").drop("shard")
+    sample = spark.sparkContext.broadcast(tree)
+    shards, n_shards = _grouped(_shards(candidates, shard_rows), "shards", group)
+    blocks, n_blocks = _grouped(_blocks(queries.dropDuplicates(), block_rows, sample, k), "blocks", group)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if not n_blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    trees = shards.select("shards", each(n_blocks).alias("blocks"), F.lit(0).alias("kind"), *BallTree.PARTS, F.lit(None).cast("binary").alias("floor"))
+    asked = blocks.select(each(n_shards).alias("shards"), "blocks", F.lit(1).alias("kind"), "ids", "x", *(F.lit(None).cast("binary").alias(c) for c in BallTree.PARTS[2:]), "floor")
+    tasks = min(n_shards * n_blocks, 64 * spark.sparkContext.defaultParallelism)
+    met = trees.unionByName(asked).repartition(tasks, "shards", "blocks").sortWithinPartitions("shards", "blocks", "kind")
 
     def run(batches):
-        floors: dict[int, np.ndarray] = {}
+        here, trees = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                block, query_ids, query_x, floor, ids, x = (batch.column(c)[row].as_py() for c in range(6))
-                own = np.frombuffer(query_ids, np.int64)
-                got = floors.pop(block) if block in floors else np.frombuffer(floor).copy()
-                floors[block] = got
-                if len(floors) > 64:
-                    floors.pop(next(iter(floors)))
-                other = np.frombuffer(ids, np.int64)
-                found = BallTree(other, np.frombuffer(x, np.int32).reshape(len(other), -1)).search(np.frombuffer(query_x, np.int32).reshape(len(own), -1), own, k, got)
-                flat = [(int(i), d, int(-s)) for i, best in zip(own, found) for s, d in best]
-                if flat:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("block", "query_ids", "query_x", "floor", "ids", "x").mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                pair, kind = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py()), batch.column(2)[row].as_py()
+                parts = [batch.column(c)[row].as_py() for c in range(3, batch.num_columns)]
+                if pair != here:
+                    here, trees = pair, []
+                if kind == 0:
+                    trees.append(BallTree.unpacked(*parts[:-1]))
+                elif trees:
+                    yield from answers(np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1]), _floors(parts[-1]), trees)
+
+    def answers(ids, x, floor, trees):
+        x = _rows(x, len(ids))
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for tree in trees:
+            for i, found in enumerate(tree.search(x, ids, k, floor)):
+                if found:
+                    best[i] = heapq.nsmallest(k, best[i] + found)
+                    if len(best[i]) == k:
+                        floor[i] = max(floor[i], -best[i][-1][0])
+        flat = [(int(i), d, max(-LONG - 1, min(LONG, -s)), _beyond(-s)) for i, own in zip(ids, best) for s, d in own]
+        if flat:
+            columns = list(zip(*flat))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["query_id", "vec_id", "score", "beyond"])
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long, beyond string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 """Exact top-k against all inner products."""
 
 import numpy as np
+import pytest
 from panelwright.llm.balltree import BallTree, top_k, vectors
 
 
@@ -13,6 +14,50 @@ def table(spark, ids, x):
     return spark.createDataFrame([(int(i), [float(c) / 256 for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
 
 
+def whole_numbers(ids, x, queries, k):
+    """As plain, in Python's whole numbers."""
+    out = set()
+    for q in queries:
+        found = sorted((-sum(int(a) * int(b) for a, b in zip(x[j], x[q])), int(ids[j])) for j in range(len(ids)) if ids[j] != ids[q])
+        out |= {(int(ids[q]), r + 1, d, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, d) in enumerate(found[:k])}
+    return out
+
+
+@pytest.mark.parametrize("size", [16384.0, 2.0**22, 1e5, 1e9, 2.0**33, 1e18, 1e200])
+def test_components_of_any_size_are_scored_exactly(spark, size):
+    rng = np.random.default_rng(int(np.log2(size)))
+    x = np.floor(rng.uniform(-1, 1, (320, 5)) * size * 256)
+    x[::3] = rng.integers(-300, 300, (len(x[::3]), 5))  # of mixed sizes
+    x[100:110] = x[50]
+    x[7] = x[8] = -x[50]
+    found = vectors(table(spark, range(320), x))
+    assert {r.vec_id: list(r.v) for r in found.collect()} == {i: list(v) for i, v in enumerate(x)}
+    got = [tuple(r) for r in top_k(found, found.where("vec_id % 50 = 0"), shard_rows=64, block_rows=3, sample_rows=20).collect()]
+    assert len(got) == 35 and set(got) == whole_numbers(range(320), x, range(0, 320, 50), 5)
+
+
+def test_one_large_vector_hides_no_other(spark):
+    found = vectors(spark.createDataFrame([(0, [20000.0, 1.0]), (1, [1.0, 1.0]), (50, [16384.0, 0.0]), (2, [3.0, 4.0]), (3, [1e308, -1e308])], "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.rank): r.vec_id for r in top_k(found, found.where("vec_id % 50 = 0")).collect()}
+    assert got == {(0, 1): 3, (0, 2): 50, (0, 3): 2, (0, 4): 1, (50, 1): 3, (50, 2): 0, (50, 3): 2, (50, 4): 1}
+
+
+def test_a_shard_has_one_tree():
+    """Trees go to the search as they were packed."""
+    x = np.random.default_rng(3).integers(-40, 40, (500, 4)).astype(float)
+    tree = BallTree(np.arange(500), x)
+    again = BallTree.unpacked(*tree.packed())
+    assert all(np.array_equal(getattr(tree, part), getattr(again, part)) for part in BallTree.PARTS)
+
+
+def test_queries_of_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0])]
+    found = vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = [(r["rank"], r.vec_id, r.score) for r in top_k(found, found.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(1, 2, 7), (2, 1, 5), (3, 1, 0), (4, 2, 0)]
+    assert top_k(*[vectors(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>"))] * 2).count() == 2
+
+
 def test_equals_all_products_with_ties_and_shards(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(-40, 40, (900, 6))
@@ -25,8 +70,8 @@ def test_equals_all_products_with_ties_and_shards(spark):
 
 def test_tree_opens_few_leaves_when_vectors_cluster():
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(0, 1, (256, 8)) + c for c in rng.normal(0, 300, (40, 8))]).astype(np.int32)
-    tree, floor = BallTree(np.arange(len(x)), x), np.full(10, -np.inf)
+    x = np.floor(np.concatenate([rng.normal(0, 1, (256, 8)) + c for c in rng.normal(0, 300, (40, 8))]))
+    tree, floor = BallTree(np.arange(len(x)), x), [float("-inf")] * 10
     found = tree.search(x[:10], np.arange(10), 5, floor)
     for i, best in enumerate(found):
         score = x.astype(np.int64) @ x[i].astype(np.int64)
