@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import text_bytes, text_key
 
 #: Gear table: 256 odd-looking 32-bit values from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -18,6 +18,8 @@ WINDOW_STEPS = (1, 2, 4, 8)  # doubling steps: the hash covers the last 16 bytes
 WORD = re.compile(rb"[^ \t-\r]+")
 BLOCK = 1 << 22
 GAP = re.compile(rb"[ \t-\r]")
+#: Bits of a run's number of words in its place.
+PLACE = 20
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -80,67 +82,102 @@ def chunk_words(text: bytes, rate: float, least: int, most: int):
             break
 
 
-def chunk_table(docs: DataFrame, rate: float = 0.3, least: int = 3, most: int = 12, text: str = "text") -> DataFrame:
-    """(doc_id, digest, first, end): the chunks of each whole text, in words. A chunk ends after a word where
-    the gear hash of the last 16 bytes is below rate * 2**32, but has from least to most words."""
+def run_digests(digests: list[int], edges: list[int], min_words: int):
+    """(digest, first, end) of the shortest run of chunks from each on that has min_words, as far as there is one,
+    and of the shortest one that ends with the text.
+
+    edges are the chunks' first words and, last, the end. A run's digest is that of its chunks' digests in
+    order; so equal ones are the same words in a row.
+    """
+    n, packed, at = len(digests), np.array(digests, np.uint64).tobytes(), np.array(edges)
+    reach, last = np.searchsorted(at, at[:n] + min_words).tolist(), int(np.searchsorted(at, at[-1] - min_words, "right")) - 1
+    runs = [(first, end) for first, end in enumerate(reach) if end <= n]
+    if last >= 0 and reach[last : last + 1] != [n]:
+        runs.append((last, n))
+    for first, end in runs:
+        yield xxhash.xxh64_intdigest(packed[8 * first : 8 * end]), first, end
+
+
+def run_table(docs: DataFrame, rate: float, least: int, most: int, min_words: int, text: str = "text", places: bool = True) -> DataFrame:
+    """(digest, doc_id, key, place, again): the runs of at least min_words words of each whole text, chunk by chunk.
+
+    A chunk ends after a word where the gear hash of the last 16 bytes is below rate * 2**32, but has from least
+    to most words. place holds a run's first word and, in its last PLACE bits, how many it has; again is true
+    where the same run stands in the same text before, without sharing a word with it. Without places, a row
+    (digest, doc_id) for each different run of a text.
+    """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            doc, dig, one, end = [], [], [], []
-            for i, t in zip(ids, batch.column(1).to_pylist()):
-                for d, a, b in chunk_words(t, rate, least, most):
-                    doc.append(i)
-                    dig.append(d)
-                    one.append(a)
-                    end.append(b)
-                if len(doc) > 200_000:
-                    yield out(doc, dig, one, end)
-                    doc, dig, one, end = [], [], [], []
-            if doc:
-                yield out(doc, dig, one, end)
-
-    def out(doc, dig, one, end):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(np.array(dig, np.uint64).view(np.int64)), pa.array(one, pa.int32()), pa.array(end, pa.int32())],
-            names=["doc_id", "digest", "first", "end"],
-        )
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, digest long, first int, end int")
+            rows: list[tuple] = []
+            for i, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                chunks = list(chunk_words(t, rate, least, most))
+                edges, seen = [c[1] for c in chunks] + [chunks[-1][2] if chunks else 0], {}
+                for digest, first, last in run_digests([c[0] for c in chunks], edges, min_words):
+                    begin, end = edges[first], edges[last]
+                    if places:
+                        rows.append((digest, i, key, begin << PLACE | end - begin, seen.setdefault(digest, end) <= begin))
+                    elif digest not in seen:
+                        seen[digest] = end
+                        rows.append((digest, i))
+                if len(rows) > 100_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    def out(rows):
+        digest, *rest = zip(*rows)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        columns = [pa.array(np.array(digest, np.uint64).view(np.int64)), *(pa.array(c, k) for c, k in zip(rest, kinds))]
+        return pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "key", "place", "again"][: len(columns)])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text_bytes(text).alias("text"))
+    return source.mapInArrow(run, "digest long, doc_id long" + (", key long, place long, again boolean" if places else ""))
+
+
+def keyed_spans(docs: DataFrame, rate: float, least: int, most: int, min_words: int, text: str = "text") -> DataFrame:
+    """As repeated_spans, with the key of the text."""
+    if most + min_words >= 1 << PLACE:
+        raise ValueError(f"a run has fewer than 2**{PLACE} words")
+    runs = run_table(docs, rate, least, most, min_words, text)
+    # texts are cut twice rather than kept on disk; the first place of a run goes through the shuffle as two longs
+    once = run_table(docs, rate, least, most, min_words, text, places=False)
+    first = once.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    inside = runs.where("again").select("doc_id", "key", "place", F.col("doc_id").alias("first_doc"))
+    met = runs.where("not again").select("digest", "doc_id", "key", "place").join(first, "digest")
+    found = met.where("first_doc < doc_id or (doc_id is null and first_doc is not null)").select("doc_id", "key", "place", "first_doc").unionByName(inside)
+    begin = F.shiftright("place", PLACE)
+    found = found.select("doc_id", "key", begin.cast("int").alias("first"), (begin + F.col("place").bitwiseAND((1 << PLACE) - 1)).cast("int").alias("end"), "first_doc")
+    place = Window.partitionBy("doc_id", "key").orderBy("first", "end")
+    before = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.when(F.col("first") <= F.col("before"), 0).otherwise(1)).over(place)
+    spans = found.withColumn("before", before).withColumn("run", number).groupBy("doc_id", "key", "run").agg(
+        F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
+    )
+    return spans.select("doc_id", "key", "first_word", "end_word", "first_docs")
 
 
 def repeated_spans(
     docs: DataFrame, rate: float = 0.3, least: int = 3, most: int = 12, min_words: int = 20, text: str = "text"
 ) -> DataFrame:
-    """(doc_id, first_word, end_word, first_docs): runs of chunks that an earlier document (one with a smaller
-    doc_id) has as well, in words of the text from 0, end excluded; first_docs are the documents with the
-    smallest doc_id for each of the run's chunks.
-
-    A run shorter than min_words is left alone, so that a shared line or phrase is no finding. A passage is
-    found up to the chunk that its either end falls in, wherever it stands, as chunks depend on the 16 bytes
-    before their ends only. The smallest doc_id keeps a passage; repeats inside one document stay. Null and
-    empty texts have no chunks, null doc_ids take no part, repeated rows (one doc_id) are one document, and
-    extra columns are ignored. Digests have 64 bits: a run needs several chunks in a row, so a chance
-    collision can lengthen a run by a chunk but not make one.
+    """(doc_id, first_word, end_word, first_docs): what of each text stands elsewhere before it, in words of the
+    text from 0, end excluded; first_docs are the documents in which it does.
+
+    Texts are cut into content-defined chunks, and the runs of chunks that have min_words words, one from each
+    chunk on, are deduplicated by digest. Of a run that several documents have, the smallest doc_id keeps it;
+    of a run that one text has several times, the first place stays. So each word of a span lies in a run of at
+    least min_words words that stands in a row at one other place, in a document of first_docs; runs that
+    overlap or touch make a span, and passages are never put together from shorter pieces. A passage is found
+    up to the chunk that its either end falls in, wherever it stands, as chunks depend on the 16 bytes before
+    their ends only.
+
+    Null and empty texts have no chunks. Rows that share a doc_id are one document: what they have in common
+    stays, and each has its own spans. A text without a doc_id comes after all others; what only such texts
+    share stays. Repeated rows have the same spans, given once. Extra columns are ignored, an empty table gives
+    no rows. Digests have 64 bits: of n different runs about n**2 / 2**65 are taken for another.
     """
-    if most >= 1 << 20:
-        raise ValueError("a chunk has fewer than 2**20 words")
-    chunks = chunk_table(docs, rate, least, most, text)
-    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
-    # a chunk's place and words go through the shuffle as one long; chunks are cut twice rather than kept on disk
-    place = F.shiftleft(F.col("first").cast("long"), 20).bitwiseOR((F.col("end") - F.col("first")).cast("long"))
-    placed = chunks.select("digest", "doc_id", place.alias("place"))
-    found = placed.join(first, "digest").where("first_doc < doc_id")
-    at = F.shiftright("place", 20)
-    found = found.select("doc_id", at.cast("int").alias("first"), (at + F.col("place").bitwiseAND((1 << 20) - 1)).cast("int").alias("end"), "first_doc")
-    place = Window.partitionBy("doc_id").orderBy("first", "end")
-    run = F.sum(F.when(F.col("first") <= F.col("before"), 0).otherwise(1)).over(place)
-    runs = found.withColumn("before", F.lag("end").over(place)).withColumn("run", run)
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
-    )
-    return spans.where(F.col("end_word") - F.col("first_word") >= min_words).select("doc_id", "first_word", "end_word", "first_docs")
+    return keyed_spans(docs, rate, least, most, min_words, text).drop("key").distinct()
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -153,15 +190,17 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def cut_repeats(docs: DataFrame, **how) -> DataFrame:
-    """docs with the text of each document less its repeated spans and n_chars, if there, counted anew.
+def cut_repeats(docs: DataFrame, rate: float = 0.3, least: int = 3, most: int = 12, min_words: int = 20) -> DataFrame:
+    """docs with the text of each document less its repeated_spans and n_chars, if there, counted anew.
 
-    A document that loses all its words goes; every other stays, in its order of columns. Documents
-    without such spans are passed on as they are.
+    A document that loses all its words goes; every other row stays, with its columns in their order, also rows
+    without an id or a text and repeated rows. Texts without such spans are passed on as they are. Columns
+    other than text and n_chars are not read; they may have any name.
     """
-    spans = repeated_spans(docs, **how).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans"))
-    spans = spans.withColumnRenamed("doc_id", "__doc").hint("shuffle_hash")  # grow with the documents: never broadcast, no sort of texts
-    joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    spans = keyed_spans(docs, rate, least, most, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "__spans").hint("shuffle_hash")  # grow with the documents: never broadcast, no sort of texts
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key"))
+    joined = docs.join(spans, same, "left").drop("__doc", "__key")
 
     def run(batches):
         for batch in batches:

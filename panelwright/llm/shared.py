@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) one under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests, on one machine) one under
+    the warehouse. A cluster without that setting is an error, as its warehouse may be a local folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(where)
@@ -33,17 +36,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_bytes(column: str | Column = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column.cast("string").cast("binary"), F.lit(b""))
 
 
+def text_key(column: str | Column = "text") -> Column:
+    """A long that tells rows which share a doc_id, or have none, apart by their text."""
+    return F.xxhash64(text_bytes(column))
+
+
 def words(text: bytes) -> list[bytes]:
     """Words of A-Z-lower-cased text: runs of ASCII letters, digits and non-ASCII characters."""
     return text.lower().translate(WORD_BYTES).split()
