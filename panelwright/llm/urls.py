@@ -4,14 +4,25 @@ links between hosts. DataFrame operations only."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import written
 
+#: A host with more than a thousandth of all pages is hot: there are fewer than a thousand of them.
+HOT = 1000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
+HREF = r"""(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|textarea|xmp)\b.*?</\1\s*>"
+#: Characters that a host's entities may stand for.
+ENTITIES = ((r"(?i)&(?:amp|#38|#x26);?", "&"), (r"(?i)&(?:sol|#0*47|#x0*2f);?", "/"), (r"(?i)&(?:colon|#0*58|#x0*3a);?", ":"), (r"(?i)&(?:period|#0*46|#x0*2e);?", "."))
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+#: Rounds of the spread between two written tables.
+CHAINED = 8
 
 #: The rules of the query: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -36,6 +47,18 @@ def _parents(host: Column) -> Column:
     )
 
 
+def with_host(rows: DataFrame, by_host: DataFrame, total: int) -> DataFrame:
+    """rows left-joined with by_host(host, pages, ...), a row a host, whose pages add up to total.
+
+    Rows of hot hosts meet theirs by a broadcast of at most HOT rows, so that none of them is a task's load;
+    the others by a shuffle.
+    """
+    hot = F.broadcast(by_host.where(F.col("pages") * HOT > total))
+    many = rows.join(hot, "host")
+    few = rows.join(hot.select("host"), "host", "left_anti").join(by_host, "host", "left")
+    return many.unionByName(few).drop("pages")
+
+
 def judged_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, rule_verdict): the longest rule (host and path) that fits each url, or nulls.
 
@@ -44,88 +67,96 @@ def judged_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     host, path = host_and_path(F.col("url").cast("string"))
     own = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    above = own.groupBy("host").count().select("host", F.explode(_parents(F.col("host"))).alias("rule_host"))
+    counted = written(own.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
+    above = counted.select("host", "pages", F.explode_outer(_parents(F.col("host"))).alias("rule_host"))
     rule = F.concat("rule_host", "rule_path")
     fitting = F.struct(F.length(rule).alias("size"), F.length("rule_host").alias("host_size"), rule.alias("rule"), "rule_verdict", "rule_path")
-    by_host = above.join(rules, "rule_host").groupBy("host").agg(F.collect_set(fitting).alias("fitting"))
+    fitting = F.when(F.col("rule_path").isNotNull(), fitting)
+    by_host = written(above.join(rules, "rule_host", "left").groupBy("host", "pages").agg(F.collect_set(fitting).alias("fitting")), "host-rules")
+    total = counted.agg(F.sum("pages")).first()[0] or 0
     best = F.array_max(F.filter("fitting", lambda r: F.startswith(F.col("path"), r["rule_path"])))
-    found = own.join(by_host, "host", "left").withColumn("best", best)
+    found = with_host(own, by_host, total).withColumn("best", best)
     return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
 
 
+def domain(host: Column) -> Column:
+    """The last two labels of a host, three where these are like co.uk; null for a single label or an address."""
+    labels = F.split(host, r"\.")
+    short = F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.element_at(labels, -2).rlike("^(?:co|com|net|org|ac|gov|edu|or|ne|go)$")
+    n = F.when(short, 3).otherwise(2)
+    return F.when((F.size(labels) >= n) & ~host.rlike(r"^[0-9.:]*$") & ~F.array_contains(labels, ""), F.array_join(F.slice(labels, -n, n), "."))
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(source, target, weight): links between different hosts, counted, from the anchors of html; and an edge
-    of weight 1 each way between a host and the nearest domain above it that is a host as well."""
+    """(source, target, weight): links between different hosts, counted, from the anchors of html that are no
+    comment's; and an edge each way between every one of hosts(host, pages) and its domain, which is a node
+    whether it was crawled or not, by the host's pages. So hosts of one domain are two steps apart.
+
+    Relative links stay on the host, or lead to that of the page's <base href>.
+    """
     source, _ = host_and_path(F.col("url").cast("string"))
-    link = F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(HREF), F.lit(1)))
-    links = pages.select(source.alias("source"), link.alias("link"))
-    links = links.select("source", F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("x:"), "link")).otherwise(F.col("link")).alias("link"))
-    target, _ = host_and_path(F.col("link"))
-    counted = links.select("source", target.alias("target")).where("source <> '' and target <> '' and source <> target")
+    seen = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), UNSEEN, " ")
+    plain = lambda c: reduce(lambda c, e: F.regexp_replace(c, e[0], e[1]), ENTITIES, c)
+    target = lambda c: F.when(c.rlike(ABSOLUTE), host_and_path(F.regexp_replace(c, "^//", "x://"))[0])
+    read = pages.select(source.alias("source"), seen.alias("seen")).where(F.col("source") != "")
+    read = read.select("source", target(plain(F.regexp_extract("seen", BASE, 1))).alias("base"), F.explode(F.regexp_extract_all("seen", F.lit(HREF), F.lit(1))).alias("link"))
+    counted = read.select("source", F.coalesce(target(plain(F.col("link"))), "base").alias("target")).where("target <> '' and source <> target")
     counted = counted.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
-    above = hosts.where("host <> ''").select("host", F.posexplode(_parents(F.col("host"))).alias("up", "parent")).where("up > 0")
-    nearest = above.join(hosts.select(F.col("host").alias("parent")), "parent").groupBy("host").agg(F.min_by("parent", "up").alias("parent"))
-    family = nearest.select(F.col("host").alias("source"), F.col("parent").alias("target"), F.lit(1.0).alias("weight"))
+    family = hosts.select(F.col("host").alias("source"), domain(F.col("host")).alias("target"), F.col("pages").cast("double").alias("weight")).where("source <> target")
     back = family.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     return counted.unionByName(family).unionByName(back).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, rounds: int | None = None, least_change: float = 1e-9) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, error: float = 1e-9, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of seeds(host, trust, distrust) over edges.
 
     Trust follows edges in shares of a source's weight, distrust goes back along them in shares of a target's.
-    Each round leaves 1 - damping at the seeds; rounds end when the total change is under least_change, and
-    the total error is then under least_change * damping / (1 - damping). The change of a round is at most
-    damping times that of the one before; if it has not settled when it must have, that is an error. Given
-    `rounds`, so many are the most, and what is missing then is under 2 * damping ** rounds. Each round's
-    state, a row for each host reached, is written to the shared folder.
+    A round leaves 1 - damping at the seeds. What is missing after r rounds is at most 2 * damping ** r of the
+    seeds' sum, so there are as many rounds as bring it under `error`, whatever the graph, unless `rounds` are
+    given. Each round is a join and a sum, combined before its shuffle; the state, a row for each host reached,
+    is written to the shared folder every CHAINED rounds.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("target").agg(F.sum("weight").alias("all_in"))
     forward = edges.join(out, "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("weight") / F.col("all_out")).alias("forward"), F.lit(0.0).alias("back"))
     backward = edges.join(into, "target").select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(0.0).alias("forward"), (F.col("weight") / F.col("all_in")).alias("back"))
-    steps = written(forward.unionByName(backward), "host-steps")
-    now = seeds = written(seeds, "seeds")
-    if steps.isEmpty() or seeds.isEmpty():
-        return seeds
+    steps = forward.unionByName(backward).groupBy("host", "to").agg(F.sum("forward").alias("forward"), F.sum("back").alias("back"))
+    steps, seeds = written(steps, "host-steps"), written(seeds, "seeds")
+    mass = seeds.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
+    if rounds is None:
+        rounds = math.ceil(math.log(max(1.0, 2 * mass / error)) / -math.log(damping))
     stay = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    all_seeds = seeds.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
-    settled = max(1, math.ceil(math.log(max(1.0, 2 * all_seeds / least_change)) / -math.log(damping)) + 2) if rounds is None else rounds
-    for _ in range(settled):
+    now = seeds
+    for r in range(rounds):
         moved = steps.join(now, "host").select(F.col("to").alias("host"), (F.col("forward") * F.col("trust") * damping).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
-        new = written(moved.unionByName(stay).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "trust")
-        both = new.unionByName(now.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
-        change = both.groupBy("host").agg(F.abs(F.sum("trust")).alias("t"), F.abs(F.sum("distrust")).alias("d")).agg(F.sum("t") + F.sum("d")).first()[0]
-        now = new
-        if (change or 0.0) < least_change:
-            break
-    else:
-        if rounds is None:
-            raise RuntimeError(f"trust did not settle in {settled} rounds")
+        now = moved.unionByName(stay).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if (r + 1) % CHAINED == 0 or r + 1 == rounds:
+            now = written(now, "trust")
     return now
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, seed_share: float = 0.5, block_at: float = 1.0, damping: float = 0.7, **how) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, block_at: float = 0.5, damping: float = 0.7, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of each row of pages(page_id, url, html).
 
-    The longest fitting rule decides. Else the host does: hosts of whose pages at least seed_share are allowed
-    (blocked) by rules are the seeds of trust (distrust), which spreads over the host graph; trust and distrust
-    are in units of the mean over all hosts, to within block_at / 10,000. A host is blocked if its distrust is at least block_at and above
-    its trust. Null urls and such without a host have empty host and path and are allowed; null html has no
-    links; repeated rows and null page_ids are judged each; extra columns are ignored; an empty table gives no
-    rows.
+    The longest fitting rule decides. Else the host does: a host is a seed of trust (distrust) by the share of
+    its pages that rules allow (block), and both spread over the graph of host_edges; they are in units of the
+    mean over all hosts, to within block_at / 10,000. A host is blocked if its distrust is at least block_at
+    and above its trust. Null urls and such without a host have empty host and path and are allowed; null html
+    has no links; repeated rows and null page_ids are judged each; extra columns are ignored; an empty table
+    gives no rows.
     """
     judged = written(judged_by_rules(pages, rules), "judged")
     share = lambda verdict: F.avg((F.coalesce("rule_verdict", F.lit("")) == verdict).cast("double"))
-    hosts = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
+    hosts = judged.groupBy("host").agg(F.count("*").alias("pages"), share("allow").alias("trust"), share("block").alias("distrust"))
     hosts = written(hosts, "hosts")
-    seeds = hosts.select("host", (F.col("allowed") >= seed_share).cast("double").alias("trust"), (F.col("blocked") >= seed_share).cast("double").alias("distrust"))
-    n, trusted, blocked = seeds.agg(F.count("*"), F.sum("trust"), F.sum("distrust")).first()
-    even = seeds.where("trust > 0 or distrust > 0").select("host", (F.col("trust") / max(1.0, trusted or 0.0)).alias("trust"), (F.col("distrust") / max(1.0, blocked or 0.0)).alias("distrust"))
-    error = 1e-4 * block_at / max(1, n)  # of a host's share of the mass, before it is scaled
-    state = spread(host_edges(pages, hosts.select("host")), even, damping, **{"least_change": error * (1 - damping) / damping, **how})
+    total = hosts.agg(F.sum("pages")).first()[0] or 0
+    named = hosts.where("host <> ''")
+    n, trusted, blocked = named.agg(F.count("*"), F.sum("trust"), F.sum("distrust")).first()
+    even = named.where("trust > 0 or distrust > 0").select("host", (F.col("trust") / (trusted or 1.0)).alias("trust"), (F.col("distrust") / (blocked or 1.0)).alias("distrust"))
+    state = spread(host_edges(pages, named), even, damping, **{"error": 1e-4 * block_at / max(1, n), **how})
     scaled = state.select("host", (F.col("trust") * n).alias("trust"), (F.col("distrust") * n).alias("distrust"))
+    by_host = written(hosts.select("host", "pages").join(scaled, "host", "left"), "host-trust")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when((distrust >= block_at) & (distrust > trust), "block").otherwise("allow")
-    found = judged.join(scaled, "host", "left")
+    found = with_host(judged, by_host, total)
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
