@@ -16,10 +16,10 @@ from .shared import text_bytes
 #: Fixed values of the HTML standard: elements by how they open, close and show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head template noscript iframe noembed noframes object svg math canvas audio video datalist map select".split())
+HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object svg math canvas audio video datalist map".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
-    "legend li main menu nav ol p pre search section summary table ul caption tbody thead tfoot tr td th".split()
+    "legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr td th".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu dir".split())
 #: A start tag of the key closes an open element of the value, unless one of SCOPE stands between.
@@ -36,7 +36,11 @@ SCOPE = {
     **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), frozenset(("table",))),
 }
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: What a declaration block says of display and visibility, a selector of a tag, classes and ids, and what style
+#: sheets hold beside rules.
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
+NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}?)", re.S)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -44,10 +48,11 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "shown", "visible", "lines")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.shown, self.visible, self.lines = True, True, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -164,16 +169,68 @@ def parse(source: str) -> Node:
     return build.root
 
 
-def _hidden(node: Node) -> bool:
-    attrs = node.attrs
-    return (
-        node.tag in HIDDEN
-        or "hidden" in attrs
-        or attrs.get("aria-hidden", "").lower() == "true"
-        or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
-        or (node.tag == "dialog" and "open" not in attrs)
-        or bool("style" in attrs and HIDING_STYLE.search(attrs["style"]))
-    )
+def _declared(block: str) -> dict[str, tuple[str, bool]]:
+    return {name.lower(): (value.lower(), bool(important)) for name, value, important in DECLARED.findall(block)}
+
+
+class _Styles:
+    """The rules of a page's style elements that set display or visibility, by selectors of a tag, classes and ids.
+    Selectors with combinators, attributes or states, and rules within @ blocks, are passed over."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: list[tuple] = []
+        for sheet in sheets:
+            for selectors, block in re.findall(r"([^{}]*)\{([^{}]*)\}", NO_RULE.sub(" ", sheet)):
+                declared = _declared(block)
+                for selector in selectors.split(",") if declared else ():
+                    fit = SIMPLE.fullmatch(selector.strip())
+                    if fit and selector.strip():
+                        names = re.findall(r"([.#])([\w-]+)", fit[2])
+                        ids, classes = ({n for kind, n in names if kind == k} for k in "#.")
+                        tag = (fit[1] or "*").lower()
+                        weight = (len(ids), len(classes), tag != "*", len(self.rules))
+                        self.rules.append((tag, ids, classes, weight, declared))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What holds for a node: the rule with the most ids, classes, tags that comes last; then its own style."""
+        best: dict[str, tuple] = {}
+        classes = set(node.attrs.get("class", "").split()) if self.rules else ()
+        for tag, ids, wanted, weight, declared in self.rules:
+            if tag in ("*", node.tag) and wanted <= classes and ids <= {node.attrs.get("id")}:
+                for name, (value, important) in declared.items():
+                    best[name] = max(best.get(name, ()), (important, 0, weight, value))
+        for name, (value, important) in _declared(node.attrs["style"]).items() if "style" in node.attrs else ():
+            best[name] = max(best.get(name, ()), (important, 1, (), value))
+        return {name: x[-1] for name, x in best.items()}
+
+
+def _nodes(root: Node):
+    work = [root]
+    while work:
+        node = work.pop()
+        yield node
+        work.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+
+def _settle_styles(root: Node) -> None:
+    """shown is false for a node that is not displayed, visible for one whose text is not seen; visibility is
+    inherited, and a child may set it anew."""
+    styles = _Styles(["".join(c for c in n.children if isinstance(c, str)) for n in _nodes(root) if n.tag == "style"])
+    work = [(root, True)]
+    while work:
+        node, visible = work.pop()
+        attrs, own = node.attrs, styles.of(node) if styles.rules or "style" in node.attrs else {}
+        node.shown = not (
+            node.tag in HIDDEN
+            or "hidden" in attrs
+            or attrs.get("aria-hidden", "").lower() == "true"
+            or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
+            or (node.tag == "dialog" and "open" not in attrs)
+            or own.get("display") == "none"
+        )
+        node.visible = own["visibility"] not in ("hidden", "collapse") if own.get("visibility", "inherit") not in ("inherit", "unset") else visible
+        if node.shown:
+            work.extend((c, node.visible) for c in node.children if isinstance(c, Node))
 
 
 def _width(text: str) -> int:
@@ -224,42 +281,43 @@ class _Lines:
         self.blank |= int(spaced)
 
 
-def _render(node: Node, out: _Lines, pre: bool, depth: int = 0) -> None:
+def _render(node: Node, out: _Lines, pre: bool) -> None:
     """Adds a node's visible text; iterative over the tree, so that deep nesting is no matter."""
-    work: list[tuple] = [(0, c, pre) for c in reversed(node.children)]
+    work: list[tuple] = [(0, c, pre, node.visible) for c in reversed(node.children)]
     numbers: list[list] = []
     while work:
-        what, item, own_pre = work.pop()
+        what, item, own_pre, visible = work.pop()
         if what == 1:
             item()
             continue
         if isinstance(item, str):
-            out.inline(item, own_pre)
+            if visible:
+                out.inline(item, own_pre)
             continue
         tag = item.tag
-        if _hidden(item):
+        if not item.shown:
             continue
         if tag == "br":
             out.break_(keep=True)
             continue
         if tag == "img":
-            out.inline(item.attrs.get("alt", ""), False)
+            out.inline(item.attrs.get("alt", "") if item.visible else "", False)
             continue
         if tag == "hr":
             out.block(True)
             continue
-        if tag == "table" and depth < MOST_DEPTH:
+        if tag == "table":
             out.block(True)
-            for line in _table(item, depth):
+            for line in item.lines:
                 out.now.append(line)
                 out.break_()
             out.block(True)
             continue
         inner_pre = own_pre or tag in ("pre", "textarea", "xmp")
         if tag not in BLOCKS:
-            if tag == "input" and item.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
+            if tag == "input" and item.visible and item.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
                 out.inline(item.attrs.get("value", ""), False)
-            work.extend((0, c, inner_pre) for c in reversed(item.children))
+            work.extend((0, c, inner_pre, item.visible) for c in reversed(item.children))
             continue
         spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and numbers)
         out.block(spaced)
@@ -278,6 +336,9 @@ def _render(node: Node, out: _Lines, pre: bool, depth: int = 0) -> None:
                 count[0] += 1
         elif tag in ("blockquote", "dd"):
             out.indent = indent + "  "
+        elif tag in ("option", "optgroup") and item.visible:
+            out.inline(item.attrs.get("label", ""), False)
+            out.break_()
 
         def close(tag=tag, spaced=spaced, indent=indent):
             out.block(spaced)
@@ -287,33 +348,33 @@ def _render(node: Node, out: _Lines, pre: bool, depth: int = 0) -> None:
             elif tag in ("ul", "ol", "menu", "dir"):
                 numbers.pop()
 
-        work.append((1, close, False))
-        work.extend((0, c, inner_pre) for c in reversed(item.children))
+        work.append((1, close, False, False))
+        work.extend((0, c, inner_pre, item.visible) for c in reversed(item.children))
     out.break_()
 
 
-MOST_DEPTH = 12
-
-
-def _table(table: Node, depth: int) -> list[str]:
+def _table(table: Node) -> list[str]:
     """A table's lines: caption, then rows with cells filled up to their column's width; cells of several lines
-    stand side by side; a cell that spans columns is followed by empty ones. Tables nested beyond MOST_DEPTH
-    are rendered as blocks, one cell a line."""
+    stand side by side; a cell that spans columns is followed by empty ones. What stands between the cells comes
+    before the rows. Tables in it have their lines already."""
     rows: list[list[list[str]]] = []
     lines: list[str] = []
     spans: dict[int, int] = {}
 
     def cell_lines(node: Node) -> list[str]:
-        inner = _Lines()
-        _render(node, inner, False, depth + 1)
+        inner, around = _Lines(), node
+        if node.tag not in ("td", "th"):
+            around = Node("div")
+            around.children.append(node)
+        _render(around, inner, False)
         return inner.lines
 
     def walk(node: Node) -> None:
         for child in node.children:
             if isinstance(child, str):
-                if child.strip():
+                if child.strip() and node.visible:
                     lines.append(SPACE.sub(" ", child).strip())
-            elif _hidden(child):
+            elif not child.shown:
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
                 walk(child)
@@ -327,7 +388,7 @@ def _table(table: Node, depth: int) -> list[str]:
 
                 for cell in child.children:
                     if isinstance(cell, str):
-                        if cell.strip():
+                        if cell.strip() and child.visible:
                             lines.append(SPACE.sub(" ", cell).strip())
                     elif cell.tag in ("td", "th"):
                         held()
@@ -335,12 +396,12 @@ def _table(table: Node, depth: int) -> list[str]:
                         for extra in range(wide):
                             if tall > 1:
                                 spans[len(row)] = tall - 1
-                            row.append(cell_lines(cell) if not extra and not _hidden(cell) else [])
-                    elif not _hidden(cell):
-                        lines.extend(cell_lines(Node("div", {}) if cell.tag in VOID else cell))
+                            row.append(cell_lines(cell) if not extra and cell.shown else [])
+                    elif cell.shown:
+                        lines.extend(cell_lines(cell))
                 held()
                 rows.append(row)
-            elif child.tag not in VOID and child.tag != "colgroup":
+            elif child.tag != "colgroup":
                 lines.extend(cell_lines(child))
 
     walk(table)
@@ -358,25 +419,20 @@ def _table(table: Node, depth: int) -> list[str]:
 
 
 def render(source: str) -> str:
-    """All visible text of a page, in lines."""
-    out = _Lines()
-    _render(parse(source), out, False)
+    """All visible text of a page, in lines. Tables are laid out from the innermost to the outermost, so that
+    their depth is no matter."""
+    root, out = parse(source), _Lines()
+    _settle_styles(root)
+    for table in reversed([n for n in _nodes(root) if n.tag == "table"]):
+        table.lines = _table(table) if table.shown else []
+    _render(root, out, False)
     return "\n".join(out.lines).strip("\n")
 
 
-def title_of(source: str) -> str:
-    work = [parse(source)]
-    while work:
-        node = work.pop()
-        if node.tag == "title":
-            return SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
-        work.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in ("svg", "math"))
-    return ""
-
-
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, text, n_lines, n_words) of each page: its visible text with blocks on lines of their own, a
-    blank line around paragraphs, headings, lists and tables, list markers, and table cells in columns.
+    blank line around paragraphs, headings, lists and tables, list markers, and table cells in columns. What
+    tags, attributes, inline styles or simple selectors of style elements hide is left out.
 
     Null and empty html has an empty text, of no lines; html of any length is read whole, and of any brokenness
     without an error; null page_ids and repeated rows are rendered each; extra columns are ignored; an empty

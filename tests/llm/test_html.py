@@ -1,9 +1,13 @@
 """HTML extraction: rendering cases by hand, and every visible word of generated pages."""
 
+import re
+from html.parser import HTMLParser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from panelwright.llm.html import extract_text, render
+from panelwright.llm.queries import QUERIES
 
 CASES = {
     "<p>one<p>two": "one\n\ntwo",
@@ -20,6 +24,17 @@ CASES = {
     "<b>x<i>y</b>z</i>": "xyz",
     "plain < text": "plain < text",
     "": "",
+    "<style>.no, p#gone {display:none} /* .yes{display:none} */ @media print{.yes{display:none}}</style><div class='a no'>no</div><p id=gone>no</p><p class=yes>yes</p>": "yes",
+    "<style>.x{display:none}.x{display:block} b.y{visibility:hidden} .far .y, a>b, [x]{display:none}</style><p class=x>one</p><b class=y>no</b><i class=y>two</i>": "one\n\ntwo",
+    "<style>.x{display:none}</style><p class=x style='display:block'>own style wins</p>": "own style wins",
+    "<style>.x{display:none!important}</style><p class=x style='display:block'>no</p>yes": "yes",
+    "<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p>": "yes",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>": "yes",
+    "pick <select name=s><option>one<option selected>two<optgroup label=more><option>three</optgroup></select> end": "pick\none\ntwo\nmore\nthree\nend",
+    "<table><tr><img alt='in a row'><td>a<td>b</tr><img alt='in a table'></table>": "in a row\nin a table\na  b",
+    "<body>seen<title>no</title></body>": "seen",
+    "<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table><tr><td>f<td>g</table>": "a  b   c\n   dd  e\nf  g",
+    "<datalist><option>no</datalist><dialog>no</dialog><dialog open>yes</dialog>": "yes",
 }
 
 
@@ -41,7 +56,61 @@ def test_broken_pages_are_no_error(source):
     assert isinstance(render(source), str)
 
 
+class Walk(HTMLParser):
+    """The words that a page shows, by another parser: no tree, only what is open."""
+
+    SKIP = {"script", "style", "head", "title", "template", "noscript", "iframe", "svg", "math", "canvas", "object", "audio", "video"}
+
+    def __init__(self, source):
+        super().__init__()
+        self.skipped, self.text = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "body" and self.skipped == ["head"]:
+            self.skipped = []
+        if self.skipped:
+            if tag in (self.skipped[-1], "head"):
+                self.skipped.append(tag)
+        elif tag in self.SKIP or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
+            if tag not in ("img", "br", "hr", "input", "meta", "link"):
+                self.skipped.append(tag)
+        elif tag == "img":
+            self.text.append(attrs.get("alt") or "")
+        self.text.append(" " if tag not in ("b", "i", "em", "strong", "a", "span", "u", "s", "code", "small", "font") else "")
+
+    def handle_endtag(self, tag):
+        if self.skipped and tag == self.skipped[-1]:
+            self.skipped.pop()
+        self.text.append(" " if tag not in ("b", "i", "em", "strong", "a", "span", "u", "s", "code", "small", "font") else "")
+
+    def handle_data(self, data):
+        self.text.append("" if self.skipped else data)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_query_equals_an_independent_walk(spark, folder):
+    """The same visible words in the same order on every page of the table, list markers and the order of cells aside."""
+    sf = f"/root/testdata/{folder}"
+    got, seen, tables = {r.page_id: r for r in QUERIES["op1_html"](spark, sf).collect()}, 0, 0
+    for page in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        html = page.html or ""
+        want, text = "".join(Walk(html).text).split(), got[page.page_id].text
+        ours = re.sub(r"(?m)^( *)(?:- |\d+\. )+", r"\1", text).split()
+        if "<table" in html.lower():
+            want, ours, tables = sorted(want), sorted(ours), tables + 1
+        assert ours == want, page.page_id
+        assert got[page.page_id].n_lines == len(text.split("\n") if text else []) and got[page.page_id].n_words == len(text.split())
+        seen += len(want)
+    print(folder, len(got), "pages,", tables, "with tables,", seen, "words")
+    assert seen > 1000
+
+
 def test_deep_nesting_is_no_error():
+    inner = "<table><tr><td>x<td>"
+    assert render(inner * 40).split() == ["x"] * 40
     assert render("<div>" * 5000 + "x") == "x" and "x" in render("<table><tr><td>" * 300 + "x")
 
 
