@@ -152,6 +152,243 @@ TEXTS = (
     *(("agpl", f"agpl{v}", 42, rf"(?:under the )?agpl{v}") for v in ("3", "v3")),
 )
 
+#: More sentences of license texts, deeds, notices and terms: label, keyword, priority and pattern. Written by hand.
+NOTICES = r"""
+mit substantial 75 the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit restriction 60 without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+mit copyright 55 in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit connection 55 arising from out of or in connection with the software or the use or other dealings in the software
+mit-0 permission 70 permission is hereby granted (?:\w+ ){0,30}to permit persons to whom the software is furnished to do so the software is provided
+x11 advertising 70 except as contained in this notice the name of (?:the )?(?:\w+ ){1,6}shall not be used in advertising
+isc permission 65 provided that the above copyright notice and this permission notice appear in all copies
+isc warranties 60 the software is provided as is and the author disclaims all warranties with regard to this software
+isc consequential 55 in no event shall the author be liable for any special direct indirect or consequential damages
+0bsd distribute 70 permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software
+bsd documentation 65 this list of conditions and the following disclaimer in the documentation and or other materials
+bsd contributors 62 neither the name of (?:the )?(?:\w+ ){1,8}nor the names of its contributors may be used
+bsd redistributions 60 redistributions of source code must retain (?:the above|this) (?:copyright notice|list)
+bsd copyright 55 in no event shall the copyright (?:holder|owner)s?(?: or contributors)? be liable
+bsd contributors 55 this software is provided by the (?:copyright holders|author|regents) and contributors as is
+bsd-4 advertising 72 all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd conditions 50 provided that the following conditions are met
+bsd interruption 55 substitute goods or services loss of use data or profits or business interruption
+zlib provided 70 this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib applications 65 permission is granted to anyone to use this software for any purpose including commercial applications
+zlib misrepresented 65 the origin of this software must not be misrepresented
+zlib distribution 60 this notice may not be removed or altered from any source distribution
+libpng distribution 65 this copyright notice may not be removed or altered from any source or altered source distribution
+boost documentation 68 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+boost executable 60 machine executable object code generated by a source language processor
+apache distributed 72 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache conditions 65 without warranties or conditions of any kind either express or implied see the license for the specific language
+apache limitations 62 see the license for the specific language governing permissions and limitations under the license
+apache licenses 60 you may obtain a copy of the license at http www apache org licenses
+apache developed 58 this product includes software developed (?:by|at) the apache (?:software foundation|group)
+apache contributor 60 contributor license agreements see the notice file distributed with this work
+apache irrevocable 60 perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license
+apache alv2 50 alv2
+gpl license 68 either version [123] of the license or (?:at your option )?any later version
+gpl received 65 you should have received a copy of the gnu general public license along with
+gpl distributed 62 this program is distributed in the hope that it will be useful but without any warranty
+gpl details 60 see the gnu general public license for more details
+gpl foundation 58 free software foundation inc (?:51 franklin|59 temple|675 mass)
+gpl redistribute 55 this program is free software you can redistribute it
+gpl redistribute 58 this is free software and you are welcome to redistribute it under certain conditions
+gpl distribute 55 everyone is permitted to copy and distribute verbatim copies of this license document
+gpl distributed 60 distributed under the terms of the gnu gpl
+gpl exception 55 linking exception
+gpl independent 52 link(?:ed|ing)? (?:with )?independent modules
+gpl classpath 55 gnu classpath exception
+gpl foundation 50 as published by the free software foundation
+gpl copyleft 45 copyleft
+lgpl received 66 you should have received a copy of the gnu (?:lesser|library) general public license along with
+lgpl details 60 see the gnu (?:lesser|library) general public license for more details
+lgpl redistribute 58 this library is free software you can redistribute it
+lgpl software 55 this license applies to any software library or other program
+agpl received 66 you should have received a copy of the gnu affero general public license along with
+agpl interaction 60 remote network interaction
+agpl interacting 58 users interacting with it remotely through a computer network
+fdl documentation 65 permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+fdl invariant 58 with no invariant sections no front cover texts and no back cover texts
+fdl gfdl 45 gfdl
+mpl distributed 65 if a copy of the mpl was not distributed with this file you can obtain one at
+mpl contents 62 the contents of this file are subject to the mozilla public license
+mpl incompatible 60 incompatible with secondary licenses
+mpl mpl 45 mpl [12] [01]
+npl netscape 60 netscape public license
+epl accompanying 65 this program and the accompanying materials are made available under the terms of the eclipse public license
+epl distribution 58 any use reproduction or distribution of the program constitutes recipient s acceptance
+epl epl 45 epl [12] 0
+cddl distribution 62 the contents of this file are subject to the terms of the common development and distribution license
+cddl cddl 45 cddl
+cpl cpl 50 cpl 1 0
+eupl licensed 60 licensed under the eupl
+eupl eupl 50 eupl v?(?: ?1 ?[012])?
+ms-pl software 60 if you use the software you accept this license if you do not accept the license do not use the software
+artistic conditions 60 the intent of this document is to state the conditions under which a package may be copied
+artistic copyright 55 the copyright holder maintains some semblance of artistic control
+perl redistribute 58 this (?:library|module|program) is free software you can redistribute it and or modify it under the same terms as perl
+python agreement 60 psf license agreement
+python available 58 psf is making python available to licensee on an as is basis
+python agreement 55 cnri open source license agreement
+ruby modifying 55 you may make your own ways of modifying the software
+php available 60 this product includes php software freely available from
+postgresql consequential 60 in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages
+openssl developed 62 this product includes software developed by the openssl project for use in the openssl toolkit
+openssl cryptographic 60 this product includes cryptographic software written by eric young
+ofl reserved 62 reserved font name
+ofl modified 60 the font software may be modified altered or added to
+ofl license 55 the goals of the open font license
+unlicense distribute 66 anyone is free to copy modify publish use compile sell or distribute this software
+unlicense jurisdictions 60 in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+wtfpl fuck 66 you just do what the fuck you want to
+beerware stuff 66 if we meet some day and you think this stuff is worth it you can buy me a beer
+json software 66 the software shall be used for good not evil
+cc0 associated 66 the person who associated a work with this deed has dedicated the work to the public domain
+cc0 copyright 62 to the extent possible under law (?:\w+ ){1,8}(?:has|have) waived all copyright and related
+cc0 copyright 55 no copyright reserved
+cc0 cc0 45 cc0 1 0
+cc-by attribution 66 this work is licensed under a creative commons attribution(?: [1-4] [05])? (?:international |unported |generic )?license
+cc-by appropriate 60 you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by creativecommons 58 creativecommons org licenses by [1-4] [05]
+cc-by licensed 40 licensed under cc by(?: [1-4] [05])?
+cc-by-sa contributions 62 if you remix transform or build upon the material you must distribute your contributions under the same license
+cc-by-sa creativecommons 60 creativecommons org licenses by sa
+cc-by-sa attribution 56 text is available under the creative commons attribution share ?alike
+cc-by-sa by 42 cc by sa
+cc-by-nc commercial 62 you may not use the material for commercial purposes
+cc-by-nc creativecommons 60 creativecommons org licenses by nc
+cc-by-nc by 42 cc by nc
+cc-by-nd distribute 62 if you remix transform or build upon the material you may not distribute the modified material
+cc-by-nd creativecommons 60 creativecommons org licenses by nd
+cc-by-nd by 42 cc by nd
+cc-pdm creativecommons 60 creativecommons org publicdomain mark
+cc0 creativecommons 60 creativecommons org publicdomain zero
+cc creative 30 creative commons licen[cs]e
+cc reserved 30 some rights reserved
+odbl opendatacommons 60 opendatacommons org licenses odbl
+odbl available 55 made available under the open database license
+pddl opendatacommons 60 opendatacommons org licenses pddl
+odc-by opendatacommons 60 opendatacommons org licenses by
+ogl government 60 open government licen[cs]e
+ogl information 58 contains public sector information licensed under
+ogl copyright 50 crown copyright
+etalab licence 60 licence ouverte
+dl-de datenlizenz 60 datenlizenz deutschland
+cdla agreement 60 community data license agreement
+os initiative 45 open source initiative
+open-access distributed 50 this is an open access article distributed under the terms
+open-access access 45 open access
+public-domain domain 58 this work is in the public domain
+public-domain government 58 works? of the (?:us|u s|united states) (?:federal )?government (?:is|are) (?:not subject to copyright|in the public domain)
+public-domain protection 56 not subject to copyright protection in the united states
+public-domain copyright 55 (?:its|the) copyright (?:term )?has expired
+public-domain restrictions 55 no known copyright restrictions
+public-domain dedicated 52 dedicated to the public domain
+bsl additional 62 additional use grant
+bsl change 58 change date
+sspl functionality 62 making the functionality of the program or modified version available to third parties as a service
+elastic software 62 you may not provide the software to third parties as a hosted or managed service
+commons-clause software 64 the license does not grant to you the right to sell the software
+polyform noncommercial 60 any noncommercial purpose is a permitted purpose
+openrail restrictions 60 use based restrictions
+openrail responsible 55 responsible ai licen[cs]e
+llama built 60 built with (?:meta )?llama
+llama materials 58 llama materials
+gemma prohibited 55 gemma prohibited use policy
+model-license derivatives 50 model derivatives
+proprietary confidential 66 this (?:document|file|software|code) contains (?:proprietary and )?confidential information
+proprietary information 62 trade secrets?(?: and confidential)? information of
+proprietary internal 62 for internal use only
+proprietary permission 60 do not (?:copy|distribute|disclose|redistribute) without (?:prior )?(?:written )?permission
+proprietary without 60 may not be (?:copied|reproduced|modified|published|transmitted|distributed|displayed|sold|used) (?:in any form |in whole or in part )?without (?:the )?(?:prior |express |written )*(?:permission|consent)
+proprietary confidential 58 strictly confidential
+proprietary agreement 58 all use is subject to the terms of the (?:license|end user) agreement
+proprietary agreement 58 end user licen[cs]e agreement
+proprietary may 56 you may not (?:reverse engineer|decompile|disassemble)
+proprietary licensed 55 this software is licensed not sold
+proprietary software 55 by (?:installing|downloading|using) (?:this|the) software you agree
+proprietary eula 52 eula
+proprietary conditions 50 subject to the terms and conditions of (?:your|the) agreement with
+proprietary unpublished 50 unpublished work
+proprietary restricted 50 restricted rights(?: legend)?
+proprietary restrictions 50 use duplication or disclosure by the (?:us |u s )?government is subject to restrictions
+no-redistribution redistribution 55 redistribution is (?:not permitted|prohibited|forbidden)
+no-redistribution for 52 not for (?:redistribution|resale|publication)
+no-derivatives derivative 48 no derivative works
+non-commercial only 55 for non ?commercial (?:purposes|use|research) only
+non-commercial commercial 55 may not be used for commercial purposes
+non-commercial commercial 52 commercial use (?:is )?(?:prohibited|forbidden|not permitted|not allowed)
+non-commercial free 50 free for (?:personal|private|non commercial|noncommercial|academic|educational) use
+non-commercial only 50 for (?:academic|educational|research|evaluation) (?:use|purposes) only
+share-alike under 45 under the same (?:or (?:a )?similar )?licen[cs]e
+permissive distribute 45 free to use copy modify and distribute
+permissive free 45 you are free to (?:share|copy|use|adapt|remix)
+permissive royalty 42 royalty free
+permissive charge 42 free of charge
+permissive software 40 open source software
+permissive software 40 free software
+attribution credit 48 credit (?:must be|is) given to
+attribution please 46 please (?:credit|cite|attribute)
+attribution attribution 46 with (?:proper|appropriate|due) attribution
+attribution credited 45 provided (?:that )?the (?:original )?(?:author|source)s? (?:is|are) credited
+attribution permission 45 reprinted (?:with|by) permission
+attribution permission 44 used (?:with|by) (?:kind )?permission
+attribution permission 44 reproduced (?:with|by) (?:the )?(?:kind )?permission
+copyright reproduced 48 no part of this (?:publication|book|work|document|website|site) may be reproduced
+copyright transmitted 46 stored in a retrieval system or transmitted in any form or by any means
+copyright copyright 46 protected by (?:international |us |u s )?copyright (?:law|laws|and)
+copyright infringement 45 copyright infringement
+copyright copyrighted 44 copyrighted (?:material|work|content)
+copyright copyrighted 42 is copyrighted by
+copyright copyright 42 copyright (?:holder|owner)s?
+copyright copyright 40 (?:the )?copyright (?:is|remains) (?:held|owned|with)
+copyright copyright 38 copyright notice
+copyright reserves 36 tous droits reserves
+copyright réservés 36 tous droits réservés
+copyright vorbehalten 36 alle rechte vorbehalten
+copyright reservados 36 todos los derechos reservados
+copyright riservati 36 tutti i diritti riservati
+copyright reservados 36 todos os direitos reservados
+copyright urheberrechtlich 34 urheberrechtlich geschützt
+copyright auteur 34 droit d auteur
+copyright derechos 34 derechos de autor
+copyright copr 30 copr
+fair-use fair 46 fair (?:use|dealing)
+fair-use copyright 44 section 107 of the copyright act
+dmca millennium 50 digital millennium copyright act
+dmca dmca 46 dmca (?:notice|takedown|policy|agent)
+terms apply 40 terms (?:of (?:use|service)|and conditions) apply
+terms subject 40 subject to (?:the|our|these) terms of (?:use|service)
+terms terms 38 terms of (?:use|service)
+patent patent 48 patent (?:pending|rights|license|licence|grant)
+patent protected 44 protected by (?:one or more )?(?:us |u s )?patents?
+trademark of 42 (?:are|is) (?:a )?(?:registered )?trade ?marks? (?:or registered trade ?marks? )?of
+trademark respective 40 all (?:other )?trade ?marks are (?:the )?property of their respective owners
+trademark registered 36 registered in the (?:us|u s) patent and trade ?mark office
+trademark service 34 service marks? of
+no-warranty warranties 50 disclaims? all (?:other )?(?:implied )?warranties
+no-warranty provided 50 provided without (?:any )?(?:express or implied )?warranty
+no-warranty no 48 makes? no (?:representations?|warrant(?:y|ies)) (?:about|of any kind|as to|regarding)
+no-warranty particular 48 fitness for a particular purpose
+no-warranty noninfringement 48 noninfringement
+no-warranty infringement 48 non infringement
+no-warranty risk 46 at your own risk
+no-warranty liable 46 shall not be (?:held )?liable for any
+no-warranty limitation 45 limitation of liability
+no-warranty risk 44 use of this (?:software|site|information) is at your own risk
+as-is where 42 as is where is
+as-is basis 42 on an as is basis
+dual dual 50 dual licen[cs]ed
+dual available 48 available under (?:either|both) (?:the )?(?:\w+ ){1,5}(?:or|and) (?:the )?(?:\w+ ){1,5}licen[cs]e
+file see 46 see (?:the )?(?:accompanying )?licen[cs]e (?:file|txt|md)
+file license 46 license txt
+file copying 44 copying file
+file licensed 44 licensed under the terms (?:found|described|specified) in
+spdx identifier 60 spdx license identifier \w+
+spdx filecopyrighttext 50 spdx filecopyrighttext
+"""
+
 
 def _family_rules(label: str, name: str, keyword: str) -> list[Rule]:
     """The rules of a family, most telling first: a grant under it, one with a version, its text's title, its name."""
@@ -171,6 +408,8 @@ def rules() -> list[Rule]:
     made += [Rule(label, "spdx", 95, rf"spdx license identifier (?:{name})(?: only| or later)?") for label, name in IDENTIFIERS]
     made += [Rule(label, "license", 75, rf"license (?:is |id |type )?(?:{name})") for label, name in IDENTIFIERS]
     made += [Rule(label, keyword, priority, pattern) for label, keyword, priority, pattern in TEXTS]
+    notices = [line.split(" ", 3) for line in NOTICES.strip().splitlines()]
+    made += [Rule(label, keyword, int(priority), pattern) for label, keyword, priority, pattern in notices]
     return sorted(made, key=lambda r: -r.priority)
 
 
