@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 Path = tuple[str, ...]
-BUCKET_BITS = 12
+#: Bits of a document's place that each round of the cut looks at, 63 in all.
+ROUNDS = (13, 13, 13, 12, 12)
 
 
 def token_count(text: str = "text") -> Column:
@@ -70,62 +71,73 @@ def _key(seed: int, epoch: Column, doc_id: str = "doc_id") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), F.col(doc_id).cast("long")), 1)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one that the table doesn't have yet: mix_ before it."""
+    while name in df.columns:
+        name = f"mix_{name}"
+    return name
+
+
+def _leaf(levels: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"__leaf{i}") for i, c in enumerate(levels)]
+
+
 def plan_mix(
     docs: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], budget_share: float = 0.6, budget_tokens: int | None = None,
-    max_epochs: int = 3, seed: int = 17, max_leaves: int = 100_000,
+    max_epochs: int = 3, seed: int = 17, max_leaves: int = 100_000, text: str = "text",
 ) -> DataFrame:
-    """(levels ..., full, last_key): each leaf's number of whole epochs, and the place in the epoch after them
-    up to which documents are taken (-1 for none).
+    """(__leaf0 ..., __full, __last): each leaf's number of whole epochs, and the place in the epoch after them up to
+    which documents are taken (-1 for none).
 
-    docs has doc_id, the levels and __tokens. The tree is of the size of the configuration: more than
-    max_leaves leaves are an error. A leaf of any size is cut by totals of its 2**BUCKET_BITS buckets of
-    places, and by single documents in one bucket only.
+    The tree is of the size of the configuration: more than max_leaves leaves are an error. A leaf of any size
+    is cut by totals: each round sums the documents in the open bucket by the next bits of their place, and opens
+    the bucket in which the budget ends. So no window has more rows than a round has buckets, and after all
+    rounds a bucket is one place.
     """
-    spark = docs.sparkSession
-    leaf = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
-    slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf, "__tokens"), "tokens")
-    totals = slim.groupBy(*levels).agg(F.sum("__tokens").alias("supply")).limit(max_leaves + 1).collect()
+    spark, leaf = docs.sparkSession, [f"__leaf{i}" for i in range(len(levels))]
+    slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_leaf(levels), token_count(text).alias("tokens")), "tokens")
+    totals = slim.groupBy(*leaf).agg(F.sum("tokens").alias("supply")).limit(max_leaves + 1).collect()
     if len(totals) > max_leaves:
         raise ValueError(f"the tree of {', '.join(levels)} has more than {max_leaves} leaves")
-    supply = {tuple(r[c] for c in levels): int(r["supply"]) for r in totals}
+    supply = {tuple(r[c] for c in leaf): int(r["supply"]) for r in totals}
     budget = budget_tokens if budget_tokens is not None else budget_share * sum(supply.values())
     given = allocate(supply, weights, budget, max_epochs)
     rows = [(*path, given[path] // n if n else 0, given[path] % n if n else 0) for path, n in sorted(supply.items())]
-    share = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in levels) + ", full long, rest long")
-    placed = slim.join(F.broadcast(share), list(levels)).where("rest > 0").withColumn("key", _key(seed, F.col("full") + 1))
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("key", 63 - BUCKET_BITS))
-    by_bucket = placed.groupBy(*levels, "rest", "bucket").agg(F.sum("__tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*levels).orderBy("bucket"))
-    edge = by_bucket.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(
-        F.min("bucket").alias("edge"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("before")
-    )
-    edge = F.broadcast(edge)  # a row a leaf, max_leaves at most
-    inside = placed.join(edge, list(levels)).where("bucket = edge")
-    taken = inside.withColumn("upto", F.col("before") + F.sum("__tokens").over(Window.partitionBy(*levels).orderBy("key")))
-    within = taken.where("upto <= rest").groupBy(*levels).agg(F.max("key").alias("within"))
-    below = F.shiftleft(F.col("edge").cast("long"), 63 - BUCKET_BITS) - 1
-    cuts = share.join(edge, list(levels), "left").join(F.broadcast(within), list(levels), "left")
-    last = F.when(F.col("rest") == 0, F.lit(-1).cast("long")).otherwise(F.coalesce("within", below, F.lit((1 << 63) - 1)))
-    return written(cuts.select(*levels, "full", last.alias("last_key")), "cuts")
+    share = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in leaf) + ", full long, rest long")
+    inside = slim.join(F.broadcast(share), leaf).where("rest > 0").select(*leaf, "rest", "tokens", _key(seed, F.col("full") + 1).alias("key"))
+    left, opened = 63, share.select(*leaf, F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("before"))
+    for bits in ROUNDS:
+        left -= bits
+        bucket = F.shiftrightunsigned("key", left).alias("bucket")
+        totals_of = inside.join(F.broadcast(opened), leaf).where(F.shiftrightunsigned("key", left + bits) == F.col("opened"))
+        by_bucket = totals_of.groupBy(*leaf, "rest", "before", bucket).agg(F.sum("tokens").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
+        past = by_bucket.withColumn("upto", upto).where("upto > rest")
+        # a row a leaf, max_leaves at most; a leaf without one takes all its documents
+        opened = written(past.groupBy(*leaf).agg(F.min("bucket").alias("opened"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("before")), "mix-round")
+    cuts = share.join(F.broadcast(opened), leaf, "left")
+    last = F.when(F.col("rest") == 0, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("opened") - 1, F.lit((1 << 63) - 1)))
+    return written(cuts.select(*leaf, F.col("full").alias("__full"), last.alias("__last")), "cuts")
 
 
 def mix(docs: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], text: str = "text", seed: int = 17, **how) -> DataFrame:
-    """docs' rows, each as often as its leaf's budget takes it, with epoch (from 1) and __tokens.
+    """docs' rows, each as often as its leaf's budget takes it, with epoch (from 1) and tokens.
 
     A leaf's whole epochs hold all its documents; the one after them holds, in the order of a seeded hash of
     epoch and doc_id, the longest prefix whose tokens do not exceed the rest of the budget; rows that share a
     doc_id come or go together. Null levels are a leaf named by the empty string; null doc_ids have one place;
     null and empty texts have no tokens and come with the prefix they stand in; an empty table gives no rows.
+    All columns of docs stay; where it has one named epoch or tokens, those here are mix_epoch and mix_tokens.
     """
-    counted = docs.withColumn("__tokens", token_count(text))
-    cuts = plan_mix(counted, levels, weights, seed=seed, **how)
-    cuts = cuts.select(*(F.col(c).alias(f"__leaf{i}") for i, c in enumerate(levels)), F.col("full").alias("__full"), F.col("last_key").alias("__last"))
-    same = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"__leaf{i}") for i, c in enumerate(levels)]
-    joined = counted.join(F.broadcast(cuts), same)  # max_leaves rows at most
+    epoch, tokens = free_name(docs, "epoch"), free_name(docs, "tokens")
+    cuts = plan_mix(docs, levels, weights, seed=seed, text=text, **how)
+    same = [leaf == F.col(f"__cut{i}") for i, leaf in enumerate(_leaf(levels))]
+    cuts = cuts.select(*(F.col(f"__leaf{i}").alias(f"__cut{i}") for i in range(len(levels))), "__full", "__last")
+    joined = docs.join(F.broadcast(cuts), same)  # max_leaves rows at most
     times = F.col("__full") + (_key(seed, F.col("__full") + 1) <= F.col("__last")).cast("long")
-    chosen = joined.withColumn("__times", times).where("__times > 0")
-    chosen = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return chosen.drop("__full", "__last", "__times", *(f"__leaf{i}" for i in range(len(levels))))
+    chosen = joined.withColumn("__times", times).where("__times > 0").withColumn(tokens, token_count(text))
+    chosen = chosen.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return chosen.select(*(F.col(f"`{c}`") for c in docs.columns), epoch, tokens)
 
 
 #: The mixture of the query and of the pipeline's last stage: domains of the sources, then languages, then sources alike.
@@ -134,9 +146,13 @@ WEIGHTS: dict[Path, float] = {
     ("crawl",): 0.3, ("reference",): 0.45, ("community",): 0.25,
     **{(d, lang): w for d in ("crawl", "reference", "community") for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))},
 }
-LEVELS = ("domain", "lang", "source")
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """docs with the domain of their source; sources that aren't listed are community."""
-    return docs.withColumn("domain", F.coalesce(F.create_map(*(F.lit(x) for kv in DOMAINS.items() for x in kv))[F.col("source")], F.lit("community")))
+def mix_by_source(docs: DataFrame, weights: Mapping[Path, float] = WEIGHTS, **how) -> DataFrame:
+    """The mixture of docs(doc_id, text, lang, source) over domain, language and source, with the domain of each
+    row's source; sources that aren't listed are community. A column domain of docs stays, this one is
+    mix_domain then."""
+    domain = free_name(docs, "domain")
+    known = F.create_map(*(F.lit(x) for kv in DOMAINS.items() for x in kv))
+    placed = docs.withColumn(domain, F.coalesce(known[F.col("source")], F.lit("community")))
+    return mix(placed, (domain, "lang", "source"), weights, **how)

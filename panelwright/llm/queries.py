@@ -27,10 +27,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import LEVELS, WEIGHTS, mix, with_domain
+    from .mixing import mix_by_source
 
-    mixed = mix(with_domain(table(spark, sf_dir, "documents")), LEVELS, WEIGHTS)
-    return mixed.select("doc_id", "epoch", *LEVELS, F.col("__tokens").alias("tokens"))
+    return mix_by_source(table(spark, sf_dir, "documents")).select("doc_id", "epoch", "domain", "lang", "source", "tokens")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
