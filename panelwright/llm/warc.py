@@ -14,9 +14,11 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, written
@@ -24,23 +26,73 @@ from .shared import shared_dir, written
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 32 << 20
+#: Bits of the filter that tells which payloads may have copies, 16 MB whatever the number of pages.
+FILTER_BITS = 27
+#: Neighbouring records are read together up to so many bytes.
+RANGE_BYTES = 4 << 20
+#: Schemes that Spark's file systems and Arrow's name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 #: Fixed values of the ZIP format: signatures, and the size that marks a field as held by ZIP64.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it. ValueError if Arrow has none for its scheme."""
+    scheme, sep, rest = uri.partition("://")
+    if not sep:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise ValueError(f"archives can't be kept at {scheme}:// from here ({e}); give write_archives a folder that tasks can write to, as hdfs, s3, gs, abfs or a shared mount") from e
+
+
 # Writing
 
 
+def _bits(digest: Column) -> list[Column]:
+    """The bits of a digest in the filter."""
+    return [F.shiftrightunsigned(F.xxhash64(digest, F.lit(k)), 64 - FILTER_BITS) for k in range(3)]
+
+
+def copies_filter(shared: DataFrame) -> np.ndarray:
+    """A Bloom filter of the digests of shared(payload_digest), as 64-bit words: they are put together in Spark, and
+    at most 2 ** FILTER_BITS bits come to the driver."""
+    bit = shared.select(F.explode(F.array(*_bits(F.col("payload_digest")))).alias("bit"))
+    word = bit.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set"))
+    found, out = word.toPandas(), np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    return out
+
+
 def planned(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """(page_id, url, payload, payload_digest, leader): leader is the largest page_id with the same payload of
-    at least revisit_from bytes, null for shorter ones. Null html is an empty payload."""
+    at least revisit_from bytes, null for shorter and single ones. Null html is an empty payload.
+
+    Digests alone are shuffled to find those with several rows. Rows whose digest a filter of those rules out
+    stay where they are; only the others, with few by mistake, meet the leaders by a shuffle.
+    """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumn("payload_digest", F.sha1("payload"))
-    long_ = own.where((F.octet_length("payload") >= revisit_from) & F.col("page_id").isNotNull())
-    leaders = long_.groupBy("payload_digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    return own.join(leaders.select("payload_digest", "leader"), "payload_digest", "left")
+    counted = own.where(F.octet_length("payload") >= revisit_from).groupBy("payload_digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
+    leaders = written(counted.where("n > 1 and leader is not null").select("payload_digest", "leader"), "leaders")
+    sent = pages.sparkSession.sparkContext.broadcast(copies_filter(leaders))
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        words, found = sent.value, np.ones(len(a), bool)
+        for bit in (a.to_numpy(np.int64), b.to_numpy(np.int64), c.to_numpy(np.int64)):
+            found &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+        return pd.Series(found)
+
+    marked = own.withColumn("may_have_copies", held(*_bits(F.col("payload_digest"))))
+    lone = marked.where("not may_have_copies").withColumn("leader", F.lit(None).cast("long"))
+    some = marked.where("may_have_copies").join(leaders.hint("shuffle_hash"), "payload_digest", "left")
+    columns = ["page_id", "url", "payload", "payload_digest"]
+    leader = F.when(F.octet_length("payload") >= revisit_from, F.col("leader")).alias("leader")
+    return lone.select(*columns, "leader").unionByName(some.select(*columns, leader))
 
 
 def _record(page_id, url: str | None, payload: bytes, digest: str, leader: int | None) -> tuple[str, bytes]:
@@ -65,7 +117,7 @@ def _record(page_id, url: str | None, payload: bytes, digest: str, leader: int |
 class _Archive:
     def __init__(self, folder: str):
         self.path = f"{folder}/{uuid.uuid4().hex}.zip"
-        store, inner = fs.FileSystem.from_uri(self.path)
+        store, inner = store_of(self.path)
         self.out = store.open_output_stream(inner)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(DATA, "w", force_zip64=True)
@@ -95,9 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     or repeated leaves files that no list names, and the list names whole files only.
     """
     folder = (folder or f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}").rstrip("/")
-    folder = folder if "://" in folder or folder.startswith(("/", "file:")) else f"/{folder}"
-    folder = "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    store, inner = fs.FileSystem.from_uri(folder)
+    store, inner = store_of(folder)
     store.create_dir(inner, recursive=True)
 
     def run(batches):
@@ -187,17 +237,23 @@ def warc_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def archive_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records that an archive's index lists, each read by its range."""
-    store, inner = fs.FileSystem.from_uri(path)
+    """The records that an archive's index lists, read by their ranges, neighbours together."""
+    store, inner = store_of(path)
     with store.open_input_file(inner) as file:
         members = zip_members(lambda at, n: file.read_at(n, at), file.size())
         data_at, data_n = members[DATA]
         index_at, index_n = members[INDEX]
-        for line in file.read_at(index_n, index_at).decode().splitlines():
-            offset, length = (int(x) for x in line.split(" ", 2)[:2])
-            if offset + length > data_n:
+        places = [tuple(map(int, line.split(" ", 2)[:2])) for line in file.read_at(index_n, index_at).decode().splitlines()]
+        at = 0
+        while at < len(places):
+            begin, end, first = places[at][0], sum(places[at]), at
+            while at < len(places) and places[at][0] == (end if at > first else begin) and (at == first or end - begin < RANGE_BYTES):
+                end, at = sum(places[at]), at + 1
+            if end > data_n:
                 raise ValueError(f"{path}: a record lies outside its member")
-            yield warc_record(zlib.decompress(file.read_at(length, data_at + offset), 47))
+            held = file.read_at(end - begin, data_at + begin)
+            for offset, length in places[first:at]:
+                yield warc_record(zlib.decompress(held[offset - begin : offset - begin + length], 47))
 
 
 def _page(urn: str | None) -> int | None:
@@ -238,8 +294,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names[: len(rows[0])])
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    tasks = max(1, archives.sparkSession.sparkContext.defaultParallelism)
-    dealt = archives.select("path").repartition(max(tasks, archives.count()))
+    tasks = 16 * archives.sparkSession.sparkContext.defaultParallelism  # an archive a task, while they are few
+    dealt = archives.select("path").repartition(max(1, min(tasks, archives.count())))
     return dealt.mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
@@ -247,7 +303,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """What read_archives finds in the archives that write_archives makes of pages.
 
     Rows with equal payloads of at least REVISIT_FROM bytes are revisits of the one with the largest page_id;
-    rows that repeat that page_id are responses as well. A row with a null page_id is a response or a revisit
-    of the others; null urls are read as empty; extra columns are ignored; an empty table gives no rows.
+    rows that repeat that page_id are responses as well. A row with a null page_id revisits the others, or is a
+    response if there are none with an id; null urls are read as empty; extra columns are ignored; an empty
+    table gives no rows.
     """
     return read_archives(write_archives(pages), payloads=False)

@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 from panelwright.llm.queries import ORACLES, QUERIES
-from panelwright.llm.warc import DATA, INDEX, archive_records, read_archives, warc_record, write_archives, zip_members
+from panelwright.llm.warc import DATA, INDEX, archive_records, read_archives, store_of, warc_record, write_archives, zip_members
 
 LONG = "<p>é long page</p>" * 100
 PAGES = "page_id long, url string, html string, payload string"
@@ -90,3 +90,34 @@ def test_broken_files_are_errors(tmp_path):
     (tmp_path / "a.zip").write_bytes(data)
     with pytest.raises(ValueError, match="outside"):
         list(archive_records(f"file://{tmp_path}/a.zip"))
+
+
+def test_copies_of_rows_without_an_id_and_single_pages(spark):
+    rows = [(None, "a", LONG, None), (7, "b", LONG, None), (8, "c", LONG + "other", None), (None, "d", LONG + "more", None), (None, "e", LONG + "more", None)]
+    got = {r.url: (r.record_type, r.refers_to) for r in read_archives(write_archives(spark.createDataFrame(rows, PAGES)), payloads=False).collect()}
+    assert got == {"a": ("revisit", 7), "b": ("response", None), "c": ("response", None), "d": ("response", None), "e": ("response", None)}
+
+
+def test_a_full_filter_changes_no_result(spark, sf, monkeypatch):
+    from oracle import check
+    from panelwright.llm import warc
+
+    monkeypatch.setattr(warc, "FILTER_BITS", 7)
+    assert check(QUERIES["op9_warc"](spark, sf), sf, ORACLES["op9_warc"])
+
+
+def test_schemes(tmp_path):
+    store, path = store_of(f"file://{tmp_path}/x")
+    assert path == f"{tmp_path}/x" and store_of(f"{tmp_path}/x")[1] == path == store_of(f"file:{tmp_path}/x")[1]
+    with pytest.raises(ValueError, match="dbx://"):
+        store_of("dbx://bucket/x")
+
+
+def test_neighbours_are_read_together(spark, sf, monkeypatch):
+    from panelwright.llm import warc
+
+    listed = write_archives(spark.read.parquet(f"{sf}/pages.parquet").coalesce(1)).first()
+    whole = list(archive_records(listed.path))
+    for size in (1, 50_000):
+        monkeypatch.setattr(warc, "RANGE_BYTES", size)
+        assert list(archive_records(listed.path)) == whole
