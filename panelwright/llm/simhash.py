@@ -9,11 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_bytes, written
+from .shared import text_bytes, text_key, written
 
 SEED = 42
 BLOCK = 1 << 20
@@ -22,6 +22,8 @@ GAP = re.compile(rb"[ \t-\r]")
 SLICE = 4096
 #: Up to so many large block keys (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_LARGE = 1 << 18
+#: As SLICE, for rows that hold a text's shingles.
+SET_SLICE = 1024
 
 
 def _tokens(text: bytes):
@@ -168,48 +170,55 @@ def _links(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radius: int, h
         yield node[pairs[0][0]], node[pairs[0][1]]
 
 
+def _dealt(rows: DataFrame, block: str, node: str, slice_rows: int) -> DataFrame:
+    """rows, sorted by block within tasks; blocks of more than slice_rows rows are dealt out as pairs of slices of
+    that size, each pair a block of its own, so that no task holds more than two slices and no pair is lost."""
+    large = rows.groupBy(block).count().where(F.col("count") > slice_rows)
+    large = written(large.select(block, F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")), "large-blocks")
+    many, columns = large.count(), rows.columns
+    if many:
+        large = F.broadcast(large) if many <= MOST_LARGE else large
+        slice_of = F.pmod(F.xxhash64(node), F.col("slices")).cast("int")
+        rows = rows.join(large, block, "left").withColumn("own_slice", F.coalesce(slice_of, F.lit(0)))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))))
+        pair = F.xxhash64(block, F.least("own_slice", "other"), F.greatest("own_slice", "other"))
+        rows = rows.withColumn(block, F.when(F.col("slices").isNull(), F.col(block)).otherwise(pair)).select(*columns)
+    return rows.repartition(block).sortWithinPartitions(block, node)
+
+
+def _blocks(batches):
+    """Columns of the rows of whole blocks, from batches sorted by their first column."""
+    rest = None
+    for batch in batches:
+        columns = [np.asarray(batch.column(k)) if pa.types.is_integer(batch.column(k).type) else np.array(batch.column(k).to_pylist(), object) for k in range(batch.num_columns)]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        rest = [x[cut:] for x in columns]
+        if cut:
+            yield [x[:cut] for x in columns]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
 def near_links(nodes: DataFrame, radius: int, parts: int, match: int, words: int = 1) -> DataFrame:
     """(u, v) edges that connect all nodes(node, f0 ...) whose fingerprints differ in at most radius bits,
     if also some word of them differs in at most parts - match bits.
 
-    Only the edges of a spanning forest of each block are emitted, never all its pairs. Blocks of more than
-    SLICE rows are dealt out as pairs of slices of that size, each pair a block of its own, so no task holds
-    more than two slices and no pair is lost. Rows with equal nodes or null nodes make no edge.
+    Only the edges of a spanning forest of each block are emitted, never all its pairs; large blocks are _dealt
+    in slices of SLICE rows. Rows with equal nodes or null nodes make no edge.
     """
     prints = [f"f{k}" for k in range(words)]
     keyed = nodes.where("node is not null").select("node", *prints, F.explode(F.array(*block_keys(words, parts, match))).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > SLICE)
-    large = written(large.select("key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices")), "large-blocks")
-    many = large.count()
-    if many:
-        large = F.broadcast(large) if many <= MOST_LARGE else large
-        slice_of = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-        keyed = keyed.join(large, "key", "left").withColumn("own", F.coalesce(slice_of, F.lit(0)))
-        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))))
-        key = F.when(F.col("slices").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        keyed = keyed.select("node", *prints, key.alias("key"))
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            columns = [np.asarray(batch.column(k)) for k in range(batch.num_columns)]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns)]
-            if not len(columns[0]):
-                continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            rest = [x[cut:] for x in columns]
-            if cut:
-                yield from found([x[:cut] for x in columns])
-        if rest is not None and len(rest[0]):
-            yield from found(rest)
-
-    def found(columns):
-        key, node, *own = columns
-        for u, v in _links(key, node, np.stack(own, axis=1).view(np.uint64), radius):
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    dealt = keyed.select("key", "node", *prints).repartition("key").sortWithinPartitions("key", "node")
+        for key, node, *own in _blocks(batches):
+            for u, v in _links(key, node, np.stack(own, axis=1).view(np.uint64), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    dealt = _dealt(keyed.select("key", "node", *prints), "key", "node", SLICE)
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -242,13 +251,19 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
-def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A long for each band of MinHashes of a set: sets agree in a band with probability similarity ** rows.
-    Empty sets agree in all."""
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+def min_hashes(own: np.ndarray, many: int) -> np.ndarray:
+    """The least value of each of so many hash functions over a set: two sets agree in one with a probability of
+    their similarity. Those of empty sets agree."""
+    least = np.full(many, np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
         for at in range(0, len(own), 2048):
-            least = np.minimum(least, np.multiply.outer(ODD[: bands * rows], own[at : at + 2048]).min(axis=1))
+            least = np.minimum(least, np.multiply.outer(ODD[:many], own[at : at + 2048]).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A long for each band of min_hashes: sets agree in a band with probability similarity ** rows."""
+    with np.errstate(over="ignore"):
         mixed = (_mixed(least, 1).reshape(bands, rows) * ODD[-rows:]).sum(axis=1, dtype=np.uint64)
         return _mixed(mixed + np.arange(bands, dtype=np.uint64) * ODD[0], 2).view(np.int64)
 
@@ -259,18 +274,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def text_node() -> Column:
-    """A long for each different text of __text, its bytes."""
-    return F.xxhash64("__text")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The rows of pairs(u, v) whose texts(node, __text) have that similarity or more."""
-
-    def sets(batches):
-        for batch in batches:
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "own"])
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs(u, v) whose sets(node, own) have that similarity or more."""
 
     def alike(batches):
         for batch in batches:
@@ -278,66 +283,126 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
             near = [jaccard(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("shuffle_hash")
-    own = texts.join(named, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, own binary")
-    own = written(own, "shingle-sets")
-    met = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
-    met = met.join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u")
+    met = met.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
     return written(met.mapInArrow(alike, "u long, v long"), "alike")
 
 
+def set_links(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], similarity: float, bands: int, rows: int) -> list[tuple[int, int]]:
+    """Links between texts of different components that share a band and have the similarity: enough of them to
+    join all such components.
+
+    A pair is looked at in the first band that it shares, if the two aren't joined by then, and passed over if
+    their sizes rule it out or under similarity - 0.2 of their min-hashes agree, which of pairs that have the
+    similarity one in a billion does (six deviations of 150). The rest are settled by their sets.
+    """
+    least = np.stack([min_hashes(s, bands * rows) for s in sets])
+    keys, size = np.stack([band_keys(x, bands, rows) for x in least]), np.array([len(s) for s in sets])
+    label, links = component.copy(), []
+    for band in range(bands):
+        order = np.argsort(keys[:, band], kind="stable")
+        edges = np.flatnonzero(np.diff(keys[order, band])) + 1
+        for group in np.split(order, edges):
+            for k, i in enumerate(group[:-1]):
+                other = group[k + 1 :]
+                other = other[label[other] != label[i]]
+                other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-6]
+                if len(other) and band:
+                    other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
+                if len(other):
+                    other = other[(least[other] == least[i]).mean(axis=1) >= similarity - 0.2]
+                for j in other:
+                    if label[i] != label[j] and jaccard(sets[i], sets[j]) >= similarity:
+                        links.append((int(node[i]), int(node[j])))
+                        label[label == label[j]] = label[i]
+    return links
+
+
+def _mixed_bands(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, rank, component) of the bands in which not all nodes are of one component."""
+    named = shared.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return written(named.join(mixed.hint("shuffle_hash"), "key", "left_semi").select("key", "node", "rank", "component"), "apart")
+
+
+def _stars(apart: DataFrame) -> DataFrame:
+    """(u, v): each node with the highest-ranking first node of its bands, of those of another component."""
+    first = apart.groupBy("key").agg(F.max_by("node", "rank").alias("leader"), F.max("rank").alias("top"))
+    known = apart.select(F.col("node").alias("leader"), F.col("component").alias("of_leader")).distinct()
+    first = first.join(known, "leader")
+    met = apart.join(first, "key").where("component <> of_leader")
+    return met.groupBy(F.col("node").alias("u")).agg(F.max_by("leader", "top").alias("v"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, node, component): node is the text's, component the same for texts that are linked.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles, by 64-bit hashes, is at least
     `similarity`. Candidates share a band of MinHashes: a pair of similarity s is none with probability
-    (1 - s ** rows) ** bands, whatever the texts' lengths. Each is settled by its two sets: first every text
-    of a band with the band's smallest node, then all pairs of a band that the links found so far leave in
-    different components. So a large group of copies costs as many comparisons as it has texts, and no
-    candidate is skipped. Texts without a word are alike; null ids take no part.
+    (1 - s ** rows) ** bands, whatever the texts' lengths. Each is settled by its two sets. No pairs of a band
+    are emitted: in two rounds every text meets one other, that of its bands which shares the most bands, as
+    the original of many copies does; what is then left in bands of several components goes to tasks in groups
+    of components that share bands, large groups in slices, and the tasks return the links they find. So a
+    group of copies costs few comparisons, and no candidate is skipped. Texts without a word are alike; rows
+    with a null doc_id take part as all others; an empty table gives no rows.
     """
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            keys = [band_keys(s, bands, rows) for s in sets]
+            keys = [band_keys(min_hashes(shingle_set(t, shingle), bands * rows), bands, rows) for t in batch.column(2).to_pylist()]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("__text")).where("doc_id is not null")
-    source = source.select("doc_id", text_node().alias("node"), "__text")
-    own = written(source.mapInArrow(run, "doc_id long, node long, n long, keys array<long>"), "signatures")
-    keyed = own.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many")
-    shared = written(keyed.join(leaders.hint("shuffle_hash"), "key"), "bands")
-    fit = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-6"
-    sizes = own.select("node", "n").distinct()
-    stars = shared.where("node <> leader").select("node", "leader", "n").distinct().alias("a")
-    stars = stars.join(sizes.alias("b"), F.expr("a.leader = b.node")).where(fit)
-    stars = written(stars.select(F.col("a.node").alias("u"), F.col("a.leader").alias("v")), "stars")
-    texts = source.select("node", "__text")
-    links = _verified(stars, texts, shingle, similarity)
-    label = connected_components(links)
-    apart = shared.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    apart = written(apart.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "apart")
-    pairs = apart.alias("a").join(apart.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {fit}"))
-    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    tried = stars.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u"))
-    pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-    label = connected_components(links.unionByName(_verified(pairs, texts, shingle, similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "keys"])
+
+    def to_sets(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "own"])
+
+    def settle(batches):
+        for _, node, component, own in _blocks(batches):
+            links = set_links(node, component, [np.frombuffer(x, np.uint64) for x in own], similarity, bands, rows)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("node"), text_bytes(text).alias("__text"))
+    own = written(source.mapInArrow(run, "doc_id long, node long, keys array<long>"), "signatures")
+    keyed = own.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    shared = keyed.join(held.hint("shuffle_hash"), "key")
+    rank = F.sum("many").over(Window.partitionBy("node"))  # up to `bands` rows a node
+    shared = written(shared.select("key", "node", rank.alias("rank"), F.col("node").alias("component")), "bands")
+    named = shared.select("node").distinct().hint("shuffle_hash")
+    sets = source.select("node", "__text").join(named, "node", "left_semi").dropDuplicates(["node"])
+    sets = written(sets.mapInArrow(to_sets, "node long, own binary"), "shingle-sets")
+    links, apart = _verified(_stars(shared), sets, similarity), shared
+    for more in (True, False):
+        apart = _mixed_bands(apart, connected_components(links))
+        if more:
+            links = links.unionByName(_verified(_stars(apart), sets, similarity))
+    least = apart.groupBy("key").agg(F.min("component").alias("v"))
+    groups = connected_components(apart.join(least, "key").select(F.col("component").alias("u"), "v").distinct())
+    member = apart.select("node", "component").distinct().join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component")
+    member = member.join(sets, "node").select("group", "node", "component", "own")
+    rest = written(_dealt(member, "group", "node", SET_SLICE).mapInArrow(settle, "u long, v long"), "settled")
+    label = connected_components(links.unionByName(rest))
     return own.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose doc_id is the smallest of their near_copies; of rows with one doc_id, one stays."""
-    found = written(near_copies(docs, **how), "near-copies")
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    ids = written(kept, "kept").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
-    out = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    repeated = found.join(ids, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+def keep_one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """One row of each class of near_copies: that with the smallest doc_id, and of those with it the one with the
+    smallest text_key. So rows with one doc_id and texts that aren't alike all stay, also if they have no
+    doc_id, which counts as the largest; of rows that repeat id and text one stays. Null and empty texts are
+    alike. All columns are kept, whatever their names."""
+    found = written(near_copies(docs, text=text, **how), "near-copies")
+    by_id = found.groupBy("component", "doc_id").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
+    best = by_id.groupBy("component").agg(
+        F.min("doc_id").alias("__doc"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("__node"), F.max(F.coalesce("rows", F.lit(0))).alias("__rows")
+    )
+    kept = written(best.select("__doc", "__node", "__rows"), "kept")
+    ids = kept.select("__doc", "__node").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
+    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key(text) == F.col("__node")), "left_semi")
+    return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id", text])
 
 
 #: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more. Of pairs at exactly 0.8 seven

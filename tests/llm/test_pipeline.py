@@ -4,6 +4,7 @@ import corpus_pipeline
 from panelwright.llm.decontaminate import contaminated
 from panelwright.llm.quality import scored, train
 from panelwright.llm.shared import table, written
+from pyspark.sql import functions as F
 
 
 def test_stages(spark, sf):
@@ -26,8 +27,20 @@ def test_stages(spark, sf):
 
 
 def test_odd_and_empty_documents(spark, sf, odd_docs, no_docs):
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (odd_docs.select(*columns), no_docs.select(*columns)):
-        for name, stage in corpus_pipeline.STAGES:
+    """With all their columns, which bear names that the operators use inside."""
+    more = lambda df: df.withColumns({c: F.lit(1) for c in ("domain", "tokens", "first", "end", "key_", "n", "question", "epoch_")})
+    for docs in (more(odd_docs), more(no_docs)):
+        columns = docs.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
             docs = written(stage(spark, docs, sf), name)
+            assert docs.columns == columns if k < 4 else docs.columns[: len(columns)] == columns
         docs.collect()
+
+
+def test_rows_without_ids_are_told_apart_by_their_text(spark, sf, documents):
+    """Copies and leaks go without an id as well, and all else stays."""
+    some = documents.where("doc_id < 150")
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage):
+        want = sorted(r.text for r in stage(spark, some, sf).collect())
+        got = stage(spark, some.withColumn("doc_id", F.lit(None).cast("long")), sf).collect()
+        assert len(got) == len(want)

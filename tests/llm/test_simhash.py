@@ -99,8 +99,10 @@ def test_near_copies_go_and_others_stay(docs_of):
 
 
 def test_one_of_repeated_rows_stays(odd_docs, no_docs):
-    kept = [r.doc_id for r in keep_one_of_each(odd_docs, **FIVE_WORDS).collect()]
-    assert sorted(kept) == [1, 2, 3, 5, 7]
+    rows = keep_one_of_each(odd_docs, **FIVE_WORDS)
+    kept = rows.collect()
+    assert rows.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 5, 7]
+    assert [r.text for r in kept if r.doc_id is None] == ["no id at all in this row"]
     assert keep_one_of_each(no_docs, **FIVE_WORDS).collect() == []
 
 
@@ -140,3 +142,30 @@ def test_components_equal_all_pairs_of_sets(docs_of):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     kept = {r.doc_id for r in keep_one_of_each(docs_of(*enumerate(texts)), **FIVE_WORDS).collect()}
     assert kept == set(root) and 12 < len(kept) < len(texts)
+
+
+def test_each_row_is_decided_by_its_text(docs_of):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (None, one), (None, three), (None, three), (7, three + " more"), (None, "only here and without an id"), (9, None), (None, "")]
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in keep_one_of_each(docs_of(*rows), **FIVE_WORDS).collect())
+    assert kept == sorted([(1, one), (1, two), (7, three + " more"), (0, "only here and without an id"), (9, "")])
+
+
+def test_recall_by_band_of_similarity(docs_of):
+    """Pairs at 0.8 and more are linked whatever the band, those below never."""
+    rng, texts, similarity = np.random.default_rng(17), [], []
+    for k in range(400):
+        n = int(rng.integers(30, 300))
+        words = [f"p{k}w{i}" for i in range(n)]
+        other = list(words)
+        for at in rng.choice(n, max(1, int(n * rng.uniform(0.0, 0.06))), replace=False):
+            other[at] = "changed"
+        a, b = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, other))
+        similarity.append(len(a & b) / len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    kept = {r.doc_id for r in keep_one_of_each(docs_of(*enumerate(texts)), **FIVE_WORDS).collect()}
+    linked, similarity = np.array([2 * k + 1 not in kept for k in range(400)]), np.array(similarity)
+    for low, high in ((0.0, 0.7), (0.7, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = (similarity >= low) & (similarity < high)
+        print(f"{low} to {high}: {band.sum()} pairs, linked {linked[band].mean():.3f}")
+        assert band.sum() > 10 and linked[band].mean() == float(low >= 0.8)
