@@ -16,8 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests, on one machine) one under
-    the warehouse. A cluster without that setting is an error, as its warehouse may be a local folder."""
+    """A folder of the application's that driver and executors share: under spark.checkpoint.dir, else (in tests, on
+    one machine) under the warehouse. A cluster without that setting is an error, as its warehouse may be a local
+    folder. The folder may go once the application's results have been used."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not spark.sparkContext.master.startswith("local"):
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
