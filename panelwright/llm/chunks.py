@@ -144,9 +144,9 @@ def keyed_spans(docs: DataFrame, rate: float, least: int, most: int, min_words:
     # texts are cut twice rather than kept on disk; the first place of a run goes through the shuffle as two longs
     once = run_table(docs, rate, least, most, min_words, text, places=False)
     first = once.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
-    inside = runs.where("again").select("doc_id", "key", "place", F.col("doc_id").alias("first_doc"))
-    met = runs.where("not again").select("digest", "doc_id", "key", "place").join(first, "digest")
-    found = met.where("first_doc < doc_id or (doc_id is null and first_doc is not null)").select("doc_id", "key", "place", "first_doc").unionByName(inside)
+    met = runs.join(first, "digest", "left")
+    earlier = F.coalesce((F.col("first_doc") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("first_doc").isNotNull()), F.lit(False))
+    found = met.where(F.col("again") | earlier).select("doc_id", "key", "place", F.when(earlier, F.col("first_doc")).otherwise(F.col("doc_id")).alias("first_doc"))
     begin = F.shiftright("place", PLACE)
     found = found.select("doc_id", "key", begin.cast("int").alias("first"), (begin + F.col("place").bitwiseAND((1 << PLACE) - 1)).cast("int").alias("end"), "first_doc")
     place = Window.partitionBy("doc_id", "key").orderBy("first", "end")
