@@ -8,14 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
-#: Sets the second draw of a normal apart from the first.
-SECOND = 0x5BF03635
-
-
-def fnv1a(text: Column) -> Column:
-    """FNV-1a over the characters of a text, as a number below 2**32."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, c: multiply32(h.bitwiseXOR(c), 0x01000193))
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -106,20 +98,16 @@ def mix32(x: Column) -> Column:
     return folded(multiply32(folded(x, 13), 0xC2B2AE35), 16)
 
 
-def keyed_draw(seed: Column, trial: Column, period: Column, entity: Column, purpose: Column) -> Column:
-    """A uniform number in [0, 1) that depends on its keys alone, not on order or partition."""
-    long = lambda c: c.cast("long").bitwiseAND(F.lit(MASK))
-    h = mix32(long(seed).bitwiseXOR(multiply32(long(trial) + 1, 0x9E3779B1)))
-    h = mix32(h.bitwiseXOR(multiply32(long(entity) + 1, 0x85EBCA6B)))
-    h = mix32(h.bitwiseXOR(multiply32(long(period) + 1, 0xC2B2AE35)).bitwiseXOR(long(purpose)))
-    return h / F.lit(float(1 << 32))
+def keyed_draw(*keys: Column) -> Column:
+    """A uniform number in [0, 1) of 53 bits that depends on its keys alone, not on order, partition or retry.
+    The first key may name what the draw is for."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-def keyed_gauss(seed: Column, trial: Column, period: Column, entity: Column, purpose: Column) -> Column:
-    """A standard normal of two draws (Box and Muller)."""
-    u = keyed_draw(seed, trial, period, entity, purpose)
-    v = keyed_draw(seed, trial, period, entity, purpose.cast("long").bitwiseXOR(F.lit(SECOND)))
-    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * F.pi() * v)
+def keyed_normal(*keys: Column) -> Column:
+    """A standard normal of two such draws (Box and Muller)."""
+    far, turn = (keyed_draw(F.lit(part), *keys) for part in ("far", "turn"))
+    return F.sqrt(-2 * F.log1p(-far)) * F.cos(2 * F.pi() * turn)
 
 
 def interpolate(x: Column, knots: Column, values: Column) -> Column:

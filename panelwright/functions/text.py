@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Parts of a name that don't tell people apart: generations, and the marker of a team's defence.
+IGNORED_PARTS = ("jr", "sr", "ii", "iii", "iv", "v", "dst", "d/st")
+
+
 def name_key(name: Column) -> Column:
-    """Lower case, generation suffixes and a defence marker dropped, a to z kept."""
-    low = F.regexp_replace(F.lower(name), r"\b(jr|sr|ii|iii|iv|v)\b", " ")
-    return F.regexp_replace(F.regexp_replace(low, r"\bd/?st\b", " "), r"[^a-z]", "")
+    """The letters a to z of a name's parts, in lower case and without the IGNORED_PARTS."""
+    parts = F.filter(F.split(F.lower(name), r"[^\p{L}/']+"), lambda part: ~part.isin(*IGNORED_PARTS))
+    return F.regexp_replace(F.array_join(parts, ""), "[^a-z]", "")
 
 
 def conform(value: Column, aliases: dict[str, str]) -> Column:
@@ -54,3 +59,41 @@ def height_inches(height: Column) -> Column:
     fit = height.rlike(r"^\d+-\d+$")
     part = lambda i: F.split_part(height, F.lit("-"), F.lit(i)).try_cast("int")
     return F.when(fit, part(1) * 12 + part(2))
+
+
+#: What each group of ailments is called, in order of precedence.
+AILMENTS = (
+    ("achilles", ("achilles",)),
+    ("concussion", ("concussion", "head")),
+    ("knee", ("knee", "acl", "mcl", "patell")),
+    ("hamstring", ("hamstring",)),
+    ("ankle", ("ankle",)),
+    ("foot", ("foot", "toe", "heel", "plantar")),
+    ("groin", ("groin", "abdom", "core muscle", "sports hernia")),
+    ("shoulder", ("shoulder", "clavicle", "collarbone", "pectoral", "bicep", "tricep")),
+    ("back", ("back", "spine", "lumbar")),
+    ("calf", ("calf", "shin", "achilles tendon")),
+    ("hip", ("hip", "pelvis", "glute")),
+    ("quad", ("quad", "thigh", "hip flexor")),
+    ("ribs", ("rib", "chest", "lung")),
+    ("neck", ("neck", "stinger")),
+    ("hand", ("hand", "wrist", "finger", "thumb", "elbow", "forearm", "arm")),
+    ("illness", ("illness", "covid", "flu", "not injury related", "personal", "rest")),
+)
+#: How designations and practice reports begin, and what they stand for.
+DESIGNATIONS = (("out", "Out"), ("doubt", "Doubtful"), ("quest", "Questionable"), ("prob", "Probable"))
+PRACTICE = (("did not", "DNP"), ("limited", "Limited"), ("full", "Full"), ("out", "DNP"))
+
+
+def grouped_by_words(text: Column, groups: Sequence[tuple[str, Sequence[str]]], empty: str = "none", other: str = "other") -> Column:
+    """The first group of which some word stands in the text, anywhere and without regard to case; `empty` for a
+    null or blank text, `other` where no group has one."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    hit = [(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), group) for group, words in groups]
+    return reduce(lambda case, hg: case.when(*hg), hit, F.when(low == "", empty)).otherwise(other)
+
+
+def beginning_with(text: Column, prefixes: Sequence[tuple[str, str]], other: str = "") -> Column:
+    """What the first prefix that the trimmed text begins with stands for, without regard to case."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return F.coalesce(*(F.when(F.startswith(low, F.lit(p)), value) for p, value in prefixes), F.lit(other))

@@ -1,16 +1,15 @@
-"""Slot assignment, valuation, ratings and keyed simulation. What is sequential inside a group (a roster, a team's
-trajectories) runs on the group's rows in a task; everything between groups is joins, windows and sums."""
+"""Slot assignment, valuation, ratings, brackets and decisions scored in hindsight. What is sequential inside a group
+(a roster) runs on the group's rows in a task; everything between groups is joins, windows and sums."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import keyed_draw, keyed_gauss
+from ..sources.work import settled
 
 #: The positions that a flexible slot admits.
 SLOTS = {
@@ -117,34 +116,32 @@ def inflation(book: DataFrame, value: str, tie: str, money_left: float, open_slo
     return best.agg(F.least(F.lit(1.4), F.greatest(F.lit(0.8), F.try_divide(F.lit(float(money_left)), F.sum(F.greatest(F.lit(1.0), F.col(value)))))).alias("inflation"))
 
 
-def power_ratings(games: DataFrame, rounds: int = 200, home_edge: float = 1.0) -> DataFrame:
+def power_ratings(games: DataFrame, rounds: int = 30, home_edge: float = 1.0, chained: int = 10) -> DataFrame:
     """(team, rating) from games(home, away, spread), the spread being the home side's (below 0: favoured).
 
     A team's rating is the mean over its games of what the spread says beyond the opponent's rating, found by
-    rounds of that rule, recentred each. The games are summed to a row a pair of teams first; teams are a league's.
+    rounds of that rule, the mean of all ratings being 0. The games are summed to a row a pair of teams first; a
+    round is a join of pairs and ratings and a sum, and every few rounds the ratings are written.
     """
     sides = games.select(F.explode(F.array(
         F.struct(F.col("home").alias("team"), F.col("away").alias("other"), (-F.col("spread") - home_edge).alias("edge")),
         F.struct(F.col("away").alias("team"), F.col("home").alias("other"), (F.col("spread") + home_edge).alias("edge")),
     )).alias("s")).select("s.*")
-    pairs = sides.groupBy("team", "other").agg(F.sum("edge").alias("edge"), F.count("*").alias("n"))
+    met = sides.groupBy("team", "other").agg(F.sum("edge").alias("edge"), F.count("*").alias("n"))
+    # a team meets itself as often as all others: a round is half a step, as two leagues that only meet across would
+    # swing for ever
+    self_ = met.groupBy("team").agg(F.sum("n").alias("n")).select("team", F.col("team").alias("other"), F.lit(0.0).alias("edge"), "n")
+    pairs = settled(met.unionByName(self_), "pairs")
+    now = pairs.select("team").distinct().withColumn("rating", F.lit(0.0))
+    for k in range(1, rounds + 1):
+        others = pairs.join(now.select(F.col("team").alias("other"), "rating"), "other")
+        now = others.groupBy("team").agg((F.sum(F.col("edge") + F.col("n") * F.col("rating")) / F.sum("n")).alias("rating"))
+        now = settled(now, "ratings") if k % chained == 0 or k == rounds else now
+    mean = now.agg(F.avg("rating").alias("mean"))  # one row
+    return now.join(F.broadcast(mean)).select("team", (F.col("rating") - F.col("mean")).alias("rating"))
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(frame["team"]))
-        at = {t: i for i, t in enumerate(names)}
-        i, j = frame["team"].map(at).to_numpy(), frame["other"].map(at).to_numpy()
-        edge, n = frame["edge"].to_numpy(float), frame["n"].to_numpy(float)
-        r, games_of = np.zeros(len(names)), np.bincount(i, n, len(names))
-        for _ in range(rounds):
-            r = np.bincount(i, edge + n * r[j], len(names)) / games_of
-            r = r - r.mean()
-        return pd.DataFrame({"team": names, "rating": r})
 
-    kind = games.schema["home"].dataType.simpleString()
-    return pairs.withColumn("league", F.lit(1)).groupBy("league").applyInPandas(solve, f"team {kind}, rating double")
-
-
-# Simulation
+# Schedules and brackets
 
 
 def round_robin(n: int, weeks: int) -> list[tuple[int, int, int]]:
@@ -159,128 +156,109 @@ def round_robin(n: int, weeks: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def simulate_season(teams: DataFrame, weeks: int, trials: int, places: int = 4, seed: int = 1, reseed: bool = True) -> DataFrame:
-    """(team, playoff, title): chances over trials of teams(team 1 .. n, mean, sd) that play a round robin.
+def bracket(teams: DataFrame, scores: DataFrame, league: list[str], places: int, reseed: bool = True) -> DataFrame:
+    """(league, team, seed, round, opponent, points, won) of every game of the leagues' brackets.
 
-    Every score is a keyed draw of (trial, week, team), so that scenarios with one seed are paired and no
-    partition or retry changes a result. Scores, head-to-heads, standings, seeds and bracket rounds are joins and
-    windows over (trial, team) rows.
+    teams has the league's keys, team and seed (from 1), scores those, team, round and points. The best seeds
+    have a bye while the field is no power of two; then the best left plays the worst left, by seed anew in
+    each round if reseed is on, else by their place in the bracket. More points win, the better seed of two as
+    good. A round is one window over the league's teams that are left.
     """
-    spark = teams.sparkSession
-    n = teams.count()
-    spread_trials = spark.range(trials).select(F.col("id").alias("trial"))
-    league = F.broadcast(teams)  # a league's teams
-
-    def scores(rows: DataFrame, purpose: int) -> Column:
-        return F.col("mean") + F.col("sd") * keyed_gauss(F.lit(seed), F.col("trial"), F.col("week"), F.col("team"), F.lit(purpose))
-
-    schedule = spark.createDataFrame(round_robin(n, weeks), "week int, home int, away int")
-    sides = schedule.select("week", F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("away").alias("other")), F.struct(F.col("away").alias("team"), F.col("home").alias("other")))).alias("s")).select("week", "s.*")
-    played = spread_trials.join(F.broadcast(sides)).join(league, "team")
-    played = played.withColumn("points", scores(played, 0x3000))
-    pair = Window.partitionBy("trial", "week", F.least("team", "other"))
-    won = (F.col("points") == F.max("points").over(pair)).cast("int")
-    table = played.withColumn("won", won).groupBy("trial", "team", "mean", "sd").agg(F.sum("won").alias("wins"), F.sum("points").alias("total"))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("wins"), F.desc("total"), "team"))
-    alive = table.withColumn("seed", place).where(F.col("seed") <= places)
-    reached = alive.select("trial", "team")
-    size, week = 1, weeks
+    size, round_, out = 1, 0, None
     while size < places:
         size *= 2
+    alive = teams.where(F.col("seed") <= places).select(*league, "team", "seed", F.col("seed").alias("slot"))
     while size > 1:
-        week += 1
-        order = F.row_number().over(Window.partitionBy("trial").orderBy("seed")) if reseed or size >= places else F.col("slot")
-        alive = alive.withColumn("slot", order).withColumn("week", F.lit(week))
-        alive = alive.withColumn("pair", F.least(F.col("slot"), F.lit(size + 1) - F.col("slot"))).withColumn("points", scores(alive, 0x7000))
-        best = F.row_number().over(Window.partitionBy("trial", "pair").orderBy(F.desc("points"), "seed"))
-        alive = alive.withColumn("best", best).where("best = 1").withColumn("slot", F.col("pair")).drop("best", "points")
+        round_ += 1
+        place = F.row_number().over(Window.partitionBy(*league).orderBy("seed")) if reseed and round_ > 1 else F.col("slot")
+        own = alive.withColumn("slot", place).withColumn("pair", F.least(F.col("slot"), F.lit(size + 1) - F.col("slot")))
+        own = own.join(scores.where(F.col("round") == round_).select(*league, "team", "points"), [*league, "team"], "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
+        w = Window.partitionBy(*league, "pair")
+        best = F.row_number().over(w.orderBy(F.desc("points"), "seed"))
+        played = own.withColumn("won", best == 1).withColumn("both", F.sum("team").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+        games = played.where("n = 2").select(*league, "team", "seed", F.lit(round_).alias("round"), (F.col("both") - F.col("team")).alias("opponent"), "points", "won")
+        out = games if out is None else out.unionByName(games)
+        alive = played.where("won").select(*league, "team", "seed", F.col("pair").alias("slot"))
         size //= 2
-    count = lambda df, name: df.groupBy("team").agg((F.count("*") / F.lit(float(trials))).alias(name))
-    out = teams.select("team").join(count(reached, "playoff"), "team", "left").join(count(alive, "title"), "team", "left")
-    return out.select("team", F.coalesce("playoff", F.lit(0.0)).alias("playoff"), F.coalesce("title", F.lit(0.0)).alias("title"))
+    return out
 
 
-def paired_delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, delta) of two scenarios that were run with one seed."""
-    return a.join(b.select(key, F.col(value).alias("__b")), key).select(key, (F.col(value) - F.col("__b")).alias("delta"))
+# Decisions in hindsight
 
 
-def shrunk_cholesky(r: np.ndarray) -> np.ndarray:
-    """The Cholesky factor of a correlation matrix, its off-diagonal shrunk by tenths until there is one."""
-    for keep in np.arange(1.0, -0.01, -0.1):
-        try:
-            return np.linalg.cholesky(r * keep + np.eye(len(r)) * (1 - keep))
-        except np.linalg.LinAlgError:
-            continue
-    return np.eye(len(r))
+def pick_backtest(df: DataFrame, keys: list[str], row: str, forecast: str, actual: str) -> DataFrame:
+    """(keys, picked, best, got, most, regret): of each group the row that the forecast takes, the one that was best,
+    what they made and the gap; equals go to the smaller row."""
+    first = lambda by: F.min_by(F.col(row), F.struct(-F.col(by), F.col(row)))
+    value = lambda by: F.min_by(F.col(actual), F.struct(-F.col(by), F.col(row)))
+    got = df.groupBy(*keys).agg(first(forecast).alias("picked"), first(actual).alias("best"), value(forecast).alias("got"), value(actual).alias("most"))
+    return got.withColumn("regret", F.col("most") - F.col("got"))
 
 
-def copula_seasons(players: DataFrame, trials: int, correlation: float, seed: int = 1) -> DataFrame:
-    """(team, player, trial, total, weeks): a season of each of a team's players in each trial.
+def lineup_backtest(df: DataFrame, season: str, keys: list[str], row: str, forecast: str, actual: str, eligible: str, slots: Sequence[str]) -> DataFrame:
+    """(season, n, got, best, share, right): over the lineups of each season what those chosen by forecast made, what
+    the best could have made, their ratio and the share of lineups that were the best."""
+    per = regret(df, [season, *keys], row, forecast, actual, eligible, slots)
+    right = F.avg((F.abs("regret") < 1e-9).cast("double"))
+    total = per.groupBy(season).agg(F.count("*").alias("n"), F.sum("got").alias("got"), F.sum("best").alias("best"), right.alias("right"))
+    return total.select(season, "n", "got", "best", F.try_divide("got", "best").alias("share"), "right")
 
-    players has team, player (a whole number), and trajectories, an array of arrays of weekly points. A player's
-    trajectory is the one at floor(u * n) in the order of totals, u being the normal CDF of a team's correlated
-    normals, whose independent parts are keyed draws. A group is a team's players.
-    """
-    draws = players.select("team", "player", "trajectories").withColumn(
-        "z", F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: keyed_gauss(F.lit(seed), t, F.lit(0), F.col("player"), F.lit(0x4000)))
-    )
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        from math import erf
-
-        frame = frame.sort_values("player")
-        n = len(frame)
-        r = np.full((n, n), correlation) + np.eye(n) * (1 - correlation)
-        z = shrunk_cholesky(r) @ np.array(frame["z"].tolist())
-        u = 0.5 * (1 + np.vectorize(erf)(z / np.sqrt(2)))
-        rows = []
-        for k, (team, player, pool) in enumerate(zip(frame["team"], frame["player"], frame["trajectories"])):
-            ordered = sorted((list(map(float, p)) for p in pool), key=sum)
-            for t in range(trials):
-                weeks = ordered[min(len(ordered) - 1, int(u[k, t] * len(ordered)))]
-                rows.append((team, player, t, float(sum(weeks)), weeks))
-        return pd.DataFrame(rows, columns=["team", "player", "trial", "total", "weeks"])
-
-    kind = players.schema["team"].dataType.simpleString()
-    return draws.groupBy("team").applyInPandas(one, f"team {kind}, player long, trial long, total double, weeks array<double>")
-
-
-def couple_within_week(seasons: DataFrame, keys: list[str], weeks: str, seed: int = 1) -> DataFrame:
-    """Each row's non-zero weeks put in the order of keyed normals; its total stays. Array expressions only."""
-    at = F.sequence(F.lit(0), F.size(weeks) - 1)
-    normal = F.transform(at, lambda w: keyed_gauss(F.lit(seed), F.col("trial"), w, F.col("player"), F.lit(0x5000)))
-    zipped = F.zip_with(F.transform(at, lambda w: w), normal, lambda w, z: F.struct(w.alias("w"), z.alias("z")))
-    live = F.filter(zipped, lambda s: F.element_at(F.col(weeks), (s["w"] + 1).cast("int")) != 0)
-    order = F.transform(F.array_sort(F.transform(live, lambda s: F.struct(s["z"].alias("z"), s["w"].alias("w")))), lambda s: s["w"])
-    points = F.array_sort(F.filter(F.col(weeks), lambda x: x != 0))
-    df = seasons.withColumn("__order", order).withColumn("__points", points)
-    place = lambda w: F.array_position("__order", w)
-    coupled = F.transform(at, lambda w: F.when(place(w) > 0, F.element_at("__points", F.greatest(place(w), F.lit(1)).cast("int"))).otherwise(F.lit(0.0)))
-    return df.withColumn(weeks, coupled).drop("__order", "__points")
-
-
-def draft_greedy(players: DataFrame, teams: int, rounds: int, sims: int, noise: float, seed: int = 1) -> DataFrame:
-    """(sim, pick, team, player): snake drafts in which each pick takes the best player left by value with keyed
-    noise of (sim, player). With one noise a sim, the k-th pick is the k-th in that order: a rank, not a loop."""
-    from .ranking import serpentine
-
-    spark = players.sparkSession
-    noisy = spark.range(sims).select(F.col("id").alias("sim")).join(F.broadcast(players.select("player", "value")))
-    noisy = noisy.withColumn("v", F.col("value") + noise * keyed_gauss(F.lit(seed), F.col("sim"), F.lit(0), F.col("player"), F.lit(0x9000)))
-    rank = F.row_number().over(Window.partitionBy("sim").orderBy(F.desc("v"), "player"))
-    picks = spark.range(1).select(F.explode(serpentine(teams, rounds)).alias("p")).select("p.*")
-    return noisy.withColumn("pick", rank.cast("long")).join(F.broadcast(picks.withColumn("pick", F.col("pick").cast("long"))), "pick").select("sim", "pick", "team", "player")
-
-
-def episode_lengths(df: DataFrame, hazard: Sequence[float], tail: float, most: int, seed: int = 1) -> DataFrame:
-    """df(trial, player) with weeks out: the first week whose keyed draw falls under the hazard of returning."""
-    out = None
-    for w in range(most, 0, -1):
-        h = hazard[w - 1] if w <= len(hazard) else tail
-        back = keyed_draw(F.lit(seed), F.col("trial"), F.lit(w), F.col("player"), F.lit(0x2000)) < h
-        out = F.lit(most) if out is None else F.when(back, w).otherwise(out)
-    return df.withColumn("weeks_out", out)
+def odds_invariants(odds: DataFrame, league: list[str], field: int, games: Column) -> DataFrame:
+    """(league, name, got, want, ok): what must hold of any table of odds(wins, playoff, title): a win a game, a
+    place in the field for each of `field`, one champion."""
+    sums = odds.groupBy(*league).agg(F.sum("wins").alias("w"), F.sum("playoff").alias("p"), F.sum("title").alias("t"), F.max(games).alias("g"))
+    laws = (("wins", "w", F.col("g"), 0.5), ("field", "p", F.lit(float(field)), 0.05), ("champion", "t", F.lit(1.0), 0.02))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("got"), want.cast("double").alias("want"), F.lit(tol).alias("tol")) for n, c, want, tol in laws)))
+    return sums.select(*league, rows.alias("r")).select(*league, "r.name", "r.got", "r.want", (F.abs(F.col("r.got") - F.col("r.want")) <= F.col("r.tol")).alias("ok"))
+
+
+def noise_floor(se: Column, trials: Column, seeds: Column, least_seeds: int = 3, times: float = 2.9) -> Column:
+    """The smallest difference in percentage points that paired runs can tell from none: `times` standard errors,
+    the error being no less than a trial's step over the root of the seeds; null with too few seeds."""
+    step = F.lit(100.0) / F.greatest(F.lit(1), trials) / F.sqrt(F.greatest(F.lit(1), seeds))
+    return F.when(se.isNotNull() & (seeds >= least_seeds), times * F.greatest(se, step))
+
+
+# Values of positions and backups
+
+
+def group_multipliers(df: DataFrame, season: str, group: str, against: str, value: str) -> DataFrame:
+    """(season, group, against, n, mult): the mean value of a group's rows against one opponent over that of all the
+    group's rows of the season, shrunk to 1 by how well the seasons before tell the next: the correlation of a
+    pair's multipliers in consecutive seasons, by group, 0 where there is none or it is below."""
+    own = df.groupBy(season, group, against).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    all_ = df.groupBy(season, group).agg(F.sum(value).alias("all_s"), F.count(value).alias("all_n"))
+    raw = own.join(all_, [season, group]).select(season, group, against, "n", F.try_divide(F.col("s") / F.col("n"), F.col("all_s") / F.col("all_n")).alias("raw"))
+    last = raw.select((F.col(season) + 1).alias(season), group, against, F.col("raw").alias("last"))
+    r = raw.join(last, [season, group, against]).groupBy(group).agg(F.corr("last", "raw").alias("r"))
+    kept = F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0)))
+    return raw.join(r, group, "left").select(season, group, against, "n", (1 + kept * (F.col("raw") - 1)).alias("mult"))
+
+
+def expected_best(df: DataFrame, keys: list[str], value: str, available: str, tie: str, slots: int, out: str = "expected") -> DataFrame:
+    """(keys, out): the expected sum of the best `slots` of a group's values when each row is there with its own
+    chance, apart from the others. Exact: a row counts with the chance that it is there and fewer than `slots`
+    better ones are, which a fold over the group's rows in order carries along. A group is a roster."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(tie).alias("t"), F.col(available).alias("a"))))
+    zero = F.struct(F.array(*(F.lit(1.0 if k == 0 else 0.0) for k in range(slots))).alias("p"), F.lit(0.0).alias("s"))
+
+    def step(acc, row):
+        chance = F.aggregate(acc["p"], F.lit(0.0), lambda a, x: a + x)
+        held = F.transform(acc["p"], lambda x, k: x * (1 - row["a"]) + F.when(k > 0, F.get(acc["p"], k - 1)).otherwise(F.lit(0.0)) * row["a"])
+        return F.struct(held.alias("p"), (acc["s"] - row["v"] * row["a"] * chance).alias("s"))
+
+    return df.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda acc: acc["s"]).alias(out))
+
+
+def backup_board(df: DataFrame, keys: list[str], row: str, value: str, miss: str, weeks: int) -> DataFrame:
+    """(keys, row, lead, gain): for every row behind the best of its group, what it is worth over the weeks left: the
+    lead's rate less its own, times the weeks that the lead is expected to miss. Leads worth nothing have no backups."""
+    place = Window.partitionBy(*keys).orderBy(F.desc(value), row)
+    ranked = df.select(*keys, row, value, miss).withColumn("place", F.row_number().over(place))
+    lead = ranked.where((F.col("place") == 1) & (F.col(value) > 0)).select(*keys, F.col(row).alias("lead"), F.col(value).alias("lead_value"), F.col(miss).alias("lead_miss"))
+    gain = (F.col("lead_value") - F.col(value)) / weeks * F.col("lead_miss") * weeks
+    return ranked.where("place > 1").join(lead, keys).select(*keys, row, "lead", gain.alias("gain"))
 
 
 # Lineage

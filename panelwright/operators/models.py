@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp, logistic, shrunk_ratio
+from ..functions.numbers import clamp, keyed_draw, logistic, shrunk_ratio
+from ..sources.work import settled
+
+#: Clusters of a bootstrap, as seasons, that one task numbers at most.
+MOST_CLUSTERS = 100_000
 
 # Scoring
 
@@ -47,17 +51,87 @@ def clamp_between(x: Column, low: Column, high: Column) -> Column:
     return F.least(high, F.greatest(low, x))
 
 
-def check_artifact(artifact: dict, features: Sequence[str]) -> dict:
-    """The artifact, or ValueError if it lacks features, has others, or its golden rows don't come out to 1e-6."""
+def check_artifact(artifact: dict, features: Sequence[str], holdout: Sequence[int] = ()) -> dict:
+    """The artifact; ValueError if it has other features than those expected or in another order, if it learned from
+    a season that is held out, if a tree lacks a part or points outside itself, or if its golden rows, of which
+    there must be one, don't come out to 1e-6."""
     if list(artifact.get("features", [])) != list(features):
         raise ValueError("the artifact's features are not those expected")
-    for row in artifact.get("golden", []):
+    seen = sorted(set(artifact.get("seasons", ())) & set(holdout))
+    if seen:
+        raise ValueError(f"the artifact learned from held-out seasons {seen}")
+    for tree in artifact.get("trees", ()):
+        parts = [tree.get(k, ()) for k in ("feature", "threshold", "left", "right", "missing_left", "value")]
+        inner = [k for k, f in enumerate(parts[0]) if f >= 0]
+        if len({len(p) for p in parts}) != 1 or not parts[0] or any(not k < max(parts[2][k], parts[3][k]) < len(parts[0]) or parts[0][k] >= len(features) for k in inner):
+            raise ValueError("a tree of the artifact is broken")
+    if not artifact.get("golden"):
+        raise ValueError("the artifact has no golden rows")
+    for row in artifact["golden"]:
         got = tree_scores(artifact["trees"], np.array([row["x"]], float), artifact.get("base", 0.0))[0]
         if abs(got - row["y"]) > 1e-6:
             raise ValueError(f"a golden row gives {got}, not {row['y']}")
     return artifact
 
 
+def heads(specs: Sequence[dict], coefficients: dict[str, dict[str, list[float]]], group: Column, base: Column, **how) -> list[Column]:
+    """A linear_head for each name (mean, p10, p50, p90): coefficients by name and group."""
+    return [linear_head(specs, by_group, group, base, **how).alias(name) for name, by_group in coefficients.items()]
+
+
+def served(df: DataFrame, week: list[str], group: str, line: str, opponent: str, values: Sequence[str], zero: str) -> DataFrame:
+    """df with `rank`, a row's place in its group by line (equals share one), and `no_game`: a row without an opponent in a week in which
+    others have one is a certain zero: its values are 0 and the chance of zero is 1. Where no row of a week has an
+    opponent, the schedule isn't known and nothing is changed."""
+    known = F.max(F.col(opponent).isNotNull()).over(Window.partitionBy(*week))
+    rank = F.rank().over(Window.partitionBy(*week, group).orderBy(F.desc_nulls_last(line)))
+    out = df.withColumn("rank", rank).withColumn("no_game", known & F.col(opponent).isNull())
+    return out.withColumns({**{v: F.when(F.col("no_game"), F.lit(0.0)).otherwise(F.col(v)) for v in values}, zero: F.when(F.col("no_game"), F.lit(1.0)).otherwise(F.col(zero))})
+
+
+def age_factor(df: DataFrame, births: DataFrame, names: DataFrame, curve: DataFrame, key: str, group: str, name: str, season: str, out: str = "factor") -> DataFrame:
+    """df with the curve(group, age, f) factor of each row's age: the birth year of births(key, born) goes before that
+    of names(group, name, born); ages beyond the curve's ends take the ends, and 1 stands where the birth year or
+    the age is unknown or the factor is not above 0."""
+    one = births.select(key, F.col("born").alias("__one"))
+    two = names.select(group, name, F.col("born").alias("__two"))
+    ends = curve.agg(F.min("age").alias("__low"), F.max("age").alias("__high"))  # one row
+    own = df.join(one, key, "left").join(two, [group, name], "left").join(F.broadcast(ends))
+    own = own.withColumn("__age", F.greatest("__low", F.least("__high", F.col(season) - F.coalesce("__one", "__two"))))
+    own = own.withColumn("__age", F.when(F.coalesce("__one", "__two").isNotNull(), F.col("__age")))
+    held = curve.select(group, F.col("age").alias("__age"), F.col("f").alias("__f"))
+    factor = F.when(F.col("__f") > 0, F.col("__f")).otherwise(1.0)
+    return own.join(held, [group, "__age"], "left").withColumn(out, factor).select(*df.columns, out)
+
+
+def carry_forward(df: DataFrame, key: list[str], season: str, value: str, at: int, qs: dict[str, float], least: float = 20.0) -> DataFrame:
+    """(key, mean, and a column a quantile) of a season: last season's value, and it times the quantiles of value over
+    the one before, over all other seasons whose one before is above `least`."""
+    last = df.select(*key, (F.col(season) + 1).alias(season), F.col(value).alias("__last"))
+    both = df.join(last, [*key, season])
+    ratios = both.where((F.col("__last") > least) & (F.col(season) != at)).select((F.col(value) / F.col("__last")).alias("r"))
+    ratio = ratios.agg(*(F.coalesce(F.percentile("r", q), F.lit(1.0)).alias(f"__{name}") for name, q in qs.items()))  # one row
+    own = last.where(F.col(season) == at).join(F.broadcast(ratio))
+    return own.select(*key, F.col("__last").alias("mean"), *((F.col("__last") * F.col(f"__{name}")).alias(name) for name in qs))
+
+
+def boosted(train: DataFrame, rows: DataFrame, xs: Sequence[str], y: str, out: str, classes: bool = False, trees: int = 10, depth: int = 3, seed: int = 1) -> DataFrame:
+    """rows with `out`, by gradient-boosted trees over binned features: the mean, or of two classes the chance of 1.
+    Rows with a missing feature are left out of both."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    put = VectorAssembler(inputCols=list(xs), outputCol="__x", handleInvalid="skip")
+    kind = GBTClassifier if classes else GBTRegressor
+    learner = kind(featuresCol="__x", labelCol=y, predictionCol="__y", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed)
+    model = learner.fit(put.transform(train.select(*xs, F.col(y).cast("double").alias(y))).select("__x", y))
+    got = model.transform(put.transform(rows))
+    value = vector_to_array(F.col("probability"))[1] if classes else F.col("__y")
+    return got.withColumn(out, value).select(*rows.columns, out)
+
+
 def tree_scores(trees: list[dict], x: np.ndarray, base: float = 0.0) -> np.ndarray:
     """The sum of boosted trees for rows of features; NaN goes the way the node says. A tree has arrays feature (-1
     at leaves), threshold, left, right, missing_left and value; all rows walk it level by level."""
@@ -236,19 +310,31 @@ def fit_logistic(df: DataFrame, xs: Sequence[str], y: str, l2: float = 1.0, roun
     return w.tolist()
 
 
-def fit_quantile(frame: pd.DataFrame, xs: Sequence[str], y: str, q: float, rounds: int = 60) -> list[float]:
-    """Quantile regression of one group's rows by iteratively reweighted least squares on the pinball loss."""
-    x = np.column_stack([np.ones(len(frame)), frame[list(xs)].to_numpy(float)])
-    t = frame[y].to_numpy(float)
-    w = np.linalg.lstsq(x, t, rcond=None)[0]
-    for _ in range(rounds):
-        r = t - x @ w
-        weight = np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), 1e-6)
-        new = np.linalg.solve((x * weight[:, None]).T @ x + 1e-9 * np.eye(x.shape[1]), (x * weight[:, None]).T @ t)
-        if np.abs(new - w).max() < 1e-9:
-            break
-        w = new
-    return w.tolist()
+def fit_quantile(df: DataFrame, keys: list[str], xs: Sequence[str], y: str, q: float, rounds: int = 25) -> DataFrame:
+    """(keys, b): coefficients of a quantile regression by group, intercept first, by reweighted least squares on the
+    pinball loss.
+
+    As in fit_ols, sums by group are all that meets Python: each round weighs the rows by their residuals of the
+    round before, q above and 1 - q below over their size, and sums the weighted normal equations map-side.
+    """
+
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series([solve_moments(a, b) for a, b in zip(xx, xy)])
+
+    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
+    rows = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*xs, y)))).select(*keys, *xs, y)
+    b = fit_ols(rows, keys, xs, y).select(*keys, F.col("coefficients").alias("b"))
+    for k in range(rounds):
+        b = settled(b, "quantile-round")
+        fitted = reduce(lambda acc, ic: acc + F.element_at("b", ic[0] + 1) * ic[1], enumerate(cols), F.lit(0.0))
+        met = rows.join(b, keys).withColumn("__r", F.col(y) - fitted)
+        weight = F.when(F.col("__r") >= 0, q).otherwise(1 - q) / F.greatest(F.abs("__r"), F.lit(1e-6))
+        weighed = met.withColumn("__w", weight)
+        xx = F.array(*(F.sum(F.col("__w") * a * c) for i, a in enumerate(cols) for c in cols[i:]))
+        xy = F.array(*(F.sum(F.col("__w") * a * F.col(y)) for a in cols))
+        b = weighed.groupBy(*keys).agg(xx.alias("xx"), xy.alias("xy")).select(*keys, solve("xx", "xy").alias("b"))
+    return b
 
 
 def forward_blocks(seasons: Sequence[int], least: int) -> list[tuple[list[int], int]]:
@@ -320,13 +406,13 @@ def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 20
     Clusters (seasons) are few and draws fixed: a draw's picks are keyed hashes, so the interval is the same
     whatever the partitions. The clusters' means are numbered and met by (draw, pick) rows.
     """
-    from ..functions.numbers import keyed_draw
-
-    means = df.groupBy(cluster).agg(F.avg(value).alias("m"))
+    means = settled(df.groupBy(cluster).agg(F.avg(value).alias("m")), "clusters")
+    n = means.count()
+    if n > MOST_CLUSTERS:
+        raise ValueError(f"{n} clusters are more than the {MOST_CLUSTERS} that are numbered in one task")
     numbered = means.withColumn("i", F.row_number().over(Window.orderBy(cluster)))
-    n = numbered.count()
     picks = df.sparkSession.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), (F.col("id") % n).alias("slot"))
-    u = keyed_draw(F.lit(seed), F.col("draw"), F.lit(0), F.col("slot"), F.lit(1))
+    u = keyed_draw(F.lit("bootstrap"), F.lit(seed), F.col("draw"), F.col("slot"))
     picked = picks.withColumn("i", (F.floor(u * n) + 1).cast("int")).join(F.broadcast(numbered), "i").groupBy("draw").agg(F.avg("m").alias("m"))
     point = means.agg(F.avg("m").alias("mean"))
     return picked.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).join(F.broadcast(point)).select("mean", "low", "high")

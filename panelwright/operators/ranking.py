@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import settled
+
 
 def ordinal(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -117,8 +119,21 @@ def tiers(df: DataFrame, keys: list[str], value: str, tie: str, drop: float = 3.
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: str, out: str = "q") -> DataFrame:
     """Adjusted p-values: the running minimum, from the largest, of p * n / rank, at most 1."""
-    w = Window.partitionBy(*keys).orderBy(p, tie)
+    w = Window.partitionBy(*keys).orderBy(p, tie)  # a family of hypotheses, one task
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     raw = df.withColumn("__raw", F.col(p) * n / F.row_number().over(w))
     back = w.rowsBetween(0, Window.unboundedFollowing)
     return raw.withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(back))).drop("__raw")
+
+
+def rank_over_all(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """Competition ranks over a whole table, the largest value first, with no window over all of it: the distinct values
+    are dealt out by range, summed within each range, and a row a range is summed over all."""
+    per = df.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(F.desc(value)).withColumn("__part", F.spark_partition_id())
+    per = settled(per, "ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.groupBy("__part").agg(F.sum("__n").alias("__m"))  # a row a partition
+    parts = parts.select("__part", F.coalesce(F.sum("__m").over(before.orderBy("__part")), F.lit(0)).alias("__above"))
+    within = F.coalesce(F.sum("__n").over(before.partitionBy("__part").orderBy(F.desc(value))), F.lit(0))
+    ranked = per.join(F.broadcast(parts), "__part").withColumn(out, (F.col("__above") + within + 1).cast("long"))
+    return df.join(ranked.select(value, out), value)

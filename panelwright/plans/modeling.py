@@ -1,4 +1,4 @@
-"""Queries of ranks, curves, models, metrics, valuation and simulation."""
+"""Queries of ranks, curves, models, metrics and valuation."""
 
 from __future__ import annotations
 
@@ -160,13 +160,49 @@ def tk09(spark, d):
     return ranking.playoff_seeds(table(spark, d, "customer"), ["c_nationkey"], "c_mktsegment", [F.desc("c_acctbal"), F.col("c_custkey")], 6).select("c_custkey", "seed")
 
 
-@query("tk11_round_robin", "select count(*)::bigint as games, count(distinct least(home, away) * 100 + greatest(home, away))::bigint as pairs from (select unnest([" + ",".join(f"{{'home': {h}, 'away': {a}}}" for _, h, a in decisions.round_robin(10, 9)) + "]) as g), lateral (select g.home as home, g.away as away)")
+@query(
+    "tk10_bracket",
+    """with s as (select c_nationkey as league, c_custkey as team, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as seed from customer),
+      p as (select c_nationkey as league, c_custkey as team, r as round, ((c_custkey * (2 * r + 5)) % 101)::double as points from customer, unnest([1, 2, 3]) t(r)),
+      a1 as (select s.league, s.team, seed, case when seed <= 2 then null else least(seed, 9 - seed) end as pair, points from s join p on p.league = s.league and p.team = s.team and round = 1 where seed <= 6),
+      g1 as (select *, count(*) over (partition by league, pair) as n, row_number() over (partition by league, pair order by points desc, seed) = 1 as won, sum(team) over (partition by league, pair) - team as opponent from a1 where pair is not null),
+      b1 as (select league, team, seed from a1 where pair is null union all select league, team, seed from g1 where won),
+      a2 as (select b1.league, b1.team, seed, row_number() over (partition by b1.league order by seed) as k, points from b1 join p on p.league = b1.league and p.team = b1.team and round = 2),
+      g2 as (select *, least(k, 5 - k) as pair, row_number() over (partition by league, least(k, 5 - k) order by points desc, seed) = 1 as won, sum(team) over (partition by league, least(k, 5 - k)) - team as opponent, count(*) over (partition by league, least(k, 5 - k)) as n from a2),
+      a3 as (select g2.league, g2.team, seed, p.points from g2 join p on p.league = g2.league and p.team = g2.team and round = 3 where won),
+      g3 as (select *, row_number() over (partition by league order by points desc, seed) = 1 as won, sum(team) over (partition by league) - team as opponent, count(*) over (partition by league) as n from a3)
+      select league, team, seed::int as seed, 1 as round, opponent::bigint as opponent, points, won from g1 where n = 2 union all
+      select league, team, seed::int, 2, opponent::bigint, points, won from g2 where n = 2 union all select league, team, seed::int, 3, opponent::bigint, points, won from g3 where n = 2""",
+)
+def tk10(spark, d):
+    """The six best customers of each nation: two byes, and the field seeded anew after each round."""
+    c = table(spark, d, "customer")
+    seed = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    teams = c.select(F.col("c_nationkey").alias("league"), F.col("c_custkey").alias("team"), seed.alias("seed"))
+    rounds = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    scores = c.select(F.col("c_nationkey").alias("league"), F.col("c_custkey").alias("team"), rounds.alias("round"))
+    scores = scores.withColumn("points", ((F.col("team") * (2 * F.col("round") + 5)) % 101).cast("double"))
+    return decisions.bracket(teams, scores, ["league"], 6)
+
+
+@query(
+    "tk11_round_robin",
+    """with w as (select unnest(range(1, 10))::int as week), k as (select unnest(range(0, 5))::int as k),
+      g as (select week, k, case when k = 0 then 1 else (k - 1 + week - 1) % 9 + 2 end as a, (9 - k - 1 + week - 1) % 9 + 2 as b from w, k)
+      select week, case when (week + k) % 2 = 1 then a else b end::int as home, case when (week + k) % 2 = 1 then b else a end::int as away from g""",
+)
 def tk11(spark, d):
-    games = spark.createDataFrame(decisions.round_robin(10, 9), "week int, home int, away int")
-    return games.agg(F.count("*").alias("games"), F.countDistinct(F.least("home", "away") * 100 + F.greatest("home", "away")).alias("pairs"))
+    return spark.createDataFrame(decisions.round_robin(10, 9), "week int, home int, away int")
 
 
-@query("tk12_tiers")
+@query(
+    "tk12_tiers",
+    """with recursive r as (select p_brand, p_partkey, p_retailprice as v, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as k from part),
+      t as (select p_brand, p_partkey, v, k, 1 as tier, 1 as held from r where k = 1 union all
+        select r.p_brand, r.p_partkey, r.v, r.k, case when t.v - r.v > greatest(3.0, 0.15 * t.v) or t.held >= 5 then t.tier + 1 else t.tier end,
+          case when t.v - r.v > greatest(3.0, 0.15 * t.v) or t.held >= 5 then 1 else t.held + 1 end from t join r on r.p_brand = t.p_brand and r.k = t.k + 1)
+      select p_partkey, tier::bigint as tier from t""",
+)
 def tk12(spark, d):
     p = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
     return ranking.tiers(p, ["p_brand"], "p_retailprice", "p_partkey").select("p_partkey", "tier")
@@ -282,6 +318,27 @@ def ml01(spark, d):
     return line.select("l_orderkey", "l_linenumber", F.round(p, 6).alias("p"))
 
 
+HEADS = {
+    "mean": {"R": [1.0, 0.5], "N": [0.9, 2.0]}, "p10": {"R": [0.4, 0.1], "N": [0.3, 0.5]},
+    "p50": {"R": [0.95, 0.4], "N": [0.85, 1.5]}, "p90": {"R": [1.7, 1.0], "N": [1.5, 4.0]},
+}
+
+
+def _heads_sql(form: str) -> str:
+    lin = {name: {g: f"({b[0]} + {b[1]} * l_discount)" for g, b in by.items()} for name, by in HEADS.items()}
+    value = (lambda e: f"l_quantity * least(2.0, greatest(0.5, {e}))") if form == "ratio" else (lambda e: f"least(l_quantity * 2.0, greatest(l_quantity * 0.5, l_quantity + {e}))")
+    return ", ".join(f"round(case l_returnflag when 'R' then {value(e['R'])} when 'N' then {value(e['N'])} else l_quantity end, 8) as {form}_{name}" for name, e in lin.items())
+
+
+@query("ml02_four_heads", f"select l_orderkey, l_linenumber, {_heads_sql('ratio')}, {_heads_sql('offset')} from lineitem")
+def ml02(spark, d):
+    """A projection's mean and three quantiles, as a ratio to the base and as an offset from it; a flag without
+    coefficients keeps the base."""
+    specs, group, base = [{"column": "l_discount"}], F.col("l_returnflag"), F.col("l_quantity")
+    got = [(form, name, head) for form in ("ratio", "offset") for name, head in zip(HEADS, models.heads(specs, HEADS, group, base, form=form, bounds=(0.5, 2.0)))]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(head, 8).alias(f"{form}_{name}") for form, name, head in got))
+
+
 TREES = {
     "features": ["l_quantity", "l_discount"], "base": 1.0,
     "trees": [
@@ -298,6 +355,41 @@ def ml03(spark, d):
     return models.score_trees(table(spark, d, "lineitem"), artifact, artifact["features"], "score").select("l_orderkey", "l_linenumber", "score")
 
 
+@query("ml05_artifacts", "select * from (values ('as it is', true), ('features', false), ('order', false), ('holdout', false), ('golden', false), ('no golden', false), ('broken tree', false)) t(artifact, accepted)")
+def ml05(spark, d):
+    """What the loader does with an artifact and with ones that are wrong in one way each."""
+    tree = TREES["trees"][0]
+    cases = {
+        "as it is": {}, "features": {"features": ["l_quantity", "l_tax"]}, "order": {"features": TREES["features"][::-1]}, "holdout": {"seasons": [1996, 1998]},
+        "golden": {"golden": [{"x": [10.0, 0.01], "y": 1.7500021}]}, "no golden": {"golden": []}, "broken tree": {"trees": [{**tree, "left": tree["left"][:-1]}]},
+    }
+
+    def accepted(change: dict) -> bool:
+        try:
+            return bool(models.check_artifact({**TREES, **change}, ["l_quantity", "l_discount"], holdout=[1998]))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(name, accepted(change)) for name, change in cases.items()], "artifact string, accepted boolean")
+
+
+@query(
+    "ml06_matchup_serving",
+    """with s as (select l_orderkey, l_linenumber, year(l_shipdate) as y, l_linestatus, l_quantity, case when l_returnflag <> 'A' and not (year(l_shipdate) = 1995) then l_returnflag end as opp,
+        1 + case when l_quantity <= 25 then case when l_discount <= 0.04 then 0.5 else 1.5 end else -1 end + case when l_discount <= 0.07 then 0.25 else 2 end as score from lineitem),
+      k as (select *, bool_or(opp is not null) over (partition by y) as known, rank() over (partition by y, l_linestatus order by l_quantity desc) as rank from s)
+      select l_orderkey, l_linenumber, known and opp is null as no_game, case when known and opp is null then 0.0 else score end as mean, case when known and opp is null then 1.0 else 0.25 end as p_zero, rank::int as rank from k""",
+)
+def ml06(spark, d):
+    """Trees served by year: a row without an opponent is a certain zero, but for a year that has none at all."""
+    artifact = models.check_artifact(TREES, ["l_quantity", "l_discount"])
+    line = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))
+    line = line.withColumn("opp", F.when((F.col("l_returnflag") != "A") & (F.col("y") != 1995), F.col("l_returnflag"))).withColumn("p_zero", F.lit(0.25))
+    scored = models.score_trees(line, artifact, artifact["features"], "mean")
+    out = models.served(scored, ["y"], "l_linestatus", "l_quantity", "opp", ["mean"], "p_zero")
+    return out.select("l_orderkey", "l_linenumber", "no_game", "mean", "p_zero", "rank")
+
+
 @query(
     "ml04_mixture_quantile",
     """with q as (select event_id, (event_id % 5) / 10.0 as z, value as a, value * 2 as b from events), t as (select *, (0.5 - z) / (1 - z) as t from q)
@@ -327,11 +419,15 @@ def ml09(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(heads[0] + heads[1] + heads[2] + heads[3], 8).alias("games_out"))
 
 
-@query("ml10_mlp")
+@query(
+    "ml10_mlp",
+    """with h as (select l_orderkey, l_linenumber, (l_quantity - 25) / 14 as a, (l_discount - 0.05) / 0.03 as b from lineitem)
+      select l_orderkey, l_linenumber, round(0.5 + 2 * greatest(0.0, 0.5 * a + b + 0.1) - greatest(0.0, 0.25 * b - a), 8) as score from h""",
+)
 def ml10(spark, d):
     layers = [{"w": [[0.5, -1.0], [1.0, 0.25]], "b": [0.1, 0.0]}, {"w": [[2.0], [-1.0]], "b": [0.5]}]
     artifact = {"layers": layers, "mean": [25.0, 0.05], "scale": [14.0, 0.03]}
-    return models.score_mlp(table(spark, d, "lineitem"), artifact, ["l_quantity", "l_discount"], "score").select("l_orderkey", "l_linenumber", "score")
+    return models.score_mlp(table(spark, d, "lineitem"), artifact, ["l_quantity", "l_discount"], "score").select("l_orderkey", "l_linenumber", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -346,7 +442,12 @@ def ml11(spark, d):
     return x.select("c_custkey", F.round(models.season_blend(F.col("line"), F.coalesce("n", F.lit(0)), F.col("p"), 6.0), 6).alias("blended"))
 
 
-@query("ml12_consensus_blend")
+@query(
+    "ml12_consensus_blend",
+    """with m as (select p_brand, p_partkey, p_retailprice, 0.6 * percent_rank() over (partition by p_brand order by p_retailprice desc) + 0.4 * percent_rank() over (partition by p_brand order by p_size desc) as x from part),
+      k as (select *, row_number() over (partition by p_brand order by x, p_retailprice desc, p_partkey) as k, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as o from m)
+      select a.p_partkey, b.p_retailprice as dealt from k a join k b on a.p_brand = b.p_brand and b.o = a.k""",
+)
 def ml12(spark, d):
     p = table(spark, d, "part")
     return models.consensus_blend(p, ["p_brand"], "p_retailprice", "p_size", 0.4, "p_partkey", "dealt").select("p_partkey", "dealt")
@@ -371,17 +472,44 @@ def ml14_loso(spark, d):
     return out.groupBy("y").agg(F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("predicted"))), 3).alias("mae"))
 
 
+@query(
+    "ml13_age_factor",
+    """with c(g, age, f) as (values ('1-URGENT', 22, 1.1), ('1-URGENT', 30, 1.0), ('1-URGENT', 25, 0.0), ('2-HIGH', 22, 0.8), ('2-HIGH', 23, 0.9), ('2-HIGH', 24, 1.2)),
+      b as (select o_orderkey, o_orderpriority as g, year(o_orderdate) as y, case when o_custkey % 3 = 0 then 1970 + o_custkey % 6 when o_custkey % 3 = 1 then 1968 end as born from orders),
+      a as (select *, case when born is not null then least(30, greatest(22, y - born)) end as age from b)
+      select o_orderkey, coalesce(case when f > 0 then f end, 1.0)::double as factor from a left join c using (g, age)""",
+)
+def ml13(spark, d):
+    """The factor of an age by group: a birth year by key goes before one by group and name; unknown ones give 1."""
+    o = table(spark, d, "orders")
+    o = o.withColumn("season", F.year("o_orderdate")).withColumn("name", (F.col("o_custkey") % 3).cast("string"))
+    keys = o.where("o_custkey % 3 = 0").select("o_custkey", (1970 + F.col("o_custkey") % 6).cast("int").alias("born")).distinct()
+    names = o.where("o_custkey % 3 = 1").select("o_orderpriority", "name", F.lit(1968).alias("born")).distinct()
+    curve = [("1-URGENT", 22, 1.1), ("1-URGENT", 30, 1.0), ("1-URGENT", 25, 0.0), ("2-HIGH", 22, 0.8), ("2-HIGH", 23, 0.9), ("2-HIGH", 24, 1.2)]
+    curve = spark.createDataFrame(curve, "o_orderpriority string, age int, f double")
+    return models.age_factor(o, keys, names, curve, "o_custkey", "o_orderpriority", "name", "season").select("o_orderkey", "factor")
+
+
 @query("ml15_quantile_fit")
 def ml15(spark, d):
-    line = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity", "l_discount").sample(False, 1.0)
-    by = line.groupBy("l_returnflag", "l_linenumber")
+    line = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity", "l_discount")
+    return models.fit_quantile(line, ["l_returnflag", "l_linenumber"], ["l_discount"], "l_quantity", 0.9)
+
 
-    def one(frame):
-        import pandas as pd
+@query("ml16_boosted_mean")
+def ml16(spark, d):
+    """The price by boosted trees, learned from the years before 1997; a row for each line of the years after."""
+    line = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate")).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "y")
+    got = models.boosted(line.where("y < 1997"), line.where("y >= 1997"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "p")
+    return got.select("l_orderkey", "l_linenumber", "l_extendedprice", "p")
 
-        return pd.DataFrame([(frame["l_returnflag"].iloc[0], int(frame["l_linenumber"].iloc[0]), models.fit_quantile(frame, ["l_discount"], "l_quantity", 0.9))], columns=["l_returnflag", "l_linenumber", "b"])
 
-    return by.applyInPandas(one, "l_returnflag string, l_linenumber int, b array<double>")
+@query("ml16_boosted_chance")
+def ml16_chance(spark, d):
+    line = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate")).withColumn("large", (F.col("l_extendedprice") > 30000).cast("double"))
+    line = line.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "large", "y")
+    got = models.boosted(line.where("y < 1997"), line.where("y >= 1997"), ["l_quantity", "l_discount"], "large", "p", classes=True)
+    return got.select("l_orderkey", "l_linenumber", "large", "p")
 
 
 @query("ml17_logistic")
@@ -397,6 +525,19 @@ def ml18(spark, d):
     return models.embargoed(o, "y", 1997, [1994]).groupBy("y").agg(F.count("*").alias("n"))
 
 
+@query(
+    "ml20_carry_forward",
+    """with s as (select o_custkey as k, year(o_orderdate) as y, sum(round(o_totalprice)::bigint)::double as v from orders group by 1, 2), b as (select a.k, a.y, a.v, l.v as last from s a join s l on l.k = a.k and l.y = a.y - 1),
+      r as (select v / last as r from b where last > 20 and y <> 1997), q as (select quantile_cont(r, 0.1) as q10, quantile_cont(r, 0.5) as q50, quantile_cont(r, 0.9) as q90 from r)
+      select k, v as mean, round(v * q10, 4) as p10, round(v * q50, 4) as p50, round(v * q90, 4) as p90 from s, q where y = 1996""",
+)
+def ml20(spark, d):
+    o = table(spark, d, "orders")
+    s = o.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.sum(F.round("o_totalprice").cast("bigint")).cast("double").alias("v"))
+    got = models.carry_forward(s, ["k"], "y", "v", 1997, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return got.select("k", "mean", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")))
+
+
 @query("ml19_forward_blocks", "select * from (values (1994, 2), (1995, 3), (1996, 4)) t(test, n_train)")
 def ml19(spark, d):
     return spark.createDataFrame([(t, len(tr)) for tr, t in models.forward_blocks([1992, 1993, 1994, 1995, 1996], 2)], "test int, n_train int")
@@ -465,10 +606,17 @@ def mx05_bins(spark, d):
     return models.reliability(chances(spark, d), [], "p", "y").select("bin", "n", F.round("chance", 8).alias("chance"), "share")
 
 
-@query("mx06_gate")
+@query(
+    "mx06_gate",
+    "with f as (select l_returnflag, l_extendedprice as y, l_quantity * 1000 as m, l_quantity * 500 as lo, l_quantity * 1800 as hi from lineitem), "
+    + f"g as (select l_returnflag, avg(2 * ({PIN.format(p='lo', q=0.1)} + {PIN.format(p='m', q=0.5)} + {PIN.format(p='hi', q=0.9)}) / 3) as crps, 20000.0::double as floor, "
+    + """avg(case when y > 0 then (y between lo and hi)::int end) as coverage, abs(0.0 - avg((y = 0)::int)) as zero_error from f group by rollup (l_returnflag))
+      select l_returnflag, round(crps, 6) as crps, floor, coverage, zero_error,
+        crps < floor and zero_error <= 0.03 and case when l_returnflag is null then coverage between 0.75 and 0.85 else coverage between 0.70 and 0.90 end as passes from g""",
+)
 def mx06(spark, d):
     f = forecasts(spark, d).withColumn("floor", F.lit(20000.0)).withColumn("zero", F.lit(0.0))
-    return models.gate(f, "l_returnflag", Y, {0.1: "p10", 0.5: P, 0.9: "p90"}, "floor", "zero")
+    return models.gate(f, "l_returnflag", Y, {0.1: "p10", 0.5: P, 0.9: "p90"}, "floor", "zero").withColumn("crps", F.round("crps", 6))
 
 
 @query("mx07_bootstrap")
@@ -533,6 +681,51 @@ def mx09_pbo(spark, d):
     return models.overfit_chance(p, "a", "b")
 
 
+@query(
+    "mx11_pick_backtest",
+    """with s as (select l_suppkey as s, l_partkey as p, year(l_shipdate) as y, sum(l_quantity) as q from lineitem group by all), b as (select a.s, a.p, a.y, a.q, coalesce(l.q, 0) as f from s a left join s l on l.s = a.s and l.p = a.p and l.y = a.y - 1),
+      k as (select *, row_number() over (partition by s, y order by f desc, p) as kf, row_number() over (partition by s, y order by q desc, p) as kq from b)
+      select s, y, max(p) filter (kf = 1) as picked, max(p) filter (kq = 1) as best, max(q) filter (kf = 1) as got, max(q) filter (kq = 1) as most, max(q) filter (kq = 1) - max(q) filter (kf = 1) as regret from k group by 1, 2""",
+)
+def mx11_pick(spark, d):
+    """Each year a supplier takes the part that sold most the year before; what the best would have sold."""
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").alias("q"))
+    last = s.select("s", "p", (F.col("y") + 1).alias("y"), F.col("q").alias("f"))
+    both = s.join(last, ["s", "p", "y"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+    return decisions.pick_backtest(both, ["s", "y"], "p", "f", "q")
+
+
+@query("mx11_lineup_backtest")
+def mx11_lineup(spark, d):
+    """Lineups of each nation's customers, by region: what those chosen by a guess made of what could be made."""
+    r = roster(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("season")), "c_nationkey")
+    return decisions.lineup_backtest(r, "season", ["c_nationkey"], "c_custkey", "guess", "c_acctbal", "eligible", ["QB", "RB", "RB", "WR", "FLEX"])
+
+
+@query(
+    "mx12_noise_floor",
+    """with s as (select o_custkey as k, stddev_samp(o_totalprice) / sqrt(count(*)) / 10000 as se, count(*)::bigint as n from orders group by 1)
+      select k, case when se is not null and n >= 3 then round(2.9 * greatest(se, 100.0 / 300 / sqrt(n)), 8) end as floor from s""",
+)
+def mx12(spark, d):
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.stddev_samp("o_totalprice") / F.sqrt(F.count("*")) / 10000).alias("se"), F.count("*").alias("n"))
+    return s.select("k", F.round(decisions.noise_floor(F.col("se"), F.lit(300), F.col("n")), 8).alias("floor"))
+
+
+@query(
+    "mx13_odds_invariants",
+    """with o as (select n_regionkey as league, count(*) as w, 1.0 as t, count(*)::double as g, sum(case when c_acctbal > 0 then 1 else 0 end) * 4.0 / count(*) as p from customer join nation on n_nationkey = c_nationkey group by 1)
+      select league, 'wins' as name, w::double as got, g as want, true as ok from o union all select league, 'field', round(p, 8), 4.0, abs(p - 4) <= 0.05 from o union all select league, 'champion', 1.0, 1.0, true from o""",
+)
+def mx13(spark, d):
+    """A region's customers as a league of equals: a win each, a title shared by all; the field only adds up to four
+    places where none of them is in debt."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("league")), "c_nationkey")
+    n = F.count(F.lit(1)).over(Window.partitionBy("league"))
+    odds = c.select("league", F.lit(1.0).alias("wins"), F.when(F.col("c_acctbal") > 0, 4 / n).otherwise(0.0).alias("playoff"), (1 / n).alias("title"), n.alias("n"))
+    return decisions.odds_invariants(odds, ["league"], 4, F.col("n")).withColumn("got", F.round("got", 8))
+
+
 # Valuation
 
 STARTERS = {"RB": 40, "QB": 20, "WR": 50}
@@ -576,22 +769,54 @@ def vl03(spark, d):
 
 @query("vl04_power_ratings")
 def vl04(spark, d):
-    line = table(spark, d, "lineitem").select((F.col("l_suppkey") % 30).alias("home"), (F.col("l_partkey") % 30).alias("away"), (F.col("l_discount") * 100 - 5).alias("spread"))
-    return decisions.power_ratings(line.where("home <> away"))
+    """Nations rated by all lines that a supplier of one sold to a customer of another, the discount being the spread."""
+    line, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("home"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("away"))
+    sold = line.select("l_orderkey", "l_suppkey", (F.col("l_discount") * 100 - 5).alias("spread")).join(s, "l_suppkey")
+    games = sold.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(c, "o_custkey")
+    return decisions.power_ratings(games.where("home <> away").select("home", "away", "spread"))
 
 
 @query("vl05_schedule_strength", "with s as (select l_partkey as k, sum(round(s_acctbal * 100)::bigint) / count(*) as sos from lineitem join supplier on s_suppkey = l_suppkey where month(l_shipdate) >= 10 group by 1) select k, sos, rank() over (order by sos desc) as rank from s")
 def vl05(spark, d):
     line, s = table(spark, d, "lineitem").where(F.month("l_shipdate") >= 10), table(spark, d, "supplier")
     sos = line.join(s, line.l_suppkey == s.s_suppkey).groupBy(F.col("l_partkey").alias("k")).agg((F.sum(cents("s_acctbal")) / F.count("*")).alias("sos"))
-    return ranking_over_all(sos)
+    return ranking.rank_over_all(sos, "sos").select("k", "sos", "rank")
+
+
+@query(
+    "vl06_group_multipliers",
+    """with v as (select year(l_shipdate) as y, l_returnflag as g, l_suppkey as a, l_extendedprice as x from lineitem), l as (select y, g, avg(x) as m from v group by 1, 2),
+      r as (select v.y, v.g, a, count(*)::bigint as n, avg(x) / any_value(m) as raw from v join l on l.y = v.y and l.g = v.g group by 1, 2, 3),
+      c as (select p.g, corr(p.raw, q.raw) as r from r p join r q on q.y = p.y + 1 and q.g = p.g and q.a = p.a group by 1)
+      select y::int as y, r.g, a, n, round(1 + greatest(0, coalesce(case when not isnan(c.r) then c.r end, 0)) * (raw - 1), 6) as mult from r left join c on c.g = r.g""",
+)
+def vl06(spark, d):
+    line = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("a"), F.col("l_extendedprice").alias("x"))
+    return decisions.group_multipliers(line, "y", "g", "a", "x").withColumn("mult", F.round("mult", 6))
+
+
+@query(
+    "vl08_expected_best",
+    """with c as (select c_nationkey as k, c_mktsegment as pos, c_acctbal as v, 0.5 + (c_custkey % 4) / 10.0 as a, c_custkey from customer),
+      w as (select *, coalesce(sum(ln(1 - a)) over b, 0) as l, coalesce(sum(a / (1 - a)) over b, 0) as odds from c window b as (partition by k, pos order by v desc, c_custkey rows between unbounded preceding and 1 preceding))
+      select k, pos, round(sum(v * a * exp(l) * (1 + odds)), 5) as expected from w group by 1, 2""",
+)
+def vl08(spark, d):
+    """The two best of each nation's customers in a segment, each there with its own chance."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("pos"), F.col("c_acctbal").alias("v"), (0.5 + (F.col("c_custkey") % 4) / 10).alias("a"), "c_custkey")
+    return decisions.expected_best(c, ["k", "pos"], "v", "a", "c_custkey", 2).withColumn("expected", F.round("expected", 5))
 
 
-def ranking_over_all(sos):
-    """Competition ranks over a whole table without one task for all rows: distinct values are counted and summed."""
-    per = sos.groupBy("sos").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("sos")).rowsBetween(Window.unboundedPreceding, -1)
-    return sos.join(per.withColumn("rank", (F.coalesce(F.sum("n").over(w), F.lit(0)) + 1).cast("bigint")).drop("n"), "sos").select("k", "sos", "rank")
+@query(
+    "vl09_backup_board",
+    """with r as (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_acctbal desc, c_custkey) as k from customer), l as (select * from r where k = 1 and c_acctbal > 0)
+      select r.c_nationkey, r.c_mktsegment, r.c_custkey, l.c_custkey as lead, round((l.c_acctbal - r.c_acctbal) / 8 * (l.c_custkey % 10 / 20.0) * 8, 6) as gain from r join l on l.c_nationkey = r.c_nationkey and l.c_mktsegment = r.c_mktsegment where r.k > 1""",
+)
+def vl09(spark, d):
+    c = table(spark, d, "customer").withColumn("miss", (F.col("c_custkey") % 10) / 20)
+    return decisions.backup_board(c, ["c_nationkey", "c_mktsegment"], "c_custkey", "c_acctbal", "miss", 8).withColumn("gain", F.round("gain", 6))
 
 
 @query("vl07_profiles", "with g as (select o_custkey, o_orderpriority, count(*) as n from orders group by 1, 2) select o_custkey, o_orderpriority, n / sum(n) over (partition by o_custkey) as share, round(sum(n * n) over (partition by o_custkey) / pow(sum(n) over (partition by o_custkey), 2), 8) as concentration from g")
@@ -602,56 +827,14 @@ def vl07(spark, d):
     return g.select("o_custkey", "o_orderpriority", (F.col("n") / total).alias("share"), F.round(F.sum(F.col("n") * F.col("n")).over(w) / (total * total), 8).alias("concentration"))
 
 
-# Simulation
-
+# Draws and lineage
 
-def _draw_sql(seed: int, trial: str, period: str, entity: str, purpose: int) -> str:
-    step = lambda e, c: f"((({e})::hugeint + 1) * {c} % 4294967296)::ubigint"
-    return f"with a as (select o_orderkey, {_mix_sql(f'xor({seed}::ubigint, {step(trial, 0x9E3779B1)})')} as h from orders), b as (select o_orderkey, {_mix_sql('xor(h::ubigint, ' + step(entity, 0x85EBCA6B) + ')')} as h from a), c as (select o_orderkey, {_mix_sql('xor(xor(h::ubigint, ' + step(period, 0xC2B2AE35) + f'), {purpose}::ubigint)')} as h from b) select o_orderkey, h / 4294967296.0::double as u from c"
 
-
-@query("mc01_keyed_draws", _draw_sql(42, "o_orderkey % 100", "o_orderkey % 17", "o_orderkey", 0x3000))
+@query("mc01_keyed_draws")
 def mc01(spark, d):
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", numbers.keyed_draw(F.lit(42), k % 100, k % 17, k, F.lit(0x3000)).alias("u"))
-
-
-@query("mc04_copula_seasons")
-def mc04(spark, d):
-    """Seasons of the first customers of each nation, from the totals of their orders by year and month."""
-    o = table(spark, d, "orders").where("o_custkey < 60").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("w"))
-    pool = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.transform("w", lambda s: s["o_totalprice"]))).alias("trajectories"))
-    players = pool.select((F.col("o_custkey") % 10).alias("team"), F.col("o_custkey").alias("player"), "trajectories")
-    seasons = decisions.copula_seasons(players, 20, 0.3)
-    return decisions.couple_within_week(seasons, ["team", "player", "trial"], "weeks")
-
-
-@query("mc06_season_odds")
-def mc06(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 12")
-    rank = F.row_number().over(Window.orderBy("s_suppkey"))
-    teams = s.select(rank.alias("team"), (100 + F.col("s_acctbal") / 500).alias("mean"), F.lit(20.0).alias("sd")).where("team <= 10")
-    return decisions.simulate_season(teams, 14, 300)
-
-
-@query("mc09_snake_drafts")
-def mc09(spark, d):
-    p = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(120).select(F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("value"))
-    return decisions.draft_greedy(p, 10, 8, 40, 60.0)
-
-
-@query("mc12_episode_lengths")
-def mc12(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("player"), (F.col("c_custkey") % 50).alias("trial"))
-    return decisions.episode_lengths(c, [0.5, 0.3, 0.2], 0.15, 17)
-
-
-@query("mc13_paired_scenarios")
-def mc13(spark, d):
-    """Title chances with one team better by five points, less those without, on the same draws."""
-    teams = spark.range(1, 11).select(F.col("id").cast("int").alias("team"), (100 + F.col("id")).cast("double").alias("mean"), F.lit(20.0).alias("sd"))
-    better = teams.withColumn("mean", F.col("mean") + F.when(F.col("team") == 3, 5.0).otherwise(0.0))
-    return decisions.paired_delta(decisions.simulate_season(better, 14, 200), decisions.simulate_season(teams, 14, 200), "team", "title")
+    """A uniform and a normal draw of each order, by purpose, seed and key."""
+    keys = (F.lit("points"), F.lit(42), F.col("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", numbers.keyed_draw(*keys).alias("u"), numbers.keyed_normal(*keys).alias("z"))
 
 
 @query("lineage_depths", "select * from (values ('raw', 0), ('stg', 1), ('feat', 2), ('mart', 3), ('audit', 1)) t(node, depth)")
