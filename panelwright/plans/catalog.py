@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import modeling, relational, streams, temporal, writes
+from . import files, modeling, relational, streams, temporal, writes
 
-MODULES = [temporal, relational, modeling, writes, streams]
+MODULES = [temporal, relational, modeling, writes, files, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

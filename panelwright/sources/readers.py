@@ -11,12 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
-    """Delimited text with quoted fields and doubled quotes. Every column is a string; one that is absent from a
-    short row is the empty string. gzip files are read as they are, one task each."""
+    """Delimited text with quoted fields, doubled quotes and line ends within quotes. Every column is a string; one
+    that is absent from a short row is the empty string. gzip files are read as they are, one task each."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    options = {"header": header, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE", "enforceSchema": True}
-    return spark.read.options(**options).schema(schema).csv(path).fillna("")
+    return spark.read.options(**CSV, header=header, multiLine=True, enforceSchema=True).schema(schema).csv(path).fillna("")
+
+
+def csv_fields(line: Column, columns: list[str]) -> Column:
+    """The fields of a line of delimited text, as a struct of strings; what is absent is the empty string."""
+    row = F.from_csv(line, ", ".join(f"`{c}` string" for c in columns), CSV)
+    return F.struct(*(F.coalesce(row[c], F.lit("")).alias(c) for c in columns))
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -35,21 +43,24 @@ def first_present(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in names if c in df.columns), F.lit(""))
 
 
-def read_periods(spark: SparkSession, root: str, periods: list[int], reader) -> tuple[DataFrame | None, DataFrame]:
-    """One partition of a feed for each period, and (period, status, n): loaded, empty (a header and no row) or
-    absent. A missing period is a row of the second table, not an error."""
-    found, states = None, []
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for period in periods:
-        path = f"{root}/period={period}"
-        if not hadoop.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            states.append((period, "absent", 0))
-            continue
-        part = reader(spark, path).withColumn("period", F.lit(period))
-        n = part.count()
-        states.append((period, "loaded" if n else "empty", n))
-        found = part if found is None else found.unionByName(part)
-    return found, spark.createDataFrame(states, "period int, status string, n long")
+def read_periods(spark: SparkSession, root: str, periods: list[int], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV feed that is partitioned as root/period=n, and (period, status, n): loaded, empty (a header
+    and no row) or absent. A missing period is a row of the second table, not an error.
+
+    One read of all partitions, pruned to the periods; the files that there are come from a listing whose
+    contents aren't read.
+    """
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("period", T.IntegerType())])
+    found = spark.read.options(**CSV, header=True, multiLine=True, enforceSchema=True).schema(schema).csv(root)
+    found = found.fillna("", subset=columns).where(F.col("period").isin(*periods))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    there = files.select(F.regexp_extract("path", r"/period=(-?\d+)/", 1).try_cast("int").alias("period")).where("period is not null").distinct()
+    wanted = spark.createDataFrame([(p,) for p in periods], "period int")
+    counted = found.groupBy("period").agg(F.count("*").alias("n"))
+    states = wanted.join(there.withColumn("there", F.lit(True)), "period", "left").join(counted, "period", "left")
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(n > 0, "loaded").when(F.col("there"), "empty").otherwise("absent")
+    return found, states.select("period", status.alias("status"), n.cast("long").alias("n"))
 
 
 def rss_items(df: DataFrame, xml: str, key: str) -> DataFrame:

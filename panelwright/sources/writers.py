@@ -3,23 +3,40 @@ the write; where a path is given, the write is to it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
-    """old with new's rows in place of those with their key; of new rows with one key, the one with the largest
-    order column stays."""
-    new = new if order is None else latest(new, key, order)
-    return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
+def anti_by(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of df whose key other lacks; a null in a key equals a null."""
+    there = other.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)))
+    return df.join(there, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key))), "left_anti")
+
+
+def latest(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key, null a key as any: that with the largest order, then the largest other columns."""
+    return _one(df, key, order, F.desc)
+
+
+def first_of(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """As latest, with the smallest."""
+    return _one(df, key, order, F.asc)
 
 
-def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row for each key: that with the largest order."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+def _one(df: DataFrame, key: list[str], order: str | None, way) -> DataFrame:
+    by = [way(c) for c in ([order] if order else []) + [c for c in df.columns if c not in key and c != order]]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*(by or [way(key[0])])))
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those with their key; of new rows with one key, the latest stays."""
+    new = latest(new, key, order)
+    return anti_by(old, new, key).unionByName(new.select(*old.columns))
+
+
 def upsert_known(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """As upsert, but a null of the new row leaves the old value."""
     values = [c for c in old.columns if c not in key]
@@ -28,12 +45,8 @@ def upsert_known(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
-    """First writer wins: old, and the rows of new whose key it lacks, one a key."""
-    fresh = new.join(old.select(key), key, "left_anti")
-    if order is not None:
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-        fresh = fresh.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return old.unionByName(fresh.select(*old.columns))
+    """First writer wins: old, and of new's rows whose key it lacks the first of each key."""
+    return old.unionByName(first_of(anti_by(new, old, key), key, order).select(*old.columns))
 
 
 def replace_slice(old: DataFrame, new: DataFrame, slice_of: Column) -> DataFrame:
@@ -73,12 +86,20 @@ def refuse_empty(new: DataFrame) -> DataFrame:
     return new
 
 
-def audit(df: DataFrame, source: str, last_good: int | None, floor: float = 0.5) -> DataFrame:
-    """(source, n, last_good, verdict): ok, empty, or collapsed if n is under floor times the last good count."""
-    found = df.agg(F.count("*").alias("n"))
-    last = F.lit(last_good).cast("long")
-    verdict = F.when(F.col("n") == 0, "empty").when(F.col("n") < F.coalesce(last, F.lit(0)) * floor, "collapsed").otherwise("ok")
-    return found.select(F.lit(source).alias("source"), "n", last.alias("last_good"), verdict.alias("verdict"))
+def replace_table(new: DataFrame, path: str) -> DataFrame:
+    """The table at path after new has taken its place, read back; RefusedWrite, and the table as it was, if new has
+    no rows."""
+    refuse_empty(new).write.mode("overwrite").parquet(path)
+    return new.sparkSession.read.parquet(path)
+
+
+def audit(df: DataFrame, by: list[str], last_good: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(by, n, last_good, verdict) of the slices of a table as read back after a write: ok, empty if it has no rows, or
+    collapsed if n is under floor times the last_good(by, last_good) count. Slices of either side are audited."""
+    found = df.groupBy(*by).agg(F.count("*").alias("n")).join(last_good.select(*by, "last_good"), by, "full")
+    n = F.coalesce("n", F.lit(0))
+    verdict = F.when(n == 0, "empty").when(n < F.coalesce("last_good", F.lit(0)) * floor, "collapsed").otherwise("ok")
+    return found.select(*by, n.cast("long").alias("n"), F.col("last_good").cast("long").alias("last_good"), verdict.alias("verdict"))
 
 
 def export_columns(df: DataFrame, allowed: list[str], private: list[str]) -> DataFrame:
@@ -91,10 +112,9 @@ def export_columns(df: DataFrame, allowed: list[str], private: list[str]) -> Dat
     return df.select(*(c for c in allowed if c in df.columns))
 
 
-def save_text(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """CSV with a header, or JSON lines."""
-    writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+def save_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; quotes are doubled and every text is quoted, so that commas and line ends are kept."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)
 
 
 def copy_to_catalog(df: DataFrame, database: str, name: str) -> DataFrame:
