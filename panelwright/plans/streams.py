@@ -51,8 +51,38 @@ def sm05(spark, d):
     "select cast(ts as date) as day, event_type, count(distinct user_id)::bigint as users from events group by 1, 2",
 )
 def sm08(spark, d):
-    once = stream(spark, d).select(F.to_date("ts").alias("day"), "event_type", "user_id").dropDuplicates(["day", "event_type", "user_id"])
-    return op.drain(once).groupBy("day", "event_type").agg(F.count("*").alias("users"))
+    days = stream(spark, d).select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), "event_type", "user_id")
+    once = op.append_once(days, "day", ["event_type", "user_id"])
+    return once.groupBy(F.to_date("day").alias("day"), "event_type").agg(F.count("*").alias("users"))
+
+
+WINDOWS = """w as (select cast(ts as date) as day, case when strftime(ts, '%H:%M') >= '15:00' then 'late' else 'early' end as name, ts from events where event_type = 'purchase'),
+  k as (select day, name, min(ts) as kickoff from w group by 1, 2)"""
+
+
+def schedule(spark, d):
+    """Purchases as the games of their day."""
+    return table(spark, d, "events").where("event_type = 'purchase'").select("ts")
+
+
+@query(
+    "sm07_windows",
+    f"with {WINDOWS} select k.day, k.name, kickoff, kickoff - interval 60 minute as opens, count(*)::bigint as games from k join w on w.day = k.day and w.name = k.name and w.ts = kickoff group by 1, 2, 3",
+)
+def sm07(spark, d):
+    return op.windows_of(schedule(spark, d), "ts")
+
+
+@query(
+    "sm07_locked",
+    f"""with {WINDOWS}, e as (select event_id, ts, cast(ts as date) as day from events)
+      select event_id, case when e.ts >= a.kickoff - interval 60 minute and e.ts < a.kickoff then 'early' when e.ts >= b.kickoff - interval 60 minute and e.ts < b.kickoff then 'late' end as "window",
+        (coalesce(e.ts >= a.kickoff, false)::int + coalesce(e.ts >= b.kickoff, false)::int)::int as begun
+      from e left join k a on a.day = e.day and a.name = 'early' left join k b on b.day = e.day and b.name = 'late'""",
+)
+def sm07_locked(spark, d):
+    """Events as a stream against the windows of their day, a static table."""
+    return op.drain(op.locked(stream(spark, d).select("event_id", "ts"), "ts", op.windows_of(schedule(spark, d), "ts"))).select("event_id", "window", "begun")
 
 
 @query("sm_tumbling", "select date_trunc('day', ts) as day, event_type, count(*)::bigint as n, sum(value) as total from events group by 1, 2")

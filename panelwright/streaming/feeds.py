@@ -7,22 +7,15 @@ and gives the table that it wrote.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.writers import insert_new
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    where = where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.work import work_folder
+from ..sources.writers import anti_by, first_of
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,21 +26,19 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append", merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keep: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None) -> DataFrame:
     """What the stream writes once it has read all there is now, as a table.
 
-    append: the rows of every batch. complete: the last batch. merge(old, new): the table that it gives for the
-    table so far and each batch. Batches are written to folders of their own by their number, so that a batch
-    which is run again replaces its own rows only.
+    append: the rows of every batch, or what keep(table so far, batch) leaves of them. complete: the last batch.
+    Batches are written to folders of their own by their number, so that a batch which is run again replaces
+    its own rows only, and no batch writes what others have written.
     """
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "stream")
     last = {"id": -1}
+    so_far = lambda n: spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/n={i}" for i in range(n))) if n else None
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        if merge is not None and batch_id > 0:
-            batch = merge(spark.read.schema(stream.schema).parquet(f"{folder}/rows/n={batch_id - 1}"), batch)
-        elif merge is not None:
-            batch = merge(spark.createDataFrame([], stream.schema), batch)
+        batch = batch if keep is None else keep(so_far(batch_id), batch)
         batch.write.mode("overwrite").parquet(f"{folder}/rows/n={batch_id}")
         last["id"] = batch_id
 
@@ -55,8 +46,7 @@ def drain(stream: DataFrame, mode: str = "append", merge: Callable[[DataFrame, D
     query.awaitTermination()
     if last["id"] < 0:
         return spark.createDataFrame([], stream.schema)
-    whole = mode == "append" and merge is None
-    return spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/n={i}" for i in (range(last["id"] + 1) if whole else [last["id"]])))
+    return so_far(last["id"] + 1) if mode == "append" else spark.read.schema(stream.schema).parquet(f"{folder}/rows/n={last['id']}")
 
 
 def with_refusal(df: DataFrame, as_of: Column, today: Column) -> DataFrame:
@@ -65,8 +55,36 @@ def with_refusal(df: DataFrame, as_of: Column, today: Column) -> DataFrame:
 
 
 def write_once(stream: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The log in which the first row of each key stays, whatever comes later; drained."""
-    return drain(stream, merge=lambda old, new: insert_new(old, new, key, order))
+    """The log in which the first row of each key stays, whatever comes later; drained. A batch adds its own first rows
+    of the keys that the log lacks, and leaves the log as it is."""
+    return drain(stream, keep=lambda log, batch: first_of(batch if log is None else anti_by(batch, log, key), key, order))
+
+
+def append_once(stream: DataFrame, day: str, key: list[str], late: str = "3 days") -> DataFrame:
+    """The first row of each key and day, the day a timestamp; rows later than `late` are dropped, and so is the state
+    of days before that. Drained."""
+    once = stream.withWatermark(day, late).dropDuplicates([day, *key])
+    return drain(once)
+
+
+def windows_of(schedule: DataFrame, at: str, boundary: str = "15:00", lead_minutes: int = 60) -> DataFrame:
+    """(day, name, kickoff, opens, games) of each day's early and late games: the first start of each, when reading
+    becomes worth while, and how many start with it."""
+    day, clock = F.to_date(at).alias("day"), F.date_format(at, "HH:mm")
+    rows = schedule.select(day, F.when(clock >= boundary, "late").otherwise("early").alias("name"), F.col(at).alias("start"))
+    first = F.min("start").over(Window.partitionBy("day", "name"))
+    out = rows.withColumn("kickoff", first).where("start = kickoff").groupBy("day", "name", "kickoff").agg(F.count("*").alias("games"))
+    return out.select("day", "name", "kickoff", (F.col("kickoff") - F.expr(f"interval {lead_minutes} minutes")).alias("opens"), "games")
+
+
+def locked(stream: DataFrame, at: str, windows: DataFrame) -> DataFrame:
+    """The rows of a stream with the window of their day that is open then, if any: from its opening to its kickoff,
+    and how many windows of the day have kicked off. A stream-static join; a day has two windows at most."""
+    early, late = (windows.where(F.col("name") == n).select(F.col("day").alias("__day"), F.col("opens").alias(f"__{n}_opens"), F.col("kickoff").alias(f"__{n}_kickoff")) for n in ("early", "late"))
+    met = stream.withColumn("__day", F.to_date(at)).join(early, "__day", "left").join(late, "__day", "left")
+    is_open = lambda n: (F.col(at) >= F.col(f"__{n}_opens")) & (F.col(at) < F.col(f"__{n}_kickoff"))
+    begun = sum((F.coalesce((F.col(at) >= F.col(f"__{n}_kickoff")).cast("int"), F.lit(0)) for n in ("early", "late")), F.lit(0))
+    return met.select(*stream.columns, F.when(is_open("early"), "early").when(is_open("late"), "late").alias("window"), begun.alias("begun"))
 
 
 def seen(df: DataFrame, key: list[str], at: str) -> DataFrame:
