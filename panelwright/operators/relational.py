@@ -127,12 +127,13 @@ def rekey_reasons(edges: DataFrame, old: DataFrame) -> DataFrame:
 
 def resolve_or_mint(df: DataFrame, known: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """df with target: the known one of the first key that is known, else a key minted from the row's first
-    non-null key by a 64-bit hash, negative, so that it depends on the row alone and not on its order."""
+    non-null key by a 63-bit hash, negative, so that it depends on the row alone and not on its order; null for a row
+    without a key."""
     for i, k in enumerate(keys):
         own = unique_or_null(known.where(F.col(k).isNotNull()), [k], target, f"__t{i}")
         df = df.join(own, k, "left")
     natural = F.coalesce(*(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys))
-    minted = -F.abs(F.shiftrightunsigned(F.xxhash64(natural), 1))
+    minted = F.when(natural.isNotNull(), -F.shiftrightunsigned(F.xxhash64(natural), 1))
     found = F.coalesce(*(F.col(f"__t{i}") for i in range(len(keys))), minted)
     return df.withColumn(target, found).drop(*(f"__t{i}" for i in range(len(keys))))
 

@@ -22,14 +22,16 @@ def prior_mean(df: DataFrame, keys: list[str], order: list[str], value: str, out
 
 def prior_trailing(df: DataFrame, keys: list[str], order: list[str], value: str, n: int = 4, prefix: str = "trail") -> DataFrame:
     """Mean (of 1 or more) and population deviation (of 2 or more) of a key's last n non-null values before the row."""
-    held = F.collect_list(value).over(_prior(keys, order))
-    last = F.slice(held, F.greatest(F.size(held) - (n - 1), F.lit(1)), n)
+    known = F.col(value).isNotNull()
+    among = Window.partitionBy(*keys, "__known").orderBy(*order)  # a key's rows are together already
+    back = [F.col(value), *(F.lag(value, k).over(among) for k in range(1, n))]
+    held = df.withColumn("__known", known).withColumn("__own", F.when(known, F.array_compact(F.array(*back))))
+    last = F.last("__own", ignorenulls=True).over(_prior(keys, order))  # n values a row, whatever its history
     size = F.size("__last")
     total = F.aggregate("__last", F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(size >= 1, total / size)
     spread = F.aggregate("__last", F.lit(0.0), lambda a, x: a + F.pow(x - F.col(f"{prefix}_mean"), 2))
-    out = df.withColumn("__last", last).withColumn(f"{prefix}_mean", mean)
-    return out.withColumn(f"{prefix}_sd", F.when(size >= 2, F.sqrt(spread / size))).drop("__last")
+    out = held.withColumn("__last", last).withColumn(f"{prefix}_mean", F.when(size >= 1, total / size))
+    return out.withColumn(f"{prefix}_sd", F.when(size >= 2, F.sqrt(spread / size))).drop("__last", "__own", "__known")
 
 
 def prior_last(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -163,11 +165,11 @@ def asof_join(
 
 def snapshot_probe(left: DataFrame, snapshots: DataFrame, keys: list[str], left_at: str, taken: str, value: str, most_days: int, out: str) -> DataFrame:
     """The value in the latest snapshot at or before the day and at most most_days old; null where that snapshot
-    lacks the key, whatever older ones say. Snapshot days are few: a small table of days is matched first."""
-    days = left.select(F.col(left_at).cast("date").alias("__day")).distinct()
-    taken_on = snapshots.select(F.col(taken).cast("date").alias("__taken")).distinct().withColumn("__there", F.lit(1))
-    chosen = asof_join(days.withColumn("__one", F.lit(1)), taken_on.withColumn("__one", F.lit(1)), ["__one"], "__day", "__taken", ["__there"], prefix="chosen_")
-    chosen = chosen.where(F.datediff("__day", "chosen___taken") <= most_days).select("__day", F.col("chosen___taken").alias("__taken"))
+    lacks the key, whatever older ones say. A snapshot's day stands for it and the most_days after it; of those that
+    stand for a day the last is taken."""
+    taken_on = snapshots.select(F.col(taken).cast("date").alias("__taken")).where("__taken is not null").distinct()
+    stands = taken_on.select("__taken", F.explode(F.sequence("__taken", F.date_add("__taken", most_days))).alias("__day"))
+    chosen = stands.groupBy("__day").agg(F.max("__taken").alias("__taken"))
     probe = snapshots.select(*keys, F.col(taken).cast("date").alias("__taken"), F.col(value).alias(out)).groupBy(*keys, "__taken").agg(F.max(out).alias(out))
     return left.withColumn("__day", F.col(left_at).cast("date")).join(chosen, "__day", "left").join(probe, [*keys, "__taken"], "left").drop("__day", "__taken")
 

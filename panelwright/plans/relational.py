@@ -286,14 +286,14 @@ def jn23(spark, d):
 
 @query(
     "jn27_pick_homonym",
-    """with ask as (select distinct p_brand, p_size % 5 as z, case when p_size > 25 then 'big' else 'small' end as g from part where p_partkey % 9 = 0),
+    """with ask as (select distinct p_brand, p_size % 5 as z, case when p_size > 25 then 'big' else 'small' end as g from part),
       j as (select ask.*, p.p_partkey, (p.p_size % 5 = z)::int * 2 + ((p.p_size > 25) = (g = 'big'))::int as s from ask join part p using (p_brand)),
       b as (select *, max(s) over (partition by p_brand, z, g) as m from j)
       select p_brand, z, g, case when count(distinct p_partkey) = 1 then max(p_partkey) end as p_partkey from b where s = m group by all""",
 )
 def jn27(spark, d):
     p = table(spark, d, "part")
-    ask = p.where("p_partkey % 9 = 0").select("p_brand", (F.col("p_size") % 5).alias("z"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("g")).distinct()
+    ask = p.select("p_brand", (F.col("p_size") % 5).alias("z"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("g")).distinct()
     big = F.col("p_size") > 25
     scores = [F.col("p_size") % 5 == F.col("z"), big == (F.col("g") == "big")]
     return op.pick_among(ask, p.select("p_brand", "p_partkey", "p_size"), ["p_brand"], scores, "p_partkey")
@@ -558,10 +558,11 @@ HEADLINES = [(r"\b(license|licensed|rights reserved)\b", "license"), (r"\b(idiot
 
 @query(
     "str01_name_key",
-    r"select c_custkey, regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' Jr. D/ST'), '\b(jr|sr|ii|iii|iv|v)\b', ' ', 'g'), '\bd/?st\b', ' ', 'g'), '[^a-z]', '', 'g') as k from customer",
+    """select c_custkey, regexp_replace(array_to_string(list_filter(string_split(replace(replace(lower(c_name || ' Jr. D/ST Le''Roy-Éa III'), '.', ' '), '-', ' '), ' '),
+      lambda w: not list_contains(['jr', 'sr', 'ii', 'iii', 'iv', 'v', 'dst', 'd/st'], split_part(w, '#', 1))), ''), '[^a-z]', '', 'g') as k from customer""",
 )
 def str01(spark, d):
-    return table(spark, d, "customer").select("c_custkey", text.name_key(F.concat("c_name", F.lit(" Jr. D/ST"))).alias("k"))
+    return table(spark, d, "customer").select("c_custkey", text.name_key(F.concat("c_name", F.lit(" Jr. D/ST Le'Roy-Éa III"))).alias("k"))
 
 
 @query("str02_aliases", "select n_nationkey, case upper(trim(n_name)) when 'UNITED STATES' then 'USA' when 'UNITED KINGDOM' then 'UK' else upper(trim(n_name)) end as name from nation")
@@ -588,6 +589,36 @@ def str07(spark, d):
     return table(spark, d, "pages").select("page_id", text.decode_entities(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"))
 
 
+@query("str07_csv_safe", "select doc_id, trim(regexp_replace(replace(replace(text, '\"', ''), ',', ''), '\\s+', ' ', 'g')) as line from documents where lang = 'en'")
+def str07_csv(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.csv_safe(F.col("text")).alias("line"))
+
+
+#: A sentence of each page's title and number, in which the vocabularies of ailments and reports turn up.
+REPORTS = ("Left Knee / ankle", "CONCUSSION protocol", "achilles tendon", "hip flexor", "Not Injury Related - rest", "", "stubbed", "Core muscle", None, "forearm")
+PRACTISED = ("Did Not Participate In Practice", "Limited participation", " full ", "Out", "", "doubtful", "Questionable", "PROBABLE", None, "out (knee)")
+
+
+@query(
+    "str04_ailments",
+    """with r as (select c_custkey, (['Left Knee / ankle', 'CONCUSSION protocol', 'achilles tendon', 'hip flexor', 'Not Injury Related - rest', '', 'stubbed', 'Core muscle', null, 'forearm'])[c_custkey % 10 + 1] as x from customer)
+      select c_custkey, (['knee', 'concussion', 'achilles', 'hip', 'illness', 'none', 'other', 'groin', 'none', 'hand'])[c_custkey % 10 + 1] as ailment from r""",
+)
+def str04(spark, d):
+    report = F.element_at(F.array(*map(F.lit, REPORTS)), (F.col("c_custkey") % 10 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", text.grouped_by_words(report, text.AILMENTS).alias("ailment"))
+
+
+@query(
+    "str05_designations",
+    """select c_custkey, (['', '', '', 'Out', '', 'Doubtful', 'Questionable', 'Probable', '', 'Out'])[c_custkey % 10 + 1] as designation,
+      (['DNP', 'Limited', 'Full', 'DNP', '', '', '', '', '', 'DNP'])[c_custkey % 10 + 1] as practice from customer""",
+)
+def str05(spark, d):
+    report = F.element_at(F.array(*map(F.lit, PRACTISED)), (F.col("c_custkey") % 10 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", text.beginning_with(report, text.DESIGNATIONS).alias("designation"), text.beginning_with(report, text.PRACTICE).alias("practice"))
+
+
 @query("str08_strings", "select c_custkey, upper(trim(c_mktsegment)) || '-' || c_nationkey::varchar as tag, substr(c_name, 1, 8) as head, lower(c_name) as low from customer")
 def str08(spark, d):
     tag = F.concat_ws("-", F.upper(F.trim("c_mktsegment")), F.col("c_nationkey").cast("string"))
@@ -615,7 +646,14 @@ def dt02(spark, d):
     return table(spark, d, "orders").select("o_orderkey", numbers.age_years(born, at).alias("age"), numbers.age_years(born, at, 365.2425).alias("age2"))
 
 
-@query("dt03_wall_clock")
+#: The American clock by its rule: summer time from the second Sunday of March to the first of November, at two.
+WALL_CLOCK = """with y as (select *, make_date(year(ts), 3, 1) as m, make_date(year(ts), 11, 1) as n from events),
+    d as (select event_id, ts, m + ((7 - isodow(m)) % 7 + 7)::int + interval 7 hour as a, n + ((7 - isodow(n)) % 7)::int + interval 6 hour as b from y),
+    l as (select event_id, ts - case when ts >= a and ts < b then interval 4 hour else interval 5 hour end as l from d)
+    select event_id, strftime(l, '%a') as day, strftime(l, '%H:%M') as at from l"""
+
+
+@query("dt03_wall_clock", WALL_CLOCK)
 def dt03(spark, d):
     day, at = numbers.kickoff_wall_clock(F.col("ts").cast("timestamp"))
     return table(spark, d, "events").select("event_id", day.alias("day"), at.alias("at"))
