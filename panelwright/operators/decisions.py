@@ -204,6 +204,30 @@ def lineup_backtest(df: DataFrame, season: str, keys: list[str], row: str, forec
     return total.select(season, "n", "got", "best", F.try_divide("got", "best").alias("share"), "right")
 
 
+def capture_backtest(df: DataFrame, keys: list[str], row: str, forecast: str, actual: str, k: int) -> DataFrame:
+    """(keys, got, most, share): what the k rows of a group that the forecast puts first made, what the best k made, and
+    their ratio; equals go to the smaller row."""
+    place = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), row))
+    ranked = df.withColumn("__f", place(forecast)).withColumn("__a", place(actual)).where((F.col("__f") <= k) | (F.col("__a") <= k))
+    total = lambda rank: F.sum(F.when(F.col(rank) <= k, F.col(actual)))
+    return ranked.groupBy(*keys).agg(total("__f").alias("got"), total("__a").alias("most")).withColumn("share", F.try_divide("got", "most"))
+
+
+def stream_backtest(df: DataFrame, week: list[str], group: str, team: str, row: str, forecast: str, actual: str) -> DataFrame:
+    """(week, group, team, hold, stream, ceiling) of each team's rows; those without a team are free for all.
+
+    hold: what the team's own best by forecast made; stream: what the best by forecast of its own and the free ones
+    made, its own of equals; ceiling: the most that any of them made. The free ones come down to a row a week
+    and group first, so that no team meets them all.
+    """
+    first = lambda c: F.min_by(F.col(c), F.struct(-F.col(forecast), F.col(row)))
+    best = [F.max(forecast).alias("__f"), first(actual).alias("__a"), F.max(actual).alias("__m")]
+    free = df.where(F.col(team).isNull()).groupBy(*week, group).agg(*best).select(*week, group, *(F.col(c).alias(f"__free{c}") for c in ("__f", "__a", "__m")))
+    own = df.where(F.col(team).isNotNull()).groupBy(*week, group, team).agg(*best).join(free, [*week, group], "left")
+    stream = F.when(F.col("__free__f") > F.col("__f"), F.col("__free__a")).otherwise(F.col("__a"))
+    return own.select(*week, group, team, F.col("__a").alias("hold"), stream.alias("stream"), F.greatest("__m", "__free__m").alias("ceiling"))
+
+
 def odds_invariants(odds: DataFrame, league: list[str], field: int, games: Column) -> DataFrame:
     """(league, name, got, want, ok): what must hold of any table of odds(wins, playoff, title): a win a game, a
     place in the field for each of `field`, one champion."""

@@ -104,6 +104,32 @@ def age_factor(df: DataFrame, births: DataFrame, names: DataFrame, curve: DataFr
     return own.join(held, [group, "__age"], "left").withColumn(out, factor).select(*df.columns, out)
 
 
+def opportunity_factor(
+    df: DataFrame, usage: DataFrame, means: DataFrame, key: str, group: str, rank: str, season: str, fits: dict[str, dict], floors: dict[str, float],
+    bucket: int = 12, most_rank: int = 60, low: float = 0.7, high: float = 1.3, out: str = "factor",
+) -> DataFrame:
+    """df with the factor of each row's use in the season before, against what its rank's bucket of the group has.
+
+    usage has key, season and the features, means has group, bucket (from 0) and the features. fits give each
+    group its features, coefficients b (intercept first), mean and amp: the fit of use over the bucket's mean, over
+    the fit's mean, kept within low and high, moves the factor by amp. A feature that is missing, or whose bucket
+    mean is not above its floor, counts as expected. Rows without a fit, a use, a rank up to most_rank or a
+    bucket have 1.
+    """
+    names = list(floors)
+    last = usage.select(key, (F.col(season) + 1).alias(season), F.lit(True).alias("__used"), *(F.col(c).cast("double").alias(f"__u_{c}") for c in names))
+    held = means.select(group, F.col("bucket").alias("__bucket"), F.lit(True).alias("__held"), *(F.col(c).cast("double").alias(f"__m_{c}") for c in names))
+    own = df.withColumn("__bucket", F.floor((F.col(rank) - 1) / bucket)).join(last, [key, season], "left").join(held, [group, "__bucket"], "left")
+    relative = {c: F.when(F.col(f"__u_{c}").isNotNull() & (F.col(f"__m_{c}") > floors[c]), F.col(f"__u_{c}") / F.col(f"__m_{c}")).otherwise(1.0) for c in names}
+    factor = None
+    for name, fit in fits.items():
+        value = reduce(lambda acc, cb: acc + relative[cb[0]] * F.lit(float(cb[1])), zip(fit["features"], fit["b"][1:]), F.lit(float(fit["b"][0])))
+        moved = 1 + (clamp(value / float(fit["mean"]), low, high) - 1) * float(fit["amp"])
+        factor = F.when(F.col(group) == name, moved) if factor is None else factor.when(F.col(group) == name, moved)
+    known = F.col("__used").isNotNull() & F.col("__held").isNotNull() & F.col(rank).between(1, most_rank)
+    return own.withColumn(out, F.when(known, F.coalesce(factor, F.lit(1.0))).otherwise(1.0)).select(*df.columns, out)
+
+
 def carry_forward(df: DataFrame, key: list[str], season: str, value: str, at: int, qs: dict[str, float], least: float = 20.0) -> DataFrame:
     """(key, mean, and a column a quantile) of a season: last season's value, and it times the quantiles of value over
     the one before, over all other seasons whose one before is above `least`."""

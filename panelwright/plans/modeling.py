@@ -490,6 +490,31 @@ def ml13(spark, d):
     return models.age_factor(o, keys, names, curve, "o_custkey", "o_orderpriority", "name", "season").select("o_orderkey", "factor")
 
 
+USE = {"BUILDING": {"features": ["n", "spent"], "b": [0.1, 0.4, 0.5], "mean": 1.0, "amp": 0.8}, "MACHINERY": {"features": ["n"], "b": [0.5, 0.6], "mean": 1.1, "amp": 0.5}}
+
+
+@query(
+    "ml13_opportunity_factor",
+    """with u as (select o_custkey as k, year(o_orderdate) as y, count(*)::double as n, sum(round(o_totalprice)::bigint)::double as spent from orders group by 1, 2),
+      r as (select c_custkey as k, c_mktsegment as g, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rank from customer),
+      a as (select r.k, g, rank, (rank - 1) // 12 as b, t.y from r, (values (1994), (1995), (1999)) t(y)),
+      m as (select g, (rank - 1) // 12 as b, avg(n) as mn, avg(spent) as ms from u join r on r.k = u.k group by 1, 2),
+      j as (select a.k, a.y, a.g, a.rank, u.n is not null and m.mn is not null and rank <= 60 as known, case when u.n is not null and mn > 0.5 then u.n / mn else 1 end as rn, case when u.spent is not null and ms > 1 then u.spent / ms else 1 end as rs
+        from a left join u on u.k = a.k and u.y = a.y - 1 left join m on m.g = a.g and m.b = a.b)
+      select k, y::int as y, round(case when not known then 1.0 when g = 'BUILDING' then 1 + (least(1.3, greatest(0.7, 0.1 + 0.4 * rn + 0.5 * rs)) - 1) * 0.8
+        when g = 'MACHINERY' then 1 + (least(1.3, greatest(0.7, (0.5 + 0.6 * rn) / 1.1)) - 1) * 0.5 else 1.0 end, 8) as factor from j""",
+)
+def ml13_use(spark, d):
+    """The factor of each customer's orders of the year before, against those of customers of about its rank."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    use = o.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("spent"))
+    r = ranking.ordinal(c, ["c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], "rank").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("g"), "rank")
+    means = use.join(r, "k").groupBy("g", F.floor((F.col("rank") - 1) / 12).alias("bucket")).agg(F.avg("n").alias("n"), F.avg("spent").alias("spent"))
+    asked = r.withColumn("y", F.explode(F.array(F.lit(1994), F.lit(1995), F.lit(1999))))
+    got = models.opportunity_factor(asked, use, means, "k", "g", "rank", "y", USE, {"n": 0.5, "spent": 1.0})
+    return got.select("k", "y", F.round("factor", 8).alias("factor"))
+
+
 @query("ml15_quantile_fit")
 def ml15(spark, d):
     line = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity", "l_discount")
@@ -695,6 +720,37 @@ def mx11_pick(spark, d):
     return decisions.pick_backtest(both, ["s", "y"], "p", "f", "q")
 
 
+@query(
+    "mx11_capture_backtest",
+    """with s as (select o_custkey as k, c_nationkey as g, year(o_orderdate) as y, sum(round(o_totalprice)::bigint)::bigint as v from orders join customer on c_custkey = o_custkey group by 1, 2, 3), b as (select a.*, coalesce(l.v, 0) as f from s a left join s l on l.k = a.k and l.y = a.y - 1),
+      r as (select *, row_number() over (partition by g, y order by f desc, k) as kf, row_number() over (partition by g, y order by v desc, k) as ka from b)
+      select g, y::int as y, sum(v) filter (kf <= 3)::bigint as got, sum(v) filter (ka <= 3)::bigint as most, round(sum(v) filter (kf <= 3) / sum(v) filter (ka <= 3), 8) as share from r group by 1, 2""",
+)
+def mx11_capture(spark, d):
+    """Of each nation's customers, the three that spent most the year before: what they spent of what the best three did."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("g"))
+    s = table(spark, d, "orders").join(c, "o_custkey").groupBy(F.col("o_custkey").alias("k"), "g", F.year("o_orderdate").alias("y")).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("v"))
+    last = s.select("k", (F.col("y") + 1).alias("y"), F.col("v").alias("f"))
+    both = s.join(last, ["k", "y"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    return decisions.capture_backtest(both, ["g", "y"], "k", "f", "v", 3).withColumn("share", F.round("share", 8))
+
+
+@query(
+    "mx11_stream_backtest",
+    """with v as (select year(l_shipdate)::int as y, month(l_shipdate)::int as m, l_returnflag as g, case when l_linestatus = 'F' then l_suppkey end as team, l_orderkey * 10 + l_linenumber as row, l_quantity as f, l_extendedprice as a, l_partkey as tie from lineitem),
+      u as (select y, m, g, team, f, max(a) as a from v group by all), w as (select *, row_number() over (partition by y, m, g, team order by f desc) as k, max(a) over (partition by y, m, g, team) as most from u),
+      o as (select * from w where k = 1 and team is not null), p as (select * from w where k = 1 and team is null)
+      select o.y, o.m, o.g, o.team, o.a as hold, case when p.f > o.f then p.a else o.a end as stream, greatest(o.most, p.most) as ceiling from o left join p on p.y = o.y and p.m = o.m and p.g = o.g""",
+)
+def mx11_stream(spark, d):
+    """Lines of a month as candidates, those of one status free for all: the quantity forecasts the price; of equal
+    quantities the dearest counts."""
+    line = table(spark, d, "lineitem")
+    team = F.when(F.col("l_linestatus") == "F", F.col("l_suppkey")).alias("team")
+    v = line.select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.col("l_returnflag").alias("g"), team, F.col("l_quantity").alias("f"), F.col("l_extendedprice").alias("a"), (-F.col("l_extendedprice")).alias("row"))
+    return decisions.stream_backtest(v, ["y", "m"], "g", "team", "row", "f", "a")
+
+
 @query("mx11_lineup_backtest")
 def mx11_lineup(spark, d):
     """Lineups of each nation's customers, by region: what those chosen by a guess made of what could be made."""
