@@ -207,8 +207,8 @@ def near_links(nodes: DataFrame, radius: int, parts: int, match: int, words: int
     """(u, v) edges that connect all nodes(node, f0 ...) whose fingerprints differ in at most radius bits,
     if also some word of them differs in at most parts - match bits.
 
-    Only the edges of a spanning forest of each block are emitted, never all its pairs; large blocks are _dealt
-    in slices of SLICE rows. Rows with equal nodes or null nodes make no edge.
+    Only the edges of a spanning forest of each block are emitted, never all its pairs; an edge may come from
+    several blocks. Large blocks are _dealt in slices of SLICE rows. Rows with equal nodes or null nodes make no edge.
     """
     prints = [f"f{k}" for k in range(words)]
     keyed = nodes.where("node is not null").select("node", *prints, F.explode(F.array(*block_keys(words, parts, match))).alias("key"))
@@ -219,7 +219,7 @@ def near_links(nodes: DataFrame, radius: int, parts: int, match: int, words: int
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     dealt = _dealt(keyed.select("key", "node", *prints), "key", "node", SLICE)
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def simhash_components(
