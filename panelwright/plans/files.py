@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import readers, writers
@@ -111,7 +113,8 @@ def src10(spark, d):
 
 @query("src12_copy_to_catalog", "select o_orderstatus, count(*)::bigint as n from orders group by 1")
 def src12(spark, d):
-    copy = writers.copy_to_catalog(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "panelwright_export", "orders_copy")
+    database = f"export_{uuid.uuid4().hex}"  # of this run, as a warehouse may outlive its catalog
+    copy = writers.copy_to_catalog(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), database, "orders_copy")
     return copy.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
