@@ -13,6 +13,8 @@ from .shared import written
 Path = tuple[str, ...]
 #: Bits of a document's place that each round of the cut looks at, 63 in all.
 ROUNDS = (13, 13, 13, 12, 12)
+#: Rows of a leaf that one window takes at most.
+WINDOW = 1 << 13
 
 
 def token_count(text: str = "text") -> Column:
@@ -91,8 +93,8 @@ def plan_mix(
 
     The tree is of the size of the configuration: more than max_leaves leaves are an error. A leaf of any size
     is cut by totals: each round sums the documents in the open bucket by the next bits of their place, and opens
-    the bucket in which the budget ends. So no window has more rows than a round has buckets, and after all
-    rounds a bucket is one place.
+    the bucket in which the budget ends, until no leaf's has more than WINDOW rows or all bits are used and a
+    bucket is one place. What is in it is then taken place by place. So no window has more than WINDOW rows.
     """
     spark, leaf = docs.sparkSession, [f"__leaf{i}" for i in range(len(levels))]
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_leaf(levels), token_count(text).alias("tokens")), "tokens")
@@ -110,13 +112,21 @@ def plan_mix(
         left -= bits
         bucket = F.shiftrightunsigned("key", left).alias("bucket")
         totals_of = inside.join(F.broadcast(opened), leaf).where(F.shiftrightunsigned("key", left + bits) == F.col("opened"))
-        by_bucket = totals_of.groupBy(*leaf, "rest", "before", bucket).agg(F.sum("tokens").alias("n"))
+        by_bucket = totals_of.groupBy(*leaf, "rest", "before", bucket).agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
         upto = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
         past = by_bucket.withColumn("upto", upto).where("upto > rest")
         # a row a leaf, max_leaves at most; a leaf without one takes all its documents
-        opened = written(past.groupBy(*leaf).agg(F.min("bucket").alias("opened"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("before")), "mix-round")
-    cuts = share.join(F.broadcast(opened), leaf, "left")
-    last = F.when(F.col("rest") == 0, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("opened") - 1, F.lit((1 << 63) - 1)))
+        found = [F.min("bucket").alias("opened"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("before"), F.min_by("rows", "bucket").alias("rows")]
+        opened = written(past.groupBy(*leaf).agg(*found), "mix-round")
+        if (opened.agg(F.max("rows")).first()[0] or 0) <= WINDOW:
+            break
+    held = inside.join(F.broadcast(opened.drop("rows")), leaf).where(F.shiftrightunsigned("key", left) == F.col("opened"))
+    held = held.groupBy(*leaf, "rest", "before", "key").agg(F.sum("tokens").alias("n"))
+    taken = held.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("key"))).where("upto <= rest")
+    within = written(taken.groupBy(*leaf).agg(F.max("key").alias("within")), "mix-within")
+    cuts = share.join(F.broadcast(opened), leaf, "left").join(F.broadcast(within), leaf, "left")
+    below = F.shiftleft("opened", left) - 1
+    last = F.when(F.col("rest") == 0, F.lit(-1).cast("long")).otherwise(F.coalesce("within", below, F.lit((1 << 63) - 1)))
     return written(cuts.select(*leaf, F.col("full").alias("__full"), last.alias("__last")), "cuts")
 
 

@@ -60,6 +60,17 @@ def test_prefix_is_the_longest_in_the_seeded_order(spark, docs_of):
     assert sorted(r.doc_id for r in got) == sorted(want) and {r.mix_epoch for r in got} == {1}
 
 
+def test_rounds_make_no_difference(documents, monkeypatch):
+    from panelwright.llm import mixing
+
+    taken = lambda: {(r.doc_id, r.epoch) for r in mix_by_source(documents).collect()}
+    one = taken()
+    for window, rounds in ((0, (13, 13, 13, 12, 12)), (3, (2, 3, 20, 38)), (1 << 13, (63,))):
+        monkeypatch.setattr(mixing, "WINDOW", window)
+        monkeypatch.setattr(mixing, "ROUNDS", rounds)
+        assert taken() == one
+
+
 def test_same_seed_same_mixture(documents):
     one, two, other = ({(r.doc_id, r.epoch) for r in mix_by_source(documents.repartition(n), seed=s).collect()} for n, s in ((1, 17), (5, 17), (3, 18)))
     assert one == two != other
