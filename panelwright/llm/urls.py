@@ -116,6 +116,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, error: floa
     given. Each round is a join and a sum, combined before its shuffle; the state, a row for each host reached,
     is written to the shared folder every CHAINED rounds.
     """
+    edges = written(edges, "host-edges")  # read four times, and made of whole pages
     out = edges.groupBy("source").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("target").agg(F.sum("weight").alias("all_in"))
     forward = edges.join(out, "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("weight") / F.col("all_out")).alias("forward"), F.lit(0.0).alias("back"))
