@@ -6,10 +6,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,10 @@ from .shared import text_bytes
 SPACE = "▁"
 #: The largest model that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
-#: Entries of each memory of words and pairs, after which it is emptied, and the longest word that it holds.
-MOST_KNOWN, LONGEST_KNOWN = 500_000, 64
-#: Characters of a text that are cut into words at a time, if no word is longer.
+#: Entries of each memory (what stands between spaces, the words in that, and pairs), after which it is emptied, and the
+#: longest word that it holds.
+MOST_PARTS, MOST_WORDS, MOST_PAIRS, LONGEST_KNOWN = 600_000, 200_000, 500_000, 64
+#: Characters of a text that are encoded at a time; what has no space in it stays together.
 BLOCK = 1 << 20
 
 
@@ -42,23 +44,26 @@ class Vocabulary:
     def __init__(self, model: bytes):
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.score: dict[str, float] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         for i in range(len(lib)):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (lib.is_unknown(i) or lib.is_control(i)):
-                self.score[piece], self.ids[piece] = lib.get_score(i), (i,)
+                self.score[piece], ids[piece] = lib.get_score(i), i
         self.unknown = lib.unk_id()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.tokens = sorted(t for t in self.score.keys() | set("".join(self.score)) if len(self.merged(t)) == 1)
-        self.lengths = [len(t) for t in self.tokens]
+        self.lengths, self.single = [len(t) for t in self.tokens], [ids.get(t, -1) for t in self.tokens]
         self.number = {t: k for k, t in enumerate(self.tokens)}
         self.prefixes = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
         self.nodes: dict[str, _Node] = {}
-        self.word = re.compile(self._words())
+        # no token reaches over the beginning of a word, if no piece has a space behind another character
+        self.whole = any(SPACE in p.lstrip(SPACE) for p in self.score)
+        self.word, self.border = re.compile(self._words()), re.compile("(?!)" if self.whole else f"(?<=[^{SPACE}])(?={SPACE})")
         probe = " ".join(self.tokens[:: max(1, len(self.tokens) // 500)])
         if list(self.encode(probe)) != lib.encode(probe):
             raise ValueError("the model's tokens aren't those of merges by score")
@@ -68,7 +73,7 @@ class Vocabulary:
         with the spaces before them, held together where pieces have such neighbours. Where pieces have spaces behind
         other characters, or letters next to many others, the parts are larger."""
         letter, pairs = re.compile(r"[^\W\d_]"), {a + b for p in self.score for a, b in zip(p, p[1:])}
-        if any(b == SPACE != a for a, b in pairs):
+        if self.whole:
             return r"(?s:.+)"
         mixed = sorted(x for x in pairs if SPACE not in x and bool(letter.match(x[0])) != bool(letter.match(x[1])))
         if len(mixed) > 50:
@@ -95,7 +100,7 @@ class Vocabulary:
 
     def fit(self, a: int, b: int) -> bool:
         """Whether a and b stay apart where they are neighbours."""
-        if len(self.pairs) >= MOST_KNOWN:
+        if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
         left = self.tokens[a]
         found = self.pairs[a * len(self.tokens) + b] = self.merged(left + self.tokens[b], len(left)) is not None
@@ -140,45 +145,64 @@ class Vocabulary:
             last.append(token)
         return last
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> bytes:
         """Ids of a text that has no other word before or behind it: the last token of the whole, then that of what
         is before it, and so back to the beginning."""
-        last, end, out = self.last_tokens(word), len(word), []
+        last, end, out, single, lengths = self.last_tokens(word), len(word), [], self.single, self.lengths
         while end:
             token = last[end]
-            text = word[end - 1] if token < 0 else self.tokens[token]
-            out.extend(reversed(self.ids.get(text) or self.fallback(text)))
-            end -= len(text)
-        return tuple(reversed(out))
-
-    def fallback(self, character: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in character.encode()) if self.bytes else (self.unknown,)
+            if token >= 0 and single[token] >= 0:
+                out.append(single[token])
+                end -= lengths[token]
+            else:  # a character without an id of its own
+                end -= 1
+                out.extend(reversed([self.bytes[b] for b in word[end].encode()] if self.bytes else [self.unknown]))
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _known(self, memory: dict[str, bytes], word: str, ids: bytes, most: int) -> bytes:
+        if len(word) <= LONGEST_KNOWN:
+            if len(memory) >= most:
+                memory.clear()
+            memory[word] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        return self.known.get(word) or self._known(self.known, word, self.encode_word(word), MOST_WORDS)
+
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a space and what stands up to the next one."""
+        words = self.word.findall(SPACE + part)
+        ids = self.encode_word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+        return self._known(self.parts, part, ids, MOST_PARTS)
+
+    def _blocks(self, text: str) -> Iterator[str]:
+        """text in parts of some BLOCK characters over whose borders no token reaches."""
+        start = 0
+        while start < len(text):
+            border = self.border.search(text, start + BLOCK) if len(text) - start > BLOCK else None
+            end = border.start() if border else len(text)
+            yield text[start:end]
+            start = end
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of text, without begin and end. Words that were met before aren't encoded again."""
-        text = self.library.normalize(text)
-        out, known, start, block = array("i"), self.known, 0, BLOCK
-        while start < len(text):
-            words, end = self.word.findall(text, start, start + block), start + block
-            if end < len(text):  # the last part may go on
-                if len(words) == 1:
-                    block *= 2
-                    continue
-                end -= len(words.pop())
-            found = list(map(known.get, words))
+        out = []
+        for block in self._blocks(self.library.normalize(text)):
+            if self.whole or SPACE + SPACE in block:
+                out.append(b"".join(map(self._word, self.word.findall(block))))
+                continue
+            first, *parts = block.split(SPACE)
+            out += map(self._word, self.word.findall(first))
+            found = list(map(self.parts.get, parts))
             if None in found:
-                for k, word in enumerate(words):
-                    if found[k] is None:
-                        found[k] = self.encode_word(word)
-                        if len(word) <= LONGEST_KNOWN:
-                            if len(known) >= MOST_KNOWN:
-                                known.clear()
-                            known[word] = found[k]
-            out.extend(chain.from_iterable(found))
-            start, block = end, BLOCK
-        if not self.bytes and self.unknown in out:  # without bytes, unknown characters in a row are one token
-            out = array("i", (x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x))
-        return out
+                for k in [k for k, x in enumerate(found) if x is None]:
+                    found[k] = self._spaced(parts[k])
+            out += found
+        ids = np.frombuffer(b"".join(out), np.int32)
+        if not self.bytes and len(ids):  # without bytes, unknown characters in a row are one token
+            ids = ids[~((ids == self.unknown) & (np.concatenate([[-1], ids[:-1]]) == self.unknown))]
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -209,11 +233,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         found = vocabulary(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # so that the ids of long texts don't pile up
-                part, ids, ends = batch.slice(at, 256), array("i"), array("i", [0])
-                for x in part.column(1).to_pylist():
-                    ids.extend(found.encode(x.decode("utf-8", "replace")))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(ids), pa.int32()))
+                part = batch.slice(at, 256)
+                ids = [found.encode(x.decode("utf-8", "replace")) for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text"))
@@ -230,7 +253,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [found.decode(x) if x else "" for x in part.column(1).to_pylist()]
+                lists = part.column(1).fill_null([])
+                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+                texts = [found.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")

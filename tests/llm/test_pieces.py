@@ -59,7 +59,8 @@ def test_very_long_texts_take_linear_time(own, library, text):
 
 
 def test_memories_may_overflow(own, library, monkeypatch):
-    monkeypatch.setattr("panelwright.llm.pieces.MOST_KNOWN", 3)
+    for name in ("MOST_PARTS", "MOST_WORDS", "MOST_PAIRS"):
+        monkeypatch.setattr(f"panelwright.llm.pieces.{name}", 3)
     text = "several different words, several memories of them, and none of these is kept for long"
     assert list(own.encode(text)) == library.encode(text)
 
