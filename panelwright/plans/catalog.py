@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, modeling, relational, selection, streams, temporal, writes
+from . import files, hindsight, modeling, relational, selection, streams, temporal, writes
 
-MODULES = [temporal, relational, modeling, selection, writes, files, streams]
+MODULES = [temporal, relational, modeling, selection, hindsight, writes, files, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
