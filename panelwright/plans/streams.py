@@ -21,6 +21,13 @@ def sm01(spark, d):
     return rows.groupBy("event_type", "refused").agg(F.count("*").alias("n"))
 
 
+@query("sm01_refusal_counts", "select case when ts is null then 'undated' when ts < timestamp '2024-01-10' then 'late' else 'taken' end as reason, count(*)::bigint as n from events group by 1")
+def sm01_counts(spark, d):
+    """The stream's own counts of what it took and refused."""
+    _, counts = op.refusals(stream(spark, d), F.col("ts"), F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")))
+    return counts.groupBy("reason").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 @query("sm02_write_once", "select user_id, min(event_id) as event_id, arg_min(event_type, event_id) as event_type from events group by 1")
 def sm02(spark, d):
     return op.write_once(stream(spark, d).select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
@@ -28,7 +35,8 @@ def sm02(spark, d):
 
 @query("sm03_alerts")
 def sm03(spark, d):
-    return op.drain(op.alerts(stream(spark, d), "user_id", "ts", "event_id", "event_type"))
+    got = op.drain(op.alerts(stream(spark, d), "user_id", "ts", "event_id", "event_type"), store=op.TIMERS)
+    return got.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type")
 
 
 @query("sm04_seen", "select user_id, event_type, min(ts) as first_seen, max(ts) as last_seen, count(*)::bigint as times_seen from events group by 1, 2")

@@ -7,17 +7,23 @@ and gives the table that it wrote.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources.work import work_folder
 from ..sources.writers import anti_by, first_of
 
 
+#: The state store that keeps timers.
+TIMERS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The Parquet file or files at a path as a stream; read through a pattern, as a stream takes no single file."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -26,12 +32,12 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append", keep: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keep: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None, store: str | None = None) -> DataFrame:
     """What the stream writes once it has read all there is now, as a table.
 
     append: the rows of every batch, or what keep(table so far, batch) leaves of them. complete: the last batch.
     Batches are written to folders of their own by their number, so that a batch which is run again replaces
-    its own rows only, and no batch writes what others have written.
+    its own rows only, and no batch writes what others have written. store names the provider of its state.
     """
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "stream")
     last = {"id": -1}
@@ -42,7 +48,13 @@ def drain(stream: DataFrame, mode: str = "append", keep: Callable[[DataFrame | N
         batch.write.mode("overwrite").parquet(f"{folder}/rows/n={batch_id}")
         last["id"] = batch_id
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, store or before)  # is read when the query starts
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     if last["id"] < 0:
         return spark.createDataFrame([], stream.schema)
@@ -92,34 +104,114 @@ def seen(df: DataFrame, key: list[str], at: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("times_seen"))
 
 
-def alerts(df: DataFrame, key: str, at: str, item: str, reason: str, cooldown_hours: float = 12.0, keep_hours: float = 504.0) -> DataFrame:
-    """(key, at, item, reason) of the rows of a stream that raise an alert.
+class _Alerts(StatefulProcessor):
+    """What alerts keeps of a key: when its items and reasons were last new and when it last raised an alert, and an
+    event-time timer for when the oldest of these is out of date."""
+
+    def __init__(self, cooldown: int, keep: int):
+        self.cooldown, self.keep = cooldown, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+        self.items = handle.getMapState("items", "item long", "at long")
+        self.reasons = handle.getMapState("reasons", "reason string", "at long")
+
+    def _settle(self, key: tuple, before: int) -> None:
+        """Forgets what is not after `before` and sets the timer for what is next to go; a key of which nothing is left
+        has no state. It alone reads all of a key's state, so that a key's next rows cost what they are."""
+        left = []
+        for state in (self.items, self.reasons):
+            for k, (at,) in list(state.iterator()):
+                if at <= before:
+                    state.removeKey(k)
+                else:
+                    left.append(at)
+        if left:
+            self.handle.registerTimer((min(left) + self.keep) // 1000 + 1)
+        else:
+            for state in (self.last, self.items, self.reasons):
+                state.clear()
+
+    def _known(self, state, k: tuple, now: int) -> bool:
+        return state.containsKey(k) and state.getValue(k)[0] > now - self.keep
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, first = self.last.get()[0] if self.last.exists() else None, None
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000
+        for row in sorted(rows, key=lambda r: (r.at, r.item)):
+            now, one, why = row.at, (row.item,), (row.reason,)
+            if now < oldest or self._known(self.items, one, now):
+                continue
+            if last is not None and now - last < self.cooldown and self._known(self.reasons, why, now):
+                continue
+            self.items.updateValue(one, (now,))
+            self.reasons.updateValue(why, (now,))
+            last, first = now, now if first is None else first
+            yield Row(key=key[0], at=now, item=row.item, reason=row.reason)
+        if first is not None:
+            self.last.update((last,))
+            if not any(True for _ in self.handle.listTimers()):  # else it goes off before the new rows are out of date
+                self.handle.registerTimer((first + self.keep) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._settle(key, expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.keep)
+        yield from ()
+
+
+def alerts(df: DataFrame, key: str, at: str, item: str, reason: str, cooldown_hours: float = 12.0, keep_hours: float = 504.0, most_hours: float | None = 36.0) -> DataFrame:
+    """(key, at, item, reason) of the rows of a stream that raise an alert; at a timestamp in the session's zone.
 
     An item raises one once. After an alert of a key, another within the cooldown needs a reason that has not
-    raised one of the key since it was last pruned. State older than keep_hours before the newest row of the
-    key is pruned. Rows of one batch are taken in order of time, then item.
+    raised one of the key within keep_hours. Rows more than most_hours older than the newest of earlier batches are no
+    news and are dropped (None: as old as keep_hours). Rows of one batch are taken in order of time, then item.
+    What is keep_hours old goes by a timer once the watermark has passed, so that keys that fall silent leave no state. Null keys are one key; rows without a time, an item or a reason are left out.
+    drain takes this with store=TIMERS.
     """
-    schema = f"{key} long, {at} timestamp_ntz, {item} long, {reason} string"
-
-    def run(group: tuple, frames, state: GroupState):
-        items, reasons, last = state.get if state.exists else ([], [], -(1 << 62))
-        known, since = dict(items), dict(reasons)
-        rows = pd.concat(list(frames)).sort_values([at, item])
-        out = []
-        for when, one, why in zip(rows[at], rows[item], rows[reason]):
-            now = int(pd.Timestamp(when).value // 1000)
-            if one in known:
-                continue
-            if now - last < cooldown_hours * 3.6e9 and why in since:
-                continue
-            known[one], since[why], last = now, now, now
-            out.append((group[0], when, one, why))
-        oldest = int(pd.Timestamp(rows[at].max()).value // 1000) - int(keep_hours * 3.6e9)
-        state.update(([(k, v) for k, v in known.items() if v >= oldest], [(k, v) for k, v in since.items() if v >= oldest], last))
-        yield pd.DataFrame(out, columns=[key, at, item, reason])
-
-    kept = "items array<struct<item: long, at: long>>, reasons array<struct<reason: string, at: long>>, last long"
-    return df.select(key, at, item, reason).groupBy(key).applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    processor = _Alerts(int(cooldown_hours * 3.6e9), int(keep_hours * 3.6e9))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("when"), F.col(item).cast("long").alias("item"), F.col(reason).cast("string").alias("reason"))
+    rows = rows.where(F.col("when").isNotNull() & F.col("item").isNotNull() & F.col("reason").isNotNull()).withColumn("at", F.unix_micros("when"))
+    rows = rows.withWatermark("when", f"{int((keep_hours if most_hours is None else most_hours) * 3600)} seconds")
+    found = rows.groupBy("key").transformWithState(processor, "key long, at long, item long, reason string", "append", "eventtime")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(at), F.col("item").alias(item), F.col("reason").alias(reason))
+
+
+class _Counts(StreamingQueryListener):
+    """The observed counts of each batch of one query."""
+
+    def __init__(self, name: str):
+        self.name, self.run, self.batches, self.ended = name, None, {}, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self.name in progress.observedMetrics:
+            self.batches[progress.batchId] = progress.observedMetrics[self.name].asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def refusals(stream: DataFrame, as_of: Column, today: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of a stream that may be written, drained, and (batch, reason, n): how many of each batch were taken and
+    refused for each reason, as the stream's own metrics. The counts are observed while the rows pass, so no row is read
+    again for them, and a listener takes them up batch by batch; a batch that is run again counts once."""
+    spark, name = stream.sparkSession, f"refusals-{uuid.uuid4().hex}"
+    seen_rows = with_refusal(stream, as_of, today).observe(name, *(F.count_if(F.col("refused") == why).alias(why) for why in ("undated", "late")), F.count_if(F.col("refused").isNull()).alias("taken"))
+    listener = _Counts(name)
+    spark.streams.addListener(listener)
+    try:
+        rows = drain(seen_rows.where("refused is null").drop("refused"))
+        listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    counts = [(batch, why, n) for batch, row in sorted(listener.batches.items()) for why, n in sorted(row.items())]
+    return rows, spark.createDataFrame(counts, "batch long, reason string, n long")
 
 
 def freshness(df: DataFrame, feed: str, at: str, now: Column, stale_hours: float) -> DataFrame:
