@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -275,6 +276,62 @@ def expected_best(df: DataFrame, keys: list[str], value: str, available: str, ti
     return df.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda acc: acc["s"]).alias(out))
 
 
+def marginal_values(values: Sequence[float], chances: Sequence[float], positions: Sequence[str], slots: Sequence[str]) -> tuple[float, list[float]]:
+    """The expected sum of the best lineup out of who is there, each row with its own chance and apart from the others, and
+    what that sum would lose without each row.
+
+    Rows are taken by value, and one that is there starts if those that do can still be seated with it: a matroid, so that
+    this is the best lineup. All that matters of the rows before is how many of each position started, up to what the
+    slots can seat, dedicated and flexible ones alike. One fold down the rows gives the chance of each such state before a
+    row, one up the rows what is to be expected from it on; without a row the two meet around its gap.
+    """
+    order = sorted((i for i in range(len(values)) if values[i] > 0), key=lambda i: (-values[i], i))
+    kinds = sorted({positions[i] for i in order})
+    seatable = functools.cache(lambda counts: sum(s is not None for s in assign([1.0] * sum(counts), [[k] for k, n in zip(kinds, counts) for _ in range(n)], slots)) == sum(counts))
+
+    def after(state: tuple[int, ...], i: int) -> tuple[int, ...] | None:
+        k = kinds.index(positions[i])
+        more = (*state[:k], state[k] + 1, *state[k + 1 :])
+        return more if seatable(more) else None
+
+    before: list[dict[tuple[int, ...], float]] = [{(0,) * len(kinds): 1.0}]
+    for i in order:
+        now: dict[tuple[int, ...], float] = {}
+        for state, p in before[-1].items():
+            more = after(state, i)
+            now[state] = now.get(state, 0.0) + (p if more is None else p * (1 - chances[i]))
+            if more is not None:
+                now[more] = now.get(more, 0.0) + p * chances[i]
+        before.append(now)
+    lost = [0.0] * len(values)
+    ahead = dict.fromkeys(before[-1], 0.0)
+    for at in range(len(order) - 1, -1, -1):
+        i, now = order[at], {}
+        for state in before[at]:
+            more = after(state, i)
+            now[state] = ahead[state] if more is None else chances[i] * (values[i] + ahead[more]) + (1 - chances[i]) * ahead[state]
+        lost[i] = sum(p * (now[state] - ahead[state]) for state, p in before[at].items())
+        ahead = now
+    return ahead[(0,) * len(kinds)], lost
+
+
+def lineup_marginals(df: DataFrame, keys: list[str], row: str, value: str, chance: str, position: str, slots: Sequence[str], most_rows: int = 10_000) -> DataFrame:
+    """(keys, row, expected, marginal): marginal_values of each group, which is a roster: more than most_rows rows are an
+    error. Null values count as 0, null chances as 0, chances are held between 0 and 1; rows of no worth add nothing."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, row))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > most_rows:
+            raise ValueError(f"a roster has more than {most_rows} rows")
+        frame = frame.sort_values(row)
+        total, lost = marginal_values(frame["__value"].tolist(), frame["__chance"].tolist(), frame["__position"].tolist(), slots)
+        return frame[[*keys, row]].assign(expected=total, marginal=lost)
+
+    chance_ = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.col(chance).cast("double"), F.lit(0.0)), F.lit(0.0))))
+    own = df.select(*keys, row, F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__value"), chance_.alias("__chance"), F.coalesce(position, F.lit("")).alias("__position"))
+    return own.groupBy(*keys).applyInPandas(one, f"{kinds}, expected double, marginal double")
+
+
 def backup_board(df: DataFrame, keys: list[str], row: str, value: str, miss: str, weeks: int) -> DataFrame:
     """(keys, row, lead, gain): for every row behind the best of its group, what it is worth over the weeks left: the
     lead's rate less its own, times the weeks that the lead is expected to miss. Leads worth nothing have no backups."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import html_tables, readers, writers
 from ..sources.readers import table
 from ..sources.work import work_folder
 from .registry import registry
@@ -153,3 +154,41 @@ def snk11(spark, d):
     one = readers.typed(readers.read_csv(spark, f"{path}/csv", ["o_orderkey", "csv"]), {"o_orderkey": "long"})
     two = spark.read.schema("o_orderkey long, o_comment string").json(f"{path}/json")
     return one.join(two.withColumnRenamed("o_comment", "json"), "o_orderkey")
+
+
+# Tables of pages
+
+
+def order_pages(spark, d):
+    """A page of each customer with a table of its orders: two header rows with spans, and a year's cell that spans its
+    rows; cells and rows end where others begin, as pages in the wild have it."""
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderkey", "o_orderstatus", F.round("o_totalprice").cast("long").alias("v"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "y"))
+    first = F.row_number().over(Window.partitionBy("o_custkey", "y").orderBy("o_orderkey")) == 1
+    line = F.concat(F.lit("<tr>"), F.when(first, F.concat(F.lit('<th rowspan="'), n.cast("string"), F.lit('">'), F.col("y").cast("string"))).otherwise(""), F.lit("<td>"), "o_orderkey", F.lit("</td><td><b>"), "o_orderstatus", F.lit("</b> &amp; more<td>"), "v", F.lit("\n"))
+    rows = o.select("o_custkey", F.struct("y", "o_orderkey", line.alias("line")).alias("r")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("r")).alias("r"))  # a customer's own
+    head = '<h1>Orders</h1><table class=x><thead><tr><th rowspan=2>Year<th rowspan=2>Order<th colspan=2>Amount</tr><tr><th>Status<th>Total</thead><tbody>'
+    return rows.select("o_custkey", F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["line"]), ""), F.lit("</table><p>end")).alias("html"))
+
+
+@query(
+    "src09_tables",
+    """with o as (select o_custkey, o_orderkey, o_orderstatus, year(o_orderdate)::varchar as y, round(o_totalprice)::bigint as v, (row_number() over (partition by o_custkey order by year(o_orderdate), o_orderkey) + 1)::int as row from orders)
+      select o_custkey, row, 0 as "column", true as is_header, 'Year' as header, null as row_header, y as value from o union all select o_custkey, row, 1, false, 'Order', y, o_orderkey::varchar from o
+      union all select o_custkey, row, 2, false, 'Amount Status', y, o_orderstatus || ' & more' from o union all select o_custkey, row, 3, false, 'Amount Total', y, v::varchar from o""",
+)
+def src09_tables(spark, d):
+    return html_tables.html_tables(order_pages(spark, d), "o_custkey", "html").where("row >= 2").drop("table")
+
+
+@query(
+    "src09_settings",
+    """select c_custkey, 'Account balance' as label, 'BAL' as code, round(c_acctbal)::bigint::varchar as value, round(c_acctbal)::double as number, [c_mktsegment] as others from customer
+      union all select c_custkey, 'Segment', null, c_mktsegment, null, [] from customer""",
+)
+def src09_settings(spark, d):
+    """A page of settings for each customer: rows of a label, a value and notes."""
+    balance = F.round("c_acctbal").cast("long").cast("string")
+    html = F.concat(F.lit("<table><tr><th>Setting<th>Value<tr><td>Account balance (BAL)<td>"), balance, F.lit("<td>"), "c_mktsegment", F.lit("<tr><td>Segment</td><td> "), "c_mktsegment", F.lit(" </td></tr><tr><td>alone</table>"))
+    cells = html_tables.html_tables(table(spark, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html")
+    return html_tables.settings(cells, "c_custkey").drop("table", "row")

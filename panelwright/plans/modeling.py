@@ -865,6 +865,16 @@ def vl08(spark, d):
     return decisions.expected_best(c, ["k", "pos"], "v", "a", "c_custkey", 2).withColumn("expected", F.round("expected", 5))
 
 
+@query("vl08_marginals")
+def vl08_marginals(spark, d):
+    """Twenty customers in a row of their keys are a roster, with the share of their orders that are filled as the chance
+    that they are there: the expected lineup, and what it loses without each."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("chance"))
+    pos = F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "RB").when(F.col("c_mktsegment") == "MACHINERY", "QB").otherwise("WR")
+    c = table(spark, d, "customer").join(o, "c_custkey", "left").select((F.col("c_custkey") / 20).cast("long").alias("team"), "c_custkey", "c_acctbal", "chance", pos.alias("pos"))
+    return decisions.lineup_marginals(c, ["team"], "c_custkey", "c_acctbal", "chance", "pos", ["QB", "RB", "RB", "WR", "FLEX", "SUPERFLEX"])
+
+
 @query(
     "vl09_backup_board",
     """with r as (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_acctbal desc, c_custkey) as k from customer), l as (select * from r where k = 1 and c_acctbal > 0)

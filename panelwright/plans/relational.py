@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..operators import mentions
 from ..operators import relational as op
 from ..sources.readers import table
 from .registry import registry
@@ -584,6 +585,27 @@ def str06(spark, d):
     return table(spark, d, "documents").select("doc_id", text.mentions(F.col("text"), F.lit("MIT"), F.lit("License")).alias("hit"))
 
 
+WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+
+@query(
+    "str06_names",
+    f"""with w as (select doc_id, {WORDS} as w from documents), names as (select min(doc_id) as name_id, w[1] || ' ' || w[2] || ' ' || w[3] as name, w[4] as context from w where len(w) >= 4 group by 2, 3),
+      g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'at': i - 1, 'key': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) as g from w union all select doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'at': i - 1, 'key': w[i]}})) from w),
+      h as (select doc_id, g.key as key, count(*) as n, min(g.at) as first from g where g.key in (select name from names union select context from names) group by all),
+      m as (select h.*, s.name_id, count(*) over (partition by h.doc_id, h.key) as bearers, (c.key is not null)::int as told from h join names s on s.name = h.key left join h c on c.doc_id = h.doc_id and c.key = s.context),
+      t as (select *, sum(told) over (partition by doc_id, key) as n_told from m)
+      select doc_id, name_id, key as name, n::bigint as n, first::int as first, bearers > 1 and n_told <> 1 as ambiguous from t where bearers = 1 or n_told <> 1 or told = 1""",
+)
+def str06_names(spark, d):
+    """The first three words of a document are a name and the fourth its context: which texts name which document."""
+    docs = table(spark, d, "documents")
+    w = F.col("w")
+    words = docs.select("doc_id", mentions.word_list(F.col("text")).alias("w")).where(F.size("w") >= 4)
+    names = words.groupBy(F.concat_ws(" ", w[0], w[1], w[2]).alias("name"), w[3].alias("context")).agg(F.min("doc_id").alias("name_id"))
+    return mentions.find_names(docs, names, "doc_id", "text", "name_id", "name", "context")
+
+
 @query("str07_entities", "select page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&') as title from pages")
 def str07(spark, d):
     return table(spark, d, "pages").select("page_id", text.decode_entities(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"))

@@ -15,7 +15,7 @@ from panelwright.plans import catalog
 
 QUERIES = catalog.queries()
 SLOTS = ["QB", "RB", "RB", "WR", "FLEX"]
-TESTED = {"jn17_resolve_or_mint", "tk05_assignment", "mx10_regret", "mx11_lineup_backtest", "mt02_curves", "ml15_quantile_fit", "ml16_boosted_mean", "ml16_boosted_chance", "ml17_logistic", "mx07_bootstrap", "vl04_power_ratings", "mc01_keyed_draws", "sm03_alerts"}
+TESTED = {"jn17_resolve_or_mint", "tk05_assignment", "mx10_regret", "mx11_lineup_backtest", "mt02_curves", "ml15_quantile_fit", "ml16_boosted_mean", "ml16_boosted_chance", "ml17_logistic", "mx07_bootstrap", "vl04_power_ratings", "mc01_keyed_draws", "sm03_alerts", "vl08_marginals"}
 
 
 def rows(spark, sf, name):
@@ -273,3 +273,44 @@ def test_expected_best_equals_all_outcomes(spark):
             chance = math.prod(a if t else 1 - a for t, (_, a) in zip(there, values))
             want += chance * sum([v for t, (v, _) in zip(there, values) if t][:slots])
         assert decisions.expected_best(df, ["k"], "v", "a", "i", slots).first().expected == pytest.approx(want)
+
+
+def expected_by_outcomes(rows, slots):
+    """The mean best lineup over every outcome of who is there."""
+    total = 0.0
+    for there in itertools.product((False, True), repeat=len(rows)):
+        chance = math.prod(c if t else 1 - c for (_, c, _), t in zip(rows, there))
+        own = [(v, p) for (v, _, p), t in zip(rows, there) if t]
+        seats = decisions.assign([v for v, _ in own], [[p] for _, p in own], slots)
+        total += chance * sum(max(v, 0.0) for (v, _), s in zip(own, seats) if s is not None)
+    return total
+
+
+def test_lineup_marginals_equal_all_outcomes():
+    draw = np.random.default_rng(4)
+    for slots in (["QB", "RB", "FLEX"], ["RB", "RB", "WR"], ["QB", "WR", "FLEX", "SUPERFLEX"], ["K"], []):
+        rows = [(float(v), float(c), p) for v, c, p in zip(draw.normal(5, 4, 9).round(1), draw.choice([0, 0.3, 0.7, 1], 9), draw.choice(["QB", "RB", "WR", "TE", "K"], 9))]
+        total, lost = decisions.marginal_values(*zip(*rows), slots)
+        assert total == pytest.approx(expected_by_outcomes(rows, slots))
+        assert lost == pytest.approx([total - expected_by_outcomes(rows[:i] + rows[i + 1 :], slots) for i in range(9)])
+    assert decisions.marginal_values([], [], [], ["QB"]) == (0.0, [])
+
+
+def test_lineup_marginals_of_the_tables(spark, sf):
+    orders = defaultdict(list)
+    for r in rows(spark, sf, "orders"):
+        orders[r.o_custkey].append(r.o_orderstatus == "F")
+    teams = defaultdict(list)
+    for r in rows(spark, sf, "customer"):
+        own = {"BUILDING": "RB", "AUTOMOBILE": "RB", "MACHINERY": "QB"}.get(r.c_mktsegment, "WR")
+        teams[r.c_custkey // 20].append((r.c_custkey, r.c_acctbal, np.mean(orders[r.c_custkey]) if orders[r.c_custkey] else 0.0, own))
+    slots = ["QB", "RB", "RB", "WR", "FLEX", "SUPERFLEX"]
+    got = {r.c_custkey: (r.expected, r.marginal) for r in QUERIES["vl08_marginals"](spark, sf).collect()}
+    assert len(got) == sum(map(len, teams.values()))
+    for own in teams.values():
+        own.sort()
+        total = decisions.marginal_values([r[1] for r in own], [r[2] for r in own], [r[3] for r in own], slots)[0]
+        for i, r in enumerate(own):  # the whole fold again, without the row
+            left = own[:i] + own[i + 1 :]
+            rest = decisions.marginal_values([r[1] for r in left], [r[2] for r in left], [r[3] for r in left], slots)[0]
+            assert got[r[0]] == pytest.approx((total, total - rest), abs=1e-6)
