@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,13 @@ from .shared import written
 HOT = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
-BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
-UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|textarea|xmp)\b.*?</\1\s*>"
+#: The attributes of tags by their names: quoted where a value is, and without < and > elsewhere, so that no tag that isn't
+#: closed is looked for beyond the next. No repetition gives back what it took, so a page is read in its length.
+TAG = r"""(?is)<(?:%s)\s((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>]*+))*+)>"""
+#: The value of the first href, behind whole attributes of other names.
+HREF = r"""(?is)^(?:\s++|[/=]|(?!href\s*+=)[^\s=/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>]*+))?+)*+href\s*+=\s*+["']?\s*+([^"'\s>]+)"""
+#: Comments and elements whose text is no markup; such as never end go to the end of the page.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|xmp)\b.*?(?:</\1(?=[\s/>])|\z)"
 #: Characters that a host's entities may stand for.
 ENTITIES = ((r"(?i)&(?:amp|#38|#x26);?", "&"), (r"(?i)&(?:sol|#0*47|#x0*2f);?", "/"), (r"(?i)&(?:colon|#0*58|#x0*3a);?", ":"), (r"(?i)&(?:period|#0*46|#x0*2e);?", "."))
 ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
@@ -98,8 +103,10 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     seen = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), UNSEEN, " ")
     plain = lambda c: reduce(lambda c, e: F.regexp_replace(c, e[0], e[1]), ENTITIES, c)
     target = lambda c: F.when(c.rlike(ABSOLUTE), host_and_path(F.regexp_replace(c, "^//", "x://"))[0])
+    links = lambda tags: F.filter(F.transform(F.regexp_extract_all("seen", F.lit(TAG % tags), F.lit(1)), lambda tag: F.regexp_extract(tag, HREF, 1)), lambda link: link != "")
     read = pages.select(source.alias("source"), seen.alias("seen")).where(F.col("source") != "")
-    read = read.select("source", target(plain(F.regexp_extract("seen", BASE, 1))).alias("base"), F.explode(F.regexp_extract_all("seen", F.lit(HREF), F.lit(1))).alias("link"))
+    # a column of its own, as what stands beside explode is worked out again for each of its rows
+    read = read.select("source", target(plain(F.try_element_at(links("base"), F.lit(1)))).alias("base"), links("a|area").alias("links")).select("source", "base", F.explode("links").alias("link"))
     counted = read.select("source", F.coalesce(target(plain(F.col("link"))), "base").alias("target")).where("target <> '' and source <> target")
     counted = counted.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
     family = hosts.select(F.col("host").alias("source"), domain(F.col("host")).alias("target"), F.col("pages").cast("double").alias("weight")).where("source <> target")
@@ -113,8 +120,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, error: floa
     Trust follows edges in shares of a source's weight, distrust goes back along them in shares of a target's.
     A round leaves 1 - damping at the seeds. What is missing after r rounds is at most 2 * damping ** r of the
     seeds' sum, so there are as many rounds as bring it under `error`, whatever the graph, unless `rounds` are
-    given. Each round is a join and a sum, combined before its shuffle; the state, a row for each host reached,
-    is written to the shared folder every CHAINED rounds.
+    given. Each round is a join with the graph, which is dealt out by its sources once and kept by the executors (a
+    lost one's part is read again), and a sum, combined before its shuffle, the round's only one; the state, a row for
+    each host reached, is written to the shared folder every CHAINED rounds.
     """
     edges = written(edges, "host-edges")  # read four times, and made of whole pages
     out = edges.groupBy("source").agg(F.sum("weight").alias("all_out"))
@@ -122,17 +130,21 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, error: floa
     forward = edges.join(out, "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("weight") / F.col("all_out")).alias("forward"), F.lit(0.0).alias("back"))
     backward = edges.join(into, "target").select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(0.0).alias("forward"), (F.col("weight") / F.col("all_in")).alias("back"))
     steps = forward.unionByName(backward).groupBy("host", "to").agg(F.sum("forward").alias("forward"), F.sum("back").alias("back"))
-    steps, seeds = written(steps, "host-steps"), written(seeds, "seeds")
+    seeds = written(seeds, "seeds")
+    # the graph stays where its sources are, so that a round moves nothing but what hosts get
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = written(steps, "host-steps").repartition(parts, "host").persist(StorageLevel.MEMORY_AND_DISK)
     mass = seeds.agg(F.sum("trust") + F.sum("distrust")).first()[0] or 0.0
     if rounds is None:
         rounds = math.ceil(math.log(max(1.0, 2 * mass / error)) / -math.log(damping))
     stay = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     now = seeds
     for r in range(rounds):
-        moved = steps.join(now, "host").select(F.col("to").alias("host"), (F.col("forward") * F.col("trust") * damping).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
+        moved = steps.join(now.hint("shuffle_hash"), "host").select(F.col("to").alias("host"), (F.col("forward") * F.col("trust") * damping).alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust"))
         now = moved.unionByName(stay).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if (r + 1) % CHAINED == 0 or r + 1 == rounds:
             now = written(now, "trust")
+    steps.unpersist()
     return now
 
 

@@ -1,6 +1,7 @@
 """URL filters: rules and hosts against plain Python, the spread against dense matrices."""
 
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -113,6 +114,27 @@ def test_links_are_those_of_visible_anchors(spark):
     }
 
 
+def test_links_of_odd_tags_and_of_what_never_ends(spark):
+    pages = {
+        "http://a.net/": """<a title="x > y <b" href="http://one.org/">x</a><a data='href=http://no.org/' href='http://two.org/'>y</a><a href=http://three.org/x'y>z</a><a title=it's href=//four.org>w</a>""",
+        "http://b.net/": "<a href='http://one.org/'>x</a><script> if (a < b) '<a href=http://no.org/>'",
+        "http://c.net/": "<!-- <a href='http://no.org/'>x</a>",
+        "http://d.net/": "<base target=x><base href='http://base.org/'><a href=page>p</a><a href='http://no.org/' ",
+        "http://e.net/": "<script></script foo><a href=http://one.org>x</a><textarea><a href=http://no.org>x</textarea><a href='http://no.org/'<b><a\nhref\n=\n'http://two.org'>",
+    }
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages.items())]
+    got = host_edges(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame([], "host string, pages long")).collect()
+    assert {(r.source[0], r.target) for r in got} == {("a", "one.org"), ("a", "two.org"), ("a", "three.org"), ("a", "four.org"), ("b", "one.org"), ("d", "base.org"), ("e", "one.org"), ("e", "two.org")}
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<a ", "<a x='", '<a x="y" ', "<!--", "<base ", "<a href=", "</script ", "<a href='http://x.org/'>"])
+def test_pages_of_ten_megabytes_take_linear_time(spark, unit):
+    pages = spark.createDataFrame([("http://a.net/", 10_000_000 // len(unit))], "url string, n int").select("url", F.repeat(F.lit(unit), F.col("n")).alias("html"))
+    start = time.perf_counter()
+    got = host_edges(pages, spark.createDataFrame([], "host string, pages long")).collect()
+    assert time.perf_counter() - start < 60 and {r.target for r in got} == ({"x.org"} if "x.org" in unit else set())
+
+
 def test_spread_equals_a_dense_walk(spark):
     rng = np.random.default_rng(1)
     n, w = 20, rng.integers(0, 3, (20, 20)).astype(float)
