@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_bytes, text_key
+from .shared import free_name, text_bytes, text_key
 
 #: Gear table: 256 odd-looking 32-bit values from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -197,10 +197,11 @@ def cut_repeats(docs: DataFrame, rate: float = 0.3, least: int = 3, most: int =
     without an id or a text and repeated rows. Texts without such spans are passed on as they are. Columns
     other than text and n_chars are not read; they may have any name.
     """
-    spans = keyed_spans(docs, rate, least, most, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "__spans").hint("shuffle_hash")  # grow with the documents: never broadcast, no sort of texts
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key() == F.col("__key"))
-    joined = docs.join(spans, same, "left").drop("__doc", "__key")
+    spans = keyed_spans(docs, rate, least, most, min_words).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("spans"))
+    doc, key, held = (free_name(docs, c) for c in ("__doc", "__key", "__spans"))
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("spans").alias(held)).hint("shuffle_hash")  # grow with the documents: never broadcast, no sort of texts
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key() == F.col(key))
+    joined = docs.join(spans, same, "left").drop(doc, key)
 
     def run(batches):
         for batch in batches:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes, words, written
+from .shared import free_name, text_bytes, text_key, words, written
 
 K1, B = 1.2, 0.75
 #: Items of a block: each list has its largest impact in every block that it reaches.
@@ -308,26 +308,33 @@ def contaminated(
 
     Items without a word and null and empty texts find nothing. Null doc_ids and item_ids are searched as all
     others and reported as null; repeated rows are searched each; items that share an id and differ in text
-    are all searched and the id is reported once, with the best of them, for each block; empty tables give no
+    are all searched and the id is reported once, with the best of them, whatever the blocks; empty tables give no
     rows; extra columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text_bytes(text).alias("text"))
+    schema = "doc_id long, key long, block int, item_id long, score double, question_overlap double, answer_overlap double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    out, blocks = None, 0
     for sent in index_blocks(items, shingle, block_bytes):
 
-        def run(batches, sent=sent):
-            index, kinds = sent.value, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        def run(batches, sent=sent, block=blocks):
+            index, kinds = sent.value, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             for batch in batches:
-                hits = _found(index, batch.column(1).to_pylist(), threshold, overlap, shingle)
-                got = [(d, *x) for d, own in zip(batch.column(0).to_pylist(), hits) for x in own]
+                hits = _found(index, batch.column(2).to_pylist(), threshold, overlap, shingle)
+                got = [(d, key, block, *x) for d, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hits) for x in own]
                 if got:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*got), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names=names)
 
-        found = source.mapInArrow(run, schema)
+        found, blocks = source.mapInArrow(run, schema), blocks + 1
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    if blocks > 1:  # an id whose items lie in several blocks is reported once: for each of the rows that repeat a text
+        found = F.struct("question_overlap", "answer_overlap", "score")
+        by_block = out.groupBy("doc_id", "key", "item_id", "block").agg(F.max(found).alias("best"), F.count("*").alias("rows"))
+        best = by_block.groupBy("doc_id", "key", "item_id").agg(F.max("best").alias("best"), F.max("rows").cast("int").alias("rows"))
+        out = best.select("doc_id", "item_id", "best.*", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return out.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def drop_contaminated(
@@ -345,5 +352,5 @@ def drop_contaminated(
                 clean = pa.array([not hits for hits in _found(index, texts, threshold, overlap, shingle)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(clean)
 
-        docs = docs.select("*", text_bytes(text).alias("__bytes")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", text_bytes(text).alias(free_name(docs, "__bytes"))).mapInArrow(run, docs.schema)
     return docs

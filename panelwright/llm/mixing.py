@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_name, written
 
 Path = tuple[str, ...]
 #: Bits of a document's place that each round of the cut looks at, 63 in all.
@@ -73,13 +73,6 @@ def _key(seed: int, epoch: Column, doc_id: str = "doc_id") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), F.col(doc_id).cast("long")), 1)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, or one that the table doesn't have yet: mix_ before it."""
-    while name in df.columns:
-        name = f"mix_{name}"
-    return name
-
-
 def _leaf(levels: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"__leaf{i}") for i, c in enumerate(levels)]
 
@@ -141,12 +134,14 @@ def mix(docs: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], t
     """
     epoch, tokens = free_name(docs, "epoch"), free_name(docs, "tokens")
     cuts = plan_mix(docs, levels, weights, seed=seed, text=text, **how)
-    same = [leaf == F.col(f"__cut{i}") for i, leaf in enumerate(_leaf(levels))]
-    cuts = cuts.select(*(F.col(f"__leaf{i}").alias(f"__cut{i}") for i in range(len(levels))), "__full", "__last")
+    cut = [free_name(docs, f"__cut{i}") for i in range(len(levels))]
+    full, last, times = (free_name(docs, c) for c in ("__full", "__last", "__times"))
+    same = [leaf == F.col(c) for c, leaf in zip(cut, _leaf(levels))]
+    cuts = cuts.select(*(F.col(f"__leaf{i}").alias(c) for i, c in enumerate(cut)), F.col("__full").alias(full), F.col("__last").alias(last))
     joined = docs.join(F.broadcast(cuts), same)  # max_leaves rows at most
-    times = F.col("__full") + (_key(seed, F.col("__full") + 1) <= F.col("__last")).cast("long")
-    chosen = joined.withColumn("__times", times).where("__times > 0").withColumn(tokens, token_count(text))
-    chosen = chosen.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    joined = joined.withColumn(times, F.col(full) + (_key(seed, F.col(full) + 1) <= F.col(last)).cast("long"))
+    chosen = joined.where(F.col(times) > 0).withColumn(tokens, token_count(text))
+    chosen = chosen.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return chosen.select(*(F.col(f"`{c}`") for c in docs.columns), epoch, tokens)
 
 

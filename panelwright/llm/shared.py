@@ -37,6 +37,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one that the table doesn't have yet: mix_ before it, as often as needed."""
+    while name in df.columns:
+        name = f"mix_{name}"
+    return name
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column

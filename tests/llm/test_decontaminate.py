@@ -141,5 +141,9 @@ def test_rows_and_items_that_share_an_id(spark, docs_of):
     one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
     items = spark.createDataFrame([(1, one), (1, two)], "item_id long, text string")
     docs = docs_of((5, "before " + one), (5, "clean"), (None, two + " behind"), (None, "clean too"), (6, one + " " + two))
+    got = sorted(map(repr, contaminated(docs, items).collect()))
     assert sorted((r.doc_id or 0, r.item_id) for r in contaminated(docs, items).collect()) == [(0, 1), (5, 1), (6, 1)]
+    assert sorted(map(repr, contaminated(docs, items, block_bytes=10).collect())) == got
+    twice = docs.union(docs)
+    assert sorted(map(repr, contaminated(twice, items, block_bytes=10).collect())) == sorted(map(repr, contaminated(twice, items).collect())) == sorted(got * 2)
     assert sorted(r.text for r in drop_contaminated(docs, items).collect()) == ["clean", "clean too"]
