@@ -134,10 +134,18 @@ def mx10(spark, d):
     return decisions.regret(roster(spark, d), ["c_nationkey"], "c_custkey", "guess", "c_acctbal", "eligible", ["QB", "RB", "RB", "WR", "FLEX"])
 
 
-@query("tk06_slots", "select slot, unnest(p) as position from (values ('FLEX', ['RB', 'WR', 'TE']), ('QB', ['QB']), ('WRTE', ['WR', 'TE'])) t(slot, p)")
+@query(
+    "tk06_slots",
+    """with s as (select slot, unnest(p) as position from (values ('FLEX', ['RB', 'WR', 'TE']), ('QB', ['QB']), ('WRTE', ['WR', 'TE'])) t(slot, p)),
+      c as (select c_nationkey, case when c_mktsegment in ('BUILDING', 'AUTOMOBILE') then 'RB' when c_mktsegment = 'MACHINERY' then 'QB' else 'WR' end as position from customer)
+      select c_nationkey, slot, count(*)::bigint as n from c join s using (position) group by 1, 2""",
+)
 def tk06(spark, d):
-    rows = [(s, p) for s in ("FLEX", "QB", "WRTE") for p in decisions.admitted(s)]
-    return spark.createDataFrame(rows, "slot string, position string")
+    """How many customers of each nation may fill each slot, by the position of their segment."""
+    slots = spark.createDataFrame([(s, p) for s in ("FLEX", "QB", "WRTE") for p in decisions.admitted(s)], "slot string, position string")
+    position = F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "RB").when(F.col("c_mktsegment") == "MACHINERY", "QB").otherwise("WR")
+    c = table(spark, d, "customer").select("c_nationkey", position.alias("position"))
+    return c.join(F.broadcast(slots), "position").groupBy("c_nationkey", "slot").agg(F.count("*").alias("n"))  # of a handful of slots
 
 
 @query("tk07_multi_key", "select p_partkey from part order by p_retailprice desc, p_size desc, p_partkey limit 30")
@@ -145,9 +153,17 @@ def tk07(spark, d):
     return table(spark, d, "part").orderBy(F.desc("p_retailprice"), F.desc("p_size"), "p_partkey").limit(30).select("p_partkey")
 
 
-@query("tk08_serpentine", "select (i + 1)::int as pick, (i // 10 + 1)::int as round, (case when (i // 10) % 2 = 0 then i % 10 + 1 else 10 - i % 10 end)::int as team from range(40) t(i)")
+@query(
+    "tk08_serpentine",
+    """with r as (select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) - 1 as i from customer)
+      select c_nationkey, c_custkey, (i + 1)::int as pick, (i // 10 + 1)::int as round, (case when (i // 10) % 2 = 0 then i % 10 + 1 else 10 - i % 10 end)::int as team from r where i < 40""",
+)
 def tk08(spark, d):
-    return spark.range(1).select(F.explode(ranking.serpentine(10, 4)).alias("p")).select("p.*")
+    """The forty best customers of each nation, dealt to ten teams there and back."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    ranked = table(spark, d, "customer").select("c_nationkey", "c_custkey", place.alias("pick")).where("pick <= 40")
+    order = spark.range(1).select(F.explode(ranking.serpentine(10, 4)).alias("p")).select("p.*")
+    return ranked.join(F.broadcast(order), "pick").select("c_nationkey", "c_custkey", "pick", "round", "team")  # forty rows
 
 
 @query(
@@ -188,11 +204,18 @@ def tk10(spark, d):
 @query(
     "tk11_round_robin",
     """with w as (select unnest(range(1, 10))::int as week), k as (select unnest(range(0, 5))::int as k),
-      g as (select week, k, case when k = 0 then 1 else (k - 1 + week - 1) % 9 + 2 end as a, (9 - k - 1 + week - 1) % 9 + 2 as b from w, k)
-      select week, case when (week + k) % 2 = 1 then a else b end::int as home, case when (week + k) % 2 = 1 then b else a end::int as away from g""",
+      g as (select week, k, case when k = 0 then 1 else (k - 1 + week - 1) % 9 + 2 end as a, (9 - k - 1 + week - 1) % 9 + 2 as b from w, k),
+      s as (select week, case when (week + k) % 2 = 1 then a else b end as home, case when (week + k) % 2 = 1 then b else a end as away from g),
+      t as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as i from customer)
+      select h.c_nationkey, week, h.c_custkey as home, a.c_custkey as away from s join t h on h.i = s.home join t a on a.i = s.away and a.c_nationkey = h.c_nationkey""",
 )
 def tk11(spark, d):
-    return spark.createDataFrame(decisions.round_robin(10, 9), "week int, home int, away int")
+    """The ten best customers of each nation play each other once."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    teams = table(spark, d, "customer").select("c_nationkey", "c_custkey", place.alias("i")).where("i <= 10")
+    games = spark.createDataFrame(decisions.round_robin(10, 9), "week int, home_i int, away_i int")
+    side = lambda name: teams.select("c_nationkey", F.col("c_custkey").alias(name), F.col("i").alias(f"{name}_i"))
+    return side("home").join(F.broadcast(games), "home_i").join(side("away"), ["c_nationkey", "away_i"]).select("c_nationkey", "week", "home", "away")  # 45 games
 
 
 @query(
@@ -218,9 +241,9 @@ def mt01(spark, d):
 
 @query("mt02_curves")
 def mt02(spark, d):
-    x = (F.col("id") - 50) / 10
-    p = (F.col("id") + 0.5) / 101
-    return spark.range(101).select("id", numbers.logistic(x).alias("logistic"), numbers.normal_cdf(x).alias("cdf"), numbers.probit(p).alias("probit"), numbers.expected_max_normals(F.col("id")).alias("most"))
+    """Curves at each rate of the lines: its logit as a chance, and the most to be expected of so many lines."""
+    line = table(spark, d, "lineitem").select((F.col("l_discount") * 100 - F.col("l_tax") * 100).alias("x"), ((F.col("l_discount") * 100 + 0.5) / 11).alias("p"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    return line.select("x", "p", "n", numbers.logistic(F.col("x")).alias("logistic"), numbers.normal_cdf(F.col("x")).alias("cdf"), numbers.probit(F.col("p")).alias("probit"), numbers.expected_max_normals(F.col("n")).alias("most"))
 
 
 @query(
@@ -563,9 +586,11 @@ def ml20(spark, d):
     return got.select("k", "mean", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")))
 
 
-@query("ml19_forward_blocks", "select * from (values (1994, 2), (1995, 3), (1996, 4)) t(test, n_train)")
+@query("ml19_forward_blocks", "with y as (select distinct year(o_orderdate)::int as y from orders), r as (select y, row_number() over (order by y)::int - 1 as n from y) select y as test, n as n_train from r where n >= 2")
 def ml19(spark, d):
-    return spark.createDataFrame([(t, len(tr)) for tr, t in models.forward_blocks([1992, 1993, 1994, 1995, 1996], 2)], "test int, n_train int")
+    """Each order year with two or more before it, which train for it."""
+    years = [r.y for r in table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().collect()]  # a row a year
+    return spark.createDataFrame([(t, len(tr)) for tr, t in models.forward_blocks(years, 2)], "test int, n_train int")
 
 
 # Metrics
@@ -903,7 +928,15 @@ def mc01(spark, d):
     return table(spark, d, "orders").select("o_orderkey", numbers.keyed_draw(*keys).alias("u"), numbers.keyed_normal(*keys).alias("z"))
 
 
-@query("lineage_depths", "select * from (values ('raw', 0), ('stg', 1), ('feat', 2), ('mart', 3), ('audit', 1)) t(node, depth)")
+@query(
+    "lineage_depths",
+    """select 'region ' || r_regionkey as node, 0 as depth from region join nation on n_regionkey = r_regionkey group by 1 union select 'nation ' || n_nationkey, 1 from nation
+      union select 'segment ' || n_nationkey || ' ' || c_mktsegment, 2 from customer join nation on n_nationkey = c_nationkey""",
+)
 def lineage(spark, d):
-    producers = spark.createDataFrame([("stage", ["raw"], ["stg", "audit"]), ("features", ["stg", "raw"], ["feat"]), ("mart", ["feat", "stg"], ["mart"])], "name string, reads array<string>, writes array<string>")
+    """Regions feed nations, and these and their regions the segments that their customers are of."""
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("region "), "n_regionkey").alias("region"), F.concat(F.lit("nation "), "n_nationkey").alias("nation"))
+    segment = F.concat(F.lit("segment "), F.col("n_nationkey").cast("string"), F.lit(" "), "c_mktsegment")
+    s = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct().join(n, "n_nationkey")
+    producers = n.select(F.array("region").alias("reads"), F.array("nation").alias("writes")).unionByName(s.select(F.array("nation", "region").alias("reads"), F.array(segment).alias("writes")))
     return decisions.depths(decisions.lineage_edges(producers))

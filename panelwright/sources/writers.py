@@ -38,10 +38,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = N
 
 
 def upsert_known(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """As upsert, but a null of the new row leaves the old value."""
+    """As upsert, but a null of the new row leaves the old value; of new rows with one key, the latest counts."""
     values = [c for c in old.columns if c not in key]
-    other = new.select(*key, *(F.col(c).alias(f"__{c}") for c in values))
-    return old.join(other, key, "full").select(*key, *(F.coalesce(f"__{c}", c).alias(c) for c in values)).select(*old.columns)
+    own = old.withColumn("__old", F.lit(True))
+    other = latest(new, key).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), *(F.col(c).alias(f"__v{i}") for i, c in enumerate(values)))
+    met = own.join(other, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key))), "full")
+    keys = (F.when(F.col("__old"), F.col(k)).otherwise(F.col(f"__k{i}")).alias(k) for i, k in enumerate(key))
+    return met.select(*keys, *(F.coalesce(f"__v{i}", c).alias(c) for i, c in enumerate(values))).select(*old.columns)
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -60,9 +63,11 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def snapshot_replace(old: DataFrame, new: DataFrame, key: list[str], slice_of: Column) -> DataFrame:
-    """old with the slice holding new's rows only, and removed: 1 for those of the slice that new lacks."""
+    """old with the slice holding new's rows only, the latest of each key, and removed: 1 for those of the slice whose key
+    new lacks. Null is a key as any."""
     inside = F.coalesce(slice_of, F.lit(False))
-    gone = old.where(inside).join(new.select(key), key, "left_anti").withColumn("removed", F.lit(1))
+    new = latest(new, key)
+    gone = anti_by(old.where(inside), new, key).withColumn("removed", F.lit(1))
     kept = old.where(~inside).unionByName(new.select(*old.columns)).withColumn("removed", F.lit(0))
     return kept.unionByName(gone)
 

@@ -110,11 +110,13 @@ def test_lineup_backtest(spark, sf):
 
 def test_curves(spark, sf):
     normal = NormalDist()
-    for r in QUERIES["mt02_curves"](spark, sf).collect():
-        x, p = (r.id - 50) / 10, (r.id + 0.5) / 101
-        assert r.logistic == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-12)
-        assert abs(r.cdf - normal.cdf(x)) < 2e-7 and abs(r.probit - normal.inv_cdf(p)) < 1e-8
-        assert r.most == pytest.approx(normal.inv_cdf((r.id - 0.375) / (r.id + 0.25)) if r.id else 0.0, abs=1e-8)
+    want = {(round(r.l_discount * 100 - r.l_tax * 100, 6), round((r.l_discount * 100 + 0.5) / 11, 9), r.l_linenumber) for r in rows(spark, sf, "lineitem")}
+    got = QUERIES["mt02_curves"](spark, sf).collect()
+    assert {(round(r.x, 6), round(r.p, 9), r.n) for r in got} == want
+    for r in got:
+        assert r.logistic == pytest.approx(1 / (1 + math.exp(-r.x)), rel=1e-12)
+        assert abs(r.cdf - normal.cdf(r.x)) < 2e-7 and abs(r.probit - normal.inv_cdf(r.p)) < 1e-8
+        assert r.most == pytest.approx(normal.inv_cdf((r.n - 0.375) / (r.n + 0.25)), abs=1e-8)
 
 
 def test_resolve_or_mint(spark, sf):

@@ -30,6 +30,12 @@ def test_upserts_with_nulls_and_repeats(spark):
     assert out(writers.upsert(old, new, ["k"], "n")) == sorted([(3, "c", 3), (None, "x", 5), (1, "z", 9), (4, None, None)], key=str)
     assert out(writers.upsert(old, new, ["k"])) == sorted([(3, "c", 3), (None, "y", 4), (1, "z", 9), (4, None, None)], key=str)
     assert out(writers.insert_new(old, new, ["k"], "n")) == sorted([(1, "a", 1), (None, "b", 2), (3, "c", 3), (4, None, None)], key=str)
+    assert out(writers.upsert_known(old, new, ["k"])) == sorted([(3, "c", 3), (None, "y", 4), (1, "z", 9), (4, None, None)], key=str)
+    known = spark.createDataFrame([(1, None, 7), (None, "q", None), (5, None, None)], T)
+    assert out(writers.upsert_known(old, known, ["k"])) == sorted([(1, "a", 7), (None, "q", 2), (3, "c", 3), (5, None, None)], key=str)
+    gone = spark.createDataFrame([(1, "z", 1), (1, "y", 1), (None, "w", 1)], T)
+    got = out(writers.snapshot_replace(old.union(spark.createDataFrame([(7, "out", 99)], T)), gone, ["k"], writers.F.col("n") < 50))
+    assert got == sorted([(7, "out", 99, 0), (1, "z", 1, 0), (None, "w", 1, 0), (3, "c", 3, 1)], key=str)
     for parts in (1, 3):
         assert out(writers.latest(new.repartition(parts), ["k"], "k")) == out(writers.latest(new, ["k"]))
 
