@@ -16,7 +16,13 @@ from .shared import text_bytes
 #: Fixed values of the HTML standard: elements by how they open, close and show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object svg math canvas audio video datalist map".split())
+HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object canvas audio video datalist map".split())
+#: Of drawings and formulas what is a definition or a note, not text; and elements that stand apart from what is beside them.
+HIDDEN_IN = {
+    "svg": frozenset("defs symbol clippath mask pattern marker filter lineargradient radialgradient metadata desc".split()),
+    "math": frozenset(("annotation", "annotation-xml")),
+}
+APART = frozenset("button textarea select text".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr td th".split()
@@ -40,7 +46,9 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 #: sheets hold beside rules.
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
-NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}?)", re.S)
+NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+#: Media that a page is shown on.
+SHOWN_ON = frozenset(("", "all", "screen", "only screen", "only all"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -110,7 +118,7 @@ class _Builder:
             self.start("tbody", {}, False)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and not (closed and tag in ("svg", "math")):
+        if tag not in VOID and not (closed and (tag in ("svg", "math") or self._nearest("svg", "math"))):
             if len(self.open) >= MOST_OPEN:
                 self.open.pop()
             self.open.append(node)
@@ -173,30 +181,115 @@ def _declared(block: str) -> dict[str, tuple[str, bool]]:
     return {name.lower(): (value.lower(), bool(important)) for name, value, important in DECLARED.findall(block)}
 
 
+def _rules(sheet: str):
+    """(selectors, declarations) of the rules of a style sheet that hold on a screen, in one pass over its braces. Rules
+    within @media of a screen or of all, @layer and @supports hold, those of other @ blocks don't; what is never closed
+    ends with the sheet."""
+    sheet, start = NO_RULE.sub(" ", sheet), 0
+    open_: list[list] = []  # [selectors or None for an @ block, whether it holds, where its declarations begin, where they end]
+    for brace in re.finditer(r"[{};]", sheet):
+        at, holds = brace.start(), open_[-1][1] if open_ else True
+        if brace[0] == "{":
+            head = sheet[start:at].strip()
+            if head.startswith("@"):
+                name, _, rest = head[1:].partition(" ")
+                fits = any(" ".join(m.lower().split()) in SHOWN_ON for m in rest.split(",")) if name.lower() == "media" else name.lower() in ("layer", "supports")
+                open_.append([None, holds and fits, 0, 0])
+            else:
+                if open_ and open_[-1][0] is not None and open_[-1][3] < 0:
+                    open_[-1][3] = start  # a rule within a rule ends the outer one's declarations
+                inner = open_ and open_[-1][0] is not None
+                open_.append([head, holds and not inner, at + 1, -1])
+            start = at + 1
+        elif brace[0] == "}":
+            if open_:
+                head, holds, begin, end = open_.pop()
+                if head is not None and holds:
+                    yield head, sheet[begin : at if end < 0 else end]
+            start = at + 1
+        else:
+            start = at + 1
+    for head, holds, begin, end in open_:
+        if head is not None and holds:
+            yield head, sheet[begin : len(sheet) if end < 0 else end]
+
+
+def _selector(text: str) -> list[tuple] | None:
+    """The parts of a selector from its last on: (tag, ids, classes, whether the next part is of the parent); None if it
+    has anything but tags, classes, ids, descendants and children."""
+    parts, child = [], False
+    for word in re.findall(r">|[^\s>]+", text):
+        if word == ">":
+            if child or not parts:
+                return None
+            child = True
+            continue
+        fit = SIMPLE.fullmatch(word)
+        if not fit:
+            return None
+        names = re.findall(r"([.#])([\w-]+)", fit[2])
+        ids, classes = (frozenset(n for kind, n in names if kind == k) for k in "#.")
+        if parts:
+            parts[-1] = (*parts[-1][:3], child)
+        parts.append(((fit[1] or "*").lower(), ids, classes, False))
+        child = False
+    if not parts or child:
+        return None
+    # a part's flag is of its link to the one before it, as they are read from the last on
+    links = [False, *(p[3] for p in parts[:-1])]
+    return [(*p[:3], link) for p, link in zip(reversed(parts), reversed(links))]
+
+
+def _is(part: tuple, node: Node) -> bool:
+    tag, ids, classes, _ = part
+    return tag in ("*", node.tag) and (not ids or ids <= {node.attrs.get("id")}) and (not classes or classes <= set(node.attrs.get("class", "").split()))
+
+
+def _fits(parts: list[tuple], path: tuple) -> bool:
+    """Whether the node at the end of path, (node, path of its parent), fits a selector; each part is tried at each
+    ancestor once."""
+    reach = [path] if _is(parts[0], path[0]) else []
+    for before, part in zip(parts, parts[1:]):
+        found, seen = [], set()
+        for at in reach:
+            at = at[1]
+            while at is not None and id(at) not in seen:
+                seen.add(id(at))
+                if _is(part, at[0]):
+                    found.append(at)
+                if before[3]:
+                    break
+                at = at[1]
+        reach = found
+    return bool(reach)
+
+
 class _Styles:
-    """The rules of a page's style elements that set display or visibility, by selectors of a tag, classes and ids.
-    Selectors with combinators, attributes or states, and rules within @ blocks, are passed over."""
+    """The rules of a page's style elements that set display or visibility, by selectors of tags, classes and ids, of
+    descendants and of children. Selectors with attributes, states or siblings are passed over."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: list[tuple] = []
+        self.rules: dict[tuple, list[tuple]] = {}  # by an id, a class or the tag of what they are of
+        n = 0
         for sheet in sheets:
-            for selectors, block in re.findall(r"([^{}]*)\{([^{}]*)\}", NO_RULE.sub(" ", sheet)):
+            for selectors, block in _rules(sheet):
                 declared = _declared(block)
                 for selector in selectors.split(",") if declared else ():
-                    fit = SIMPLE.fullmatch(selector.strip())
-                    if fit and selector.strip():
-                        names = re.findall(r"([.#])([\w-]+)", fit[2])
-                        ids, classes = ({n for kind, n in names if kind == k} for k in "#.")
-                        tag = (fit[1] or "*").lower()
-                        weight = (len(ids), len(classes), tag != "*", len(self.rules))
-                        self.rules.append((tag, ids, classes, weight, declared))
-
-    def of(self, node: Node) -> dict[str, str]:
-        """What holds for a node: the rule with the most ids, classes, tags that comes last; then its own style."""
-        best: dict[str, tuple] = {}
-        classes = set(node.attrs.get("class", "").split()) if self.rules else ()
-        for tag, ids, wanted, weight, declared in self.rules:
-            if tag in ("*", node.tag) and wanted <= classes and ids <= {node.attrs.get("id")}:
+                    parts, n = _selector(selector), n + 1
+                    if parts:
+                        weight = (sum(len(p[1]) for p in parts), sum(len(p[2]) for p in parts), sum(p[0] != "*" for p in parts), n)
+                        tag, ids, classes, _ = parts[0]
+                        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+                        self.rules.setdefault(key, []).append((parts, weight, declared))
+
+    def of(self, path: tuple) -> dict[str, str]:
+        """What holds for the node at the end of path: the rule with the most ids, classes, tags that comes last; then its
+        own style."""
+        node, best = path[0], {}
+        keys = [("#", node.attrs["id"])] if "id" in node.attrs else []
+        keys += [(".", c) for c in set(node.attrs.get("class", "").split())] + [("", node.tag), ("", "*")]
+        for parts, weight, declared in (r for k in keys for r in self.rules.get(k, ())) if self.rules else ():
+            if _fits(parts, path):
                 for name, (value, important) in declared.items():
                     best[name] = max(best.get(name, ()), (important, 0, weight, value))
         for name, (value, important) in _declared(node.attrs["style"]).items() if "style" in node.attrs else ():
@@ -216,12 +309,14 @@ def _settle_styles(root: Node) -> None:
     """shown is false for a node that is not displayed, visible for one whose text is not seen; visibility is
     inherited, and a child may set it anew."""
     styles = _Styles(["".join(c for c in n.children if isinstance(c, str)) for n in _nodes(root) if n.tag == "style"])
-    work = [(root, True)]
+    work = [((root, None), True, frozenset())]
     while work:
-        node, visible = work.pop()
-        attrs, own = node.attrs, styles.of(node) if styles.rules or "style" in node.attrs else {}
+        path, visible, hidden = work.pop()
+        node = path[0]
+        attrs, own = node.attrs, styles.of(path) if styles.rules or "style" in node.attrs else {}
         node.shown = not (
             node.tag in HIDDEN
+            or node.tag in hidden
             or "hidden" in attrs
             or attrs.get("aria-hidden", "").lower() == "true"
             or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
@@ -230,7 +325,8 @@ def _settle_styles(root: Node) -> None:
         )
         node.visible = own["visibility"] not in ("hidden", "collapse") if own.get("visibility", "inherit") not in ("inherit", "unset") else visible
         if node.shown:
-            work.extend((c, node.visible) for c in node.children if isinstance(c, Node))
+            hidden = HIDDEN_IN.get(node.tag, hidden)
+            work.extend(((c, path), node.visible, hidden) for c in node.children if isinstance(c, Node))
 
 
 def _width(text: str) -> int:
@@ -316,7 +412,10 @@ def _render(node: Node, out: _Lines, pre: bool) -> None:
         inner_pre = own_pre or tag in ("pre", "textarea", "xmp")
         if tag not in BLOCKS:
             if tag == "input" and item.visible and item.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
-                out.inline(item.attrs.get("value", ""), False)
+                out.inline(f" {item.attrs.get('value', '')} ", False)
+            if tag in APART:
+                out.inline(" ", False)
+                work.append((1, lambda: out.inline(" ", False), False, True))
             work.extend((0, c, inner_pre, item.visible) for c in reversed(item.children))
             continue
         spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and numbers)
@@ -432,7 +531,7 @@ def render(source: str) -> str:
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, text, n_lines, n_words) of each page: its visible text with blocks on lines of their own, a
     blank line around paragraphs, headings, lists and tables, list markers, and table cells in columns. What
-    tags, attributes, inline styles or simple selectors of style elements hide is left out.
+    tags, attributes, inline styles or style elements (by tags, classes, ids, descendants and children) hide is left out.
 
     Null and empty html has an empty text, of no lines; html of any length is read whole, and of any brokenness
     without an error; null page_ids and repeated rows are rendered each; extra columns are ignored; an empty
