@@ -133,6 +133,60 @@ def season_fold(rows: Sequence[tuple], policy: Policy, slots: Sequence[str]) ->
     return out
 
 
+def best_trade(us: Sequence[Member], others: dict[int, Sequence[Member]], slots: Sequence[str], gap: float) -> tuple[int, Member, Member, float, float] | None:
+    """(their team, whom we give, whom we get, our gain, theirs) of the one-for-one trade that adds most to our projected
+    lineup, of those between players whose projections are no more than gap apart, after which both sides can still fill
+    what slots they could, and which doesn't lower their projected lineup. Of equal ones the first by team, given and got
+    player; None if no trade adds anything."""
+    by = lambda m: m.proj
+    need, base = filled(us, slots)[0], filled(us, slots, by)[1]
+    best = None
+    for team, them in sorted(others.items()):
+        their_need, their_base = filled(them, slots)[0], filled(them, slots, by)[1]
+        for give in sorted(us, key=lambda m: m.player):
+            left = [m for m in us if m.player != give.player]
+            for get in sorted(them, key=lambda m: m.player):
+                if abs(give.proj - get.proj) > gap:
+                    continue
+                ours = [*left, get]
+                gain = filled(ours, slots, by)[1] - base
+                if gain <= 1e-9 or best and gain <= best[3] + 1e-9 or filled(ours, slots)[0] < need:
+                    continue
+                theirs = [*(m for m in them if m.player != get.player), give]
+                their_gain = filled(theirs, slots, by)[1] - their_base
+                if their_gain >= -1e-9 and filled(theirs, slots)[0] >= their_need:
+                    best = (team, give, get, gain, their_gain)
+    return best
+
+
+def season_trades(rows: Sequence[tuple], slots: Sequence[str], gap: float) -> list[tuple]:
+    """(week, team, partner, given, got, gain, ours, theirs) for each week but the last and each team that has a best_trade
+    among the rosters of that week: what its lineup was projected to gain, and what the trade would have added to either
+    side's best lineups from that week to the end of the season. rows are those of season_fold."""
+    weeks: dict[int, dict[int, Member]] = {}
+    rosters: dict[int, dict[int, list[int]]] = {}
+    for week, team, player, pos, proj, form, extra, available, points in sorted(rows, key=lambda r: (r[0], r[2])):
+        weeks.setdefault(week, {})[player] = Member(player, pos, proj, form, extra, available, points)
+        if team is not None:
+            rosters.setdefault(week, {}).setdefault(team, []).append(player)
+
+    def realised(players: Sequence[int], since: int) -> float:
+        return sum(filled([m for p in players if (m := now.get(p)) and m.available], slots, lambda m: m.points)[1] for w, now in weeks.items() if w >= since)
+
+    out = []
+    for week in sorted(weeks)[:-1]:
+        teams = {t: [weeks[week][p] for p in own] for t, own in rosters.get(week, {}).items()}
+        for team, us in sorted(teams.items()):
+            found = best_trade(us, {t: m for t, m in teams.items() if t != team}, slots, gap)
+            if found:
+                partner, give, get, gain, _ = found
+                swap = lambda members, out_, in_: [m.player for m in members if m.player != out_.player] + [in_.player]
+                ours = realised(swap(us, give, get), week) - realised([m.player for m in us], week)
+                theirs = realised(swap(teams[partner], get, give), week) - realised([m.player for m in teams[partner]], week)
+                out.append((week, team, partner, give.player, get.player, gain, ours, theirs))
+    return out
+
+
 PANEL = ("week", "team", "player", "pos", "proj", "form", "extra", "available", "points")
 
 
@@ -140,22 +194,37 @@ def replay(panel: DataFrame, keys: list[str], policies: dict[str, Policy], slots
     """(keys, policy, week, team, moves, points, best) of panel(keys, PANEL), by season_fold of each policy over each league's
     season (keys). A league's season is what one task folds: more than most_rows rows of one are an error. Null
     projections, form, extras and points are 0, null availability is true; rows without a week or player are left out."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        return [(name, *r) for name, policy in policies.items() for r in season_fold(rows, policy, slots)]
+
+    return _by_season(panel, keys, run, "policy string, week int, team long, moves int, points double, best double", most_rows)
+
+
+def trade_backtest(panel: DataFrame, keys: list[str], slots: Sequence[str], gap: float, most_rows: int = 200_000) -> DataFrame:
+    """(keys, week, team, partner, given, got, gain, ours, theirs) of panel(keys, PANEL), by season_trades of each league's
+    season; odd rows count as in replay."""
+    schema = "week int, team long, partner long, given long, got long, gain double, ours double, theirs double"
+    return _by_season(panel, keys, lambda rows: season_trades(rows, slots, gap), schema, most_rows)
+
+
+def _by_season(panel: DataFrame, keys: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str, most_rows: int) -> DataFrame:
+    """(keys, schema): fold of the PANEL rows of each league's season, in a task."""
     kinds = dict(panel.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", policy string, week int, team long, moves int, points double, best double"
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > most_rows:
             raise ValueError(f"the season {key} has more than {most_rows} rows")
         rows = [(int(w), None if pd.isna(t) else int(t), int(p), pos, pr, fo, ex, av, po) for w, t, p, pos, pr, fo, ex, av, po in frame[list(PANEL)].itertuples(index=False)]
-        out = [(*key, name, *r) for name, policy in policies.items() for r in season_fold(rows, policy, slots)]
-        return pd.DataFrame(out, columns=[*keys, "policy", "week", "team", "moves", "points", "best"])
+        return pd.DataFrame([(*key, *r) for r in fold(rows)], columns=names)
 
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     own = panel.where("week is not null and player is not null").select(
         *keys, F.col("week").cast("int").alias("week"), F.col("team").cast("long").alias("team"), F.col("player").cast("long").alias("player"), F.coalesce("pos", F.lit("")).alias("pos"),
         number("proj"), number("form"), number("extra"), F.coalesce("available", F.lit(True)).alias("available"), number("points"),
     )
-    return own.groupBy(*keys).applyInPandas(run, schema)
+    return own.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def waiver_backtest(panel: DataFrame, adds: DataFrame, pool: DataFrame, season: list[str], week: str, player: str, group: str, forecast: str, points: str) -> DataFrame:

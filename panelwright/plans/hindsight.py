@@ -46,6 +46,12 @@ def mx11_effect(spark, d):
     return got.join(pat, "season").select("season", "policy", "moves", (F.col("points") - F.col("pat")).alias("gain"))
 
 
+@query("mx11_trade_backtest")
+def mx11_trades(spark, d):
+    """The best fair one-for-one trade of each team and week, and what it would have come to."""
+    return hindsight.trade_backtest(league_panel(spark, d), ["league", "season"], SLOTS, 20.0)
+
+
 MONTHS = """s as (select c_nationkey as league, year(o_orderdate)::int as season, month(o_orderdate)::int as week, c_custkey as player, c_mktsegment as pos, sum(round(o_totalprice / 1000)::bigint)::double as points from orders join customer on c_custkey = o_custkey group by all),
   y as (select player, season + 1 as season, sum(points) / 12 as proj from s group by player, season),
   members as (select distinct league, season, player, pos from s), weeks as (select distinct season, week from s),

@@ -123,6 +123,51 @@ def test_query_is_the_fold_of_each_season(spark, sf):
         assert (r.moves, r.gain) == pytest.approx((mean(r.season, r.policy, 5), mean(r.season, r.policy, 6) - mean(r.season, "stand_pat", 6)))
 
 
+def plain_trades(rows, gap):
+    out, weeks = [], sorted({r[0] for r in rows})
+    at = {w: {r[2]: Member(r[2], *r[3:]) for r in rows if r[0] == w} for w in weeks}
+    make = lambda players, since: sum(best_sum([at[w][p] for p in players if p in at[w] and at[w][p].available], lambda m: m.points)[1] for w in weeks if w >= since)
+    proj = lambda members: best_sum(members, lambda m: m.proj)[1]
+    can = lambda members: best_sum(members, lambda m: 1.0)[0]
+    for w in weeks[:-1]:
+        teams = {t: [at[w][r[2]] for r in rows if r[0] == w and r[1] == t] for t in {r[1] for r in rows if r[0] == w} - {None}}
+        for t in sorted(teams):
+            found = []
+            for u in sorted(set(teams) - {t}):
+                for a in sorted(teams[t]):
+                    for b in sorted(teams[u]):
+                        mine, yours = [m for m in teams[t] if m is not a] + [b], [m for m in teams[u] if m is not b] + [a]
+                        gain, other = proj(mine) - proj(teams[t]), proj(yours) - proj(teams[u])
+                        if abs(a.proj - b.proj) <= gap and gain > 1e-9 and other >= -1e-9 and can(mine) >= can(teams[t]) and can(yours) >= can(teams[u]):
+                            found.append((gain, u, a, b, mine, yours))
+            if found:
+                top = max(f[0] for f in found)
+                gain, u, a, b, mine, yours = next(f for f in found if f[0] > top - 1e-9)
+                swapped = lambda x: [m.player for m in x]
+                out.append((w, t, u, a.player, b.player, gain, make(swapped(mine), w) - make(swapped(teams[t]), w), make(swapped(yours), w) - make(swapped(teams[u]), w)))
+    return out
+
+
+def test_trades_equal_a_plain_search():
+    made = 0
+    for seed in range(40):
+        rows = season(seed)
+        got, want = hindsight.season_trades(rows, SLOTS, 25.0), plain_trades(rows, 25.0)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert [r[5:] for r in got] == [pytest.approx(r[5:]) for r in want]
+        made += len(got)
+    assert made > 5
+
+
+def test_trades_of_the_tables(spark, sf):
+    seasons = defaultdict(list)
+    for r in plans.league_panel(spark, sf).collect():
+        seasons[r.league, r.season].append((r.week, r.team, r.player, r.pos, r.proj, r.form, r.extra, r.available, r.points))
+    want = {(*key, *r) for key, rows in seasons.items() for r in hindsight.season_trades(rows, SLOTS, 20.0)}
+    got = [tuple(r) for r in plans.QUERIES["mx11_trade_backtest"](spark, sf).collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
+
+
 def test_policies_cannot_cheat_and_large_seasons_are_an_error(spark):
     panel = spark.createDataFrame([(1, 1, 5, 7, "QB", None, None, None, None, None), (1, 1, None, 8, None, 3.0, None, None, True, 4.0), (1, None, 5, 9, "QB", 1.0, 1.0, 1.0, True, 1.0), (1, 1, 5, None, "QB", 1.0, 1.0, 1.0, True, 1.0)], "league int, week int, team int, player int, pos string, proj double, form double, extra double, available boolean, points double")
     got = hindsight.replay(panel, ["league"], {"stand": hindsight.stand_pat}, ["QB"]).collect()

@@ -39,7 +39,7 @@ def eight(x):
 
 
 #: By the tests of their own modules.
-ELSEWHERE = {"mx09_cpcv_fits", "mx08_shuffle_null", "ml16_boosted_quantiles", "mx11_policy_replay", "mx11_policy_effect"}
+ELSEWHERE = {"mx09_cpcv_fits", "mx08_shuffle_null", "ml16_boosted_quantiles", "mx11_policy_replay", "mx11_policy_effect", "mx11_trade_backtest"}
 
 
 def test_every_query_without_sql_is_tested_here_or_elsewhere():
