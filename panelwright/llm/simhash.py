@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_bytes, text_key, written
+from .shared import free_name, text_bytes, text_key, written
 
 SEED = 42
 BLOCK = 1 << 20
@@ -334,6 +334,33 @@ def _stars(apart: DataFrame) -> DataFrame:
     return met.groupBy(F.col("node").alias("u")).agg(F.max_by("leader", "top").alias("v"))
 
 
+def _rare_keys(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, component) of the rare shingles of apart's nodes that nodes of several components have.
+
+    Two sets of that similarity have the same similarity * n of either's n shingles or more. So in whatever order all
+    shingles stand, the first n - similarity * n + 1 of each hold one of the other's first, and with the rarest in front
+    texts that share a common part, as a template, but have words of their own besides meet nowhere. How many of these
+    nodes have a shingle is counted; ties are ordered by the hash."""
+
+    def shingles(batches):
+        for batch in batches:
+            for node, component, own in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.frombuffer(own, np.int64) if own else np.zeros(1, np.int64)  # texts without a word are alike
+                first = len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1
+                for at in range(0, len(found), BLOCK):
+                    some, n = found[at : at + BLOCK], len(found[at : at + BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, component)), pa.array(some), pa.array(np.full(n, first, np.int32))], names=["node", "component", "key", "first"])
+
+    nodes = apart.select("node", "component").distinct().join(sets.hint("shuffle_hash"), "node")
+    held = written(nodes.mapInArrow(shingles, "node long, component long, key long, first int"), "rest-shingles")
+    counts = held.groupBy("key").agg(F.count("*").alias("many"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("many", "key"))
+    front = held.join(counts.hint("shuffle_hash"), "key").withColumn("place", place).where("place <= first and many > 1")
+    front = written(front.select("key", "node", "component"), "rare")
+    mixed = front.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return written(front.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "rare-apart")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, node, component): node is the text's, component the same for texts that are linked.
 
@@ -380,9 +407,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         apart = _mixed_bands(apart, connected_components(links))
         if more:
             links = links.unionByName(_verified(_stars(apart), sets, similarity))
-    least = apart.groupBy("key").agg(F.min("component").alias("v"))
-    groups = connected_components(apart.join(least, "key").select(F.col("component").alias("u"), "v").distinct())
-    member = apart.select("node", "component").distinct().join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component")
+    rare = _rare_keys(apart, sets, similarity)
+    least = rare.groupBy("key").agg(F.min("component").alias("v"))
+    groups = connected_components(rare.join(least, "key").select(F.col("component").alias("u"), "v").distinct())
+    member = rare.select("node", "component").distinct().join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component")
     member = member.join(sets, "node").select("group", "node", "component", "own")
     rest = written(_dealt(member, "group", "node", SET_SLICE).mapInArrow(settle, "u long, v long"), "settled")
     label = connected_components(links.unionByName(rest))
@@ -400,8 +428,9 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
         F.min("doc_id").alias("__doc"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("__node"), F.max(F.coalesce("rows", F.lit(0))).alias("__rows")
     )
     kept = written(best.select("__doc", "__node", "__rows"), "kept")
-    ids = kept.select("__doc", "__node").hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
-    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_key(text) == F.col("__node")), "left_semi")
+    doc, node = free_name(docs, "__doc"), free_name(docs, "__node")
+    ids = kept.select(F.col("__doc").alias(doc), F.col("__node").alias(node)).hint("shuffle_hash")  # ids grow with the documents: never broadcast, no sort of texts
+    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key(text) == F.col(node)), "left_semi")
     return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id", text])
 
 

@@ -70,7 +70,7 @@ def test_near_duplicates_equal_all_pairs(spark, folder):
 
 def test_odd_and_empty_documents(spark, sf, odd_docs, no_docs):
     """With all their columns, which bear names that the operators use inside."""
-    more = lambda df: df.withColumns({c: F.lit(1) for c in ("domain", "tokens", "first", "end", "key_", "n", "question", "epoch_")})
+    more = lambda df: df.withColumns({c: F.lit(1) for c in ("domain", "tokens", "first", "end", "key_", "n", "question", "epoch_", "__bytes", "__doc", "__key", "__node", "__spans", "__times", "__full", "__last", "__cut0", "__leaf0", "mix___doc")})
     for docs in (more(odd_docs), more(no_docs)):
         columns = docs.columns
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):

@@ -169,3 +169,25 @@ def test_recall_by_band_of_similarity(docs_of):
         band = (similarity >= low) & (similarity < high)
         print(f"{low} to {high}: {band.sum()} pairs, linked {linked[band].mean():.3f}")
         assert band.sum() > 10 and linked[band].mean() == float(low >= 0.8)
+
+
+def test_texts_of_one_template_are_not_dealt_to_each_other(spark, docs_of, monkeypatch):
+    """3,000 and 6,000 texts with 40 words in common and 20 of their own, and a near copy of every hundredth."""
+    from panelwright.llm import simhash
+
+    dealt = {}
+    real = simhash._dealt
+    monkeypatch.setattr(simhash, "_dealt", lambda rows, *a: dealt.update({n: rows.count()}) or real(rows, *a))
+    template = [f"t{i}" for i in range(40)]
+    for n in (3000, 6000):
+        rng, texts, linked = np.random.default_rng(n), [], set()
+        for k in range(n):
+            own = [f"o{k}x{i}" for i in range(20)]
+            texts.append((k, " ".join(template[:20] + own + template[20:])))
+            if k % 100 == 0:
+                at = int(rng.integers(0, 20))
+                texts.append((n + k, " ".join(template[:20] + own[:at] + ["other"] + own[at + 1 :] + template[20:])))
+                linked.add(n + k)
+        kept = {r.doc_id for r in keep_one_of_each(docs_of(*texts), **FIVE_WORDS).collect()}
+        assert kept == set(range(n))
+    assert dealt[6000] <= 0.05 * 6000  # before, all texts of a template were one group
