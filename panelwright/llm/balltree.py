@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -180,8 +181,17 @@ def _shards(found: DataFrame, rows: int) -> DataFrame:
     return found.mapInArrow(run, TREE)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The vectors at length one; zeros stay."""
+    largest = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+    x = x / np.where(largest > 0, largest, 1.0)
+    length = _lengths(x)[:, None]
+    return x / np.where(length > 0, length, 1.0)
+
+
 def _blocks(found: DataFrame, rows: int, sample, k: int) -> DataFrame:
-    """(ids, x, floor) of up to `rows` queries; floor: the k-th score of each in the sample, as text."""
+    """(ids, x, floor, mean) of up to `rows` queries; floor: the k-th score of each in the sample, as text; mean: of
+    the queries at length one."""
 
     def run(batches):
         tree = sample.value
@@ -189,9 +199,13 @@ def _blocks(found: DataFrame, rows: int, sample, k: int) -> DataFrame:
             floor = [float("-inf")] * len(ids)
             if tree is not None:
                 tree.search(x, ids, k, floor)
-            yield _binary(ids.astype(np.int64).tobytes(), x.tobytes(), " ".join(map(str, floor)).encode(), names=["ids", "x", "floor"])
+            yield _binary(ids.astype(np.int64).tobytes(), x.tobytes(), _text(floor), _unit(x).mean(axis=0).tobytes(), names=["ids", "x", "floor", "mean"])
+
+    return found.mapInArrow(run, "ids binary, x binary, floor binary, mean binary")
 
-    return found.mapInArrow(run, "ids binary, x binary, floor binary")
+
+def _text(floor: list) -> bytes:
+    return " ".join(map(str, floor)).encode()
 
 
 def _floors(text: bytes) -> list:
@@ -206,18 +220,107 @@ def _beyond(score: int) -> str:
     return f"{len(digits):04d}{digits}" if score > 0 else f"{9999 - len(digits):04d}" + "".join(str(9 - int(c)) for c in digits)
 
 
-def _grouped(packed: DataFrame, name: str, most: int) -> tuple[DataFrame, int]:
-    """packed, written, with its rows numbered and dealt in groups of up to `most`, fewer where there would be fewer
-    groups than cores; and how many groups there are."""
+def _numbered(packed: DataFrame, name: str, most: int) -> tuple[DataFrame, int, int]:
+    """packed, written, with its rows numbered from 0 as `n`; the size of its groups, `most` or less where there would
+    be fewer groups than cores; and how many groups there are. Only a number for each task that packed comes here."""
+    spark = packed.sparkSession
     packed = written(packed.withColumn("part", F.monotonically_increasing_id()), name)
-    numbers = packed.select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("n"))  # a number for some thousand vectors
-    rows = packed.count()
-    size = max(1, min(most, rows // packed.sparkSession.sparkContext.defaultParallelism))
-    return packed.join(numbers, "part").withColumn(name, F.floor(F.col("n") / size).cast("int")).drop("part", "n"), -(-rows // size)
+    task = F.shiftright("part", 33)
+    counts = sorted(map(tuple, packed.groupBy(task.alias("task")).count().collect()))
+    rows = sum(n for _, n in counts)
+    before = [(t, end - n) for (t, n), end in zip(counts, itertools.accumulate(n for _, n in counts))]
+    starts = F.broadcast(spark.createDataFrame(before, "task long, start long"))  # 16 bytes a task
+    size = max(1, min(most, rows // spark.sparkContext.defaultParallelism))
+    numbered = packed.join(starts, task == F.col("task")).withColumn("n", F.col("start") + F.col("part").bitwiseAND(F.lit((1 << 33) - 1)))
+    return numbered.drop("task", "start", "part"), size, -(-rows // size)
+
+
+def _group(size: int):
+    return F.floor(F.col("n") / size).cast("int").alias("group")
+
+
+def _meet(kept: DataFrame, passed: DataFrame, n_kept: int, n_passed: int) -> DataFrame:
+    """Each group of kept beside each group of passed, in one partition: rows (a, b, kind, ...) by the two groups, those
+    to keep (kind 0) before those to pass along them (kind 1)."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = kept.select(F.col("group").alias("a"), each(n_passed).alias("b"), F.lit(0).alias("kind"), *(c for c in kept.columns if c != "group"))
+    right = passed.select(each(n_kept).alias("a"), F.col("group").alias("b"), F.lit(1).alias("kind"), *(c for c in passed.columns if c != "group"))
+    tasks = min(n_kept * n_passed, 64 * kept.sparkSession.sparkContext.defaultParallelism)
+    return left.unionByName(right, allowMissingColumns=True).repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "kind")
+
+
+def _passed(batches, key: list[str], keep: list[str], take: list[str]):
+    """Of rows sorted by key and kind, (key, all kept rows of the key, row) for each row to pass along."""
+    here, held = None, []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            at = tuple(batch.column(c)[row].as_py() for c in key)
+            if at != here:
+                here, held = at, []
+            if batch.column("kind")[row].as_py() == 0:
+                held.append([batch.column(c)[row].as_py() for c in keep])
+            else:
+                yield at, held, [batch.column(c)[row].as_py() for c in take]
+
+
+def _nearest(shards: DataFrame, blocks: DataFrame, first: int, pack: int = 4096) -> DataFrame:
+    """(block, shard): for each block of queries the `first` shards whose root has the highest mean bound of the
+    queries at length one. Roots and means meet in packs: a vector for a shard and one for a block."""
+    root = F.expr("substring(centre, 1, octet_length(centre) div (octet_length(radius) div 8))")
+    packs = [-(-(t.agg(F.max("n")).first()[0] + 1) // pack) for t in (shards, blocks)]
+    roots = shards.select(_group(pack), F.col("n").alias("shard"), root.alias("v"), F.substring("radius", 1, 8).alias("r"))
+    means = blocks.select(_group(pack), F.col("n").alias("block"), F.col("mean").alias("v"))
+
+    def run(batches):
+        of, centres, radii, names = None, None, None, None
+        for at, held, (block, mean) in _passed(batches, ["a", "b"], ["shard", "v", "r"], ["block", "v"]):
+            if at != of:
+                of, names = at, np.array([h[0] for h in held], np.int64)
+                centres, radii = np.stack([np.frombuffer(h[1]) for h in held]), np.array([np.frombuffer(h[2])[0] for h in held])
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = np.nan_to_num(centres @ np.frombuffer(mean) + radii, nan=LARGEST)
+            best = np.lexsort((names, -bound))[:first]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(best), pa.int64()), pa.array(names[best]), pa.array(bound[best])], names=["block", "shard", "bound"])
+
+    found = _meet(roots, means, *packs).mapInArrow(run, "block long, shard long, bound double")
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("bound"), "shard"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= first).select("block", "shard")
+
+
+def _floored(shards: DataFrame, blocks: DataFrame, k: int, first: int, copies: int = 64) -> DataFrame:
+    """blocks with every floor raised to the k-th score in the block's `first` best shards, so that all tasks of the
+    search start from it. A shard that many blocks want is sent from several places, some `copies` blocks each."""
+    wanted = written(_nearest(shards, blocks, first), "nearest")
+    salts = wanted.groupBy("shard").agg(F.ceil(F.count("*") / copies).cast("int").alias("salts"))
+    sent = shards.withColumnRenamed("n", "shard").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = wanted.join(salts, "shard").select("block", "shard", F.pmod(F.xxhash64("block"), "salts").cast("int").alias("salt"))
+    trees = sent.join(pairs, ["shard", "salt"]).select("block", F.lit(0).alias("kind"), *BallTree.PARTS)
+    asked = blocks.select(F.col("n").alias("block"), F.lit(1).alias("kind"), "ids", "x", "floor")
+    met = trees.unionByName(asked, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+
+    def run(batches):
+        for (block,), held, (ids, x, floor) in _passed(batches, ["block"], list(BallTree.PARTS), ["ids", "x", "floor"]):
+            names, least = np.frombuffer(ids, np.int64), _floors(floor)
+            _searched([BallTree.unpacked(*h) for h in held], names, _rows(np.frombuffer(x), len(names)), k, least)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids, x, _text(least)))], names=["n", "ids", "x", "floor"])
+
+    return written(met.mapInArrow(run, "n long, ids binary, x binary, floor binary"), "floored")
+
+
+def _searched(trees: list[BallTree], ids: np.ndarray, x: np.ndarray, k: int, floor: list) -> list[list[tuple[int, int]]]:
+    """For each query up to k (-score, id) of all trees, best first; floor is taken from tree to tree and raised."""
+    best: list[list[tuple[int, int]]] = [[] for _ in ids]
+    for tree in trees:
+        for i, found in enumerate(tree.search(x, ids, k, floor)):
+            if found:
+                best[i] = heapq.nsmallest(k, best[i] + found)
+                if len(best[i]) == k:
+                    floor[i] = max(floor[i], -best[i][-1][0])
+    return best
 
 
 def top_k(
-    candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, sample_rows: int = 4096, group: int = 16
+    candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, sample_rows: int = 4096, group: int = 16, first: int = 2
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product for each query, ties to
     the smaller vec_id; fewer if there are fewer. A candidate with the query's own vec_id is left out.
@@ -226,8 +329,9 @@ def top_k(
     vectors wherever they lie, each with its tree; queries in blocks of at most block_rows. `group` shards and
     `group` blocks meet in one task, which keeps the trees and passes each block through them, so that a shard
     is sent once for every `group` blocks and a task holds that many trees however large either table is. A
-    query starts from its k-th score in a broadcast sample of at most sample_rows candidates, which all tasks
-    share, and takes the current k-th score along from tree to tree of its task.
+    query starts from its k-th score in a broadcast sample of at most sample_rows candidates, which a first round
+    raises to that in the `first` shards of the highest bound for its block; all tasks share it, and the current k-th
+    score goes along from tree to tree of a task. The floors only spare work: every shard meets every block.
 
     Scores are exact whatever the components' size. One that passes 63 bits takes its place by its exact value
     and is given as the nearest long. Queries that repeat a row count once; with one vec_id and different vectors
@@ -235,47 +339,29 @@ def top_k(
     no rows.
     """
     spark = candidates.sparkSession
-    first = candidates.limit(sample_rows).toPandas()  # sample_rows rows at most
-    tree = BallTree(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy())) if len(first) else None
+    some = candidates.limit(sample_rows).toPandas()  # sample_rows rows at most
+    tree = BallTree(some["vec_id"].to_numpy(), np.stack(some["v"].to_numpy())) if len(some) else None
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = spark.sparkContext.broadcast(tree)
-    shards, n_shards = _grouped(_shards(candidates, shard_rows), "shards", group)
-    blocks, n_blocks = _grouped(_blocks(queries.dropDuplicates(), block_rows, sample, k), "blocks", group)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shards, shard_size, n_shards = _numbered(_shards(candidates, shard_rows), "shards", group)
+    blocks, block_size, n_blocks = _numbered(_blocks(queries.dropDuplicates(), block_rows, sample, k), "blocks", group)
     if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    trees = shards.select("shards", each(n_blocks).alias("blocks"), F.lit(0).alias("kind"), *BallTree.PARTS, F.lit(None).cast("binary").alias("floor"))
-    asked = blocks.select(each(n_shards).alias("shards"), "blocks", F.lit(1).alias("kind"), "ids", "x", *(F.lit(None).cast("binary").alias(c) for c in BallTree.PARTS[2:]), "floor")
-    tasks = min(n_shards * n_blocks, 64 * spark.sparkContext.defaultParallelism)
-    met = trees.unionByName(asked).repartition(tasks, "shards", "blocks").sortWithinPartitions("shards", "blocks", "kind")
+    blocks = _floored(shards, blocks, k, first)
+    met = _meet(shards.select(_group(shard_size), *BallTree.PARTS), blocks.select(_group(block_size), "ids", "x", "floor"), n_shards, n_blocks)
 
     def run(batches):
-        here, trees = None, []
-        for batch in batches:
-            for row in range(batch.num_rows):
-                pair, kind = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py()), batch.column(2)[row].as_py()
-                parts = [batch.column(c)[row].as_py() for c in range(3, batch.num_columns)]
-                if pair != here:
-                    here, trees = pair, []
-                if kind == 0:
-                    trees.append(BallTree.unpacked(*parts[:-1]))
-                elif trees:
-                    yield from answers(np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1]), _floors(parts[-1]), trees)
-
-    def answers(ids, x, floor, trees):
-        x = _rows(x, len(ids))
-        best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        for tree in trees:
-            for i, found in enumerate(tree.search(x, ids, k, floor)):
-                if found:
-                    best[i] = heapq.nsmallest(k, best[i] + found)
-                    if len(best[i]) == k:
-                        floor[i] = max(floor[i], -best[i][-1][0])
-        flat = [(int(i), d, max(-LONG - 1, min(LONG, -s)), _beyond(-s)) for i, own in zip(ids, best) for s, d in own]
-        if flat:
-            columns = list(zip(*flat))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["query_id", "vec_id", "score", "beyond"])
+        of, trees = None, []
+        for at, held, (ids, x, floor) in _passed(batches, ["a", "b"], list(BallTree.PARTS), ["ids", "x", "floor"]):
+            if at != of:
+                of, trees = at, [BallTree.unpacked(*h) for h in held]
+            names = np.frombuffer(ids, np.int64)
+            best = _searched(trees, names, _rows(np.frombuffer(x), len(names)), k, _floors(floor))
+            flat = [(int(i), d, max(-LONG - 1, min(LONG, -s)), _beyond(-s)) for i, own in zip(names, best) for s, d in own]
+            if flat:
+                columns = list(zip(*flat))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["query_id", "vec_id", "score", "beyond"])
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long, beyond string")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))

@@ -88,3 +88,32 @@ def test_odd_vectors(spark):
     both = 256 * 256 + 512 * 512
     assert got == [(0, 1, 50, both), (0, 2, 6, 256 * 128 - 512), (0, 3, 5, 0), (50, 1, 0, both), (50, 2, 6, 256 * 128 - 512), (50, 3, 5, 0)]
     assert top_k(found.limit(0), found.limit(0)).collect() == [] and top_k(found, found.limit(0)).collect() == []
+
+
+def test_floors_of_a_first_round_are_shared_and_hide_nothing(spark):
+    """Clustered shards: each block's floors come from its own cluster, whatever groups meet, and one shard that all
+    blocks want is sent from several places."""
+    from panelwright.llm.balltree import _blocks, _floored, _floors, _nearest, _numbered, _shards
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4000, (6, 5))
+    x = np.floor(np.concatenate([rng.normal(0, 20, (64, 5)) + c for c in centres]))
+    found = vectors(table(spark, range(len(x)), x)).coalesce(1)
+    shards, _, n_shards = _numbered(_shards(found, 64), "shards", 1)
+    blocks, _, n_blocks = _numbered(_blocks(found, 64, spark.sparkContext.broadcast(None), 5), "blocks", 1)
+    assert (n_shards, n_blocks) == (6, 6)
+    assert sorted(r.n for r in shards.collect()) == list(range(6))
+    roots = centres @ (centres / np.linalg.norm(centres, axis=1)[:, None]).T
+    near = {(r.block, r.shard) for r in _nearest(shards, blocks, 1).collect()}
+    assert {b for b, _ in near} == set(range(6)) and all(roots[s, b] >= roots[:, b].max() - 200 for b, s in near)
+    for copies in (1, 64):
+        got = _floored(shards, blocks, 5, 2, copies).collect()
+        assert sorted(r.n for r in got) == list(range(6))
+        score = x.astype(np.int64) @ x.astype(np.int64).T
+        np.fill_diagonal(score, np.iinfo(np.int64).min)
+        fifth = np.sort(score, axis=1)[:, -5]
+        for r in got:
+            for i, floor in zip(np.frombuffer(r.ids, np.int64), _floors(r.floor)):
+                assert floor <= fifth[i] and floor > float("-inf")
+    got = {tuple(r) for r in top_k(found, found.where("vec_id % 50 = 0"), shard_rows=32, block_rows=2, sample_rows=5, group=2, first=3).collect()}
+    assert got == plain(np.arange(len(x)), x, range(0, len(x), 50), 5)
