@@ -280,3 +280,64 @@ def bid_replay(wanted: DataFrame, claims: DataFrame, season: list[str], week: st
     met = met.withColumn("remaining", F.greatest(F.lit(0), budget - F.col("__before"))).withColumn("offered", F.least(bid, "remaining")).withColumn("room", room)
     contested = F.col("room").isNotNull()
     return met.select(*wanted.columns, "remaining", "offered", "room", contested.alias("contested"), (~contested | F.coalesce(F.col("offered") > F.col("room"), F.lit(False))).alias("won"), (contested & F.coalesce(F.col("offered") == F.col("room"), F.lit(False))).alias("tie"))
+
+
+def promotion_backtest(ranks: DataFrame, panel: DataFrame, season: list[str], week: str, group: list[str], player: str, rank: str, points: str, form: str, out: str, ahead: int = 4) -> DataFrame:
+    """(season, group, week, lead, lead_form, backup, backup_form, points, ahead_mean, ahead_games): each promotion that a
+    published ranking shows, and what came of it. A second of the week before is a first now, and a first of the week
+    before is none any more and out this week; of several, the lead is the one of the highest form and the backup the
+    smallest player (so are ties). Points are those of the week, ahead_mean of this and the ahead - 1 weeks after.
+
+    ranks(season, week, group, player, rank) may name a player more than once: the best place counts. panel(season, week,
+    player, points, form, out) has what is known and what came, a row a player and week; null points are 0, a null form
+    counts as 0, a null out as no. Rows without week, player or rank tell nothing; a backup without a row is none.
+    Weeks meet by a join on the next week; no window holds more than a player's season.
+    """
+    at = [*season, *group, week]
+    best = ranks.dropna(subset=[week, player, rank]).groupBy(*at, player).agg(F.min(rank).alias("__now"))
+    before = best.select(*season, *group, (F.col(week) + 1).cast(best.schema[week].dataType).alias(week), player, F.col("__now").alias("__before")).where("__before <= 2")
+    moved = before.join(best, [*at, player], "left")
+    rose = moved.where("__before = 2 and __now = 1").groupBy(*at).agg(F.min(player).alias("backup"))
+    following = Window.partitionBy(*season, player).orderBy(week).rangeBetween(0, ahead - 1)
+    known = panel.dropna(subset=[week, player]).select(*season, week, player, F.coalesce(F.col(points).cast("double"), F.lit(0.0)).alias("points"), F.col(form).alias("__form"), F.coalesce(F.col(out).cast("boolean"), F.lit(False)).alias("__out"))
+    gone = moved.where("__before = 1 and (__now is null or __now > 1)").join(known.where("__out").select(*season, week, player, "__form"), [*season, week, player])
+    lead = gone.groupBy(*at).agg(F.min(F.struct((-F.coalesce("__form", F.lit(0.0))).alias("__key"), F.col(player).alias("lead"), F.col("__form").alias("lead_form"))).alias("__lead"))
+    came = known.withColumn("ahead_mean", F.avg("points").over(following)).withColumn("ahead_games", F.count("*").over(following)).withColumnRenamed(player, "backup").withColumnRenamed("__form", "backup_form")
+    met = rose.join(lead, at).join(came, [*season, week, "backup"])
+    return met.select(*at, "__lead.lead", "__lead.lead_form", "backup", "backup_form", "points", "ahead_mean", "ahead_games")
+
+
+def backup_lift(panel: DataFrame, season: str, week: str, team: str, pos: str, player: str, points: str, weeks: int, leads: int = 36, backups: int = 2) -> DataFrame:
+    """(season, team, pos, depth_order, lead, backup, base, lead_base, lead_missed, played_weeks, active_weeks,
+    observed_base, observed_active, realised): of each team and position the lead by the season before, if it was among
+    the `leads` best of its position, and its `backups` next; and what a backup made in weeks with and without the lead.
+
+    panel(season, week, team, pos, player, points) has a row for each week played, 1 to `weeks`. base and lead_base are the
+    season before by `weeks`; the one week in which nobody of a team played is nobody's miss. observed_base is base
+    where the lead was in every week of the backup; observed_active is null if in none he was out; realised is what the
+    backup made beyond observed_base in weeks without the lead. Players without points the season before are neither;
+    ties go to the smaller player; rows with a null key tell nothing and null points are 0. The best of a position and of a
+    team are found by limits a group that apply before rows are shuffled.
+    """
+    own = panel.dropna(subset=[season, week, team, pos, player]).select(F.col(season).alias("season"), F.col(week).alias("week"), F.col(team).alias("team"), F.col(pos).alias("pos"), F.col(player).alias("player"), F.coalesce(F.col(points).cast("double"), F.lit(0.0)).alias("points"))
+    kind = own.schema["season"].dataType
+    prior = own.groupBy("season", "pos", "player").agg(F.sum("points").alias("prior")).withColumn("season", (F.col("season") + 1).cast(kind)).where("prior > 0")
+    by = [F.desc("prior"), F.col("player")]
+    top = prior.withColumn("__rank", F.row_number().over(Window.partitionBy("season", "pos").orderBy(*by))).where(F.col("__rank") <= leads).select("season", "pos", F.col("player").alias("lead"))
+    men = own.select("season", "team", "pos", "player").distinct().join(prior, ["season", "pos", "player"])
+    order = men.withColumn("depth_order", F.row_number().over(Window.partitionBy("season", "team", "pos").orderBy(*by))).where(F.col("depth_order") <= backups + 1)
+    lead = order.where("depth_order = 1").select("season", "team", "pos", F.col("player").alias("lead"), (F.col("prior") / weeks).alias("lead_base")).join(top, ["season", "pos", "lead"])
+    pairs = order.where("depth_order > 1").select("season", "team", "pos", "depth_order", F.col("player").alias("backup"), (F.col("prior") / weeks).alias("base")).join(lead, ["season", "team", "pos"])
+    there = own.select("season", "team", "week").distinct().groupBy("season", "team").agg(F.when(F.count("*") == weeks - 1, F.lit(weeks * (weeks + 1) // 2) - F.sum("week")).alias("bye"))
+    pairs = pairs.join(there, ["season", "team"])
+    mine = own.groupBy("season", "team", "pos", "player", "week").agg(F.sum("points").alias("points"))
+    in_play = F.col("bye").isNull() | (F.col("week") != F.col("bye"))
+    lead_weeks = mine.select("season", "team", "pos", F.col("player").alias("lead"), "week", F.lit(True).alias("__with"))
+    met = pairs.join(mine.withColumnRenamed("player", "backup"), ["season", "team", "pos", "backup"], "left").where(in_play).join(lead_weeks, ["season", "team", "pos", "lead", "week"], "left")
+    inside, alone = F.col("__with").isNotNull(), F.col("__with").isNull()
+    keys = ["season", "team", "pos", "depth_order", "lead", "backup", "base", "lead_base", "bye"]
+    seen = met.groupBy(*keys).agg(F.count(F.when(inside, 1)).alias("played_weeks"), F.count(F.when(alone, 1)).alias("active_weeks"), F.avg(F.when(inside, F.col("points"))).alias("__base"), F.avg(F.when(alone, F.col("points"))).alias("observed_active"), F.coalesce(F.sum(F.when(alone, F.col("points"))), F.lit(0.0)).alias("__sum"))
+    held = lead.join(there, ["season", "team"]).join(lead_weeks, ["season", "team", "pos", "lead"]).where(in_play).groupBy("season", "team", "pos", "lead").agg(F.count("*").alias("__lead_weeks"))
+    seen = seen.join(held, ["season", "team", "pos", "lead"], "left").withColumn("observed_base", F.coalesce("__base", "base"))
+    playable = F.lit(weeks) - F.col("bye").isNotNull().cast("int")
+    return seen.select(*keys[:-1], (playable - F.coalesce("__lead_weeks", F.lit(0))).cast("long").alias("lead_missed"), "played_weeks", "active_weeks", "observed_base", "observed_active", (F.col("__sum") - F.col("active_weeks") * F.col("observed_base")).alias("realised"))

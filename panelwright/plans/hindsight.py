@@ -102,3 +102,58 @@ def mx11_bids(spark, d):
     wanted = claims.select("season", "week", "team", "player", (F.floor(F.col("bid") * 0.5) + 15).cast("bigint").alias("bid"))
     got = hindsight.bid_replay(wanted, claims, ["season"], "week", "team", "player", "bid", F.lit(200).cast("bigint"))
     return got
+
+
+@query(
+    "mx11_promotion_backtest",
+    """with s as (select c_nationkey as league, c_mktsegment as pos, c_custkey as player, year(o_orderdate)::int as season, ((month(o_orderdate) + 1) // 2)::int as week, sum(round(o_totalprice / 1000)::bigint)::double as points from orders join customer on c_custkey = o_custkey group by all),
+      members as (select distinct league, pos, player, season from s), weeks as (select distinct season, week from s),
+      f as (select m.*, w.week, s.points, avg(s.points) over (partition by m.season, m.player order by w.week rows between unbounded preceding and 1 preceding) as form from members m join weeks w using (season) left join s on s.player = m.player and s.season = m.season and s.week = w.week),
+      r as (select *, row_number() over (partition by season, week, league, pos order by form desc nulls last, player) as place from f where points is not null),
+      m as (select b.season, b.league, b.pos, b.week + 1 as week, b.player, b.place as before, n.place as now from r b left join r n on n.season = b.season and n.league = b.league and n.pos = b.pos and n.week = b.week + 1 and n.player = b.player),
+      rose as (select season, league, pos, week, min(player) as backup from m where before = 2 and now = 1 group by all),
+      gone as (select m.season, m.league, m.pos, m.week, m.player as lead, f.form as lead_form, row_number() over (partition by m.season, m.league, m.pos, m.week order by coalesce(f.form, 0) desc, m.player) as place
+        from m join f on f.season = m.season and f.week = m.week and f.player = m.player where m.before = 1 and (m.now is null or m.now > 1) and f.points is null)
+      select season, league, pos, week, lead, round(lead_form, 8) as lead_form, backup, round(f.form, 8) as backup_form, coalesce(f.points, 0) as points,
+        (select round(avg(coalesce(a.points, 0)), 8) from f a where a.season = rose.season and a.player = rose.backup and a.week between rose.week and rose.week + 3) as ahead_mean,
+        (select count(*) from f a where a.season = rose.season and a.player = rose.backup and a.week between rose.week and rose.week + 3) as ahead_games
+      from rose join gone using (season, league, pos, week) join f on f.season = rose.season and f.week = rose.week and f.player = rose.backup where gone.place = 1""",
+)
+def mx11_promotions(spark, d):
+    """Customers of a nation and segment who order in two months are ranked by their mean so far in the year: the second who
+    becomes the first as the first stays away, and what the second then orders."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("player"), F.col("c_nationkey").alias("league"), F.col("c_mktsegment").alias("pos"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"), F.floor((F.month("o_orderdate") + 1) / 2).cast("int").alias("week"), F.round(F.col("o_totalprice") / 1000).cast("bigint").alias("v"))
+    s = o.groupBy("player", "season", "week").agg(F.sum("v").cast("double").alias("points"))
+    weeks = s.select("season", "week").distinct()  # six a season
+    every = s.select("season", "player").distinct().join(F.broadcast(weeks), "season").join(s, ["player", "season", "week"], "left").join(c, "player")
+    before = Window.partitionBy("season", "player").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+    panel = every.withColumn("form", F.avg("points").over(before)).withColumn("out", F.col("points").isNull())
+    place = F.row_number().over(Window.partitionBy("season", "week", "league", "pos").orderBy(F.desc_nulls_last("form"), "player"))
+    ranks = panel.where("not out").withColumn("place", place)
+    got = hindsight.promotion_backtest(ranks, panel, ["season"], "week", ["league", "pos"], "player", "place", "points", "form", "out")
+    return got.select("season", "league", "pos", "week", "lead", "backup", "points", "ahead_games", *(F.round(x, 8).alias(x) for x in ("lead_form", "backup_form", "ahead_mean")))
+
+
+@query(
+    "mx11_backup_lift",
+    """with s as (select c_nationkey as team, year(o_orderdate)::int as season, month(o_orderdate)::int as week, c_custkey as player, c_mktsegment as pos, sum(round(o_totalprice / 1000)::bigint)::double as points from orders join customer on c_custkey = o_custkey group by all),
+      prior as (select season + 1 as season, pos, player, sum(points) as prior from s group by all having sum(points) > 0),
+      pool as (select *, row_number() over (partition by season, pos order by prior desc, player) as place from prior),
+      men as (select *, row_number() over (partition by season, team, pos order by prior desc, player) as depth_order from (select distinct season, team, pos, player from s) join prior using (season, pos, player)),
+      bye as (select season, team, case when count(distinct week) = 11 then 78 - sum(distinct week) end as bye from s group by all),
+      pairs as (select b.season, b.team, b.pos, b.depth_order, l.player as lead, b.player as backup, b.prior / 12 as base, l.prior / 12 as lead_base, bye from men b join men l using (season, team, pos) join pool p on p.season = l.season and p.pos = l.pos and p.player = l.player join bye on bye.season = b.season and bye.team = b.team where l.depth_order = 1 and b.depth_order between 2 and 3 and p.place <= 36),
+      w as (select p.*, m.week, m.points, exists (select 1 from s x where x.season = p.season and x.player = p.lead and x.week = m.week) as together from pairs p join s m on m.season = p.season and m.player = p.backup where bye is null or m.week <> bye),
+      g as (select season, team, pos, depth_order, lead, backup, base, lead_base, bye, count(*) filter (together) as played_weeks, count(*) filter (not together) as active_weeks, coalesce(avg(points) filter (together), base) as observed_base, avg(points) filter (not together) as observed_active, coalesce(sum(points) filter (not together), 0) as made from w group by season, team, pos, depth_order, lead, backup, base, lead_base, bye)
+      select season, team, pos, depth_order::int as depth_order, lead, backup, round(base, 8) as base, round(lead_base, 8) as lead_base, (case when bye is null then 12 else 11 end - (select count(*) from s x where x.season = g.season and x.player = g.lead and (g.bye is null or x.week <> g.bye)))::bigint as lead_missed,
+        played_weeks, active_weeks, round(observed_base, 8) as observed_base, round(observed_active, 8) as observed_active, round(made - active_weeks * observed_base, 8) as realised from g""",
+)
+def mx11_lift(spark, d):
+    """The two customers of a nation and segment behind the one of the most orders last year: what they order in months with
+    and without it."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("player"), F.col("c_nationkey").alias("team"), F.col("c_mktsegment").alias("pos"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), F.round(F.col("o_totalprice") / 1000).cast("bigint").alias("v"))
+    s = o.groupBy("player", "season", "week").agg(F.sum("v").cast("double").alias("points")).join(c, "player")
+    got = hindsight.backup_lift(s, "season", "week", "team", "pos", "player", "points", 12)
+    whole = ["season", "team", "pos", "depth_order", "lead", "backup", "lead_missed", "played_weeks", "active_weeks"]
+    return got.select(*whole, *(F.round(x, 8).alias(x) for x in ("base", "lead_base", "observed_base", "observed_active", "realised")))

@@ -200,3 +200,34 @@ def test_bids_over_budget_ties_and_no_rivals(spark):
     wanted = spark.createDataFrame([(1, 1, "me", "x", 5), (1, 2, "me", "y", 9), (1, 3, "me", "z", 1), (1, 3, "me", "w", 1), (1, 4, "you", "z", 50)], "season int, week int, team string, player string, bid int")
     got = {(r.week, r.player): (r.remaining, r.offered, r.room, r.contested, r.won, r.tie) for r in hindsight.bid_replay(wanted, claims, ["season"], "week", "team", "player", "bid", hindsight.F.lit(10)).collect()}
     assert got == {(1, "x"): (10, 5, 5, True, False, True), (2, "y"): (2, 2, 4, True, False, False), (3, "z"): (2, 1, 2, True, False, False), (3, "w"): (2, 1, None, False, True, False), (4, "z"): (4, 4, None, False, True, False)}
+
+
+def test_promotions_with_ties_nulls_and_repeats(spark):
+    ranks = [
+        (1, 1, "a", 10, 1), (1, 1, "a", 11, 1), (1, 1, "a", 12, 2), (1, 1, "a", 13, 2), (1, 1, "a", 12, 4),  # two firsts, two seconds, one named twice
+        (1, 2, "a", 13, 1), (1, 2, "a", 12, 1), (1, 2, "a", 12, 3),  # both seconds rise: the smaller counts
+        (1, 1, "b", 20, 1), (1, 1, "b", 21, 2), (1, 2, "b", 21, 1), (1, 2, "b", 20, 2),  # the first is behind but not out
+        (1, 1, "c", 30, 1), (1, 1, "c", 31, 2), (1, 3, "c", 31, 1),  # a week between
+        (1, 1, None, 40, 1), (1, 1, "d", None, 1), (1, None, "d", 41, 1), (1, 1, "d", 41, None),
+    ]
+    panel = [(1, 2, 10, 0.0, 3.0, True), (1, 2, 11, 0.0, 5.0, True), (1, 2, 12, 8.0, None, None), (1, 3, 12, None, 1.0, False), (1, 6, 12, 100.0, 1.0, False), (1, 2, 13, 1.0, 1.0, False), (1, 2, 20, 1.0, 1.0, None), (1, 2, 21, 1.0, 1.0, False), (1, None, 12, 9.0, 9.0, True)]
+    ranks = spark.createDataFrame(ranks, "season int, week int, team string, player long, place int")
+    panel = spark.createDataFrame(panel, "season int, week int, player long, points double, form double, out boolean")
+    how = (["season"], "week", ["team"], "player", "place", "points", "form", "out")
+    got = [tuple(r) for r in hindsight.promotion_backtest(ranks, panel, *how).collect()]
+    assert got == [(1, "a", 2, 11, 5.0, 12, None, 8.0, 4.0, 2)]
+    assert hindsight.promotion_backtest(ranks.limit(0), panel.limit(0), *how).count() == 0
+
+
+def test_backups_with_byes_ties_and_nulls(spark):
+    rows = [(1, w, "x", "rb", p, v) for w in (1, 2) for p, v in ((1, 10.0), (2, 6.0), (3, 6.0), (4, 1.0))]
+    rows += [(1, 1, "y", "rb", 5, 30.0), (1, 1, "y", "rb", 6, None)]
+    # of four weeks week 3 is the bye of x: 1 misses week 2 alone; 3 plays without 1 only; y's second has no points the year before
+    rows += [(2, 1, "x", "rb", 1, 9.0), (2, 4, "x", "rb", 1, 9.0), (2, 1, "x", "rb", 2, 4.0), (2, 2, "x", "rb", 2, 5.0), (2, 2, "x", "rb", 2, 2.0), (2, 2, "x", "rb", 3, None), (2, 1, "x", "rb", 4, 1.0)]
+    rows += [(2, 1, "y", "rb", 5, 3.0), (2, 1, "y", "rb", 6, 3.0), (2, None, "x", "rb", 2, 50.0), (2, 1, None, "rb", 2, 50.0)]
+    panel = spark.createDataFrame(rows, "season int, week int, team string, pos string, player long, points double")
+    how = ("season", "week", "team", "pos", "player", "points", 4)
+    got = sorted(tuple(r) for r in hindsight.backup_lift(panel, *how).collect())
+    assert got == [(2, "x", "rb", 2, 1, 2, 3.0, 5.0, 1, 1, 1, 4.0, 7.0, 3.0), (2, "x", "rb", 3, 1, 3, 3.0, 5.0, 1, 0, 1, 3.0, 0.0, -3.0)]
+    assert hindsight.backup_lift(panel, *how, leads=1).count() == 0  # y's first is the only one in the pool, and has no second
+    assert hindsight.backup_lift(panel.limit(0), *how).count() == 0
