@@ -22,6 +22,12 @@ def admitted(slot: str) -> tuple[str, ...]:
     return SLOTS.get(slot.upper(), (slot.upper(),))
 
 
+@functools.lru_cache(4096)
+def _open_to(slots: tuple[str, ...], positions: tuple[str, ...]) -> tuple[int, ...]:
+    """The slots that admit one of the positions, in order."""
+    return tuple(s for s, slot in enumerate(slots) if not set(admitted(slot)).isdisjoint(positions))
+
+
 def assign(values: Sequence[float], eligible: Sequence[Sequence[str]], slots: Sequence[str], locked: Sequence[int | None] | None = None) -> list[int | None]:
     """The slot of each row, or None, such that the sum of values is the largest there is.
 
@@ -31,11 +37,12 @@ def assign(values: Sequence[float], eligible: Sequence[Sequence[str]], slots: Se
     """
     seat: dict[int, int] = {}
     fixed = {s: i for i, s in enumerate(locked or []) if s is not None}
-    admits = [frozenset(admitted(s)) for s in slots]
+    own = tuple(slots)
+    fits = [_open_to(own, tuple(e)) for e in eligible]
 
     def place(i: int, seen: set[int]) -> bool:
-        for s, positions in enumerate(admits):
-            if s in seen or s in fixed or not positions.intersection(eligible[i]):
+        for s in fits[i]:
+            if s in seen or s in fixed:
                 continue
             seen.add(s)
             if s not in seat or place(seat[s], seen):
@@ -45,7 +52,9 @@ def assign(values: Sequence[float], eligible: Sequence[Sequence[str]], slots: Se
 
     held = set(fixed.values())
     for i in sorted(range(len(values)), key=lambda i: (-values[i], i)):
-        if i not in held and values[i] >= 0:
+        if len(seat) + len(fixed) == len(own):
+            break  # all slots are taken, and who has a seat keeps one
+        if fits[i] and i not in held and values[i] >= 0:
             place(i, set())
     out: list[int | None] = [None] * len(values)
     for s, i in {**seat, **fixed}.items():

@@ -3,6 +3,7 @@ were made from, and bids against those that won."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -40,11 +41,85 @@ def stand_pat(state: State) -> list[int]:
     return [m.player for m in state.roster]
 
 
+class _Rooms:
+    """Which positions can still start when those of some players do: steps[taken, position] is what is taken then, or None
+    if no slot can be freed for it. There are few of these, so they are found once."""
+
+    def __init__(self, slots: tuple[str, ...]):
+        self.slots, self.steps = slots, {}
+
+    def step(self, taken: tuple[str, ...], pos: str) -> tuple[str, ...] | None:
+        key = taken, pos
+        if key not in self.steps:
+            more = tuple(sorted((*taken, pos)))
+            self.steps[key] = more if None not in assign([1.0] * len(more), [[p] for p in more], self.slots) else None
+        return self.steps[key]
+
+
+@functools.lru_cache(64)
+def _rooms(slots: tuple[str, ...]) -> _Rooms:
+    return _Rooms(slots)
+
+
+def starters(members: Sequence[Member], values: Sequence[float], slots: Sequence[str], taken: tuple[str, ...] = ()) -> list[int]:
+    """The indices, in order, of those whom assign gives a seat; positions that are taken already count as seated."""
+    rooms, full, out = _rooms(tuple(slots)), len(slots), []
+    steps = rooms.steps
+    for i in sorted(range(len(values)), key=[-v for v in values].__getitem__):
+        if len(taken) == full:
+            break
+        if values[i] >= 0:
+            key = taken, members[i].pos
+            more = steps[key] if key in steps else rooms.step(*key)
+            if more is not None:
+                taken = more
+                out.append(i)
+    out.sort()
+    return out
+
+
 def filled(members: Sequence[Member], slots: Sequence[str], value: Callable[[Member], float] = lambda m: 1.0) -> tuple[int, float]:
     """How many slots the members can fill, and the sum of values of the best of them that do."""
     values = [value(m) for m in members]
-    seats = assign(values, [[m.pos] for m in members], slots)
-    return sum(s is not None for s in seats), sum(v for v, s in zip(values, seats) if s is not None)
+    seated = starters(members, values, slots)
+    return len(seated), sum(values[i] for i in seated)
+
+
+def projected(members: Sequence[Member], slots: Sequence[str], taken: tuple[str, ...] = ()) -> float:
+    """The sum of projections of the best projected lineup."""
+    values = [m.proj for m in members]
+    return sum([values[i] for i in starters(members, values, slots, taken)])
+
+
+@functools.lru_cache(1 << 16)
+def _seated(positions: tuple[str, ...], slots: tuple[str, ...]) -> int:
+    return sum(s is not None for s in assign([1.0] * len(positions), [[p] for p in positions], slots))
+
+
+def fills(members: Sequence[Member], slots: Sequence[str]) -> int:
+    """How many slots the members can fill, which their positions alone decide."""
+    return _seated(tuple(sorted([m.pos for m in members])), tuple(slots))
+
+
+def entry_price(members: Sequence[Member], base: float, pos: str, slots: Sequence[str]) -> float:
+    """What the best projected lineup of the members, which makes base, loses if one more player of that position
+    starts: one of projection x adds x less this, or nothing. Sets of players that can start are a matroid, so who
+    makes room depends on the position alone."""
+    taken = _rooms(tuple(slots)).step((), pos)
+    return base - projected(members, slots, taken) if taken else float("inf")
+
+
+#: What counts as more, and how far sums by prices and by whole lineups can differ by rounding, as a share of the values.
+LEAST_GAIN = 1e-9
+ROUNDING = 3e-14
+
+
+def _slack(*members: Sequence[Member]) -> float:
+    return ROUNDING * (1.0 + sum(abs(m.proj) for own in members for m in own))
+
+
+def _gain(x: float, price: float) -> float:
+    return x - price if x > price else 0.0
 
 
 def to_drop(state: State, value: Callable[[Member], float] = lambda m: m.proj) -> Member | None:
@@ -52,7 +127,7 @@ def to_drop(state: State, value: Callable[[Member], float] = lambda m: m.proj) -
     if there is none."""
     need = len(state.slots)
     for m in sorted(state.roster, key=lambda m: (value(m), m.player)):
-        if filled([x for x in state.roster if x.player != m.player], state.slots)[0] >= need:
+        if fills([x for x in state.roster if x.player != m.player], state.slots) >= need:
             return m
     return None
 
@@ -85,12 +160,18 @@ def lineup_upgrade(state: State) -> list[int]:
     if out is None:
         return stand_pat(state)
     left = [m for m in state.roster if m.player != out.player]
-    best, gain, base = None, 0.0, filled(left, state.slots, lambda m: m.proj)[1]
+    best, gain, base = None, 0.0, projected(left, state.slots)
+    price: dict[str, float] = {}
+    slack = _slack(left)
     for m in sorted(state.free, key=lambda m: (-m.proj, m.player)):
         if m.proj <= gain:
             break
-        more = filled([*left, m], state.slots, lambda m: m.proj)[1] - base
-        if more > gain + 1e-9:
+        if m.pos not in price:
+            price[m.pos] = entry_price(left, base, m.pos, state.slots)
+        if _gain(m.proj, price[m.pos]) + slack <= gain + LEAST_GAIN:
+            continue
+        more = projected([*left, m], state.slots) - base
+        if more > gain + LEAST_GAIN:
             best, gain = m, more
     return [m.player for m in left] + [best.player] if best else stand_pat(state)
 
@@ -126,36 +207,54 @@ def season_fold(rows: Sequence[tuple], policy: Policy, slots: Sequence[str]) ->
             teams[team] = new
         for team in sorted(teams):
             ready = [m for p in teams[team] if (m := players.get(p)) and m.available]
-            seats = assign([m.proj for m in ready], [[m.pos] for m in ready], slots)
-            points = sum(m.points for m, s in zip(ready, seats) if s is not None)
+            points = sum(ready[i].points for i in starters(ready, [m.proj for m in ready], slots))
             total[team] += points
             out.append((week, team, moves[team], points, filled(ready, slots, lambda m: m.points)[1]))
     return out
 
 
+class _Side:
+    """A roster's projected lineup, and what it is without each member: worked out once for all trades of a week."""
+
+    def __init__(self, members: Sequence[Member], slots: Sequence[str]):
+        self.members, self.slots, self.need, self.base = members, slots, fills(members, slots), projected(members, slots)
+        rest = [(m, [x for x in members if x.player != m.player]) for m in sorted(members, key=lambda m: m.player)]
+        self.without = [(m, left, projected(left, slots), {}) for m, left in rest]
+
+    def likely(self, left: Sequence[Member], base: float, price: dict[str, float], m: Member) -> float:
+        """What m adds to the projected lineup if it comes to those left, whose lineup makes base, by prices."""
+        if m.pos not in price:
+            price[m.pos] = entry_price(left, base, m.pos, self.slots)
+        return base + _gain(m.proj, price[m.pos]) - self.base
+
+
 def best_trade(us: Sequence[Member], others: dict[int, Sequence[Member]], slots: Sequence[str], gap: float) -> tuple[int, Member, Member, float, float] | None:
     """(their team, whom we give, whom we get, our gain, theirs) of the one-for-one trade that adds most to our projected
     lineup, of those between players whose projections are no more than gap apart, after which both sides can still fill
     what slots they could, and which doesn't lower their projected lineup. Of equal ones the first by team, given and got
     player; None if no trade adds anything."""
-    by = lambda m: m.proj
-    need, base = filled(us, slots)[0], filled(us, slots, by)[1]
-    best = None
+    return _best_trade(_Side(us, slots), {team: _Side(them, slots) for team, them in others.items()}, slots, gap)
+
+
+def _best_trade(us: _Side, others: dict[int, _Side], slots: Sequence[str], gap: float) -> tuple[int, Member, Member, float, float] | None:
+    best, least = None, LEAST_GAIN
     for team, them in sorted(others.items()):
-        their_need, their_base = filled(them, slots)[0], filled(them, slots, by)[1]
-        for give in sorted(us, key=lambda m: m.player):
-            left = [m for m in us if m.player != give.player]
-            for get in sorted(them, key=lambda m: m.player):
+        slack = _slack(us.members, them.members)
+        for give, left, left_base, price in us.without:
+            for get, rest, rest_base, their_price in them.without:
                 if abs(give.proj - get.proj) > gap:
                     continue
+                # most trades are out by their prices; what these leave is settled by the lineups themselves
+                if us.likely(left, left_base, price, get) + slack <= least or them.likely(rest, rest_base, their_price, give) + slack < -LEAST_GAIN:
+                    continue
                 ours = [*left, get]
-                gain = filled(ours, slots, by)[1] - base
-                if gain <= 1e-9 or best and gain <= best[3] + 1e-9 or filled(ours, slots)[0] < need:
+                gain = projected(ours, slots) - us.base
+                if gain <= least or fills(ours, slots) < us.need:
                     continue
-                theirs = [*(m for m in them if m.player != get.player), give]
-                their_gain = filled(theirs, slots, by)[1] - their_base
-                if their_gain >= -1e-9 and filled(theirs, slots)[0] >= their_need:
-                    best = (team, give, get, gain, their_gain)
+                theirs = [*rest, give]
+                their_gain = projected(theirs, slots) - them.base
+                if their_gain >= -LEAST_GAIN and fills(theirs, slots) >= them.need:
+                    best, least = (team, give, get, gain, their_gain), gain + LEAST_GAIN
     return best
 
 
@@ -176,8 +275,9 @@ def season_trades(rows: Sequence[tuple], slots: Sequence[str], gap: float) -> li
     out = []
     for week in sorted(weeks)[:-1]:
         teams = {t: [weeks[week][p] for p in own] for t, own in rosters.get(week, {}).items()}
+        sides = {t: _Side(m, slots) for t, m in teams.items()}
         for team, us in sorted(teams.items()):
-            found = best_trade(us, {t: m for t, m in teams.items() if t != team}, slots, gap)
+            found = _best_trade(sides[team], {t: side for t, side in sides.items() if t != team}, slots, gap)
             if found:
                 partner, give, get, gain, _ = found
                 swap = lambda members, out_, in_: [m.player for m in members if m.player != out_.player] + [in_.player]

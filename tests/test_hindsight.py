@@ -231,3 +231,16 @@ def test_backups_with_byes_ties_and_nulls(spark):
     assert got == [(2, "x", "rb", 2, 1, 2, 3.0, 5.0, 1, 1, 1, 4.0, 7.0, 3.0), (2, "x", "rb", 3, 1, 3, 3.0, 5.0, 1, 0, 1, 3.0, 0.0, -3.0)]
     assert hindsight.backup_lift(panel, *how, leads=1).count() == 0  # y's first is the only one in the pool, and has no second
     assert hindsight.backup_lift(panel.limit(0), *how).count() == 0
+
+
+def league_of_a_hundred(seed=3):
+    r = random.Random(seed)
+    return [(w, p % 12 if p % 12 < 8 else None, p, r.choice(["RB", "RB", "QB", "WR", "WR"]), float(r.choice([0, r.randint(1, 400)])), r.random(), 0.0, r.random() < 0.9, float(r.randint(0, 400))) for w in range(3) for p in range(100)]
+
+
+def test_trades_try_few_lineups(monkeypatch):
+    """Most trades are out by the prices of positions: no lineup is made for each of the thousands of pairs."""
+    calls, assign = [], hindsight.assign
+    monkeypatch.setattr(hindsight, "assign", lambda *a: calls.append(1) or assign(*a))
+    assert hindsight.season_trades(league_of_a_hundred(), SLOTS, 20.0)
+    assert len(calls) < 1000
