@@ -24,6 +24,18 @@ def pairs_in_blocks(df: DataFrame, block: list[str], key: str, near: Column) ->
     return df.alias("a").join(df.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block] + [F.col(f"a.{key}") < F.col(f"b.{key}"), near])
 
 
+def pairs_in_bands(df: DataFrame, block: list[str], key: str, value: str, width: float) -> DataFrame:
+    """(a, b) pairs as of pairs_in_blocks whose values are less than width apart. Rows meet by bands of the value, each
+    with its own and the next ones, so a block is dealt out and what is compared grows as the pairs that there are."""
+    band = F.floor(F.col(value) / (width * (1 + 1e-9)))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # pairs outgrow rows, so bytes don't tell how many
+    left = df.withColumn("__band", band).repartition(parts, *block, "__band")
+    right = df.withColumn("__band", F.explode(F.array(band - 1, band, band + 1))).repartition(parts, *block, "__band").hint("merge")
+    near = F.abs(F.col(f"a.{value}") - F.col(f"b.{value}")) < width
+    return left.alias("a").join(right.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*block, "__band")] + [F.col(f"a.{key}") < F.col(f"b.{key}"), near])
+
+
 def unique_or_null(df: DataFrame, key: list[str], value: str, out: str) -> DataFrame:
     """The key's value, or null where more than one claims it."""
     return df.groupBy(*key).agg(F.when(F.min(value) == F.max(value), F.max(value)).alias(out))
