@@ -116,13 +116,15 @@ def collapse_crosswalk(base: DataFrame, collapsed: DataFrame, variants: DataFram
 
 
 def expand_and_match(df: DataFrame, name: Column, variants: dict[str, list[str]], dimension: DataFrame, key: str, target: str) -> DataFrame:
-    """Matches the first word of each name under its variants as well; null unless exactly one target is hit."""
+    """Matches the first word of each name under its variants as well; null unless exactly one target is hit. The
+    dimension comes as a row a key with its least and largest target, so names that many rows share multiply nothing."""
     table = F.create_map(*(x for k, v in variants.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     first, rest = F.split_part(name, F.lit(" "), F.lit(1)), F.substring_index(name, " ", -1)
     names = F.concat(F.array(first), F.coalesce(table[first], F.array().cast("array<string>")))
     tried = df.withColumn("__name", F.explode(F.transform(names, lambda n: F.concat_ws(" ", n, rest))))
-    hit = tried.join(dimension.select(F.col(key).alias("__name"), F.col(target)), "__name").groupBy(*df.columns)
-    return hit.agg(F.when(F.count_distinct(target) == 1, F.max(target)).alias(target))
+    by_key = dimension.groupBy(F.col(key).alias("__name")).agg(F.min(target).alias("__least"), F.max(target).alias("__most"))
+    hit = tried.join(by_key, "__name").groupBy(*df.columns)
+    return hit.agg(F.when(F.min("__least") == F.max("__most"), F.max("__most")).alias(target))
 
 
 def rekey_reasons(edges: DataFrame, old: DataFrame) -> DataFrame:
