@@ -153,8 +153,9 @@ def resolve_or_mint(df: DataFrame, known: DataFrame, keys: Sequence[str], target
 
 
 def pick_among(df: DataFrame, candidates: DataFrame, keys: list[str], scores: list[Column], target: str) -> DataFrame:
-    """Of the candidates that share the keys, the one that meets the first conditions; null if two meet as many."""
-    joined = df.join(candidates, keys, "left").withColumn("__score", F.struct(*(F.coalesce(s, F.lit(False)).alias(f"s{i}") for i, s in enumerate(scores))))
-    w = Window.partitionBy(*df.columns)
-    best = joined.withColumn("__best", F.max("__score").over(w)).where("__score = __best")
-    return best.groupBy(*df.columns).agg(F.when(F.count_distinct(target) == 1, F.max(target)).alias(target))
+    """Of the candidates that share the keys, the one that meets the first conditions; null if two meet as many. One
+    aggregate keeps a row's best score with its least and largest target, so candidates are neither sorted nor kept."""
+    met = df.join(candidates, keys, "left").withColumn("__score", F.struct(*(F.coalesce(s, F.lit(False)).alias(f"s{i}") for i, s in enumerate(scores))))
+    each = met.groupBy(*df.columns, "__score").agg(F.min(target).alias("__least"), F.max(target).alias("__most"))
+    best = each.groupBy(*df.columns).agg(F.max_by(F.struct("__least", "__most"), "__score").alias("__best"))
+    return best.select(*df.columns, F.when(F.col("__best.__least") == F.col("__best.__most"), F.col("__best.__most")).alias(target))
