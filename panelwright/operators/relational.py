@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,17 +49,13 @@ def mode_first(df: DataFrame, keys: list[str], value: str, tie: Column, out: str
 
 
 def nearest_bucket(df: DataFrame, buckets: DataFrame, keys: list[str], at: str, bucket: str, out: str) -> DataFrame:
-    """The bucket closest to each row's value, of those the keys have; the lower of two as close. The last one at
-    or below and the first one at or above are carried over one sorted union, so that no row meets all buckets."""
-    w = Window.partitionBy(*keys).orderBy("__x")
-    one = df.select(*keys, F.col(at).alias("__x"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(buckets.schema[bucket].dataType).alias("__b"))
-    two = buckets.select(*keys, F.col(bucket).alias("__x"), F.lit(None).cast(one.schema["__row"].dataType).alias("__row"), F.col(bucket).alias("__b"))
-    both = one.unionByName(two.distinct())
-    low = F.max("__b").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    high = F.min("__b").over(w.rangeBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("__low", low).withColumn("__high", high).where("__row is not null")
-    nearer = F.when(F.col("__low").isNull() | (F.col("__high") - F.col("__x") < F.col("__x") - F.col("__low")), F.col("__high")).otherwise(F.col("__low"))
-    return both.withColumn(out, nearer).select("__row.*", out)
+    """The bucket closest to each row's value, of those the keys have; the lower of two as close, and the
+    lowest for a null value. The keys' buckets come along as one sorted list, in which each row looks its own up: rows are joined by key, not
+    sorted into one partition a key. A row whose keys have no bucket gets null."""
+    lists = buckets.where(F.col(bucket).isNotNull()).groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sort_array(F.collect_set(bucket)).alias("__list"))
+    met = df.join(lists, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), "left")
+    away = F.transform("__list", lambda b: F.struct(F.abs(b - F.col(at)).alias("away"), b.alias("bucket")))
+    return met.withColumn("__out", F.array_min(away)["bucket"]).select(*(c for c in df.columns if c != out), F.col("__out").alias(out))
 
 
 def null_coverage(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
