@@ -83,8 +83,10 @@ def html_fields(df: DataFrame, html: str, key: str) -> DataFrame:
     )
 
 
-def import_rows(target: DataFrame, incoming: DataFrame, bridge: DataFrame, key: str, fresh: bool = False) -> DataFrame:
+def import_rows(target: DataFrame, incoming: DataFrame, bridge: DataFrame, key: str, fresh: bool = False, clash: str = "target") -> DataFrame:
     """incoming with its keys moved over bridge(old, new) and added to target, or instead of it if fresh;
-    rows whose key the bridge lacks are left out, and target's rows win."""
+    rows whose key the bridge lacks are left out. Of rows that come to one key target's win; with clash "both" all stay."""
     moved = incoming.join(bridge, incoming[key] == bridge["old"]).withColumn(key, F.col("new")).select(*target.columns)
+    if clash == "both" and not fresh:
+        return target.unionByName(moved)
     return moved if fresh else target.unionByName(moved.join(target.select(key), key, "left_anti"))
