@@ -38,9 +38,13 @@ def classify(text: Column, rules: Sequence[tuple[str, str]], default: str | None
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def decode_entities(text: Column) -> Column:
-    """The five named entities, the apostrophe's number and the no-break space; &amp; last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+#: The five named entities, the apostrophe's number and the no-break space; &amp; last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def decode_entities(text: Column, entities: dict[str, str] = ENTITIES) -> Column:
+    """The entities as what they stand for, one after the other."""
+    for entity, char in entities.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
