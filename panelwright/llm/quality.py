@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, text_bytes
+from .shared import free_name, text_bytes, written
 
 FEATURES = (
     "log_words", "word_length", "long_words", "distinct", "log_distinct_rate", "same_as_last", "same_as_last_but_one", "upper", "digits",
@@ -82,54 +83,140 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -30, 30)))
 
 
-def _newton(z: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic loss on rows z with labels y."""
-    w = np.zeros(z.shape[1])
+#: Margins of a label are summed in so many bins, and pairs counted by the means of their bins: what that leaves out of
+#: a pair's loss is of the square of a bin's width.
+BINS = 2048
+#: Bins of a step of the search for a score's place; four steps tell doubles of this range apart to 1e-12.
+PLACES = 4096
+
+
+def _binned(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The bin of each row's margin, those of label 1 after those of label 0."""
+    far = 6 * np.abs(weight).sum() + 1e-9  # no margin is beyond
+    return np.clip((z @ weight + far) * (BINS / (2 * far)), 0, BINS - 1).astype(int) + BINS * y
+
+
+def _pair_weights(passed: Callable, d: int, ridge: float, rounds: int) -> np.ndarray:
+    """Newton's method on the mean loss of every pair of a label 1 and a label 0. A round takes two passes over the rows:
+    sums by bin, which give what each bin pulls and bends, and the squares of the rows weighted by that."""
+    w = np.zeros(d)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + ridge * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+
+        def sums(z: np.ndarray, y: np.ndarray, w=w) -> np.ndarray:
+            at = _binned(z, y, w)
+            return np.concatenate([np.bincount(at, c, 2 * BINS) for c in (None, *z.T)])
+
+        got = passed(sums, 2 * BINS * (d + 1)).reshape(d + 1, 2 * BINS)
+        n, mean = got[0], got[1:].T / np.maximum(got[0], 1)[:, None]
+        bad, good = np.flatnonzero(n[:BINS]), BINS + np.flatnonzero(n[BINS:])
+        gap = np.clip((mean[good] @ w)[:, None] - (mean[bad] @ w)[None], -30, 30)
+        miss = np.outer(n[good] / n[good].sum(), n[bad] / n[bad].sum()) / (1 + np.exp(gap))  # of all pairs, that lie the other way round
+        bend = miss / (1 + np.exp(-gap))
+        share = np.zeros(2 * BINS)
+        share[good], share[bad] = bend.sum(1) / n[good], bend.sum(0) / n[bad]
+
+        def squares(z: np.ndarray, y: np.ndarray, w=w, share=share) -> np.ndarray:
+            return ((z * share[_binned(z, y, w)][:, None]).T @ z).ravel()
+
+        cross = mean[good].T @ bend @ mean[bad]
+        hessian = passed(squares, d * d).reshape(d, d) - cross - cross.T + ridge * np.eye(d)
+        step = np.linalg.solve(hessian, ridge * w - miss.sum(1) @ mean[good] + miss.sum(0) @ mean[bad])
+        w = w - step
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1.0, seed: int = 7) -> Model:
-    """Bradley-Terry: P(i preferred to j) = logistic(w . (x_i - x_j)) over pairs of a label 1 and a label 0.
+def _line(passed: Callable, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[float, float]:
+    """(offset, slope) of the logistic regression of the label on the margin."""
+    w = np.zeros(2)
+    for _ in range(rounds):
+
+        def sums(z: np.ndarray, y: np.ndarray, w=w) -> np.ndarray:
+            m = z @ weight
+            p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * m, -30, 30)))
+            q = p * (1 - p)
+            return np.array([(p - y).sum(), ((p - y) * m).sum(), q.sum(), (q * m).sum(), (q * m * m).sum()])
 
-    The scale of the margin to a chance is fitted on the same rows. With one label only, or no rows, every
-    text gets the share of label 1 (0.5 with none)."""
+        a, b, c, e, f = passed(sums, 5)
+        step = np.linalg.solve(np.array([[c, e], [e, f]]) + ridge * np.eye(2), np.array([a, b]) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
+
+
+def _placed(passed: Callable, value: Callable[[np.ndarray], np.ndarray], place: int, low: float, high: float) -> float:
+    """The place-th smallest (from 0) of all rows' values within low and high, or up to 1e-12 below it."""
+    for _ in range(4):
+        edges = np.linspace(low, high, PLACES + 1)
+        counts = passed(lambda z, y, edges=edges: np.bincount(np.searchsorted(edges, value(z), "right"), minlength=PLACES + 2), PLACES + 2)
+        k = int(np.searchsorted(np.cumsum(counts), place, "right"))
+        if k > PLACES:
+            return high
+        low, high = float(edges[max(k - 1, 0)]), float(edges[max(k, 1)])
+    return low
+
+
+def _learned(passed: Callable, n: int, rate: float, mean: np.ndarray, scale: np.ndarray, ridge: float, rounds: int = 30) -> Model:
+    """The model of n rows, of which passed(f, size) gives the sum of f(z, y), arrays of that size, over all."""
+    weight = _pair_weights(passed, len(mean), ridge / 60_000, rounds)
+    offset, slope = _line(passed, weight)
+    model = Model(mean, scale, weight, slope, offset, 0.0)
+    at = _placed(passed, lambda z: np.clip(slope * (z @ weight) + offset, -30, 30), n - round(n * rate), -30.0, 30.0)
+    model.quantile_score = float(1 / (1 + np.exp(-at)))
+    return model
+
+
+def _constant(rate: float) -> Model:
     d = len(FEATURES)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(d), np.ones(d), np.zeros(d), 1.0, math.log(rate / (1 - rate)), rate)
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    return Model(np.zeros(d), np.ones(d), np.zeros(d), 1.0, math.log(rate / (1 - rate)), rate)
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
+    """Bradley-Terry: P(i preferred to j) = logistic(w . (x_i - x_j)) over every pair of a label 1 and a label 0; none
+    is drawn. The scale of the margin to a chance and the quantile are of the same rows. With one label only, or no rows,
+    every text gets the share of label 1 (0.5 with none)."""
+    if not len(y) or y.min() == y.max():
+        return _constant(float(y.mean()) if len(y) else 0.5)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.clip((x - mean) / scale, -6, 6)
-    draw = np.random.default_rng(seed)
-    diff = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
-    sign = np.where(np.arange(pairs) % 2 == 0, 1.0, -1.0)
-    weight = _newton(diff * sign[:, None], (sign > 0).astype(float), ridge)
-    margin = z @ weight
-    offset, slope = _newton(np.stack([np.ones(len(z)), margin], axis=1), y.astype(float), 1e-3)
-    model = Model(mean, scale, weight, float(slope), float(offset), 0.0)
-    model.quantile_score = float(np.quantile(model.score(x), 1 - y.mean()))
-    return model
+    return _learned(lambda f, size: f(z, y), len(y), float(y.mean()), mean, scale, ridge)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, text: str = "text") -> Model:
-    """Fits on at most most_rows labelled documents that are not held out: those with the smallest hash of
-    their doc_id, so that the sample is the same whatever the partitions. Rows with a null id or label, or a
-    label other than 0 and 1, are left out; a doc_id with several labels has its largest."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", ridge: float = 1.0) -> Model:
+    """As fit, on every labelled document that is not held out, in passes over a table of their features: a task gives the
+    sums of its rows, which Spark adds, and sums of the model's size come to the driver. Rows with a null id or label, or a
+    label other than 0 and 1, are left out; a doc_id with several labels has its largest, and of several texts with one
+    doc_id that of the smallest features counts."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    rows = rows.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    own = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    picked = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # most_rows ids at most
-    table = feature_table(picked, text).dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("x", "quality").toPandas()
-    x = np.array(table["x"].tolist(), float).reshape(len(table), len(FEATURES))
-    return fit(x, table["quality"].to_numpy(int))
+    rows = rows.where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    own = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).where(~held_out())
+    # features are made before ids meet: they are shuffled, texts are not
+    known = feature_table(own, text).groupBy("doc_id").agg(F.min("x").alias("x")).join(rows.hint("shuffle_hash"), "doc_id")
+    known = written(known.select("x", "quality"), "quality-features")
+    d = len(FEATURES)
+    ends = known.agg(F.count("*").alias("n"), F.avg("quality").alias("rate"), *(f(F.col("x")[i]).alias(f"{name}{i}") for i in range(d) for name, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if not ends["n"] or ends["rate"] in (0.0, 1.0):
+        return _constant(ends["rate"] if ends["n"] else 0.5)
+    mean, scale = np.array([ends[f"m{i}"] for i in range(d)]), np.array([ends[f"s{i}"] for i in range(d)]) + 1e-9
+
+    def passed(f: Callable, size: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, d)
+                total += f(np.clip((x - mean) / scale, -6, 6), batch.column(1).to_numpy().astype(int))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["at", "v"])
+
+        out = np.zeros(size)
+        for r in known.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        return out
+
+    return _learned(passed, ends["n"], ends["rate"], mean, scale, ridge)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -58,3 +58,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert keep_good(odd_docs, model, 0.0).columns == odd_docs.columns
     assert scored(no_docs, train(no_docs, labels.limit(0))).collect() == []
     assert features(b"") == [0.0] * len(FEATURES)
+
+
+def test_every_pair_counts_and_none_is_drawn():
+    """The weights are where the gradient over all pairs vanishes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, len(FEATURES)))
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(-x[:, 0] - x[:, 1]))).astype(int)
+    model = fit(x, y)
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, len(FEATURES))
+    gradient = -(diff / (1 + np.exp(diff @ model.weight))[:, None]).mean(axis=0) + model.weight / 60_000
+    assert np.abs(gradient).max() < 1e-4
+    assert (model.score(x) >= model.quantile_score).sum() == y.sum()
+
+
+def test_every_label_is_learned_from(spark):
+    """Passes over a table give what all its rows give at once."""
+    docs = spark.range(2_000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, cast(id % 23 as int)), i -> concat('w', cast(crc32(cast(concat(id, ':', i) as binary)) % 50 as string))), if(crc32(cast(cast(id as string) as binary)) % 3 = 0, '!', '.')) as text")
+    labels = docs.selectExpr("doc_id", "cast(crc32(cast(concat('q', doc_id) as binary)) % 5 < if(doc_id % 23 > 11, 4, 1) as int) as quality")
+    rows = {r.doc_id: r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    want = fit(np.array([features(r.text.encode()) for r in rows.values()]), np.array([r.quality for r in rows.values()]))
+    got = train(docs, labels)
+    assert np.allclose(got.weight, want.weight, atol=1e-6) and np.allclose([got.slope, got.offset, got.quantile_score], [want.slope, want.offset, want.quantile_score], atol=1e-6)
