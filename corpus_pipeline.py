@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id, then the smallest key of its text. Rows
+    """One row of each group of near copies, found by SimHash blocks and by MinHash bands and settled by their shingles: that with the smallest doc_id, then the smallest key of its text. Rows
     without an id come last; rows that share one and differ in text are told apart by it."""
     return simhash.keep_one_of_each(docs, **simhash.FIVE_WORDS)
 

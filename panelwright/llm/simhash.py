@@ -361,11 +361,21 @@ def _rare_keys(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return written(front.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "rare-apart")
 
 
+def _print_pairs(own: DataFrame) -> DataFrame:
+    """(u, v) of own's nodes by SimHash, as simhash_components links them: those of one fingerprint f0 with the first of
+    them, and the first ones that meet in a block and differ in at most 3 bits."""
+    nodes = own.dropDuplicates(["node"]).select("node", "f0")
+    firsts = written(nodes.groupBy("f0").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(firsts, "f0").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return written(same.unionByName(near_links(firsts.select(F.col("first").alias("node"), "f0"), 3, 5, 2)).distinct(), "print-pairs")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, node, component): node is the text's, component the same for texts that are linked.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles, by 64-bit hashes, is at least
-    `similarity`. Candidates share a band of MinHashes: a pair of similarity s is none with probability
+    `similarity`. Candidates meet in the pigeonhole blocks of SimHash fingerprints of the same shingles first; texts that
+    these leave apart, as short ones, are candidates if they share a band of MinHashes: a pair of similarity s is none with probability
     (1 - s ** rows) ** bands, whatever the texts' lengths. Each is settled by its two sets. No pairs of a band
     are emitted: in two rounds every text meets one other, that of its bands which shares the most bands, as
     the original of many copies does; what is then left in bands of several components goes to tasks in groups
@@ -376,10 +386,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
 
     def run(batches):
         for batch in batches:
-            keys = [band_keys(min_hashes(shingle_set(t, shingle), bands * rows), bands, rows) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            keys = [band_keys(min_hashes(shingle_set(t, shingle), bands * rows), bands, rows) for t in texts]
+            prints = pa.array([fingerprint(t, shingle)[0] for t in texts], pa.int64())
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, prints], names=["doc_id", "node", "keys", "f0"])
 
     def to_sets(batches):
         for batch in batches:
@@ -393,17 +405,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("node"), text_bytes(text).alias("__text"))
-    own = written(source.mapInArrow(run, "doc_id long, node long, keys array<long>"), "signatures")
+    own = written(source.mapInArrow(run, "doc_id long, node long, keys array<long>, f0 long"), "signatures")
+    pairs = _print_pairs(own)
     keyed = own.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     held = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = keyed.join(held.hint("shuffle_hash"), "key")
     rank = F.sum("many").over(Window.partitionBy("node"))  # up to `bands` rows a node
     shared = written(shared.select("key", "node", rank.alias("rank"), F.col("node").alias("component")), "bands")
-    named = shared.select("node").distinct().hint("shuffle_hash")
+    named = shared.select("node").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("node"))).distinct().hint("shuffle_hash")
     sets = source.select("node", "__text").join(named, "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets.mapInArrow(to_sets, "node long, own binary"), "shingle-sets")
-    links, apart = _verified(_stars(shared), sets, similarity), shared
-    for more in (True, False):
+    links, apart = _verified(pairs, sets, similarity), shared
+    for more in (True, True, False):
         apart = _mixed_bands(apart, connected_components(links))
         if more:
             links = links.unionByName(_verified(_stars(apart), sets, similarity))

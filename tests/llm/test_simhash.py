@@ -191,3 +191,15 @@ def test_texts_of_one_template_are_not_dealt_to_each_other(spark, docs_of, monke
         kept = {r.doc_id for r in keep_one_of_each(docs_of(*texts), **FIVE_WORDS).collect()}
         assert kept == set(range(n))
     assert dealt[6000] <= 0.05 * 6000  # before, all texts of a template were one group
+
+
+def test_near_copies_meet_by_fingerprints_first(spark):
+    """Pairs of SimHash are settled by their sets too: with bands of so many rows that no pair shares one, they are
+    found all the same."""
+    from panelwright.llm.simhash import near_copies
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words)), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in near_copies(docs, bands=1, rows=1000).collect()}
+    assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3
