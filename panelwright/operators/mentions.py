@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.work import settled
 
 #: Names of so many different numbers of words can be looked for at a time.
 MOST_LENGTHS = 12
+#: N-grams that a task gives out at a time.
+HELD = 100_000
 
 
 def word_list(text: Column) -> Column:
@@ -14,6 +22,12 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def first_words(text: Column, most: int) -> Column:
+    """The first words of word_list, up to so many; the text behind them stays uncut."""
+    parts = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", most + 2)  # one may be empty, the last is the rest
+    return F.slice(F.filter(parts, lambda w: w != ""), 1, most)
+
+
 def find_names(docs: DataFrame, names: DataFrame, doc: str, text: str, name_id: str, name: str, context: str | None = None) -> DataFrame:
     """(doc, name_id, name, n, first, ambiguous): the names whose words stand one behind the other in a text, how often
     and from which word (from 0), and whether the text doesn't tell which of several bearers of the name is meant.
@@ -22,29 +36,47 @@ def find_names(docs: DataFrame, names: DataFrame, doc: str, text: str, name_id:
     in the text as well; else all are given, as ambiguous. Names are compared word by word, whatever stands between
     words; a name of no words is never found. Rows of docs that share an id count together.
 
-    Every text is cut into n-grams of the lengths that names have, once; these meet the distinct keys of names and
-    contexts on the whole n-gram, so a very common name is one row on its side, and the adaptive skew join deals the
-    other side out. Homonyms come in only after that, with a row a text and name.
+    Every text is cut into n-grams of the lengths that names have, once; these meet the distinct keys of names and of
+    homonyms' contexts on the whole n-gram, so a very common name is one row on its side, and the adaptive skew join
+    deals the other side out. Names and what of them stands in texts are written, as all that follows reads them more
+    than once. Homonyms come in only after that, with a row a text and name.
     """
-    own = names.select(F.col(name_id).alias("__id"), F.array_join(word_list(F.col(name)), " ").alias("__key"), (F.array_join(word_list(F.col(context)), " ") if context else F.lit("")).alias("__context")).distinct()
-    own = own.where("__key <> ''")
-    keys = own.select("__key").unionByName(own.select(F.col("__context").alias("__key"))).where("__key <> ''").distinct()
+    own = names.select(F.col(name_id).alias("__id"), F.array_join(word_list(F.col(name)), " ").alias("__key"), (F.array_join(word_list(F.col(context)), " ") if context else F.lit("")).alias("__context"))
+    own = settled(own.distinct(), "names").where("__key <> ''")
+    bearers = own.groupBy("__key").agg(F.count("*").alias("__bearers"))
+    own = settled(own.join(bearers, "__key"), "bearers")
+    keys = settled(own.select("__key").unionByName(own.where("__bearers > 1").select(F.col("__context").alias("__key"))).where("__key <> ''").distinct(), "keys")
     lengths = [r[0] for r in keys.select((F.regexp_count("__key", F.lit(" ")) + 1).cast("int")).distinct().limit(MOST_LENGTHS + 1).collect()]
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"names have more than {MOST_LENGTHS} different numbers of words")
     words = docs.select(F.col(doc).alias("__doc"), word_list(F.col(text)).alias("__words"))
+    lengths.sort()
 
-    def grams(n: int) -> Column:
-        places = F.when(F.size("__words") >= n, F.sequence(F.lit(1), F.size("__words") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct((i - 1).alias("at"), (F.array_join(F.slice("__words", i, n), " ") if n > 1 else F.element_at("__words", i)).alias("key")))
+    def grams(batches):
+        for batch in batches:
+            row, key, many, at = [], [], [], []
+            for i, own_words in enumerate(batch.column(1)):
+                own_words = own_words.as_py()
+                for n in lengths:
+                    held = own_words if n == 1 else list(map(" ".join, zip(*(own_words[k:] for k in range(n)))))
+                    counts, first = Counter(held), dict(zip(reversed(held), range(len(held) - 1, -1, -1)))
+                    row += [i] * len(counts)
+                    key += counts
+                    many += counts.values()
+                    at += map(first.get, counts)
+                if len(row) > HELD or i == batch.num_rows - 1:
+                    one = batch.column(0).take(pa.array(row, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([one, pa.array(key, pa.string()), pa.array(many, pa.int64()), pa.array(at, pa.int32())], names=["__doc", "__key", "__n", "__at"])
+                    row, key, many, at = [], [], [], []
 
-    found = words.select("__doc", F.explode(F.concat(*(grams(n) for n in sorted(lengths)))).alias("g")).select("__doc", F.col("g.key").alias("__key"), F.col("g.at").alias("__at")) if lengths else words.select("__doc", F.lit("").alias("__key"), F.lit(0).alias("__at")).limit(0)
-    hits = found.join(keys, "__key").groupBy("__doc", "__key").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    bearers = own.groupBy("__key").agg(F.count("*").alias("__bearers"))
-    met = hits.join(own, "__key").join(bearers, "__key")
+    found = words.mapInArrow(grams, StructType([words.schema["__doc"], *StructType.fromDDL("__key string, __n long, __at int")]))
+    hits = settled(found.join(keys, "__key").groupBy("__doc", "__key").agg(F.sum("__n").alias("n"), F.min("__at").alias("first")), "hits")
+    met = hits.join(own, "__key")
     told = hits.select("__doc", F.col("__key").alias("__context"), F.lit(1).alias("__told"))
+    homonyms = met.where("__bearers > 1")
+    told = settled(homonyms.select("__doc", "__context").distinct().join(told, ["__doc", "__context"]), "told")
+    by_name = homonyms.join(told, ["__doc", "__context"]).groupBy("__doc", "__key").agg(F.sum("__told").alias("__n_told"))
     met = met.join(told, ["__doc", "__context"], "left").withColumn("__told", F.coalesce("__told", F.lit(0)))
-    by_name = met.where("__bearers > 1").groupBy("__doc", "__key").agg(F.sum("__told").alias("__n_told"))
     met = met.join(by_name, ["__doc", "__key"], "left")
     one = (F.col("__bearers") == 1) | F.coalesce(F.col("__n_told") == 1, F.lit(False))
     kept = met.where(~((F.col("__bearers") > 1) & F.coalesce(F.col("__n_told") == 1, F.lit(False)) & (F.col("__told") == 0)))

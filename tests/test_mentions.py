@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from panelwright.operators.mentions import find_names
+from panelwright.operators.mentions import find_names, first_words
 
 
 def words(text):
@@ -58,3 +58,12 @@ def test_homonyms_and_odd_rows(spark):
         (None, 3, "josh allen", 1, 0, False), (1, None, "tampa", 1, 3, False), (3, None, "tampa", 1, 2, False),
     }
     assert found(spark, [], names) == set() and found(spark, docs, []) == set()
+
+
+def test_texts_are_cut_once_not_at_every_reading(spark):
+    docs = spark.createDataFrame([(1, "Mike Williams of Tampa"), (2, "Mike Williams")], "doc_id long, text string")
+    names = spark.createDataFrame([(1, "Mike Williams", "Tampa"), (2, "Mike Williams", "Los Angeles")], "id long, name string, team string")
+    plan = find_names(docs, names, "doc_id", "text", "id", "name", "team")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+    long = spark.createDataFrame([(",a b, c-d e f",), ("a b c",), ("",), (None,), ("A b c d",)], "x string")
+    assert [r[0] for r in long.select(first_words(long.x, 4)).collect()] == [["a", "b", "c", "d"], ["a", "b", "c"], [], [], ["a", "b", "c", "d"]]
