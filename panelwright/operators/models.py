@@ -82,10 +82,17 @@ def heads(specs: Sequence[dict], coefficients: dict[str, dict[str, list[float]]]
 def served(df: DataFrame, week: list[str], group: str, line: str, opponent: str, values: Sequence[str], zero: str) -> DataFrame:
     """df with `rank`, a row's place in its group by line (equals share one), and `no_game`: a row without an opponent in a week in which
     others have one is a certain zero: its values are 0 and the chance of zero is 1. Where no row of a week has an
-    opponent, the schedule isn't known and nothing is changed."""
-    known = F.max(F.col(opponent).isNotNull()).over(Window.partitionBy(*week))
-    rank = F.rank().over(Window.partitionBy(*week, group).orderBy(F.desc_nulls_last(line)))
-    out = df.withColumn("rank", rank).withColumn("no_game", known & F.col(opponent).isNull())
+    opponent, the schedule isn't known and nothing is changed. Places are worked out over the different lines of a
+    group, so no window holds its rows."""
+    by_line = df.groupBy(*week, group, line).agg(F.count("*").alias("__n"), F.max(F.col(opponent).isNotNull()).alias("__any"))
+    above = Window.partitionBy(*week, group).orderBy(F.desc_nulls_last(line)).rowsBetween(Window.unboundedPreceding, -1)
+    places = by_line.withColumn("rank", (F.coalesce(F.sum("__n").over(above), F.lit(0)) + 1).cast("int"))
+    known = by_line.groupBy(*week).agg(F.max("__any").alias("__known"))
+    out = df
+    for found, keys in ((places.drop("__n", "__any"), [*week, group, line]), (known, week)):
+        found = found.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+        out = out.join(found, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))).drop(*(f"__of_{k}" for k in keys))
+    out = out.withColumn("no_game", F.col("__known") & F.col(opponent).isNull()).drop("__known")
     return out.withColumns({**{v: F.when(F.col("no_game"), F.lit(0.0)).otherwise(F.col(v)) for v in values}, zero: F.when(F.col("no_game"), F.lit(1.0)).otherwise(F.col(zero))})
 
 
