@@ -106,56 +106,78 @@ def seen(df: DataFrame, key: list[str], at: str) -> DataFrame:
 
 class _Alerts(StatefulProcessor):
     """What alerts keeps of a key: when its items and reasons were last new and when it last raised an alert, and an
-    event-time timer for when the oldest of these is out of date."""
+    event-time timer for when the oldest of these is out of date.
 
-    def __init__(self, cooldown: int, keep: int):
-        self.cooldown, self.keep = cooldown, keep
+    All of it is one value as long as the key has at most `together` entries, read and written once for a key's rows. More
+    move to maps of their own, which are asked for single entries, so that a key's next rows cost what they are."""
+
+    def __init__(self, cooldown: int, keep: int, together: int = 256):
+        self.cooldown, self.keep, self.together = cooldown, keep, together
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.recent = handle.getValueState("recent", "last long, moved boolean, items array<long>, items_at array<long>, reasons array<string>, reasons_at array<long>")
         self.items = handle.getMapState("items", "item long", "at long")
         self.reasons = handle.getMapState("reasons", "reason string", "at long")
 
-    def _settle(self, key: tuple, before: int) -> None:
+    def _read(self) -> tuple:
+        """(last, whether there are entries in the maps, items, reasons) of the key; None as last if it has no state."""
+        got = self.recent.get()
+        return (None, False, {}, {}) if got is None else (got[0], got[1], dict(zip(got[2], got[3])), dict(zip(got[4], got[5])))
+
+    def _write(self, last: int, moved: bool, items: dict, reasons: dict) -> None:
+        if len(items) + len(reasons) > self.together:
+            for state, own in ((self.items, items), (self.reasons, reasons)):
+                for k, at in own.items():
+                    state.updateValue((k,), (at,))
+            moved, items, reasons = True, {}, {}
+        self.recent.update((last, moved, list(items), list(items.values()), list(reasons), list(reasons.values())))
+
+    def _settle(self, before: int) -> None:
         """Forgets what is not after `before` and sets the timer for what is next to go; a key of which nothing is left
-        has no state. It alone reads all of a key's state, so that a key's next rows cost what they are."""
-        left = []
-        for state in (self.items, self.reasons):
-            for k, (at,) in list(state.iterator()):
+        has no state. It alone reads all of a key's state."""
+        last, moved, items, reasons = self._read()
+        items, reasons = ({k: at for k, at in own.items() if at > before} for own in (items, reasons))
+        left, there = [*items.values(), *reasons.values()], False
+        for state, own in ((self.items, items), (self.reasons, reasons)):
+            for k, (at,) in list(state.iterator()) if moved else ():
                 if at <= before:
                     state.removeKey(k)
                 else:
-                    left.append(at)
+                    there = True
+                    left += [] if k[0] in own else [at]
         if left:
+            self._write(last, there, items, reasons)
             self.handle.registerTimer((min(left) + self.keep) // 1000 + 1)
         else:
-            for state in (self.last, self.items, self.reasons):
+            for state in (self.recent, self.items, self.reasons):
                 state.clear()
 
-    def _known(self, state, k: tuple, now: int) -> bool:
-        return state.containsKey(k) and state.getValue(k)[0] > now - self.keep
+    def _known(self, own: dict, state, moved: bool, k, now: int) -> bool:
+        at = own.get(k)
+        if at is None and moved and state.containsKey((k,)):
+            at = state.getValue((k,))[0]
+        return at is not None and at > now - self.keep
 
     def handleInputRows(self, key, rows, timerValues):
-        last, first = self.last.get()[0] if self.last.exists() else None, None
+        (last, moved, items, reasons), first = self._read(), None
         oldest = timerValues.getCurrentWatermarkInMs() * 1000
         for row in sorted(rows, key=lambda r: (r.at, r.item)):
-            now, one, why = row.at, (row.item,), (row.reason,)
-            if now < oldest or self._known(self.items, one, now):
+            now = row.at
+            if now < oldest or self._known(items, self.items, moved, row.item, now):
                 continue
-            if last is not None and now - last < self.cooldown and self._known(self.reasons, why, now):
+            if last is not None and now - last < self.cooldown and self._known(reasons, self.reasons, moved, row.reason, now):
                 continue
-            self.items.updateValue(one, (now,))
-            self.reasons.updateValue(why, (now,))
+            items[row.item] = reasons[row.reason] = now
             last, first = now, now if first is None else first
             yield Row(key=key[0], at=now, item=row.item, reason=row.reason)
         if first is not None:
-            self.last.update((last,))
+            self._write(last, moved, items, reasons)
             if not any(True for _ in self.handle.listTimers()):  # else it goes off before the new rows are out of date
                 self.handle.registerTimer((first + self.keep) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._settle(key, expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.keep)
+        self._settle(expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.keep)
         yield from ()
 
 

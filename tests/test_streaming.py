@@ -1,8 +1,10 @@
 """Streams over several files give what one batch gives, and state carries over from batch to batch."""
 
 import datetime
+import random
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from panelwright.plans import catalog
@@ -94,3 +96,79 @@ def test_refusals_are_counted_batch_by_batch(spark, tmp_path):
         if r.n:
             per.setdefault(r.batch, {})[r.reason] = r.n
     assert [per[b] for b in sorted(per)] == [{"taken": 1, "late": 1, "undated": 1}, {"taken": 2}, {"late": 2}]
+
+
+class _Handle:
+    """State in memory that counts the calls made of it."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.calls += 1
+                return getattr(self, "value", None)
+
+            def exists(self):
+                return self.get() is not None
+
+            def update(self, value):
+                handle.calls, self.value = handle.calls + 1, value
+
+            def clear(self):
+                handle.calls, self.value = handle.calls + 1, None
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        handle, own = self, {}
+
+        class Map:
+            def __getattr__(self, call):
+                handle.calls += 1
+                return {"containsKey": own.__contains__, "getValue": own.__getitem__, "updateValue": own.__setitem__, "removeKey": own.pop, "iterator": lambda: iter(list(own.items())), "clear": own.clear}[call]
+
+        return Map()
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class _Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_alerts_ask_the_state_once_for_a_key_and_its_rows(spark):
+    start = datetime.datetime(2024, 3, 1)
+    draw = random.Random(7)
+    batches = [[(1, start + datetime.timedelta(minutes=40 * (200 * b + i) + draw.randrange(40)), draw.randrange(2500), draw.choice("abcde")) for i in range(200)] for b in range(6)]
+    micros = lambda t: (t - start) // datetime.timedelta(microseconds=1)
+    wanted = plain_alerts(batches, keep=100)
+    assert len(wanted) > 50
+    for together in (256, 3):  # as one value, and moved to the maps
+        handle, got, most, newest = _Handle(), [], 0, None
+        processor = feeds._Alerts(int(12 * 3.6e9), int(100 * 3.6e9), together)
+        processor.init(handle)
+        for rows in batches:
+            water, before = 0 if newest is None else max(0, (newest - int(36 * 3.6e9)) // 1000), handle.calls
+            got += processor.handleInputRows((1,), iter([Row(at=micros(t), item=i, reason=w) for _, t, i, w in rows]), _Clock(water))
+            most, newest = max(most, handle.calls - before), max(micros(r[1]) for r in rows)
+            for at in [t for t in handle.timers if t <= (newest - int(36 * 3.6e9)) // 1000]:
+                handle.timers.remove(at)
+                list(processor.handleExpiredTimer((1,), None, _Clock(at)))
+        assert [(r.at, r.item, r.reason) for r in got] == [(micros(t), i, w) for _, t, i, w in wanted]
+        assert together == 3 or most <= 4  # 200 rows
