@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import dealt, parts_for
 from .decisions import assign
 
 
@@ -365,17 +366,19 @@ def bid_replay(wanted: DataFrame, claims: DataFrame, season: list[str], week: st
     """wanted(season, week, team, player, bid) with remaining, offered, room, contested, won and tie: what each bid would have
     met. room is the highest bid of the other teams for the player in that week in claims(season, week, team, player, bid,
     won); offered is the bid, but no more than remaining: the budget less what the team's own claims won for in earlier weeks,
-    0 at least. A bid wins above the room's, or where nobody else bid; an equal one is a tie."""
-    keys = [*season, week, player]
-    spent = claims.where("won").groupBy(*season, team, week).agg(F.sum(bid).alias("__paid"))
+    0 at least. A bid wins above the room's, or where nobody else bid; an equal one is a tie. Both tables are counted first
+    and dealt out by their rows, so that a task's share stays the same."""
+    keys, own = [*season, week, player], [*season, team, week]
+    parts = parts_for(claims.sparkSession, max(claims.count(), wanted.count()))
     before = Window.partitionBy(*season, team).orderBy(week).rangeBetween(Window.unboundedPreceding, -1)
-    asked = wanted.groupBy(*season, team, week).agg(F.lit(0).alias("__asked"))
-    weeks = spent.join(asked, [*season, team, week], "full").withColumn("__before", F.coalesce(F.sum("__paid").over(before), F.lit(0)))
+    paid = claims.select(*own, F.when(F.col("won"), F.col(bid)).alias("__paid")).unionByName(wanted.select(*own, F.lit(None).alias("__paid")))
+    weeks = dealt(paid, parts, *season, team).groupBy(*own).agg(F.sum("__paid").alias("__paid"))
+    weeks = weeks.withColumn("__before", F.coalesce(F.sum("__paid").over(before), F.lit(0))).select(*own, "__before")
     # the best bid of a player, and the best of another team than the one that made it
-    by_team = claims.groupBy(*keys, team).agg(F.max(bid).alias("__bid"))
+    by_team = dealt(claims, parts, *keys).groupBy(*keys, team).agg(F.max(bid).alias("__bid"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__bid"), team))
     two = by_team.withColumn("__place", place).where("__place <= 2").groupBy(*keys).agg(F.max(F.when(F.col("__place") == 1, F.col(team))).alias("__team"), F.max("__bid").alias("__one"), F.max(F.when(F.col("__place") == 2, F.col("__bid"))).alias("__two"))
-    met = wanted.join(weeks.select(*season, team, week, "__before"), [*season, team, week], "left").join(two, keys, "left")
+    met = dealt(dealt(wanted, parts, *own).join(dealt(weeks, parts, *own), own, "left"), parts, *keys).join(two, keys, "left")
     room = F.when(F.col("__team") == F.col(team), F.col("__two")).otherwise(F.col("__one"))
     met = met.withColumn("remaining", F.greatest(F.lit(0), budget - F.col("__before"))).withColumn("offered", F.least(bid, "remaining")).withColumn("room", room)
     contested = F.col("room").isNotNull()

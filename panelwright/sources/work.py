@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that `dealt` gives a task, on the average.
+TASK_ROWS = 1 << 18
+
 
 def work_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, in one of the application's; where that is unset, on one machine only,
@@ -23,3 +26,14 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     path = work_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions leave a task about TASK_ROWS of so many rows, or as many as the session shuffles to if these
+    are more: memory of a task doesn't grow with the rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df, dealt out by keys to so many partitions; as it is if a shuffle would make as many by itself."""
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

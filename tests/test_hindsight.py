@@ -202,6 +202,16 @@ def test_bids_over_budget_ties_and_no_rivals(spark):
     assert got == {(1, "x"): (10, 5, 5, True, False, True), (2, "y"): (2, 2, 4, True, False, False), (3, "z"): (2, 1, 2, True, False, False), (3, "w"): (2, 1, None, False, True, False), (4, "z"): (4, 4, None, False, True, False)}
 
 
+def test_bids_are_dealt_out_by_their_rows(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, w, t, p, (t * 7 + p * 3 + w) % 11, t == p) for w in range(4) for t in range(5) for p in range(5)], "season int, week int, team int, player int, bid int, won boolean")
+    wanted = claims.drop("won")
+    replay = lambda: hindsight.bid_replay(wanted, claims, ["season"], "week", "team", "player", "bid", hindsight.F.lit(10))
+    want = sorted(map(tuple, replay().collect()), key=str)
+    monkeypatch.setattr("panelwright.sources.work.TASK_ROWS", 10)
+    got = replay()
+    assert got.rdd.getNumPartitions() == 10 and sorted(map(tuple, got.collect()), key=str) == want and len(want) == 100
+
+
 def test_promotions_with_ties_nulls_and_repeats(spark):
     ranks = [
         (1, 1, "a", 10, 1), (1, 1, "a", 11, 1), (1, 1, "a", 12, 2), (1, 1, "a", 13, 2), (1, 1, "a", 12, 4),  # two firsts, two seconds, one named twice
