@@ -417,7 +417,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     sets = written(sets.mapInArrow(to_sets, "node long, own binary"), "shingle-sets")
     links, apart = _verified(pairs, sets, similarity), shared
     for more in (True, True, False):
-        apart = _mixed_bands(apart, connected_components(links))
+        label = connected_components(links)
+        apart = _mixed_bands(apart, label)
+        links = label.select(F.col("node").alias("u"), F.col("component").alias("v"))  # the same components, settled
         if more:
             links = links.unionByName(_verified(_stars(apart), sets, similarity))
     rare = _rare_keys(apart, sets, similarity)

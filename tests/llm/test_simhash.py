@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from panelwright.llm.components import connected_components
 from panelwright.llm.queries import QUERIES
+from panelwright.llm.shared import written
 from panelwright.llm.simhash import FIVE_WORDS, block_keys, keep_one_of_each, near_links, simhash_components
 
 
@@ -203,3 +204,23 @@ def test_near_copies_meet_by_fingerprints_first(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component for r in near_copies(docs, bands=1, rows=1000).collect()}
     assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3
+
+
+def test_few_edges_are_few_files(spark, tmp_path, monkeypatch):
+    """A round's table has no file for each partition of a shuffle, whatever the settings of the session."""
+    from panelwright.llm import components
+
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, tag: (tables.append(df), written(df, tag))[1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("48", "false")):
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(3000).selectExpr("id as u", "id - id % 10 as v").repartition(8)
+        got = {r.node: r.component for r in components.connected_components(edges).collect()}
+        parts = [df.rdd.getNumPartitions() for df in tables[1:]]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(3000)}
+    assert parts and max(parts) <= components.FEW_PARTS
