@@ -7,6 +7,7 @@ a row a season, and every fit and loss here comes from sums of those rows: no fi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -25,6 +26,8 @@ MOST_SEASONS = 62
 LISTED = 16
 #: Rows of a season that are numbered in one window, on the average.
 NUMBERED = 50_000
+#: Values that replicates send to a block of places, together, and rows that are sent at once.
+MET, SENT = 1 << 21, 1 << 17
 
 
 def season_subsets(seasons: DataFrame, season: str, k: int, paths: int, purge: int = 0, seed: int = 0) -> DataFrame:
@@ -178,19 +181,21 @@ def numbered_by(df: DataFrame, group: str, order: Sequence[str], out: str = "pla
     return placed.select(*df.columns, out, f"{out}_of")
 
 
-def permuted(place: np.ndarray, of: np.ndarray, rep: int, seed: int) -> np.ndarray:
+def permuted(place: np.ndarray, of: np.ndarray, rep: int, seed: int, back: bool = False) -> np.ndarray:
     """Another place for each place in range(of), by a permutation keyed by (seed, rep, of): four rounds of a balanced
-    network over the next even number of bits, walked on until the place is one of the range."""
+    network over the next even number of bits, walked on until the place is one of the range. back undoes it."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(of, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     at, left = place.astype(np.uint64).copy(), np.ones(len(place), bool)
     keys = [np.uint64((seed * 0x9E3779B97F4A7C15 + rep * 0xBF58476D1CE4E5B9 + r * 0x94D049BB133111EB + 1) % (1 << 64)) for r in range(4)]
     while left.any():
         a, b = at[left] >> half[left], at[left] & mask[left]
-        for key in keys:
+        a, b = (b, a) if back else (a, b)
+        for key in reversed(keys) if back else keys:
             x = (b + key) * np.uint64(0xD6E8FEB86659FD93)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             a, b = b, (a ^ (x >> np.uint64(40))) & mask[left]
+        a, b = (b, a) if back else (a, b)
         at[left] = a << half[left] | b
         left[left] = at[left] >= of[left].astype(np.uint64)
     return at.astype(np.int64)
@@ -217,8 +222,10 @@ def shuffle_null(df: DataFrame, season: str, order: Sequence[str], x: str, y: st
     size when x is permuted within each season, `reps` times.
 
     Only rows in which all are known count; fewer than `least`, or controls that can't be told apart, give nulls and 0
-    reps. A permutation is a function of a row's number in its season, so replicates carry y and the controls to the
-    number whose x they meet, and only the products of x with them are summed anew: all other sums are the same. order
+    reps. A permutation is a function of a row's number in its season and can be undone, so replicates carry x to the
+    number of the row that meets it, and only the products of x with its values are summed anew: all other sums are the
+    same. Numbers are dealt out in blocks; what goes from some rows to a block is one row, so that no row is sorted or
+    joined by itself, and a task holds a block, less of it the more replicates there are. order
     names columns that tell rows apart; rows that agree in them and all else are alike anyway.
     """
     spark, c = df.sparkSession, len(controls)
@@ -231,20 +238,46 @@ def shuffle_null(df: DataFrame, season: str, order: Sequence[str], x: str, y: st
     real = partial_of(fixed) if fixed[0, 0] >= least else None
     if real is None:
         return spark.createDataFrame([(None, 0, None, None, None)], "partial double, reps int, mean double, p95 double, max double")
-    fields = [("rep", pa.int32()), ("season", None), ("place", pa.int64()), *((v, pa.float64()) for v in values[1:])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, of = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for rep in range(reps):
-                moved = permuted(place, of, rep, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), rep, np.int32)), batch.column(0), pa.array(moved), *batch.columns[3:]], names=[f[0] for f in fields])
-
+    block = max(1, MET // max(reps, 1))
     kind = dict(rows.dtypes)["season"]
-    schema = f"rep int, season {kind}, place long, " + ", ".join(f"{v} double" for v in values[1:])
-    moved = rows.select("season", "place", "place_of", *values[1:]).mapInArrow(run, schema)
-    met = moved.join(rows.select("season", "place", "x"), ["season", "place"])
-    sums = met.groupBy("rep").agg(*(F.sum(F.col("x") * F.col(v)).alias(f"x{v}") for v in values[1:])).orderBy("rep").collect()  # a row a replicate
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """(season, block, replicate, places in the block, values); replicate -1 has what stays in its place."""
+        names = batch.column(0).dictionary_encode()
+        season, (place, of) = names.indices.to_numpy(), (batch.column(i).to_numpy() for i in (1, 2))
+        kept = [batch.column(i).to_numpy() for i in range(3, batch.num_columns)]
+        for rep in range(-1, reps):
+            to = place if rep < 0 else permuted(place, of, rep, seed, back=True)
+            order = np.lexsort((to, season))
+            to, by, sent = to[order], season[order], np.stack([v[order] for v in (kept[1:] if rep < 0 else kept[:1])])
+            cuts = np.flatnonzero((np.diff(by) != 0) | (np.diff(to // block) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)]):
+                yield names.dictionary[int(by[i])].as_py(), int(to[i] // block), rep, (to[i:j] % block).astype(np.int32).tobytes(), sent[:, i:j].tobytes()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            held += [batch] if batch is not None and batch.num_rows else []
+            if held and (batch is None or sum(x.num_rows for x in held) >= SENT):
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, got = [], list(zip(*parts(whole)))
+                types = (whole.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, types)], names=["season", "block", "rep", "at", "v"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, sums = np.zeros((c + 1, block)), np.zeros((reps, c + 1))
+        chunks = [(r, np.frombuffer(at, np.int32), np.frombuffer(v)) for r, at, v in zip(*(table.column(x).to_pylist() for x in ("rep", "at", "v")))]
+        for rep, at, v in chunks:
+            if rep < 0:
+                own[:, at] = v.reshape(c + 1, -1)
+        for rep, at, v in chunks:
+            if rep >= 0:
+                sums[rep] += own[:, at] @ v
+        return pa.table([pa.array(np.arange(reps, dtype=np.int32)), *(pa.array(sums[:, i]) for i in range(c + 1))], names=["rep", *(f"x{v}" for v in values[1:])])
+
+    sent = rows.select("season", "place", "place_of", *values).mapInArrow(send, f"season {kind}, block long, rep int, at binary, v binary")
+    met = sent.groupBy("season", "block").applyInArrow(meet, "rep int, " + ", ".join(f"x{v} double" for v in values[1:]))
+    sums = met.groupBy("rep").agg(*(F.sum(f"x{v}").alias(f"x{v}") for v in values[1:])).orderBy("rep").collect()  # a row a replicate
     found = []
     for r in sums:
         moment = fixed.copy()

@@ -138,6 +138,18 @@ def test_a_planted_signal_clears_the_floor_and_odd_panels_have_none(spark):
     assert selection.shuffle_null(df.limit(0), "s", ["i"], "x", "y", ["c"]).first().reps == 0
 
 
+def test_permutations_are_undone_and_replicates_meet_in_blocks(spark, monkeypatch):
+    for of in (1, 2, 3, 1000):
+        place, whole = np.arange(of), np.full(of, of)
+        assert (selection.permuted(selection.permuted(place, whole, 2, 9), whole, 2, 9, back=True) == place).all()
+    draw = np.random.default_rng(6)
+    df = spark.createDataFrame([(s, i, float(x), float(x + e), float(c)) for s in "ab" for i, (x, c, e) in enumerate(draw.normal(size=(300, 3)))], "s string, i int, x double, y double, c double")
+    want = selection.shuffle_null(df, "s", ["i"], "x", "y", ["c"], reps=5).first()
+    monkeypatch.setattr(selection, "MET", 100)
+    monkeypatch.setattr(selection, "SENT", 50)
+    assert tuple(selection.shuffle_null(df, "s", ["i"], "x", "y", ["c"], reps=5).first()) == pytest.approx(tuple(want), abs=1e-12)
+
+
 def grow(x, y, q, trees, depth, rate, bins, least):
     """Boosting by whole columns in numpy."""
     cut = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
