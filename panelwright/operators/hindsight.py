@@ -335,31 +335,36 @@ def waiver_backtest(panel: DataFrame, adds: DataFrame, pool: DataFrame, season:
 
     panel(season, week, player, points) is what happened, adds(season, week, player, group) the claims, pool(season, week,
     player, group, forecast) who could be claimed. A player without games from that week on has no points and counts in no
-    mean; one without a forecast isn't ranked. Ties go to the smaller player. Everything is windows over a week's pool.
+    mean; one without a forecast isn't ranked. Ties go to the smaller player.
+
+    Games, claims and pool meet once by season and player, where a window from the season's end gives each its rate, and once
+    by week, where the pool is ranked by forecast. Which of equal rates is taken changes no mean, so the rest is
+    worked out over how many of a week and group have each rate.
     """
     keys = [*season, week]
-    ahead = Window.partitionBy(*season, player).orderBy("__week").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    at = pool.select(*keys, player).unionByName(adds.select(*keys, player)).distinct()
-    games = panel.where(F.col(points).isNotNull()).select(*season, F.col(week).alias("__week"), player, points)
-    # rest of the season by week of a game, then the next game from the week asked for
-    rest = games.withColumn("__sum", F.sum(points).over(ahead)).withColumn("__n", F.count("*").over(ahead))
-    met = at.join(rest.drop(points), [*season, player], "left").where(F.col("__week").isNull() | (F.col("__week") >= F.col(week)))
-    scored = met.groupBy(*keys, player).agg(F.min_by(F.col("__sum") / F.col("__n"), "__week").alias("rate"))
-    room = adds.select(*keys, player, group).join(scored, [*keys, player], "left")
-    could = pool.select(*keys, player, group, forecast).join(scored, [*keys, player], "left")
-    k = room.groupBy(*keys).agg(F.count("*").alias("k"), F.avg("rate").alias("room"))
-    own = Window.partitionBy(*keys)
-    ranked = could.join(k.select(*keys, "k"), keys)
-    ranked = ranked.withColumn("__place", F.row_number().over(own.orderBy(F.desc_nulls_last(forecast), player))).withColumn("__best", F.row_number().over(own.orderBy(F.desc_nulls_last("rate"), player)))
-    ranked = ranked.withColumn("__chosen", (F.col("__place") <= F.col("k")) & F.col(forecast).isNotNull())
-    ranked = ranked.withColumn("__in_group", F.row_number().over(Window.partitionBy(*keys, group).orderBy(F.desc_nulls_last("rate"), player)))
-    taken = room.groupBy(*keys, group).agg(F.count("*").alias("__room_n"))
-    ranked = ranked.join(taken, [*keys, group], "left").withColumn("__ours_n", F.sum(F.col("__chosen").cast("int")).over(Window.partitionBy(*keys, group)))
-    mean = lambda c, name: F.avg(F.when(c, F.col("rate"))).alias(name)
-    found = ranked.groupBy(*keys).agg(
-        mean(F.col("__chosen"), "ours"), mean(F.col("__best") <= F.col("k"), "ceiling"), mean(F.col("__in_group") <= F.coalesce("__room_n", F.lit(0)), "room_ceiling"), mean(F.col("__in_group") <= F.col("__ours_n"), "ours_ceiling")
-    )
-    return k.join(found, keys, "left").select(*keys, "k", "room", "ours", "ceiling", "room_ceiling", "ours_ceiling")
+    games = panel.dropna(subset=[*keys, player, points]).select(*keys, player, F.col(points).alias("__points"), F.lit(0).alias("__kind"))
+    claims = adds.select(*keys, player, group, F.lit(1).alias("__kind"))
+    could = pool.select(*keys, player, group, F.col(forecast).alias("__forecast"), F.lit(2).alias("__kind"))
+    every = could.unionByName(claims, allowMissingColumns=True).unionByName(games, allowMissingColumns=True)
+    ahead = Window.partitionBy(*season, player).orderBy(F.desc(week)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("__rate", F.when(F.col(week).isNotNull(), F.avg("__points").over(ahead))).where("__kind = 1 or __kind = 2 and (__rate is not null or __forecast is not null)")
+    is_claim, is_could = (F.col("__kind") == 1).cast("long"), (F.col("__kind") == 2).cast("long")
+    own = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__forecast"), is_claim, player)  # claims stand behind the ranked
+    ranked = every.withColumn("__place", F.row_number().over(own)).withColumn("k", F.sum(is_claim).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("k > 0")
+    chosen = (is_could == 1) & F.col("__forecast").isNotNull() & (F.col("__place") <= F.col("k"))
+    rates = ranked.groupBy(*keys, "k", group, "__rate").agg(F.sum(is_could).alias("__n"), F.sum(is_claim).alias("__room"), F.sum(chosen.cast("long")).alias("__ours"))
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc_nulls_last("__rate")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    side = Window.partitionBy(*keys, group)
+    rates = rates.withColumns({
+        "__room_n": F.when(F.col(group).isNotNull(), F.sum("__room").over(side)).otherwise(0), "__ours_n": F.sum("__ours").over(side),
+        "__up": F.sum("__n").over(best(*keys)), "__up_in": F.sum("__n").over(best(*keys, group)),
+    })
+    # how many of a rate are among the first so many, if so many stand up to and with it
+    among = lambda first, up: F.greatest(F.lit(0), F.least(F.col("__n"), F.col(first) - F.col(up) + F.col("__n")))
+    n_of = {"room": F.col("__room"), "ours": F.col("__ours"), "ceiling": among("k", "__up"), "room_ceiling": among("__room_n", "__up_in"), "ours_ceiling": among("__ours_n", "__up_in")}
+    mean = lambda n: F.sum(F.when(n > 0, F.col("__rate") * n)) / F.sum(F.when((n > 0) & F.col("__rate").isNotNull(), n))
+    found = rates.groupBy(*keys, "k").agg(*(mean(n).alias(name) for name, n in n_of.items()))
+    return found.select(*(F.col(c).cast(adds.schema[c].dataType).alias(c) for c in keys), "k", *n_of)
 
 
 def bid_replay(wanted: DataFrame, claims: DataFrame, season: list[str], week: str, team: str, player: str, bid: str, budget: Column) -> DataFrame:

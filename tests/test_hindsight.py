@@ -259,3 +259,40 @@ def test_trades_try_few_lineups(monkeypatch):
 def test_policy_effect_replays_once(spark, sf):
     plan = plans.QUERIES["mx11_policy_effect"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1
+
+
+def plain_waivers(games, adds, pool):
+    """(k, room, ours, ceiling, room_ceiling, ours_ceiling) by (season, week), of every rate by itself."""
+    out = {}
+    for at in {a[:2] for a in adds}:
+
+        def rate(p, at=at):
+            own = [v for s, w, q, v in games if (s, q) == (at[0], p) and w is not None and w >= at[1] and v is not None]
+            return sum(own) / len(own) if own else None
+
+        mean = lambda xs: sum(xs) / len(xs) if (xs := [x for x in xs if x is not None]) else None
+        first = lambda ms, n: sorted((r for *_, r in ms if r is not None), reverse=True)[:n]
+        claims = [(*a[2:], rate(a[2])) for a in adds if a[:2] == at]
+        could = [(*p[2:], rate(p[2])) for p in pool if p[:2] == at]
+        k = len(claims)
+        ours = sorted((m for m in could if m[2] is not None), key=lambda m: (-m[2], m[0]))[:k]
+        mix = lambda side, group: sum(m[1] == group for m in side)
+        best = lambda side: [r for g in {m[1] for m in could} for r in first([m for m in could if m[1] == g], mix(side, g))]
+        out[at] = k, mean([m[-1] for m in claims]), mean([m[-1] for m in ours]), mean(first(could, k)), mean(best([c for c in claims if c[1] is not None])), mean(best(ours))
+    return out
+
+
+def test_waivers_meet_without_joins_and_equal_a_plain_search(spark):
+    r = random.Random(11)
+    players = {p: r.choice(["a", "b", "c", None]) for p in range(40)}
+    games = [(s, r.choice([*range(1, 7), None]), p, r.choice([None, *map(float, range(9))])) for s in (1, 2) for p in players for _ in range(r.randint(0, 8))]  # some twice in a week
+    pool = [(s, w, p, g, r.choice([None, 1.0, 2.0, 3.0])) for s in (1, 2) for w in range(1, 7) for p, g in players.items() if r.random() < 0.7]
+    adds = [(s, w, p, r.choice([g, g, "d"])) for s, w, p, g, _ in pool if w < 6 and r.random() < 0.3] + [(3, 1, 1, "a")]
+    names = "season int, week int, player int"
+    got = hindsight.waiver_backtest(
+        spark.createDataFrame(games, f"{names}, points double"), spark.createDataFrame(adds, f"{names}, pos string"), spark.createDataFrame(pool, f"{names}, pos string, proj double"), ["season"], "week", "player", "pos", "proj", "points"
+    )
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found, want = {tuple(x[:2]): tuple(x[2:]) for x in got.collect()}, plain_waivers(games, adds, pool)
+    assert found.keys() == want.keys() and len(want) == 11
+    assert all(found[at] == pytest.approx(want[at], nan_ok=True) for at in want)
