@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +32,22 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
-def leaf_of(tree: dict, bins: np.ndarray) -> np.ndarray:
-    """The node of each row in a tree of bins, level by level; bin 0 goes the way the node says."""
-    feature, threshold, left, right, missing = (np.asarray(tree[k]) for k in ("feature", "bin", "left", "right", "missing_left"))
-    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while (inner := feature[at] >= 0).any():
-        b = bins[rows, np.where(inner, feature[at], 0)]
-        go_left = np.where(b == 0, missing[at], b <= threshold[at])
-        at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-    return at
+def leaf_of(tree: dict, bins: Sequence[np.ndarray]) -> np.ndarray:
+    """The node of each row in a tree of bins, by columns of bins; bin 0 goes the way the node says."""
+    out = np.zeros(len(bins[0]), np.int32)
+    walk: list = [(0, slice(None))]
+    while walk:
+        node, at = walk.pop()
+        if tree["feature"][node] < 0:
+            out[at] = node
+            continue
+        b = bins[tree["feature"][node]][at]
+        left = b <= tree["bin"][node]  # bin 0 is below all
+        if not tree["missing_left"][node]:
+            left &= b > 0
+        sides = ((tree[side][node], np.flatnonzero(way) if isinstance(at, slice) else at[way]) for side, way in (("left", left), ("right", ~left)))
+        walk += [s for s in sides if len(s[1])]
+    return out
 
 
 def best_splits(histogram: np.ndarray, least: int) -> list[tuple[int, int, bool] | None]:
@@ -90,93 +96,110 @@ def root() -> dict:
     return {"feature": [-1], "bin": [0], "threshold": [0.0], "left": [-1], "right": [-1], "missing_left": [False], "value": [0.0]}
 
 
-def fit_boosted_quantile(df: DataFrame, xs: Sequence[str], y: str, q: float, trees: int = 10, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 20) -> dict:
-    """An artifact (base, trees, as tree_scores takes them) for the q quantile of y.
+def fit_boosted_quantile(df: DataFrame, xs: Sequence[str], y: str, q: float, **how) -> dict:
+    """The artifact of fit_boosted_quantiles for one quantile."""
+    return fit_boosted_quantiles(df, xs, y, [q], **how)[0]
+
 
-    Features are binned once. A level of a tree costs one aggregate: each task sums the gradient of the pinball loss by
-    (node, feature, bin) over its rows, and the tasks' sums are added in Spark, so that a histogram of the model's
-    size comes to the driver. A leaf's value is the q quantile (percentile_approx) of the residuals of its rows, times the
-    rate. The fit so far is a column of a table that is written anew for each tree; no tree reads those before.
-    Rows without y are left out, missing features have a bin of their own; no rows give base 0 and no trees.
+def fit_boosted_quantiles(df: DataFrame, xs: Sequence[str], y: str, qs: Sequence[float], trees: int = 10, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 20) -> list[dict]:
+    """For each of the quantiles qs of y an artifact (base, trees, as tree_scores takes them).
+
+    Features are binned once, and the models of all quantiles grow side by side, so the table is read as often for many as
+    for one. A level of their trees costs one aggregate: each task counts its rows at or below the fit and above it by
+    (model, node, feature, bin), of which the gradient of the pinball loss is made, and the tasks' counts are added in
+    Spark, so that a histogram of the models' size comes to the driver. A leaf's value is the q quantile (percentile_approx)
+    of the residuals of its rows, times the rate. The fits so far are columns of a table that is written anew for each
+    tree; no tree reads those before. Rows without y are left out, missing features have a bin of their own; no
+    rows give base 0 and no trees.
     """
-    d = len(xs)
+    d, models = len(xs), range(len(qs))
     rows = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).select(*(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)), F.col(y).cast("double").alias("y"))
     edges = bin_edges(rows, [f"x{i}" for i in range(d)], bins)
-    base = rows.agg(F.percentile_approx("y", q, 10_000)).first()[0]
-    if base is None:
-        return {"base": 0.0, "trees": []}
+    bases = rows.agg(F.percentile_approx("y", list(qs), 10_000)).first()[0]
+    if bases is None:
+        return [{"base": 0.0, "trees": []} for _ in qs]
+    names = [*(f"b{i}" for i in range(d)), "y", *(f"f{m}" for m in models)]
+    kinds = ", ".join(f"{n} {'byte' if n[0] == 'b' else 'double'}" for n in names)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
-            got = binned(x, edges)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in got], pa.binary()), batch.column(d), pa.array(np.full(len(x), base))], names=["bins", "y", "fit"])
+            got = binned(x, edges).view(np.int8)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(got[:, i])) for i in range(d)), batch.column(d), *(pa.array(np.full(len(x), b)) for b in bases)], names=names)
 
-    now = settled(rows.mapInArrow(put, "bins binary, y double, fit double"), "boost")
-    out = []
+    now = settled(rows.mapInArrow(put, kinds), "boost")
+    out: list[list[dict]] = [[] for _ in qs]
 
-    def read(batch: pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, d)
+    def read(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        return [b.view(np.uint8) for b in got[:d]], got[d], got[d + 1 :]
 
     for _ in range(trees):
-        tree, level = root(), [0]
+        grow, levels = [root() for _ in qs], [[0] for _ in qs]
         for _ in range(depth):
+            shape = (len(qs), max(map(len, levels)), d, bins + 1, 2)
 
-            def sums(batches: Iterator[pa.RecordBatch], tree=tree, level=tuple(level)) -> Iterator[pa.RecordBatch]:
-                total = np.zeros((len(level), d, bins + 1, 2))
-                number = np.full(len(tree["feature"]), -1)
-                number[list(level)] = range(len(level))
+            def counts(batches: Iterator[pa.RecordBatch], grow=grow, levels=tuple(map(tuple, levels)), shape=shape) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(shape, np.int64)
+                numbers = [np.full(len(tree["feature"]), -1) for tree in grow]
+                for m in models:
+                    numbers[m][list(levels[m])] = range(len(levels[m]))
                 for batch in batches:
-                    got = read(batch)
-                    node = number[leaf_of(tree, got)]
-                    own = node >= 0
-                    gradient = np.where(batch.column(1).to_numpy() > batch.column(2).to_numpy(), q, q - 1)[own]
-                    for f in range(d):
-                        at = (node[own] * d + f) * (bins + 1) + got[own, f]
-                        total[..., 0] += np.bincount(at, gradient, total[..., 0].size).reshape(total.shape[:3])
-                        total[..., 1] += np.bincount(at, minlength=total[..., 0].size).reshape(total.shape[:3])
-                at = np.flatnonzero(total[..., 1])
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[..., 0].ravel()[at]), pa.array(total[..., 1].ravel()[at])], names=["at", "g", "n"])
-
-            found = now.mapInArrow(sums, "at long, g double, n double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toPandas()
-            histogram = np.zeros((len(level), d, bins + 1, 2))
-            histogram[..., 0].reshape(-1)[found["at"]] = found["g"]
-            histogram[..., 1].reshape(-1)[found["at"]] = found["n"]
-            level = grown(tree, level, best_splits(histogram, least), edges)
-            if not level:
+                    b, y, fits = read(batch)
+                    for m in models:
+                        if not levels[m]:
+                            continue
+                        node = numbers[m][leaf_of(grow[m], b)]
+                        own = slice(None) if (node >= 0).all() else np.flatnonzero(node >= 0)
+                        start, above = node[own] * (bins + 1) * 2, (y > fits[m])[own]
+                        for f in range(d):
+                            got = np.bincount(start + b[f][own] * np.int64(2) + above, minlength=shape[1] * shape[3] * 2)
+                            total[m, :, f] += got.reshape(shape[1], *shape[3:])
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+            found = now.mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+            n = np.zeros(shape)
+            n.reshape(-1)[found["at"]] = found["n"]
+            for m, q in enumerate(qs):
+                own = n[m, : len(levels[m])]
+                histogram = np.stack([q * own[..., 1] + (q - 1) * own[..., 0], own.sum(axis=-1)], axis=-1)
+                levels[m] = grown(grow[m], levels[m], best_splits(histogram, least), edges)
+            if not any(levels):
                 break
 
-        def leaves(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+        def leaves(batches: Iterator[pa.RecordBatch], grow=grow) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rest = batch.column(1).to_numpy() - batch.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_of(tree, read(batch))), pa.array(rest)], names=["leaf", "rest"])
+                b, y, fits = read(batch)
+                for m in models:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), m, np.int32)), pa.array(leaf_of(grow[m], b)), pa.array(y - fits[m])], names=["model", "leaf", "rest"])
 
-        for r in now.mapInArrow(leaves, "leaf long, rest double").groupBy("leaf").agg(F.percentile_approx("rest", q, 10_000).alias("v")).collect():  # a row a leaf
-            tree["value"][r.leaf] = rate * r.v
-        out.append({k: v for k, v in tree.items()})
+        for r in now.mapInArrow(leaves, "model int, leaf int, rest double").groupBy("model", "leaf").agg(F.percentile_approx("rest", list(qs), 10_000).alias("v")).collect():  # a row a leaf
+            grow[r.model]["value"][r.leaf] = rate * r.v[r.model]
+        for m in models:
+            out[m].append({k: v for k, v in grow[m].items()})
 
-        def moved(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
-            value = np.asarray(tree["value"])
+        def moved(batches: Iterator[pa.RecordBatch], grow=grow) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fit = batch.column(2).to_numpy() + value[leaf_of(tree, read(batch))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fit)], names=["bins", "y", "fit"])
+                b, _, fits = read(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: d + 1], *(pa.array(fits[m] + np.asarray(grow[m]["value"])[leaf_of(grow[m], b)]) for m in models)], names=names)
 
-        if len(out) < trees:
-            now = settled(now.mapInArrow(moved, "bins binary, y double, fit double"), "boost")
-    return {"base": float(base), "trees": out}
+        if len(out[0]) < trees:
+            now = settled(now.mapInArrow(moved, kinds), "boost")
+    return [{"base": float(b), "trees": t} for b, t in zip(bases, out)]
 
 
 def boosted_quantiles(train: DataFrame, rows: DataFrame, xs: Sequence[str], y: str, qs: dict[str, float], **how) -> DataFrame:
     """rows with a column for each quantile of qs, by the boosted trees of train; values are made ascending, so that
     quantiles don't cross."""
     order = sorted(qs, key=qs.get)
-    models = [fit_boosted_quantile(train, xs, y, qs[name], **how) for name in order]
+    models = fit_boosted_quantiles(train, xs, y, [qs[name] for name in order], **how)
 
-    @F.pandas_udf("array<double>")
-    def score(frame: pd.DataFrame) -> pd.Series:
-        x = frame.to_numpy(float)
-        got = np.maximum.accumulate(np.stack([tree_scores(m["trees"], x, m["base"]) for m in models], axis=1), axis=1)
-        return pd.Series(list(got))
+    @F.arrow_udf(", ".join(f"q{i} double" for i in range(len(order))))
+    def score(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns]).T
+        got = np.maximum.accumulate(np.stack([tree_scores(m["trees"], x, m["base"]) for m in models]), axis=0)
+        return pa.StructArray.from_arrays([pa.array(g) for g in got], names=[f"q{i}" for i in range(len(order))])
 
-    scored = rows.withColumn("__q", score(F.struct(*(F.col(x).cast("double").alias(x) for x in xs))))
-    return scored.withColumns({name: F.element_at("__q", i + 1) for i, name in enumerate(order)}).drop("__q")
+    scored = rows.withColumn("__q", score(*(F.col(x).cast("double") for x in xs)))
+    return scored.withColumns({name: F.col("__q")[f"q{i}"] for i, name in enumerate(order)}).drop("__q")

@@ -167,18 +167,22 @@ def boosted(train: DataFrame, rows: DataFrame, xs: Sequence[str], y: str, out: s
 
 def tree_scores(trees: list[dict], x: np.ndarray, base: float = 0.0) -> np.ndarray:
     """The sum of boosted trees for rows of features; NaN goes the way the node says. A tree has arrays feature (-1
-    at leaves), threshold, left, right, missing_left and value; all rows walk it level by level."""
-    out = np.full(len(x), base)
-    rows = np.arange(len(x))
+    at leaves), threshold, left, right, missing_left and value; rows go down it node by node, all of a node at once."""
+    out, columns = np.full(len(x), base, float), [np.ascontiguousarray(x[:, f]) for f in range(x.shape[1])]
     for t in trees:
-        feature, threshold, left, right = (np.asarray(t[k]) for k in ("feature", "threshold", "left", "right"))
-        missing, value, at = np.asarray(t["missing_left"], bool), np.asarray(t["value"], float), np.zeros(len(x), int)
-        while (inner := feature[at] >= 0).any():
-            f = np.where(inner, feature[at], 0)
-            v = x[rows, f]
-            go_left = np.where(np.isnan(v), missing[at], v <= threshold[at])
-            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-        out += value[at]
+        walk: list = [(0, slice(None))]
+        while walk:
+            node, at = walk.pop()
+            f = t["feature"][node]
+            if f < 0:
+                out[at] += t["value"][node]
+                continue
+            v = columns[f][at]
+            left = v <= t["threshold"][node]
+            if t["missing_left"][node]:
+                left |= np.isnan(v)
+            sides = ((t[side][node], np.flatnonzero(way) if isinstance(at, slice) else at[way]) for side, way in (("left", left), ("right", ~left)))
+            walk += [s for s in sides if len(s[1])]
     return out
 
 

@@ -200,6 +200,23 @@ def test_boosted_quantiles_equal_numpy(spark):
         assert pinball(got) < 0.75 * pinball(np.quantile(y, q))
 
 
+def test_boosted_quantiles_grow_side_by_side(spark, monkeypatch):
+    """Three quantiles write and read no more tables than one, and are what each is alone; rows are scored as numpy does."""
+    draw = np.random.default_rng(4)
+    x = draw.uniform(0, 9, (300, 2)).round(1)
+    x[draw.uniform(size=x.shape) < 0.1] = np.nan
+    y = (np.nan_to_num(x[:, 0], nan=15.0) + draw.exponential(3, 300)).round(3)
+    df = spark.createDataFrame([(*(None if np.isnan(v) else float(v) for v in r), float(v)) for r, v in zip(x, y)], "a double, b double, y double").repartition(3)
+    how, made, settled = dict(trees=3, depth=2, rate=0.5, bins=8, least=15), [], boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda *a: made.append(1) or settled(*a))
+    got = boosting.boosted_quantiles(df, df, ["a", "b"], "y", {"high": 0.9, "low": 0.1, "mid": 0.5}, **how)
+    assert len(made) == 3 and got.columns == ["a", "b", "y", "low", "mid", "high"]
+    want = np.maximum.accumulate(np.stack([grow(x, y, q, **how) for q in (0.1, 0.5, 0.9)], axis=1), axis=1)
+    key = lambda r: tuple(-1.0 if v is None or np.isnan(v) else float(v) for v in r)
+    assert np.array(sorted(key(r) for r in got.collect())) == pytest.approx(np.array(sorted(key(r) for r in np.column_stack([x, y, want]))), abs=1e-9)
+    assert [boosting.fit_boosted_quantile(df, ["a", "b"], "y", q, **how) for q in (0.1, 0.9)] == boosting.fit_boosted_quantiles(df, ["a", "b"], "y", [0.1, 0.9], **how)
+
+
 def test_boosted_quantiles_of_odd_panels(spark, sf):
     df = spark.createDataFrame([(1.0, None, 5.0), (1.0, None, 7.0), (1.0, None, None)], "a double, b double, y double")
     artifact = boosting.fit_boosted_quantile(df, ["a", "b"], "y", 0.5, least=1)
