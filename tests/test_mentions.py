@@ -4,7 +4,8 @@ import random
 import re
 from collections import defaultdict
 
-from panelwright.operators.mentions import find_names, first_words
+from panelwright.operators import mentions
+from panelwright.operators.mentions import find_names, first_words, word_list
 
 
 def words(text):
@@ -67,3 +68,31 @@ def test_texts_are_cut_once_not_at_every_reading(spark):
     assert "split(" not in plan
     long = spark.createDataFrame([(",a b, c-d e f",), ("a b c",), ("",), (None,), ("A b c d",)], "x string")
     assert [r[0] for r in long.select(first_words(long.x, 4)).collect()] == [["a", "b", "c", "d"], ["a", "b", "c"], [], [], ["a", "b", "c", "d"]]
+
+
+def test_contexts_are_written_beside_their_homonyms_alone(spark, monkeypatch):
+    tables, write = [], mentions.settled
+    monkeypatch.setattr(mentions, "settled", lambda df, tag: tables.append(write(df, tag)) or tables[-1])
+    docs = [(i, "from Tampa to Los Angeles") for i in range(200)] + [(900, "Mike Williams of Tampa"), (901, "Mike Williams"), (901, "from Tampa")]
+    names = [(1, "Mike Williams", "Tampa"), (2, "Mike Williams", "Los Angeles")]
+    assert found(spark, docs, names) == {(900, 1, "mike williams", 1, 0, False), (901, 1, "mike williams", 1, 0, False)}
+    assert max(t.count() for t in tables if "__doc" in t.columns) < 50
+
+
+def test_full_filters_small_runs_and_texts_of_many_homonyms_lose_nothing(spark, monkeypatch):
+    draw = random.Random(4)
+    small = ["ann", "lee", "bob", "ray", "fox", "σίσυφος", "st"]
+    docs = [(i % 45, " ".join(draw.choices(small, k=draw.randint(0, 30)))) for i in range(50)]
+    names = [(i, " ".join(draw.choices(small, k=draw.randint(1, 2))), draw.choice([None, "fox", "bob ray", "nowhere", "lee st"])) for i in range(60)]
+    for odd in ({"MOST_PAIRS": 0, "BEARERS_A_DEAL": 2}, {"MOST_BITS": 6, "HELD": 16, "BEARERS_A_DEAL": 1}):
+        with monkeypatch.context() as changed:
+            for name, value in odd.items():
+                changed.setattr(mentions, name, value)
+            assert found(spark, docs, names) == plain(docs, names)
+
+
+def test_first_words_are_those_of_the_whole_text(spark):
+    texts = [" " * 600 + "A b c d e", "a b c " + "D" * 600 + " e f", "x " * 246 + "abcd efgh", "Α Β Γ ΔΣ.Ε Ζ", "a b c d" + "." * 600 + "e", "a b c d" + "." * 490, None, "É È Ê Ë Ù " * 90]
+    long = spark.createDataFrame([(t,) for t in texts], "x string")
+    for got, whole in long.select(first_words(long.x, 4), word_list(long.x)).collect():
+        assert got == whole[:4]
