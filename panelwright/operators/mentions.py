@@ -25,9 +25,11 @@ BITS_A_NAME, MOST_BITS, PROBES = 32, 29, 4
 #: Bearers that share a part of their name's texts; a name has MOST_DEALS parts at most.
 BEARERS_A_DEAL, MOST_DEALS = 64, 64
 
-#: What the filter holds: names, those with several bearers, their contexts, both together, ids that rows share.
-NAME, HOMONYM, CONTEXT, PAIR, SHARED = range(5)
-KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: What the filter holds: names, those with several bearers, their contexts, both together, ids that rows share, and
+#: names together with the parts of 64 that hashes of their contexts fall in.
+NAME, HOMONYM, CONTEXT, PAIR, SHARED, PART = range(6)
+KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x94D049BB133111EB], np.uint64)
+PARTS = np.arange(64, dtype=np.uint64)
 FACTORS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 BASE = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -74,11 +76,15 @@ def _fact(kind: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def _both(pair: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """A name's fact of kind PAIR together with a context's hash."""
+    """A name's fact of kind PAIR or PART together with a context's hash or its part."""
     x = (pair + contexts) * BASE
     return x ^ (x >> np.uint64(29))
 
 
+def _part(hashes: np.ndarray) -> np.ndarray:
+    return hashes * FACTORS[0] >> np.uint64(58)
+
+
 def _bit(facts: np.ndarray, k: int, bits: int) -> np.ndarray:
     return facts * FACTORS[k] >> np.uint64(64 - bits)
 
@@ -102,8 +108,8 @@ def names_filter(own: DataFrame, shared: DataFrame, bits: int) -> np.ndarray:
             key = _phrases(batch.column(0))
             several = batch.column(2).to_numpy() > 1
             context = _phrases(batch.column(1).filter(pa.array(several)))
-            facts = [_fact(NAME, key), _fact(HOMONYM, key[several]), _fact(CONTEXT, context), _both(_fact(PAIR, key[several]), context)]
-            yield from set_by(np.concatenate(facts))
+            both = _both(_fact(PAIR, key[several]), context), _both(_fact(PART, key[several]), _part(context))
+            yield from set_by(np.concatenate([_fact(NAME, key), _fact(HOMONYM, key[several]), _fact(CONTEXT, context), *both]))
 
     def of_ids(batches):
         for batch in batches:
@@ -158,13 +164,20 @@ def _runs(many: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, [*cuts[1:], len(many)]) if a < b]
 
 
-def _pairs(names: np.ndarray, first: np.ndarray, many: np.ndarray, contexts: np.ndarray, held: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of names and of contexts that the filter may hold together, by name; the contexts to be tested with a
-    name are so many from its first on."""
+def _pairs(name_row: np.ndarray, names: np.ndarray, context_row: np.ndarray, contexts: np.ndarray, held: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of names and of contexts of the same text that the filter may hold together. Of a text's contexts only
+    those are tested with a name that fall in parts in which it has some."""
+    facts, step = _fact(PART, names)[:, None], TESTED // len(PARTS)
+    name, part = np.divmod(np.concatenate([np.zeros(0, np.int64), *(_passed(_both(facts[a : a + step], PARTS).ravel(), held, bits) + a * len(PARTS) for a in range(0, len(names), step))]), len(PARTS))
+    places = context_row * len(PARTS) + _part(contexts).astype(np.int64)
+    order = np.argsort(places, kind="stable")
+    places, wanted = places[order], name_row[name] * len(PARTS) + part
+    first = np.searchsorted(places, wanted)
+    many = np.searchsorted(places, wanted, "right") - first
     facts, starts, found = _fact(PAIR, names), np.cumsum(many) - many, [np.zeros((2, 0), np.int64)]
     for a, b in _runs(many, TESTED):
-        one = np.repeat(np.arange(a, b), many[a:b])
-        other = np.arange(len(one)) + np.repeat(first[a:b] - starts[a:b] + starts[a], many[a:b])
+        one = np.repeat(name[a:b], many[a:b])
+        other = order[np.arange(len(one)) + np.repeat(first[a:b] - starts[a:b] + starts[a], many[a:b])]
         at = _passed(_both(facts[one], contexts[other]), held, bits)
         found.append(np.stack([one[at], other[at]]))
     return tuple(np.concatenate(found, axis=1))
@@ -223,10 +236,10 @@ def find_names(docs: DataFrame, names: DataFrame, doc: str, text: str, name_id:
         wanted = loose.copy()
         wanted[row[several]] = True
         beside, context, by, *_ = texts.distinct(of_contexts, CONTEXT, held, bits, wanted)
-        first = np.searchsorted(beside, row)
-        tests = np.where(several, np.searchsorted(beside, row, "right") - first, 0)
-        loose |= np.bincount(row, tests, len(lists)) > MOST_PAIRS
-        one, other = _pairs(hash, first, np.where(loose[row], 0, tests), by, held, bits)
+        loose |= np.bincount(row[several], minlength=len(lists)) * np.bincount(beside, minlength=len(lists)) > MOST_PAIRS
+        tested = np.flatnonzero(several & ~loose[row])
+        one, other = _pairs(row[tested], hash[tested], beside, by, held, bits)
+        one = tested[one]
         of = np.bincount(one, minlength=len(row))
         yield given(row[one], key.take(pa.array(one)), context.take(pa.array(other)), many[one], at[one], of[one], False)
         for out, as_loose in ((np.flatnonzero((of == 0) & ~loose[row]), False), (np.flatnonzero(loose[row]), True)):
