@@ -228,7 +228,7 @@ def find_names(docs: DataFrame, names: DataFrame, doc: str, text: str, name_id:
             return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.nulls(len(row), t) if c is None else pa.array(c, t) for c, t in columns)], names=found_as.names)
 
         texts = _Words(lists)
-        loose = np.zeros(len(lists), bool)
+        loose = ids.is_null().to_numpy(zero_copy_only=False).copy()  # no text without an id tells a bearer, as in SQL
         loose[_passed(_fact(SHARED, hashes.to_numpy().view(np.uint64)), held, bits)] = True
         row, key, hash, many, at = texts.distinct(of_names, NAME, held, bits)
         several = np.zeros(len(row), bool)

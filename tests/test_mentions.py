@@ -73,9 +73,10 @@ def test_texts_are_cut_once_not_at_every_reading(spark):
 def test_contexts_are_written_beside_their_homonyms_alone(spark, monkeypatch):
     tables, write = [], mentions.settled
     monkeypatch.setattr(mentions, "settled", lambda df, tag: tables.append(write(df, tag)) or tables[-1])
-    docs = [(i, "from Tampa to Los Angeles") for i in range(200)] + [(900, "Mike Williams of Tampa"), (901, "Mike Williams"), (901, "from Tampa")]
+    docs = [(i, "from Tampa to Los Angeles") for i in range(200)] + [(900, "Mike Williams of Tampa"), (901, "Mike Williams"), (901, "from Tampa"), (None, "Mike Williams of Tampa")]
     names = [(1, "Mike Williams", "Tampa"), (2, "Mike Williams", "Los Angeles")]
-    assert found(spark, docs, names) == {(900, 1, "mike williams", 1, 0, False), (901, 1, "mike williams", 1, 0, False)}
+    nobody = {(None, i, "mike williams", 1, 0, True) for i in (1, 2)}
+    assert found(spark, docs, names) == {(900, 1, "mike williams", 1, 0, False), (901, 1, "mike williams", 1, 0, False), *nobody}
     assert max(t.count() for t in tables if "__doc" in t.columns) < 50
 
 
